@@ -44,14 +44,16 @@ def age_days(col: str | Column, as_of: str | _dt.date) -> Column:
 
 # F15 fixed values: the reference reads ``Mon, 3 Jul 2017 10:00:00`` style headers,
 # ignores the zone offset and adds a fixed 8 hours.
-RFC_DATE_PATTERN = r"(\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2})"
+RFC_DATE_PATTERN = r"\w+, (\d{1,2}) (\w+) (\d{4}) (\d{2}:\d{2}:\d{2})"
 FIXED_SHIFT_HOURS = 8
 
 
 def parse_message_date(header: str | Column, shift_hours: int = FIXED_SHIFT_HOURS) -> Column:
     """day-month-year time out of an RFC 2822 date header, offset ignored, + shift."""
-    core = F.regexp_extract(_c(header), RFC_DATE_PATTERN, 1)
-    ts = F.try_to_timestamp(F.nullif(core, F.lit("")), F.lit("d MMM yyyy H:mm:ss"))
+    h = _c(header)
+    parts = [F.regexp_extract(h, RFC_DATE_PATTERN, i) for i in (1, 2, 3, 4)]
+    core = F.concat_ws(" ", *parts)
+    ts = F.try_to_timestamp(F.when(parts[0] != "", core), F.lit("d MMM yyyy HH:mm:ss"))
     return ts + F.make_interval(hours=F.lit(shift_hours))
 
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 PRODUCT_CODE_RE = r"(B[\p{L}\p{N}_]{9})"
 # publisher code = three word characters followed by CN, taken from upper-cased text.
 PUBLISHER_CODE_RE = r"([\p{L}\p{N}_]{3}CN)"
-# e-mail address.
-EMAIL_RE = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
+# sender address (first match), and the user name = shortest word run before '@'.
+EMAIL_RE = r"([a-zA-Z0-9_\-\.]+@[a-zA-Z0-9]+\.[a-zA-Z0-9]+)"
+USER_RE = r"([\p{L}\p{N}_]+?)@"
 # F16: list separators.
 LIST_SPLIT_RE = r"[,;:]"
 # statement from the first 'select' up to the first ';' or full-width '；'.
@@ -42,9 +43,16 @@ def email_addresses(text: str | Column) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(EMAIL_RE), 1)
 
 
-def local_part(address: str | Column) -> Column:
-    """user name = part before '@'."""
-    return F.substring_index(_c(address), "@", 1)
+def sender_user(address: str | Column) -> Column:
+    """user name as the reference takes it: the shortest word run ending at '@'."""
+    return F.regexp_extract(_c(address), USER_RE, 1)
+
+
+def display_name(from_header: str | Column) -> Column:
+    """quoted display name, the part after a comma ("Doe, Jane" -> "Jane"); else the user."""
+    quoted = F.regexp_extract(_c(from_header), r'"(.*?)"', 1)
+    after_comma = F.when(F.instr(quoted, ",") > 0, F.substring_index(quoted, ",", -1)).otherwise(quoted)
+    return F.when(after_comma != "", after_comma).otherwise(sender_user(from_header))
 
 
 def split_list(*cols: str | Column) -> Column:

@@ -1 +1,152 @@
-"""Placeholder."""
+"""Text extraction reports: F12-F15 over documents/events, S16 (HTML -> text),
+S13-style link rows, R24 (keyword hit list, J12), R29 (ad-hoc SQL from a request)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.functions.dates import parse_message_date
+from shelfwise.functions.text import (
+    EMAIL_RE, PRODUCT_CODE_RE, USER_RE, email_addresses, product_codes, sender_user, sql_statement,
+)
+from shelfwise.operators.joins import containment_join
+from shelfwise.plans.registry import report
+from shelfwise.sources.html import html_to_text, HTML_TEXT_SQL, LINK_ITEM_RE
+from shelfwise.sources.tables import Tables
+
+# ---------------------------------------------------------------- F12
+EXTRACT_CODES_SQL = f"""
+SELECT doc_id, code, COUNT(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{PRODUCT_CODE_RE}', 1)) AS code FROM documents)
+GROUP BY doc_id, code
+"""
+
+
+@report("extract_codes", covers=("F12", "R1", "P14"), oracle=EXTRACT_CODES_SQL, tag="CODES")
+def extract_codes(t: Tables):
+    """Product codes mentioned in each document, with their number of mentions."""
+    return (t.documents.select("doc_id", F.explode(product_codes("text")).alias("code"))
+            .groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- F14
+EXTRACT_EMAILS_SQL = f"""
+SELECT doc_id, address, regexp_extract(address, '{USER_RE}', 1) AS usr FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL_RE}', 1)) AS address FROM documents)
+"""
+
+
+@report("extract_emails", covers=("F14",), oracle=EXTRACT_EMAILS_SQL, tag="SENDERS")
+def extract_emails(t: Tables):
+    """Sender-style addresses in documents and the user name the reference derives."""
+    return (t.documents.select("doc_id", F.explode(email_addresses("text")).alias("address"))
+            .select("doc_id", "address", sender_user("address").alias("usr")))
+
+
+# ---------------------------------------------------------------- F15
+MESSAGE_DATES_SQL = r"""
+WITH h AS (SELECT event_id, strftime(ts, '%a, %-d %b %Y %H:%M:%S') || ' +0000' AS header FROM events)
+SELECT event_id, header,
+       strptime(regexp_extract(header, '\w+, (\d{1,2}) (\w+) (\d{4}) (\d{2}:\d{2}:\d{2})', 1) || ' ' ||
+                regexp_extract(header, '\w+, (\d{1,2}) (\w+) (\d{4}) (\d{2}:\d{2}:\d{2})', 2) || ' ' ||
+                regexp_extract(header, '\w+, (\d{1,2}) (\w+) (\d{4}) (\d{2}:\d{2}:\d{2})', 3) || ' ' ||
+                regexp_extract(header, '\w+, (\d{1,2}) (\w+) (\d{4}) (\d{2}:\d{2}:\d{2})', 4),
+                '%d %b %Y %H:%M:%S') + INTERVAL 8 HOUR AS received
+FROM h
+"""
+
+
+@report("message_dates", covers=("F15",), oracle=MESSAGE_DATES_SQL, tag="DATES")
+def message_dates(t: Tables):
+    """Each event rendered as an RFC 2822 date header, then parsed back the reference's way
+    (offset ignored, fixed +8 h)."""
+    hdr = F.concat(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    return (t.events.select("event_id", hdr.alias("header"))
+            .select("event_id", "header", parse_message_date("header").alias("received")))
+
+
+# ---------------------------------------------------------------- S16
+HTML_TEXT_REPORT_SQL = f"SELECT page_id, {HTML_TEXT_SQL.format(c='html')} AS text FROM pages"
+
+
+@report("html_text", covers=("S16", "F19"), oracle=HTML_TEXT_REPORT_SQL, tag="HTMLTEXT")
+def html_text(t: Tables):
+    """Plain text of every page (scripts, styles, comments and tags removed, entities decoded)."""
+    return t.pages.select("page_id", html_to_text("html").alias("text"))
+
+
+# ---------------------------------------------------------------- S13 (link rows)
+HTML_ROWS_SQL = f"""
+SELECT page_id, CAST(pos AS BIGINT) AS pos, href, label FROM (
+  SELECT page_id,
+         unnest(generate_series(1, len(regexp_extract_all(html, '{LINK_ITEM_RE}', 1)))) AS pos,
+         unnest(regexp_extract_all(html, '{LINK_ITEM_RE}', 1)) AS href,
+         unnest(regexp_extract_all(html, '{LINK_ITEM_RE}', 2)) AS label
+  FROM pages)
+"""
+
+
+@report("html_rows", covers=("S13",), oracle=HTML_ROWS_SQL, tag="HTMLROWS")
+def html_rows(t: Tables):
+    """Rows of the pages' list markup: (position, link target, link text) per list item."""
+    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(LINK_ITEM_RE), 1).alias("href"),
+                         F.regexp_extract_all("html", F.lit(LINK_ITEM_RE), 2).alias("label"))
+    return (t.pages.select("page_id", F.posexplode(pairs).alias("pos0", "item"))
+            .select("page_id", (F.col("pos0") + 1).cast("bigint").alias("pos"),
+                    F.col("item.href").alias("href"), F.col("item.label").alias("label")))
+
+
+# ---------------------------------------------------------------- R24
+KEYWORD_HIT_SQL = """
+SELECT DISTINCT d.doc_id, d.lang, d.source, b.item_id
+FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+"""
+
+
+@report("keyword_hit_list", covers=("R24", "J12"), oracle=KEYWORD_HIT_SQL, tag="TAMPATTERN")
+def keyword_hit_list(t: Tables):
+    """Documents containing a hot passage, whole texts compared (token pre-join + exact check)."""
+    docs = t.documents.select("doc_id", "lang", "source", "text")
+    items = t.benchmark.select("item_id", F.col("text").alias("item_text"))
+    pairs = containment_join(docs, "text", items, "item_text")
+    return pairs.select("doc_id", "lang", "source", "item_id").distinct()
+
+
+# ---------------------------------------------------------------- R29
+# Fixed request text of the analogue: a message asking for a query; only the
+# statement between 'select' and the first ';' is run, over the registered tables.
+ADHOC_REQUEST = ("Hi team, could you run this for me:\n"
+                 "select p_brand, count(*) as n_parts, round(avg(p_size), 2) as avg_size from part "
+                 "where p_retailprice > 950 group by p_brand;\nthanks")
+ADHOC_SQL = ("select p_brand, count(*) as n_parts, round(avg(p_size), 2) as avg_size from part "
+             "where p_retailprice > 950 group by p_brand")
+
+
+def run_request_sql(t: Tables, request_text: str):
+    """Extract the SELECT statement from free text and run it on the tables.
+
+    Only a single SELECT is accepted (no DDL/DML); the statement is planned by
+    Catalyst like any other query. Extraction is the same regex as ``sql_statement``.
+    """
+    import re
+    from shelfwise.functions.text import SQL_STATEMENT_RE
+
+    m = re.search(SQL_STATEMENT_RE.replace(r"\x{FF1B}", "；"), request_text)
+    if not m:
+        raise ValueError("no select statement in request")
+    stmt = m.group(1).strip()
+    if re.search(r"(?i)\b(insert|update|delete|drop|create|alter|truncate|merge)\b", stmt):
+        raise ValueError("only select statements are run")
+    t.register_views()
+    return t.spark.sql(stmt)
+
+
+@report("adhoc_request_sql", covers=("R29", "F26"), oracle=ADHOC_SQL, tag="SQL")
+def adhoc_request_sql(t: Tables):
+    """The statement found in a request message, run over the registered tables."""
+    return run_request_sql(t, ADHOC_REQUEST)
+
+
+def request_statements(t: Tables):
+    """F26 as a column: the statement inside each conversation turn ('' when none)."""
+    return t.conversations.select("conv_id", "turn", sql_statement("text").alias("statement"))
