@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 # The six accepted date forms, in the order the reference tries them.
 DATE_FORMS = (
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yy"),     # two-digit year -> 20yy
+    (r"^\d{1,2}-\w{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2}-\w{3}-\d{2}$", "d-MMM-yy"),     # two-digit year -> 20yy
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
@@ -33,10 +33,10 @@ def parse_date(col: str | Column) -> Column:
     out = None
     for pattern, fmt in DATE_FORMS:
         if fmt == "d-MMM-yy":
-            parsed = F.try_to_date(F.concat(F.regexp_extract(s, r"^(\d{1,2}-[A-Za-z]{3}-)", 1), F.lit("20"),
-                                            F.regexp_extract(s, r"(\d{2})$", 1)), F.lit("d-MMM-yyyy"))
+            parsed = F.try_to_date(F.concat(F.regexp_extract(s, r"^(\d{1,2}-\w{3}-)", 1), F.lit("20"),
+                                            F.regexp_extract(s, r"(\d{2})$", 1)), "d-MMM-yyyy")
         else:
-            parsed = F.try_to_date(s, F.lit(fmt))
+            parsed = F.try_to_date(s, fmt)
         branch = F.when(s.rlike(pattern), parsed)
         out = branch if out is None else out.when(s.rlike(pattern), parsed)
     return out

@@ -66,5 +66,5 @@ def infer_year_month_day(text: str | Column, as_of: str) -> Column:
     d = F.regexp_extract(s, r"^(\d{1,2})/(\d{1,2})$", 2)
     as_of_d = F.lit(as_of).cast("date")
     year = F.when(F.abs(m.cast("int") - F.month(as_of_d)) > 6, F.year(as_of_d) + 1).otherwise(F.year(as_of_d))
-    short = F.when(m != "", F.try_to_date(F.concat_ws("-", year.cast("string"), m, d), F.lit("yyyy-M-d")))
+    short = F.when(m != "", F.try_to_date(F.concat_ws("-", year.cast("string"), m, d), "yyyy-M-d"))
     return F.coalesce(full, short)

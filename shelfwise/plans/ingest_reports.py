@@ -1 +1,280 @@
-"""Placeholder."""
+"""Ingestion and merge reports over drop files derived from ``orders``.
+
+The drop file of the analogue is built by Spark from the orders table: one
+tab-delimited line per order with deterministic dirt (six date spellings, bad
+dates, padded and fractional integers, percent and junk numbers, short rows,
+repeated lines). The ingestion operators then read it back exactly as they read
+a real drop file.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from shelfwise.functions.cleansing import DATE_FORMS, PERCENT_RE
+from shelfwise.operators.ingest import FLOAT_RE, INT_RE, clean_lines, infer_schema, normalize_header
+from shelfwise.operators.merge import diff_merge, replace_by_key, truncate_load, update_by_key
+from shelfwise.plans.registry import report
+from shelfwise.sources.tables import Tables
+
+FILE_NAME = "shop.orders.19980101.txt"
+HEADER = ("Order Key", "Kasin", "Cust-Key", "Order/Date", "Ship Date", "Total Price", "Rate", "Priority", "Note",
+          "Extra")
+TARGET = (("order_key", "bigint"), ("kasin", "char(11)"), ("cust_key", "int"), ("order_date", "date"),
+          ("ship_date", "date"), ("total_price", "decimal(18,2)"), ("rate", "float"), ("priority", "varchar(15)"),
+          ("note", "varchar(40)"), ("snapshot_day", "date"))
+
+
+def _date_text(d: Column, k: Column) -> Column:
+    form = k % 6
+    return (F.when(k % 17 == 0, F.lit("hello"))
+            .when(k % 19 == 0, F.concat(F.date_format(d, "yyyy"), F.lit("-13-01")))
+            .when(form == 0, F.date_format(d, "d-MMM-yyyy"))
+            .when(form == 1, F.upper(F.date_format(d, "dd-MMM-yy")))
+            .when(form == 2, F.date_format(d, "yyyy/M/d"))
+            .when(form == 3, F.date_format(d, "yyyy-M-d"))
+            .when(form == 4, F.date_format(d, "M/d/yyyy"))
+            .otherwise(F.date_format(d, "yyyyMMdd")))
+
+
+def drop_file_lines(t: Tables) -> DataFrame:
+    """(file_name, line_no, value) of the analogue drop file; line 1 is the header."""
+    o = t.orders
+    k = F.col("o_orderkey")
+    d = F.col("o_orderdate").cast("date")
+    cust = F.col("o_custkey").cast("string")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    fields = [
+        k.cast("string"),
+        F.concat(F.lit("B"), F.lpad(cust, 9, "0")),
+        F.when(k % 11 == 0, F.concat(F.lit(" "), cust, F.lit(" "))).when(k % 13 == 0, F.concat(cust, F.lit(".5")))
+        .otherwise(cust),
+        _date_text(d, k),
+        F.date_format(F.date_add(d, 3), "yyyy-M-d"),
+        F.when(k % 7 == 0, F.concat(F.round(price / 1000, 1).cast("decimal(18,1)").cast("string"), F.lit("%")))
+        .when(k % 23 == 0, F.lit("abc")).otherwise(price.cast("string")),
+        F.round(price * F.lit(0.00001).cast("decimal(6,5)"), 4).cast("decimal(18,4)").cast("string"),
+        F.col("o_orderpriority"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("st="), F.col("o_orderstatus"))),
+        F.lit("x"),
+    ]
+    value = F.when(k % 29 == 0, F.concat_ws("\t", *fields[:8])).otherwise(F.concat_ws("\t", *fields))
+    copies = F.when(k % 31 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return o.select(F.lit(FILE_NAME).alias("file_name"),
+                    F.explode(copies).alias("_copy"), k.alias("_k"), value.alias("value")) \
+        .select("file_name", (F.col("_k") * 2 + 2 + F.col("_copy")).alias("line_no"), "value")
+
+
+def _clean(t: Tables):
+    lines = drop_file_lines(t)
+    return clean_lines(lines, HEADER, TARGET, snapshot_day=FILE_NAME.split(".")[2])
+
+
+# ------------------------------------------------------------------ oracle SQL
+_K = "o_orderkey"
+_DATE_SQL = f"""CASE WHEN {_K} % 17 = 0 THEN 'hello'
+  WHEN {_K} % 19 = 0 THEN strftime(o_orderdate, '%Y') || '-13-01'
+  WHEN {_K} % 6 = 0 THEN strftime(o_orderdate, '%-d-%b-%Y')
+  WHEN {_K} % 6 = 1 THEN upper(strftime(o_orderdate, '%d-%b-%y'))
+  WHEN {_K} % 6 = 2 THEN strftime(o_orderdate, '%Y/%-m/%-d')
+  WHEN {_K} % 6 = 3 THEN strftime(o_orderdate, '%Y-%-m-%-d')
+  WHEN {_K} % 6 = 4 THEN strftime(o_orderdate, '%-m/%-d/%Y')
+  ELSE strftime(o_orderdate, '%Y%m%d') END"""
+_FIELDS_SQL = [
+    f"CAST({_K} AS VARCHAR)",
+    "'B' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')",
+    f"CASE WHEN {_K} % 11 = 0 THEN ' ' || CAST(o_custkey AS VARCHAR) || ' ' WHEN {_K} % 13 = 0 THEN CAST(o_custkey AS VARCHAR) || '.5' ELSE CAST(o_custkey AS VARCHAR) END",
+    _DATE_SQL,
+    "strftime(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY, '%Y-%-m-%-d')",
+    f"CASE WHEN {_K} % 7 = 0 THEN CAST(CAST(ROUND(CAST(o_totalprice AS DECIMAL(18,2)) / 1000, 1) AS DECIMAL(18,1)) AS VARCHAR) || '%' WHEN {_K} % 23 = 0 THEN 'abc' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END",
+    "CAST(CAST(ROUND(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.00001 AS DECIMAL(6,5)), 4) AS DECIMAL(18,4)) AS VARCHAR)",
+    "o_orderpriority",
+    f"CASE WHEN {_K} % 5 = 0 THEN '' ELSE 'st=' || o_orderstatus END",
+    "'x'",
+]
+LINES_SQL = f"""raw AS (
+  SELECT '{FILE_NAME}' AS file_name, {_K} * 2 + 2 + c AS line_no,
+         CASE WHEN {_K} % 29 = 0 THEN concat_ws(chr(9), {', '.join(_FIELDS_SQL[:8])})
+              ELSE concat_ws(chr(9), {', '.join(_FIELDS_SQL)}) END AS value
+  FROM orders, (SELECT 0 AS c UNION ALL SELECT 1) copies
+  WHERE c = 0 OR {_K} % 31 = 0),
+lines AS (SELECT file_name, value, MIN(line_no) AS line_no FROM raw GROUP BY file_name, value),
+split AS (SELECT *, string_split(value, chr(9)) AS f FROM lines)"""
+
+_DATE_PARSE = []
+for _pat, _fmt in DATE_FORMS:
+    if _fmt == "d-MMM-yy":
+        _DATE_PARSE.append(f"WHEN regexp_matches(s, '{_pat}') THEN CAST(try_strptime(regexp_extract(s, '^(\\d{{1,2}}-\\w{{3}}-)', 1) || '20' || right(s, 2), '%d-%b-%Y') AS DATE)")
+    else:
+        _py = {"d-MMM-yyyy": "%d-%b-%Y", "yyyy/M/d": "%Y/%m/%d", "yyyy-M-d": "%Y-%m-%d", "M/d/yyyy": "%m/%d/%Y",
+               "yyyyMMdd": "%Y%m%d"}[_fmt]
+        _DATE_PARSE.append(f"WHEN regexp_matches(s, '{_pat}') THEN CAST(try_strptime(s, '{_py}') AS DATE)")
+
+
+def _sql_date(col: str) -> str:
+    return "(SELECT CASE " + " ".join(_DATE_PARSE) + f" END FROM (SELECT trim(NULLIF({col}, '')) AS s))"
+
+
+def _sql_int(col: str) -> str:
+    return f"CASE WHEN regexp_matches(trim({col}), '^[+-]?[0-9]+$') THEN CAST(trim({col}) AS BIGINT) END"
+
+
+def _sql_num(col: str) -> str:
+    s = f"trim(NULLIF({col}, ''))"
+    return (f"CASE WHEN regexp_matches({s}, '{PERCENT_RE}') THEN TRY_CAST(regexp_extract({s}, '{PERCENT_RE}', 1) AS DOUBLE) * 0.01 "
+            f"WHEN NOT contains({s}, '%') THEN CAST(ROUND(CAST(TRY_CAST({s} AS DOUBLE) AS DECIMAL(38,12)), 10) AS DOUBLE) END")
+
+
+INGEST_CLEAN_SQL = f"""WITH {LINES_SQL}
+SELECT file_name, line_no, {_sql_int('f[1]')} AS order_key, f[2] AS kasin, {_sql_int('f[3]')} AS cust_key,
+       {_sql_date('f[4]')} AS order_date, {_sql_date('f[5]')} AS ship_date, {_sql_num('f[6]')} AS total_price,
+       {_sql_num('f[7]')} AS rate, f[8] AS priority, f[9] AS note, DATE '1998-01-01' AS snapshot_day
+FROM split WHERE len(f) = {len(HEADER)}
+"""
+
+
+@report("ingest_clean_cast", covers=("T1", "T2", "T7", "T7a", "T7b", "T7c", "T7d", "T7e", "T9", "T10", "S1", "S3"),
+        oracle=INGEST_CLEAN_SQL, tag=None)
+def ingest_clean_cast(t: Tables):
+    """Typed rows of the drop file: header bound by name, cells cleansed per target type,
+    repeated lines dropped, snapshot day from the file name."""
+    return _clean(t).rows
+
+
+INGEST_REJECTS_SQL = f"""WITH {LINES_SQL}
+SELECT file_name, line_no, value, CAST(len(f) AS INTEGER) AS n_fields, 'expected {len(HEADER)} fields' AS reason
+FROM split WHERE len(f) <> {len(HEADER)}
+"""
+
+
+@report("ingest_rejects", covers=("T8",), oracle=INGEST_REJECTS_SQL, tag=None)
+def ingest_rejects(t: Tables):
+    """Lines whose field count differs from the header, with their line number."""
+    return _clean(t).rejects
+
+
+def _infer_sql() -> str:
+    norm = [normalize_header(h) for h in HEADER]
+    date_any = " OR ".join(f"regexp_matches(c, '{p}')" for p, _ in DATE_FORMS)
+    parts = []
+    key = next((k for k in ("asin", "kasin", "pasin", "pubcode", "digital_pubcode") if k in norm), None)
+    for i, name in enumerate(norm):
+        c = f"f[{i + 1}]"
+        if name in ("asin", "kasin", "pasin"):
+            typ, length = "'char'", "13"
+        else:
+            typ = (f"CASE WHEN COUNT(*) FILTER (WHERE {c} <> '') = 0 THEN 'varchar' "
+                   f"WHEN COUNT(*) FILTER (WHERE {c} <> '' AND NOT regexp_matches({c}, '{INT_RE}')) = 0 THEN 'int' "
+                   f"WHEN COUNT(*) FILTER (WHERE {c} <> '' AND NOT regexp_matches({c}, '{INT_RE}') "
+                   f"AND NOT regexp_matches({c}, '{FLOAT_RE}')) = 0 THEN 'float' "
+                   f"WHEN COUNT(*) FILTER (WHERE {c} <> '' AND NOT ({date_any.replace('(c,', '(' + c + ',')})) = 0 THEN 'date' "
+                   f"ELSE 'varchar' END")
+            ml = f"COALESCE(MAX(length({c})), 0)"
+            length = f"CASE WHEN ({typ}) IN ('varchar', 'char') THEN CASE WHEN {ml} > 5 THEN {ml} + 2 ELSE {ml} END END"
+        src = ("(SELECT 1) one" if name in ("asin", "kasin", "pasin")
+               else f"raw_split WHERE len(f) = {len(HEADER)}")
+        parts.append(f"SELECT CAST({i + 1} AS BIGINT) AS position, '{name}' AS column_name, {typ} AS inferred_type, "
+                     f"CAST({length} AS BIGINT) AS length, {str(name == key).upper()} AS is_key FROM {src}")
+    return (f"WITH {LINES_SQL.split(',' + chr(10) + 'lines AS')[0]},\n"
+            "raw_split AS (SELECT string_split(value, chr(9)) AS f FROM raw)\n" + "\nUNION ALL\n".join(parts))
+
+
+@report("infer_schema", covers=("T3", "T4", "T5", "T6"), oracle=_infer_sql(), tag=None)
+def infer_schema_report(t: Tables):
+    """Inferred type, length and key flag of every column of the drop file (one aggregate)."""
+    return infer_schema(drop_file_lines(t), HEADER)
+
+
+# ------------------------------------------------------------------ merges
+MERGE_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+def merge_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Target = orders before 1998; stage = orders from 1997 on, re-priced and re-statused
+    (1997 overlaps), low-priority rows with a NULL priority (NULL overwrites on update)."""
+    o = t.orders
+    target = o.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).select(*MERGE_COLS)
+    stage = (o.filter(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp"))
+             .select("o_orderkey", "o_custkey", F.lit("U").alias("o_orderstatus"),
+                     (F.col("o_totalprice").cast("decimal(18,2)") + 1).cast("double").alias("o_totalprice"),
+                     F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("string"))
+                     .otherwise(F.col("o_orderpriority")).alias("o_orderpriority")))
+    return target, stage
+
+
+_MERGE_INPUTS_SQL = """tgt AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+        WHERE o_orderdate < DATE '1998-01-01'),
+stg AS (SELECT o_orderkey, o_custkey, 'U' AS o_orderstatus,
+               CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 1 AS DOUBLE) AS o_totalprice,
+               CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS o_orderpriority
+        FROM orders WHERE o_orderdate >= DATE '1997-01-01')"""
+
+MERGE_REPLACE_SQL = f"""WITH {_MERGE_INPUTS_SQL}
+SELECT * FROM tgt WHERE o_orderkey NOT IN (SELECT o_orderkey FROM stg)
+UNION ALL SELECT * FROM stg
+"""
+
+
+@report("merge_replace", covers=("M1", "M2", "M6", "J22"), oracle=MERGE_REPLACE_SQL, tag=None)
+def merge_replace(t: Tables):
+    """``txt`` load: staged keys replace their target rows; new keys are inserted."""
+    target, stage = merge_inputs(t)
+    return replace_by_key(target, stage, ["o_orderkey"])
+
+
+MERGE_UPDATE_SQL = f"""WITH {_MERGE_INPUTS_SQL}
+SELECT t.o_orderkey,
+       CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_custkey ELSE t.o_custkey END AS o_custkey,
+       CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_orderstatus ELSE t.o_orderstatus END AS o_orderstatus,
+       CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_totalprice ELSE t.o_totalprice END AS o_totalprice,
+       CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_orderpriority ELSE t.o_orderpriority END AS o_orderpriority
+FROM tgt t LEFT JOIN stg s ON s.o_orderkey = t.o_orderkey
+"""
+
+
+@report("merge_update", covers=("M3", "J22"), oracle=MERGE_UPDATE_SQL, tag=None)
+def merge_update(t: Tables):
+    """``upd`` load: staged values (NULL included) overwrite matching keys; nothing inserted."""
+    target, stage = merge_inputs(t)
+    return update_by_key(target, stage, ["o_orderkey"])
+
+
+MERGE_TRUNCATE_SQL = f"WITH {_MERGE_INPUTS_SQL}\nSELECT * FROM stg\n"
+
+
+@report("merge_truncate", covers=("M4",), oracle=MERGE_TRUNCATE_SQL, tag=None)
+def merge_truncate(t: Tables):
+    """``trunc`` load: the table becomes the staged rows."""
+    target, stage = merge_inputs(t)
+    return truncate_load(target, stage)
+
+
+MERGE_DIFF_SQL = """WITH cur AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+        WHERE o_orderdate < DATE '1998-01-01'),
+stg AS (SELECT o_orderkey, o_custkey,
+               CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'U' ELSE o_orderstatus END AS o_orderstatus,
+               o_totalprice, o_orderpriority
+        FROM orders WHERE o_orderdate >= DATE '1997-01-01'),
+changed AS (
+  SELECT s.* FROM stg s WHERE NOT EXISTS (
+    SELECT 1 FROM cur c WHERE COALESCE(CAST(c.o_orderkey AS VARCHAR), '') = COALESCE(CAST(s.o_orderkey AS VARCHAR), '')
+      AND COALESCE(c.o_orderstatus, '') = COALESCE(s.o_orderstatus, '')
+      AND COALESCE(c.o_orderpriority, '') = COALESCE(s.o_orderpriority, '')))
+SELECT c.*, 'current' AS src FROM cur c WHERE c.o_orderkey NOT IN (SELECT o_orderkey FROM changed)
+UNION ALL SELECT ch.*, 'staged' FROM changed ch
+"""
+
+
+@report("merge_diff", covers=("M7", "T11", "J11", "P15"), oracle=MERGE_DIFF_SQL, tag=None)
+def merge_diff(t: Tables):
+    """Checklist diff-merge: identical staged rows dropped (NULL = ''), the others replace
+    their key's current rows; each row tagged with where it came from."""
+    o = t.orders
+    cur = o.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).select(*MERGE_COLS)
+    stg = (o.filter(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp"))
+           .select("o_orderkey", "o_custkey",
+                   F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("U"))
+                   .otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+                   "o_totalprice", "o_orderpriority"))
+    return diff_merge(cur, stg, "o_orderkey", ["o_orderstatus", "o_orderpriority"], src_col="src")
