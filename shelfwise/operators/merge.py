@@ -107,12 +107,10 @@ def write_version(df: DataFrame, table_dir: str, version: int, partition_by: Seq
 
 
 def latest_version(spark, table_dir: str) -> str | None:
-    """Path of the newest written version under ``table_dir`` (lists the folder only)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return None
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(hpath)
-                      if s.isDirectory() and s.getPath().getName().startswith("v="))
-    return f"{table_dir.rstrip('/')}/{versions[-1]}" if versions else None
+    """Path of the newest completely written version under ``table_dir`` (lists the folder
+    only; a version counts once its ``_SUCCESS`` marker exists)."""
+    from shelfwise.session import fs_exists, fs_list
+
+    versions = [p for p in fs_list(spark, table_dir) if p.rsplit("/", 1)[-1].startswith("v=")
+                and fs_exists(spark, p + "/_SUCCESS")]
+    return f"{table_dir.rstrip('/')}/{versions[-1].rsplit('/', 1)[-1]}" if versions else None

@@ -388,3 +388,63 @@ def due_publishers(t: Tables):
     today = yyyymmdd(li.agg(F.max("l_shipdate")).scalar())
     return (rights.filter(F.col("last_update").isNull() | (yyyymmdd("last_update") != today))
             .select("publisher").distinct())
+
+
+# ---------------------------------------------------------------- R25
+WORKLIST_AS_OF = "2001-12-01"
+
+R25_SQL = f"""
+WITH src AS (
+  SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day, 1 AS prio, 'CHK' AS src
+  FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= DATE '2001-01-01'
+  UNION ALL
+  SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE), 2, 'DEAL'
+  FROM lineitem WHERE l_discount >= 0.09 AND l_shipdate >= DATE '2001-01-01'
+  UNION ALL
+  SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE), 3, 'WEEK'
+  FROM lineitem WHERE l_linestatus = 'O' AND l_shipdate >= DATE '2001-06-01'),
+first AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_partkey
+            ORDER BY prio, day, l_suppkey, l_orderkey, l_linenumber) r FROM src) WHERE r = 1),
+w AS (SELECT {PRODUCT_CODE_SQL.format(k='l_partkey')} AS product, 'V' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS vendor,
+             src, day, datediff('day', day, DATE '{WORKLIST_AS_OF}') AS age_days, l_partkey
+      FROM first f
+      WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = f.l_partkey AND p.p_size <= 3)),
+io AS (SELECT {PRODUCT_CODE_SQL.format(k='p_partkey')} AS code, 'IN' AS io FROM part WHERE p_size >= 45
+       UNION ALL
+       SELECT 'V' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0'), 'OUT' FROM supplier WHERE s_acctbal < 0)
+SELECT w.product, w.vendor, w.src, w.day, w.age_days, io.io
+FROM w LEFT JOIN io ON io.code = w.product OR io.code = w.vendor
+"""
+
+
+@report("metadata_worklist", covers=("R25", "W5", "J11", "J13", "P15", "F22", "U2"), oracle=R25_SQL, tag="METADATA")
+def metadata_worklist(t: Tables):
+    """Products to check: first source wins (checklist > deal schedule > weekly list),
+    cleared products skipped, age in days, and the weekly in/out change found either by
+    product or by vendor code (disjunctive lookup as two equi-joins)."""
+    from shelfwise.functions.dates import age_days
+    from shelfwise.operators.joins import disjunctive_join
+    from shelfwise.operators.topn import priority_first
+
+    li = t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag",
+                           "l_discount", "l_linestatus")
+    base = ["l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day")]
+    since = lambda d: F.col("l_shipdate") >= F.lit(d).cast("timestamp")
+    src = (li.filter((F.col("l_returnflag") == "R") & since("2001-01-01"))
+           .select(*base, F.lit(1).alias("prio"), F.lit("CHK").alias("src"))
+           .unionByName(li.filter((F.col("l_discount") >= 0.09) & since("2001-01-01"))
+                        .select(*base, F.lit(2).alias("prio"), F.lit("DEAL").alias("src")))
+           .unionByName(li.filter((F.col("l_linestatus") == "O") & since("2001-06-01"))
+                        .select(*base, F.lit(3).alias("prio"), F.lit("WEEK").alias("src"))))
+    first = priority_first(src, ["l_partkey"], "prio", ["day", "l_suppkey", "l_orderkey", "l_linenumber"])
+    cleared = t.part.filter(F.col("p_size") <= 3).select(F.col("p_partkey").alias("ck"))
+    w = (first.join(cleared, first.l_partkey == cleared.ck, "left_anti")
+         .select(product_code("l_partkey").alias("product"),
+                 F.concat(F.lit("V"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("vendor"),
+                 "src", "day", age_days("day", WORKLIST_AS_OF).cast("bigint").alias("age_days")))
+    io = (t.part.filter(F.col("p_size") >= 45).select(product_code("p_partkey").alias("code"), F.lit("IN").alias("io"))
+          .unionByName(t.supplier.filter(F.col("s_acctbal") < 0)
+                       .select(F.concat(F.lit("V"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("code"),
+                               F.lit("OUT").alias("io"))))
+    return (disjunctive_join(w, io, ("product", "code"), ("vendor", "code"), how="left")
+            .select("product", "vendor", "src", "day", "age_days", "io"))

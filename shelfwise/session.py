@@ -66,3 +66,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def fs_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check on any Hadoop file system (shared folders, not the local disk)."""
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def fs_write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Small marker / manifest file on the shared file system."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def fs_list(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().toString() for s in fs.listStatus(p))
+
+
+def fs_rename(spark: SparkSession, src: str, dst: str) -> bool:
+    fs, p = _fs(spark, src)
+    jvm = spark.sparkContext._jvm
+    d = jvm.org.apache.hadoop.fs.Path(dst)
+    fs.mkdirs(d.getParent())
+    return bool(fs.rename(p, d))
