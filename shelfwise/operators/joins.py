@@ -75,9 +75,9 @@ def lookup_with_fallback(rows: DataFrame, exact: DataFrame, exact_on: tuple[str,
 def _interior_token(text: Column) -> Column:
     """Longest whitespace token that is neither first nor last (ties: smallest)."""
     toks = F.split(text, r"\s+")
-    inner = F.slice(toks, 2, F.size(toks) - 2)
-    return F.element_at(
-        F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t")))), 1
+    inner = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))  # total: safe whatever the filter order
+    return F.try_element_at(
+        F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t")))), F.lit(1)
     ).getField("t")
 
 
@@ -96,9 +96,9 @@ def containment_join(docs: DataFrame, doc_text: str, items: DataFrame, item_text
     long_items = (items_k.filter(F.col("_ntok") >= 3)
                   .withColumn("_key", _interior_token(F.col(item_text))))
     short_items = (items_k.filter((F.col("_ntok") < 3) & (F.length(item_text) > 0))
-                   .withColumn("_key", F.element_at(F.array_sort(F.transform(
+                   .withColumn("_key", F.try_element_at(F.array_sort(F.transform(
                        F.filter(toks, lambda x: x != ""),
-                       lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t")))), 1).getField("t")))
+                       lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t")))), F.lit(1)).getField("t")))
 
     doc_tokens = (docs.select(*[F.col(c) for c in docs.columns],
                               F.explode(F.array_distinct(F.split(F.col(doc_text), r"\s+"))).alias("_tok"))

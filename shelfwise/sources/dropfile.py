@@ -73,14 +73,14 @@ def scan_lines(spark: SparkSession, path: str, quiet_before=None) -> DataFrame:
 
 def headers(lines: DataFrame) -> DataFrame:
     """First line of every file (its header) -- one row per file."""
-    first = lines.groupBy("file_path").agg(F.min("line_no").alias("_h"))
-    return (lines.join(first, (lines.file_path == first.file_path) & (lines.line_no == first._h))
-            .select(lines.file_path, lines.file_name, F.col("value").alias("header")))
+    first = lines.groupBy(F.col("file_path").alias("_fp")).agg(F.min("line_no").alias("_h"))
+    return (lines.join(first, (F.col("file_path") == F.col("_fp")) & (F.col("line_no") == F.col("_h")))
+            .select("file_path", "file_name", F.col("value").alias("header")))
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
     first = lines.groupBy(F.col("file_path").alias("_fp")).agg(F.min("line_no").alias("_h"))
-    return (lines.join(first, (lines.file_path == first._fp) & (lines.line_no != first._h))
+    return (lines.join(first, (F.col("file_path") == F.col("_fp")) & (F.col("line_no") != F.col("_h")))
             .drop("_fp", "_h"))
 
 
