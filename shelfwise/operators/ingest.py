@@ -89,12 +89,12 @@ def last_line_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return latest_per_key(rows, keys, ["line_no"])
 
 
+# All six date forms as one pattern: one regex evaluation per cell instead of six.
+ANY_DATE_RE = "^(?:" + "|".join(p.strip("^$") for p, _ in DATE_FORMS) + ")$"
+
+
 def _is_date(c: Column) -> Column:
-    out = None
-    for pattern, _ in DATE_FORMS:
-        cond = c.rlike(pattern)
-        out = cond if out is None else (out | cond)
-    return out
+    return c.rlike(ANY_DATE_RE)
 
 
 def infer_schema(lines: DataFrame, header: Sequence[str]) -> DataFrame:
@@ -114,9 +114,10 @@ def infer_schema(lines: DataFrame, header: Sequence[str]) -> DataFrame:
     for i in range(n):
         c = F.col(f"c{i}")
         nonempty = c != ""
+        # Integers also match FLOAT_RE, so "not a number" needs only the float test.
         aggs += [F.count(F.when(nonempty, 1)).alias(f"ne{i}"),
                  F.count(F.when(nonempty & ~c.rlike(INT_RE), 1)).alias(f"ni{i}"),
-                 F.count(F.when(nonempty & ~c.rlike(INT_RE) & ~c.rlike(FLOAT_RE), 1)).alias(f"nf{i}"),
+                 F.count(F.when(nonempty & ~c.rlike(FLOAT_RE), 1)).alias(f"nf{i}"),
                  F.count(F.when(nonempty & ~_is_date(c), 1)).alias(f"nd{i}"),
                  F.max(F.length(c)).alias(f"ml{i}")]
     stats = data.agg(*aggs)

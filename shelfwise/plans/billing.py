@@ -69,36 +69,38 @@ def _charged_lines(t: Tables) -> DataFrame:
             .join(vendor_managers(t), F.col("l_suppkey") == F.col("m_suppkey"), "left"))
 
 
-def _summary(t: Tables, model: str) -> DataFrame:
-    lines = _charged_lines(t).filter(F.col("model") == model)
+def summary_all(t: Tables) -> DataFrame:
+    """Per (promotion, vendor) summary for every promotion in one aggregation; the
+    payable and adjustment follow the promotion's funding model."""
+    lines = _charged_lines(t)
     valid = F.lit(1) - F.col("is_return")
     gross = F.col("price") + F.col("discount") + F.col("discount_tax")
     coupon = F.lit(0) - F.col("discount") - F.col("discount_tax")
-    aggs = [F.max("vm").alias("vm"), F.count(F.lit(1)).alias("order_cnt"), F.sum(valid).cast("bigint").alias("valid_cnt"),
-            F.sum(valid * F.col("price")).alias("revenue"), F.sum(valid * coupon).alias("coupon_amount"),
-            F.sum(valid * F.col("cost")).alias("original_cost")]
-    if model == "VF":
-        aggs += [F.sum(valid * (F.col("cost") + F.col("discount") + F.col("discount_tax"))).alias("cost_payable"),
-                 F.sum(valid * coupon).alias("cost_adjustment")]
-        g = lines.groupBy("promo_id", "vendor").agg(*aggs)
-    elif model == "CF_FIXED":
-        aggs += [F.sum(valid * gross).alias("_gross"), F.max("rate").alias("_rate")]
-        # Operand precisions are pinned so the products stay exact (no scale cut to 6).
-        scaled = F.col("_rate").cast("decimal(10,6)") * F.col("_gross").cast("decimal(24,2)")
-        g = (lines.groupBy("promo_id", "vendor").agg(*aggs)
-             .withColumn("cost_payable", F.round(scaled, 2))
-             .withColumn("cost_adjustment", F.round(F.col("original_cost").cast("decimal(24,2)") - scaled, 2))
-             .drop("_gross", "_rate"))
-    else:
+    g = lines.groupBy("promo_id", "vendor", "model", "rate").agg(
+        F.max("vm").alias("vm"), F.count(F.lit(1)).alias("order_cnt"), F.sum(valid).cast("bigint").alias("valid_cnt"),
+        F.sum(valid * F.col("price")).alias("revenue"), F.sum(valid * coupon).alias("coupon_amount"),
+        F.sum(valid * F.col("cost")).alias("original_cost"),
+        F.sum(valid * (F.col("cost") + F.col("discount") + F.col("discount_tax"))).alias("_vf_payable"),
+        F.sum(valid * gross).alias("_gross"),
         # MySQL divides decimals to 4 more places: cost/price is taken to 6 decimals.
-        term = F.when(F.col("is_return") == 0, _cost_share() * gross.cast("decimal(20,2)"))
-        aggs += [F.sum(term).alias("_ordered")]
-        g = (lines.groupBy("promo_id", "vendor").agg(*aggs)
-             .withColumn("cost_payable", F.round(F.col("_ordered"), 2))
-             .withColumn("cost_adjustment", F.round(F.col("original_cost").cast("decimal(24,2)")
-                                                    - F.col("_ordered").cast("decimal(30,8)"), 2))
-             .drop("_ordered"))
-    return g
+        F.sum(F.when(F.col("is_return") == 0, _cost_share() * gross.cast("decimal(20,2)"))).alias("_ordered"))
+    # Operand precisions are pinned so the products stay exact (no scale cut to 6).
+    scaled = F.col("rate").cast("decimal(10,6)") * F.col("_gross").cast("decimal(24,2)")
+    cost = F.col("original_cost").cast("decimal(24,2)")
+    payable = (F.when(F.col("model") == "VF", F.col("_vf_payable"))
+               .when(F.col("model") == "CF_FIXED", F.round(scaled, 2))
+               .otherwise(F.round(F.col("_ordered"), 2)))
+    adjustment = (F.when(F.col("model") == "VF", F.col("coupon_amount"))
+                  .when(F.col("model") == "CF_FIXED", F.round(cost - scaled, 2))
+                  .otherwise(F.round(cost - F.col("_ordered").cast("decimal(30,8)"), 2)))
+    return (g.withColumn("cost_payable", payable).withColumn("cost_adjustment", adjustment)
+            .drop("_vf_payable", "_gross", "_ordered"))
+
+
+def _summary(t: Tables, model: str) -> DataFrame:
+    # The model filter is on a grouping key: Catalyst pushes it below the aggregate,
+    # to the configuration join, so only that model's lines are read and summed.
+    return summary_all(t).filter(F.col("model") == model)
 
 
 def _cost_share():
@@ -206,7 +208,7 @@ SELECT '' AS promo_id, '' AS pub, 'Total' AS vm, {_SUM_OUT_SQL} FROM g
 @report("billing_grand_total", covers=("R27d", "A8", "U3"), oracle=BILLING_GRAND_TOTAL_SQL, tag="BILLTOTAL")
 def billing_grand_total(t: Tables):
     """All promotions of all models: one grand-total row over the vendor rows (NULLs ignored)."""
-    g = _summary(t, "VF").unionByName(_summary(t, "CF_FIXED")).unionByName(_summary(t, "CF_ORDERED"))
+    g = summary_all(t)
     return g.agg(*[F.sum(m).alias(m) for m in MEASURES]).select(
         F.lit("").alias("promo_id"), F.lit("").alias("pub"), F.lit("Total").alias("vm"), *[_out(m) for m in MEASURES])
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.numeric import as_double, money, percent_text, ratio, rounded_double
 from shelfwise.operators.snapshots import latest_snapshot
-from shelfwise.operators.topn import latest_per_key
 from shelfwise.plans.registry import report
 from shelfwise.plans.views import PRODUCTS_SQL, products, with_sql
 from shelfwise.sources.tables import Tables
@@ -40,24 +39,38 @@ PRICE_POINTS_SQL = """points AS (
 
 def price_recent(t: Tables) -> DataFrame:
     """Per product: current price (price of its latest sale), days at that price,
-    recent and prior half-year sales and units, returns, views, highest price."""
+    recent and prior half-year sales and units, returns, views, highest and lowest
+    price, number of price points and first sale day.
+
+    One scan of the price points and two aggregates: first per (product, price)
+    -- a large map-side reduction -- then per product, where
+    ``max(struct(last sale, price, first day, last day))`` picks the current price
+    together with its own first and last day (no join back to the price points).
+    """
     pts = price_points(t)
-    current = latest_per_key(pts.select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "price"),
-                             ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"]
-                             ).select("l_partkey", "price")
     recent = F.col("l_shipdate") >= F.lit(RECENT_FROM).cast("timestamp")
     prior = (F.col("l_shipdate") >= F.lit(PRIOR_FROM).cast("timestamp")) & ~recent
-    stats = pts.groupBy("l_partkey").agg(
+    per_price = pts.groupBy("l_partkey", "price").agg(
+        F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).alias("last_sale"),
+        F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"),
         F.sum(F.when(recent, money("l_quantity"))).alias("pu"),
         F.count(F.when(recent & (F.col("l_returnflag") == "R"), 1)).alias("qb"),
         F.sum(money("l_quantity")).alias("gv"),
         F.sum(F.when(prior, money("l_extendedprice"))).alias("prior_gms"),
-        F.coalesce(F.sum(F.when(prior, money("l_quantity"))), F.lit(0).cast("decimal(28,2)")).alias("prior_units"),
-        F.sum(F.when(recent, money("l_extendedprice"))).alias("recent_gms"),
-        F.max("price").alias("highest_price"))
-    at_price = (pts.join(current, ["l_partkey", "price"], "left_semi")
-                .groupBy("l_partkey").agg(F.datediff(F.max("l_shipdate"), F.min("l_shipdate")).alias("days")))
-    return current.join(stats, "l_partkey").join(at_price, "l_partkey")
+        F.sum(F.when(prior, money("l_quantity"))).alias("prior_units"),
+        F.sum(F.when(recent, money("l_extendedprice"))).alias("recent_gms"))
+    per_part = per_price.groupBy("l_partkey").agg(
+        F.max(F.struct("last_sale", "price", "first_at", "last_at")).alias("cur"),
+        F.sum("pu").alias("pu"), F.sum("qb").alias("qb"), F.sum("gv").alias("gv"),
+        F.sum("prior_gms").alias("prior_gms"),
+        F.coalesce(F.sum("prior_units"), F.lit(0).cast("decimal(28,2)")).alias("prior_units"),
+        F.sum("recent_gms").alias("recent_gms"),
+        F.max("price").alias("highest_price"), F.min("price").alias("low_price"),
+        F.count(F.lit(1)).alias("n_prices"), F.min("first_at").cast("date").alias("os_date"))
+    return per_part.select(
+        "l_partkey", F.col("cur.price").alias("price"), "pu", "qb", "gv", "prior_gms", "prior_units", "recent_gms",
+        "highest_price", F.datediff(F.col("cur.last_at"), F.col("cur.first_at")).alias("days"),
+        "low_price", "n_prices", "os_date")
 
 
 PRICE_RECENT_SQL = PRICE_POINTS_SQL + f""",
@@ -244,24 +257,17 @@ def advice_history(t: Tables):
 
 # ---------------------------------------------------------------- R6 / R7
 def _deadlock_base(t: Tables) -> DataFrame:
-    pts = price_points(t)
-    pdr = price_recent(t).select("l_partkey", "price", "pu", "gv", "days")
-    history = pts.select("l_partkey", "price")
-    # J14 + A4: per-product historic low and number of price points, one aggregate.
-    low = history.groupBy("l_partkey").agg(F.min("price").alias("low_price"),
-                                           F.count_distinct("price").alias("n_prices"))
-    first_sale = t.lineitem.groupBy(F.col("l_partkey").alias("fs_key")).agg(
-        F.min("l_shipdate").cast("date").alias("os_date"))
+    pdr = price_recent(t)
     pm_latest = latest_snapshot(price_match(t), "entry_day")
     ab = products(t).filter(F.col("publisher") != "Brand#1")
-    return (pdr.join(low, "l_partkey")
-            .filter((F.col("price") == F.col("low_price")) & (F.col("n_prices") > 2)
-                    & (F.col("days") >= 60) & (F.col("price") < 900))
+    # J14 (current price is the historic low) and A4 (more than two price points) come
+    # from the same per-product aggregate as the current price.
+    return (pdr.filter((F.col("price") == F.col("low_price")) & (F.col("n_prices") > 2)
+                       & (F.col("days") >= 60) & (F.col("price") < 900))
             .join(ab, F.col("l_partkey") == F.col("p_partkey"))
             .filter(F.col("price") < F.col("p_retailprice") * F.lit(0.95).cast("decimal(3,2)"))
             .join(pm_latest.select(F.col("pm_partkey").alias("sk")).distinct(), F.col("l_partkey") == F.col("sk"),
-                  "left_semi")
-            .join(first_sale, F.col("l_partkey") == F.col("fs_key")), pm_latest)
+                  "left_semi"), pm_latest)
 
 
 def _deadlock_cols():
