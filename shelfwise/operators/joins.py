@@ -72,55 +72,60 @@ def lookup_with_fallback(rows: DataFrame, exact: DataFrame, exact_on: tuple[str,
             .drop("_ek", "_ev", "_fk", "_fv"))
 
 
-def _interior_token(text: Column) -> Column:
-    """Longest whitespace token that is neither first nor last (ties: smallest)."""
-    toks = F.split(text, r"\s+")
-    inner = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))  # total: safe whatever the filter order
-    return F.try_element_at(
-        F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t")))), F.lit(1)
-    ).getField("t")
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
-def containment_join(docs: DataFrame, doc_text: str, items: DataFrame, item_text: str) -> DataFrame:
+def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
+                     items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """Pairs (doc, item) with ``contains(doc_text, item_text)``, exact.
 
-    Items of three or more whitespace tokens: an interior token of the item is a
-    whole whitespace token of any text containing the item, so docs are exploded
-    into their distinct tokens and equi-joined on that token, then verified with
-    ``contains`` on the whole texts. Shorter items: their longest token must
-    appear inside one token of the doc, so the join key is every substring of a
-    doc token whose length equals one of the (few, collected) short-key lengths.
+    Candidates come from equi-joins on tokens; only (key, token) pairs are
+    exploded -- texts are not copied per token -- and the whole texts are
+    compared once per candidate pair.
+
+    * Items of three or more whitespace tokens: each interior token is a whole
+      token of any text containing the item. The interior token with the lowest
+      document frequency is the join key (frequencies from the same token
+      explode, partially aggregated), so a common word never drives the join.
+    * Shorter items: their longest token lies inside one token of the document,
+      so the key is every substring of a distinct document token whose length is
+      one of the short keys' lengths (a small set, collected).
     """
-    toks = F.split(F.col(item_text), r"\s+")
-    items_k = items.withColumn("_ntok", F.size(toks))
-    long_items = (items_k.filter(F.col("_ntok") >= 3)
-                  .withColumn("_key", _interior_token(F.col(item_text))))
-    short_items = (items_k.filter((F.col("_ntok") < 3) & (F.length(item_text) > 0))
-                   .withColumn("_key", F.try_element_at(F.array_sort(F.transform(
-                       F.filter(toks, lambda x: x != ""),
-                       lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t")))), F.lit(1)).getField("t")))
-
-    doc_tokens = (docs.select(*[F.col(c) for c in docs.columns],
-                              F.explode(F.array_distinct(F.split(F.col(doc_text), r"\s+"))).alias("_tok"))
-                  .filter(F.col("_tok") != ""))
-    cand_long = doc_tokens.join(long_items, doc_tokens["_tok"] == long_items["_key"], "inner")
-    out = cand_long.filter(F.col(doc_text).contains(F.col(item_text)))
-
-    # Short keys: their distinct lengths are a tiny bounded set (<= longest token length).
-    lengths = [r[0] for r in short_items.select(F.length("_key")).distinct().collect()]
+    doc_tok = (docs.select(F.col(doc_key).alias("_d"), F.explode(F.array_distinct(_tokens(F.col(doc_text)))).alias("_tok")))
+    df_tok = doc_tok.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
+
+    toks = _tokens(F.col(item_text))
+    items_k = items.select(F.col(item_key).alias("_i"), toks.alias("_toks"))
+    long_tok = (items_k.filter(F.size("_toks") >= 3)
+                .select("_i", F.explode(F.slice("_toks", 2, F.greatest(F.size("_toks") - 2, F.lit(0)))).alias("_tok")))
+    # Interior tokens absent from every document cannot match: the inner join drops them.
+    long_key = (long_tok.join(df_tok, "_tok")
+                .groupBy("_i").agg(F.min(F.struct("_df", "_tok")).alias("_m"))
+                .select("_i", F.col("_m._tok").alias("_tok")))
+    cand = doc_tok.join(long_key, "_tok").select("_d", "_i")
+
+    short_key = (items_k.filter((F.size("_toks") >= 1) & (F.size("_toks") < 3))
+                 .select("_i", F.try_element_at(F.array_sort(F.transform(
+                     "_toks", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t")))), F.lit(1))
+                     .getField("t").alias("_key")))
+    lengths = [r[0] for r in short_key.select(F.length("_key")).distinct().collect()]
     if lengths:
-        lens = F.array(*[F.lit(n) for n in sorted(lengths)])
-        subs = (doc_tokens.select(*[F.col(c) for c in docs.columns], "_tok")
-                .withColumn("_len", F.explode(lens))
+        vocab = doc_tok.select("_tok").distinct()
+        subs = (vocab.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])))
                 .filter(F.length("_tok") >= F.col("_len"))
                 .withColumn("_pos", F.explode(F.sequence(F.lit(1), F.length("_tok") - F.col("_len") + 1)))
-                .select(*docs.columns, F.substring(F.col("_tok"), F.col("_pos"), F.col("_len")).alias("_tok"))
+                .select("_tok", F.substring(F.col("_tok"), F.col("_pos"), F.col("_len")).alias("_key"))
                 .distinct())
-        cand_short = subs.join(short_items, subs["_tok"] == short_items["_key"], "inner")
-        out = out.unionByName(cand_short.filter(F.col(doc_text).contains(F.col(item_text))),
-                              allowMissingColumns=True)
-    keep = [*docs.columns, *[c for c in items.columns if c not in docs.columns]]
-    return out.select(*keep).dropDuplicates(keep)
+        short_tok = subs.join(short_key, "_key").select("_tok", "_i").distinct()
+        cand = cand.unionByName(doc_tok.join(short_tok, "_tok").select("_d", "_i"))
+    cand = cand.distinct()
+    # Column names of docs and items must not clash (rename before calling).
+    it = items.withColumnRenamed(item_key, "_ik")
+    pairs = (cand.join(docs, F.col("_d") == F.col(doc_key))
+             .join(it, F.col("_i") == F.col("_ik"))
+             .filter(F.col(doc_text).contains(F.col(item_text))))
+    return pairs.withColumnRenamed("_ik", item_key).drop("_d", "_i")
 
 
 def exploded_membership(df: DataFrame, cols: Sequence[str], out: str = "member") -> DataFrame:

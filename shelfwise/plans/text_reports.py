@@ -108,7 +108,7 @@ def keyword_hit_list(t: Tables):
     """Documents containing a hot passage, whole texts compared (token pre-join + exact check)."""
     docs = t.documents.select("doc_id", "lang", "source", "text")
     items = t.benchmark.select("item_id", F.col("text").alias("item_text"))
-    pairs = containment_join(docs, "text", items, "item_text")
+    pairs = containment_join(docs, "doc_id", "text", items, "item_id", "item_text")
     return pairs.select("doc_id", "lang", "source", "item_id").distinct()
 
 

@@ -28,8 +28,9 @@ def test_containment_equals_nested_loop(spark):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "a lazy dog sleeps here"),
                                   (3, "foxes are quick"), (4, "xbrownx")], "doc_id int, text string")
     items = spark.createDataFrame([(10, "quick brown fox"), (11, "dog sleeps here"), (12, "rown"),
-                                   (13, "quick"), (14, "brown fox jumps now")], "item_id int, item_text string")
-    ours = containment_join(docs, "text", items, "item_text").select("doc_id", "item_id")
+                                   (13, "quick"), (14, "brown fox jumps now"), (15, "ps her"),
+                                   (16, "x y the lazy")], "item_id int, item_text string")
+    ours = containment_join(docs, "doc_id", "text", items, "item_id", "item_text").select("doc_id", "item_id")
     ref = docs.crossJoin(items).filter(F.col("text").contains(F.col("item_text"))).select("doc_id", "item_id")
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
 
