@@ -123,7 +123,8 @@ def _rows_for(html: str, table_id: str | None, key_headers: tuple[str, ...],
 def html_table_rows(df: DataFrame, id_col: str, html_col: str, table_id: str | None = None,
                     key_headers: tuple[str, ...] = ("asin", "kasin"), status_header: str | None = None) -> DataFrame:
     """S13/S14 as a distributed operator: one output row per kept table row."""
-    schema = f"{id_col} long, key string, comment string, status string, row_no int"
+    id_type = df.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {id_type}, key string, comment string, status string, row_no int"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -139,7 +140,8 @@ def html_table_rows(df: DataFrame, id_col: str, html_col: str, table_id: str | N
 def keyword_table_rows(df: DataFrame, id_col: str, html_col: str, table_id: str = "dataTable") -> DataFrame:
     """Positional cells 1, 3, 4 of the table -> keyword, rank, groups;
     'Total:' rows dropped, thousands separators and line breaks stripped."""
-    schema = f"{id_col} long, keyword string, rank string, query_groups string"
+    id_type = df.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {id_type}, keyword string, rank string, query_groups string"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,3 +164,11 @@ def keyword_table_rows(df: DataFrame, id_col: str, html_col: str, table_id: str
 def text_of(html: str) -> str:
     """Driver-free helper used by tests: full entity decoding via the standard library."""
     return unescape(html)
+
+
+def escape_html(col: Column) -> Column:
+    """Text -> HTML cell text (&, <, > and quotes escaped)."""
+    out = F.replace(col, F.lit("&"), F.lit("&amp;"))
+    for ch, ent in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(ch), F.lit(ent))
+    return out
