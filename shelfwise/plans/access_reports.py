@@ -92,7 +92,7 @@ SELECT conv_id, {_route_sql()} AS report FROM m
 """
 
 
-@report("route_messages", covers=("J24", "E1"), oracle=ROUTE_SQL, tag=None)
+@report("route_messages", covers=("J24", "E1", "S17"), oracle=ROUTE_SQL, tag=None)
 def route_messages(t: Tables):
     """Report each request message is routed to."""
     return _messages(t).select("conv_id", route(F.col("subject")).alias("report"))

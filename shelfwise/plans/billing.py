@@ -181,7 +181,7 @@ SELECT CAST(promo_id AS VARCHAR), '', 'Total', {_SUM_OUT_SQL} FROM g GROUP BY pr
 """
 
 
-@report("billing_vendor_fund", covers=("R27a", "A2", "A7", "J2", "S11", "P19"), oracle=_summary_sql("VF"), tag="BILL")
+@report("billing_vendor_fund", covers=("R27a", "A2", "A7", "J2", "S11", "P19", "A14", "P7"), oracle=_summary_sql("VF"), tag="BILL")
 def billing_vendor_fund(t: Tables):
     """Vendor-funded promotions: payable = cost + discount + discount tax, per vendor, with totals."""
     return _with_promo_totals(_summary(t, "VF"))

@@ -77,7 +77,7 @@ SELECT * FROM rows WHERE comments <> ''
 """
 
 
-@report("comment_capture", covers=("R31", "S13", "S14", "J25", "J27", "M6"), oracle=COMMENT_CAPTURE_SQL, tag="HIVENDOR")
+@report("comment_capture", covers=("R31", "S13", "S14", "J25", "J27", "M6", "F16"), oracle=COMMENT_CAPTURE_SQL, tag="HIVENDOR")
 def comment_capture(t: Tables):
     """Comments captured from the returned top-list tables (key and non-empty last cell)."""
     return comment_capture_rows(t)

@@ -77,7 +77,7 @@ ORDER BY b.onsite_date DESC
 """)
 
 
-@report("mid_band_products", covers=("R2", "J3", "P6", "P13", "L1"), oracle=R2_SQL, tag="FPB")
+@report("mid_band_products", covers=("R2", "J3", "P6", "P13", "L1", "A13"), oracle=R2_SQL, tag="FPB")
 def mid_band_products(t: Tables):
     """Products with sales between 1.2M and 1.3M first sold on or after 1995-02-01."""
     band = (t.lineitem.groupBy("l_partkey")
@@ -202,7 +202,7 @@ ORDER BY rank
 """)
 
 
-@report("not_launched_rank", covers=("R13", "A6", "A9", "J2", "J8", "J9", "P11", "F1"), oracle=R13_SQL, tag="PRANK")
+@report("not_launched_rank", covers=("R13", "A6", "A9", "J2", "J8", "J9", "P11", "F1", "P16"), oracle=R13_SQL, tag="PRANK")
 def not_launched_rank(t: Tables):
     """Products flagged in the latest pattern snapshot that are not launched, with the
     sorted list of sources that flagged them."""
@@ -280,7 +280,7 @@ ORDER BY p.p_size DESC
 """)
 
 
-@report("not_launched_status", covers=("R20", "J9", "J21", "W3", "P9", "F20", "F1"), oracle=R20_SQL, tag="NOSLIST")
+@report("not_launched_status", covers=("R20", "J9", "J21", "W3", "P9", "F20", "F1", "L6"), oracle=R20_SQL, tag="NOSLIST")
 def not_launched_status(t: Tables):
     """Not-launched products with their latest status and latest ETA comment
     (one latest-per-key aggregate per comment type, then left joins; no per-row lookups)."""
@@ -378,7 +378,7 @@ WHERE last_update IS NULL
 """
 
 
-@report("due_publishers", covers=("R30", "A9", "P9", "F8", "P11"), oracle=R30_SQL, tag="DUE")
+@report("due_publishers", covers=("R30", "A9", "P9", "F8", "P11", "A13", "F10"), oracle=R30_SQL, tag="DUE")
 def due_publishers(t: Tables):
     """Publishers not yet updated on the as-of day (= the latest sale day in the data)."""
     li = t.lineitem.select("l_partkey", "l_shipdate")

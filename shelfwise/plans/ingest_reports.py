@@ -134,7 +134,7 @@ FROM split WHERE len(f) = {len(HEADER)}
 """
 
 
-@report("ingest_clean_cast", covers=("T1", "T2", "T7", "T7a", "T7b", "T7c", "T7d", "T7e", "T9", "T10", "S1", "S3"),
+@report("ingest_clean_cast", covers=("T1", "T2", "T7", "T7a", "T7b", "T7c", "T7d", "T7e", "T9", "T10", "S1", "S3", "U4"),
         oracle=INGEST_CLEAN_SQL, tag=None)
 def ingest_clean_cast(t: Tables):
     """Typed rows of the drop file: header bound by name, cells cleansed per target type,

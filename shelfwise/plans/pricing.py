@@ -157,7 +157,7 @@ SELECT b.product, b.publisher AS band, b.title, CAST(pdr.price AS DOUBLE) AS pri
 """
 
 
-@report("price_down_candidates", covers=("R16", "J1", "J5", "J6", "P4", "P8", "P9", "P10", "F3", "F7", "L3"),
+@report("price_down_candidates", covers=("R16", "J1", "J5", "J6", "P4", "P8", "P9", "P10", "F3", "F7", "L3", "F11", "F10"),
         oracle=PRICE_DOWN_SQL, tag="TAURUS")
 def price_down_candidates(t: Tables):
     """Products with traffic but low conversion at a high current price, sales not rising."""

@@ -84,7 +84,7 @@ def publisher_scan_inactive(t: Tables):
     return vendor_ltd(t).orderBy("publisher", F.col("pu_t30").asc_nulls_last(), F.col("onsite_date").desc())
 
 
-@report("publisher_scan_suppressed", covers=("R19", "P4"),
+@report("publisher_scan_suppressed", covers=("R19", "P4", "P7"),
         oracle=_sheet_sql("WHERE suppression_state = 'COMPLETELY_SUPPRESSED'", "onsite_date DESC"))
 def publisher_scan_suppressed(t: Tables):
     """Completely suppressed titles."""

@@ -39,7 +39,7 @@ FROM cut WHERE prior <= 0.8
 """)
 
 
-@report("top_products_to_80pct", covers=("R21", "W2", "J17", "A12", "L5", "F5"),
+@report("top_products_to_80pct", covers=("R21", "W2", "J17", "A12", "L5", "F5", "P1", "P18", "S7", "F4"),
         oracle=TOP_PRODUCTS_SQL, tag="TOPLIST")
 def top_products_to_80pct(t: Tables):
     """Per publisher (brand x type): products by sales until 80 % of sales, at most 10."""
