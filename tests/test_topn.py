@@ -53,3 +53,10 @@ def test_group_sequence_equals_row_number(spark):
     seq = group_sequence(df, ["g"], ["k"], num_partitions=7)
     ref = df.withColumn("seq", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     assert sorted(map(tuple, seq.select("g", "k", "seq").collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_total_row_by_rollup(spark):
+    from shelfwise.operators.grouping import with_total_row
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "k string, v int")
+    out = {r.k: (r.label, r.s) for r in with_total_row(df, ["k"], {"s": F.sum("v")}, "label").collect()}
+    assert out == {"a": (None, 3), "b": (None, 5), "": ("Total", 8)}
