@@ -51,3 +51,19 @@ def thousands(col: str | Column) -> Column:
     """``format(x, 0)`` -- HALF_UP to an integer, then comma grouping."""
     c = F.col(col) if isinstance(col, str) else col
     return F.format_number(F.round(c.cast("decimal(38,2)"), 0), 0)
+
+
+def cents(col: str | Column) -> Column:
+    """Money as BIGINT cents, exact (through DECIMAL(18,2)): sums over it use a
+    fixed-width hash-aggregate buffer instead of a wide DECIMAL one."""
+    return (money(col) * F.lit(100)).cast("bigint")
+
+
+def from_cents(col: str | Column) -> Column:
+    c = F.col(col) if isinstance(col, str) else col
+    return (c.cast("decimal(20,0)") / F.lit(100)).cast("decimal(20,2)")
+
+
+def money_sum(col: str | Column) -> Column:
+    """Exact SUM of a money column (NULL when every input is NULL), as DECIMAL(20,2)."""
+    return from_cents(F.sum(cents(col)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import week_sunday, yyyymmdd
-from shelfwise.functions.numeric import as_double, money, percent_text, ratio, rounded_double
+from shelfwise.functions.numeric import money_sum, as_double, money, percent_text, ratio, rounded_double
 from shelfwise.functions.text import multilines_in_html
 from shelfwise.operators.joins import not_in_anti_join
 from shelfwise.operators.sequence import group_sequence
@@ -50,7 +50,7 @@ def product_daily_performance(t: Tables):
     ev = t.events
     is_ = lambda k: F.col("event_type") == k
     daily = (ev.groupBy("user_id", F.col("ts").cast("date").alias("day"))
-             .agg(F.sum(F.when(is_("purchase"), money("value"))).alias("sales"),
+             .agg(money_sum(F.when(is_("purchase"), F.col("value"))).alias("sales"),
                   F.count(F.when(is_("purchase"), 1)).alias("units"),
                   F.count(F.when(is_("view"), 1)).alias("views"),
                   F.count(F.when(is_("click"), 1)).alias("borrows"),
@@ -81,7 +81,7 @@ ORDER BY b.onsite_date DESC
 def mid_band_products(t: Tables):
     """Products with sales between 1.2M and 1.3M first sold on or after 1995-02-01."""
     band = (t.lineitem.groupBy("l_partkey")
-            .agg(F.sum(money("l_extendedprice")).alias("ytd_sales"),
+            .agg(money_sum("l_extendedprice").alias("ytd_sales"),
                  F.min("l_shipdate").cast("date").alias("onsite_date"))
             .filter(F.col("ytd_sales").between(1200000, 1300000)
                     & (F.col("onsite_date") >= F.lit("1995-02-01").cast("date"))))
@@ -135,7 +135,7 @@ def high_score_products(t: Tables):
     high = t.part.filter(F.col("p_size") >= 48).select(F.col("p_partkey").alias("hkey"),
                                                        F.col("p_size").alias("reviews_count"))
     di = (t.lineitem.groupBy("l_partkey")
-          .agg(F.sum(money("l_quantity")).alias("q"), F.sum(money("l_discount")).alias("s"),
+          .agg(money_sum("l_quantity").alias("q"), money_sum("l_discount").alias("s"),
                F.count(F.lit(1)).alias("n")))
     # HAVING avg(score) >= 0.06, stated exactly: sum >= 0.06 * count (decimals, no float edge).
     scored = di.filter(F.col("s") >= F.col("n") * F.lit(0.06).cast("decimal(3,2)")).select(

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numeric import as_double, money, percent_text, ratio, rounded_double
+from shelfwise.functions.numeric import cents, from_cents, as_double, money, percent_text, ratio, rounded_double
 from shelfwise.operators.snapshots import latest_snapshot
 from shelfwise.plans.registry import report
 from shelfwise.plans.views import PRODUCTS_SQL, products, with_sql
@@ -38,33 +38,33 @@ PRICE_POINTS_SQL = """points AS (
 
 
 def price_recent(t: Tables) -> DataFrame:
-    """Per product: current price (price of its latest sale), days at that price,
-    recent and prior half-year sales and units, returns, views, highest and lowest
-    price, number of price points and first sale day.
+    """Per product: current price (price of its latest sale day; the higher price when
+    one day has several), days at that price, recent and prior half-year sales and
+    units, returns, views, highest and lowest price, number of price points and
+    first sale day.
 
     One scan of the price points and two aggregates: first per (product, price)
-    -- a large map-side reduction -- then per product, where
-    ``max(struct(last sale, price, first day, last day))`` picks the current price
-    together with its own first and last day (no join back to the price points).
+    with plain hash aggregates -- a large map-side reduction -- then per product
+    over those few rows, where ``max(struct(last day, price, first day))`` picks
+    the current price together with its own first and last day (no join back).
     """
     pts = price_points(t)
     recent = F.col("l_shipdate") >= F.lit(RECENT_FROM).cast("timestamp")
     prior = (F.col("l_shipdate") >= F.lit(PRIOR_FROM).cast("timestamp")) & ~recent
     per_price = pts.groupBy("l_partkey", "price").agg(
-        F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")).alias("last_sale"),
         F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"),
-        F.sum(F.when(recent, money("l_quantity"))).alias("pu"),
+        F.sum(F.when(recent, cents("l_quantity"))).alias("pu"),
         F.count(F.when(recent & (F.col("l_returnflag") == "R"), 1)).alias("qb"),
-        F.sum(money("l_quantity")).alias("gv"),
-        F.sum(F.when(prior, money("l_extendedprice"))).alias("prior_gms"),
-        F.sum(F.when(prior, money("l_quantity"))).alias("prior_units"),
-        F.sum(F.when(recent, money("l_extendedprice"))).alias("recent_gms"))
+        F.sum(cents("l_quantity")).alias("gv"),
+        F.sum(F.when(prior, cents("l_extendedprice"))).alias("prior_gms"),
+        F.sum(F.when(prior, cents("l_quantity"))).alias("prior_units"),
+        F.sum(F.when(recent, cents("l_extendedprice"))).alias("recent_gms"))
     per_part = per_price.groupBy("l_partkey").agg(
-        F.max(F.struct("last_sale", "price", "first_at", "last_at")).alias("cur"),
-        F.sum("pu").alias("pu"), F.sum("qb").alias("qb"), F.sum("gv").alias("gv"),
-        F.sum("prior_gms").alias("prior_gms"),
-        F.coalesce(F.sum("prior_units"), F.lit(0).cast("decimal(28,2)")).alias("prior_units"),
-        F.sum("recent_gms").alias("recent_gms"),
+        F.max(F.struct("last_at", "price", "first_at")).alias("cur"),
+        from_cents(F.sum("pu")).alias("pu"), F.sum("qb").alias("qb"), from_cents(F.sum("gv")).alias("gv"),
+        from_cents(F.sum("prior_gms")).alias("prior_gms"),
+        from_cents(F.coalesce(F.sum("prior_units"), F.lit(0))).alias("prior_units"),
+        from_cents(F.sum("recent_gms")).alias("recent_gms"),
         F.max("price").alias("highest_price"), F.min("price").alias("low_price"),
         F.count(F.lit(1)).alias("n_prices"), F.min("first_at").cast("date").alias("os_date"))
     return per_part.select(
@@ -75,8 +75,8 @@ def price_recent(t: Tables) -> DataFrame:
 
 PRICE_RECENT_SQL = PRICE_POINTS_SQL + f""",
 cur AS (SELECT l_partkey, price FROM (
-   SELECT l_partkey, price, ROW_NUMBER() OVER (PARTITION BY l_partkey
-          ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) r FROM points) WHERE r = 1),
+   SELECT l_partkey, price, ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, price DESC) r
+   FROM points) WHERE r = 1),
 st AS (SELECT l_partkey,
    SUM(CASE WHEN l_shipdate >= DATE '{RECENT_FROM}' THEN CAST(l_quantity AS DECIMAL(18,2)) END) AS pu,
    COUNT(*) FILTER (WHERE l_shipdate >= DATE '{RECENT_FROM}' AND l_returnflag = 'R') AS qb,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numeric import as_double, money, ratio, rounded_double
+from shelfwise.functions.numeric import money_sum, as_double, money, ratio, rounded_double
 from shelfwise.operators.topn import latest_per_key
 from shelfwise.plans.registry import report
 from shelfwise.plans.views import PRODUCTS_SQL, products, with_sql
@@ -31,7 +31,7 @@ def vendor_ltd(t: Tables) -> DataFrame:
     t30 = F.col("l_shipdate") >= F.lit(T30_FROM).cast("timestamp")
     t90 = F.col("l_shipdate") >= F.lit(T90_FROM).cast("timestamp")
     agg = li.groupBy("l_partkey").agg(
-        F.sum(F.when(t30, money("l_quantity"))).alias("pu_t30"),
+        money_sum(F.when(t30, F.col("l_quantity"))).alias("pu_t30"),
         F.count(F.when(t90, 1)).alias("_gv"),
         F.min("l_shipdate").cast("date").alias("onsite_date"),
         F.max(money("l_discount")).alias("_max_disc"))
@@ -170,7 +170,7 @@ def publisher_scan_deal_uplift(t: Tables):
     w = (deal.join(li, F.col("d_key") == F.col("l_partkey"))
          .filter((day >= plus(-30)) & (day < plus(37)))
          .groupBy("d_key", "start_day")
-         .agg(*[F.sum(F.when(cond, money(c))).alias(f"{name}_{kind}")
+         .agg(*[money_sum(F.when(cond, F.col(c))).alias(f"{name}_{kind}")
                 for name, cond in (("prior", prior_w), ("campaign", camp_w), ("post", post_w))
                 for c, kind in (("l_quantity", "units"), ("l_extendedprice", "gms"))]))
     p = products(t)

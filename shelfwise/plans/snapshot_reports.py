@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numeric import as_double, money, percent_text, ratio, round_half_up, rounded_double
+from shelfwise.functions.numeric import money_sum, as_double, money, percent_text, ratio, round_half_up, rounded_double
 from shelfwise.operators.snapshots import latest_snapshot, new_vs_carried, previous_snapshot
 from shelfwise.plans.registry import report
 from shelfwise.sources.tables import Tables
@@ -26,7 +26,7 @@ def order_snapshots(t: Tables) -> DataFrame:
     """Pattern snapshot: per (month, customer) orders, total, first and last order day."""
     o = t.orders.filter(F.col("o_orderdate") < F.lit(COMPLETE_BEFORE).cast("timestamp"))
     return (o.groupBy(F.trunc("o_orderdate", "month").alias("snapshot"), "o_custkey")
-            .agg(F.count(F.lit(1)).alias("n_orders"), F.sum(money("o_totalprice")).alias("total"),
+            .agg(F.count(F.lit(1)).alias("n_orders"), money_sum("o_totalprice").alias("total"),
                  F.min("o_orderdate").cast("date").alias("start_day"),
                  F.max("o_orderdate").cast("date").alias("end_day")))
 
@@ -147,7 +147,7 @@ def upstream_uplift(t: Tables):
     u = (t.lineitem.select("l_orderkey", "l_quantity")
          .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
          .groupBy(F.trunc("o_orderdate", "month").alias("snapshot"), "o_custkey")
-         .agg(F.sum(money("l_quantity")).alias("units")))
+         .agg(money_sum("l_quantity").alias("units")))
     latest = latest_snapshot(u, "snapshot")
     prev = previous_snapshot(u, "snapshot").select(F.col("o_custkey").alias("p_cust"), F.col("units").alias("p_units"))
     return (latest.join(prev, F.col("o_custkey") == F.col("p_cust"), "left")
@@ -190,7 +190,7 @@ def price_ladder(t: Tables):
     reaches 80 % while the cumulative sales share (from the deepest discount down) is
     still within 80 %."""
     lv = (t.lineitem.groupBy(F.trunc("l_shipdate", "month").alias("snapshot_day"), money("l_discount").alias("price"))
-          .agg(F.sum(money("l_quantity")).alias("units"), F.sum(money("l_extendedprice")).alias("sales")))
+          .agg(money_sum("l_quantity").alias("units"), money_sum("l_extendedprice").alias("sales")))
     w_all = Window.partitionBy("snapshot_day")
 
     def share(measure: str, ascending: bool):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numeric import money
+from shelfwise.functions.numeric import money_sum, money
 from shelfwise.sources.tables import Tables
 
 
@@ -49,8 +49,8 @@ PRODUCTS_SQL = f"""products AS (
 def product_sales(t: Tables) -> DataFrame:
     """Sales per product over all lineitems (map-side partial aggregation)."""
     return (t.lineitem.groupBy("l_partkey")
-            .agg(F.sum(money("l_extendedprice")).alias("sales"),
-                 F.sum(money("l_quantity")).alias("units"),
+            .agg(money_sum("l_extendedprice").alias("sales"),
+                 money_sum("l_quantity").alias("units"),
                  F.count(F.lit(1)).alias("n_lines")))
 
 
