@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.cleansing import rate_value
-from shelfwise.functions.numeric import as_double, money
+from shelfwise.functions.numeric import as_double, cents, from_cents, money
 from shelfwise.plans.registry import report
 from shelfwise.sources.tables import Tables
 
@@ -76,12 +76,15 @@ def summary_all(t: Tables) -> DataFrame:
     valid = F.lit(1) - F.col("is_return")
     gross = F.col("price") + F.col("discount") + F.col("discount_tax")
     coupon = F.lit(0) - F.col("discount") - F.col("discount_tax")
+    # Money sums run over BIGINT cents (exact, fixed-width buffers); 0/1 weights keep
+    # the reference's sum((1 - is_return) * x) semantics (0, not NULL, for all-return groups).
+    wc = lambda c: F.sum(valid * cents(c))
     g = lines.groupBy("promo_id", "vendor", "model", "rate").agg(
         F.max("vm").alias("vm"), F.count(F.lit(1)).alias("order_cnt"), F.sum(valid).cast("bigint").alias("valid_cnt"),
-        F.sum(valid * F.col("price")).alias("revenue"), F.sum(valid * coupon).alias("coupon_amount"),
-        F.sum(valid * F.col("cost")).alias("original_cost"),
-        F.sum(valid * (F.col("cost") + F.col("discount") + F.col("discount_tax"))).alias("_vf_payable"),
-        F.sum(valid * gross).alias("_gross"),
+        from_cents(wc(F.col("price"))).alias("revenue"), from_cents(wc(coupon)).alias("coupon_amount"),
+        from_cents(wc(F.col("cost"))).alias("original_cost"),
+        from_cents(wc(F.col("cost") + F.col("discount") + F.col("discount_tax"))).alias("_vf_payable"),
+        from_cents(wc(gross)).alias("_gross"),
         # MySQL divides decimals to 4 more places: cost/price is taken to 6 decimals.
         F.sum(F.when(F.col("is_return") == 0, _cost_share() * gross.cast("decimal(20,2)"))).alias("_ordered"))
     # Operand precisions are pinned so the products stay exact (no scale cut to 6).
