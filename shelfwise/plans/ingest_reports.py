@@ -355,3 +355,49 @@ def stream_file_drop(t: Tables):
     if q.exception():
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(latest_version(spark, f"{tables_root}/orders"))
+
+
+# ------------------------------------------------------------------ X2
+def _code_re_sql() -> str:
+    from shelfwise.functions.text import PRODUCT_CODE_RE
+    return PRODUCT_CODE_RE
+
+
+STREAM_MESSAGES_SQL = f"""
+SELECT doc_id AS msgid, source AS fro, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS receive,
+       string_split_regex(text, '\\r\\n|\\n')[1] AS subject,
+       (SELECT {{route}} FROM (SELECT string_split_regex(text, '\\r\\n|\\n')[1] AS subject)) AS type,
+       left(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{_code_re_sql()}', 1))), ','), 250)
+         AS key_data
+FROM documents
+"""
+
+
+def _stream_messages_sql() -> str:
+    from shelfwise.plans.access_reports import _route_sql
+    return STREAM_MESSAGES_SQL.replace("{route}", _route_sql())
+
+
+@report("stream_messages", covers=("X2", "X3", "S17", "S23", "F29", "J24"), oracle=_stream_messages_sql(), tag=None)
+def stream_messages(t: Tables):
+    """Documents delivered as request messages, English ones twice; the message stream
+    keeps each message id once, routes it and writes the audit log."""
+    import uuid
+
+    from shelfwise.operators.merge import latest_version
+    from shelfwise.session import scratch_path
+    from shelfwise.streaming.messages import run_message_stream
+
+    spark = t.spark
+    root = scratch_path(spark, f"stream_messages/{uuid.uuid4().hex}")
+    msgs = t.documents.select(
+        F.col("doc_id").alias("msgid"), F.col("source").alias("sender"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("doc_id"))).alias("receive"),
+        F.split(F.col("text"), r"\r\n|\n").getItem(0).alias("subject"), F.col("text").alias("body"), "lang")
+    msgs.drop("lang").write.parquet(f"{root}/in/all")
+    msgs.filter(F.col("lang") == "en").drop("lang").write.parquet(f"{root}/in/again")
+    q = run_message_stream(spark, f"{root}/in/*", f"{root}/audit", f"{root}/checkpoint")
+    q.awaitTermination()
+    if q.exception():
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(latest_version(spark, f"{root}/audit"))

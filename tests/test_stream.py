@@ -39,3 +39,29 @@ def test_update_mode_and_rerun_idempotent(spark, tmp_dir):
     _write(folder, "2.shop.items.20170102.upd", [("B2", "", "z"), ("B9", "9", "n")])
     assert _run(spark, folder, tmp_dir) == [("B1", 1, "a"), ("B2", None, "z")]
     assert _run(spark, folder, tmp_dir) == [("B1", 1, "a"), ("B2", None, "z")]   # nothing new: unchanged
+
+
+def test_message_stream_once_per_message(spark, tmp_dir):
+    import datetime as dt
+    from shelfwise.streaming.messages import MESSAGE_SCHEMA, run_message_stream
+
+    folder = os.path.join(tmp_dir, "msgs")
+    t0 = dt.datetime(2017, 7, 3, 10, 0)
+    first = [(1, "a@x.com", t0, "toplist please", "B000000001 and B000000002"),
+             (2, "b@x.com", t0, "price check", "B000000003")]
+    again = [(2, "b@x.com", t0, "price check", "B000000003"),      # same message delivered twice
+             (3, "c@x.com", t0, "hello", "")]
+    spark.createDataFrame(first, MESSAGE_SCHEMA).write.parquet(os.path.join(folder, "p1"))
+    spark.createDataFrame(again, MESSAGE_SCHEMA).write.parquet(os.path.join(folder, "p2"))
+    audit = os.path.join(tmp_dir, "audit")
+
+    def run():
+        q = run_message_stream(spark, folder + "/*", audit, os.path.join(tmp_dir, "ck"))
+        q.awaitTermination()
+        assert q.exception() is None
+        return sorted((r.msgid, r.type, r.key_data) for r in spark.read.parquet(latest_version(spark, audit)).collect())
+
+    expected = [(1, "top_products_to_80pct", "B000000001,B000000002"), (2, "price_down_candidates", "B000000003"),
+                (3, "help", "")]
+    assert run() == expected
+    assert run() == expected
