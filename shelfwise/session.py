@@ -1,9 +1,15 @@
 """Session construction and lineage helpers.
 
 Cluster settings (shuffle partitions, executor memory, checkpoint folder) come
-from the submitting environment. The builder below only fills in values that
-are still unset, so the same code runs under ``local[8]`` tests and on a
-cluster without edits.
+from the submitting environment: an existing session is used as it is, and a
+new one only gets the defaults below. The same code runs under ``local[8]``
+tests and on a cluster without edits.
+
+Suggested cluster settings at 100 TB (not forced here): AQE on with
+``spark.sql.adaptive.advisoryPartitionSizeInBytes`` around 256 MB and a high
+initial ``spark.sql.shuffle.partitions`` that AQE coalesces;
+``spark.sql.files.maxPartitionBytes`` 256-512 MB; ``spark.checkpoint.dir`` on the
+shared file system.
 """
 
 from __future__ import annotations
@@ -30,6 +36,11 @@ DEFAULT_CONF = {
 
 def get_spark(app: str = "shelfwise", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
+    """The active session untouched (a cluster's own settings win), else a new one
+    built with ``DEFAULT_CONF``."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
