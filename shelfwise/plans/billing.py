@@ -79,8 +79,10 @@ def summary_all(t: Tables) -> DataFrame:
     # Money sums run over BIGINT cents (exact, fixed-width buffers); 0/1 weights keep
     # the reference's sum((1 - is_return) * x) semantics (0, not NULL, for all-return groups).
     wc = lambda c: F.sum(valid * cents(c))
-    g = lines.groupBy("promo_id", "vendor", "model", "rate").agg(
-        F.max("vm").alias("vm"), F.count(F.lit(1)).alias("order_cnt"), F.sum(valid).cast("bigint").alias("valid_cnt"),
+    # vm depends on the vendor only (dimension reduced to one row per vendor first), so it
+    # is a grouping key rather than a max(string) buffer: the aggregate stays hash-based.
+    g = lines.groupBy("promo_id", "vendor", "model", "rate", "vm").agg(
+        F.count(F.lit(1)).alias("order_cnt"), F.sum(valid).cast("bigint").alias("valid_cnt"),
         from_cents(wc(F.col("price"))).alias("revenue"), from_cents(wc(coupon)).alias("coupon_amount"),
         from_cents(wc(F.col("cost"))).alias("original_cost"),
         from_cents(wc(F.col("cost") + F.col("discount") + F.col("discount_tax"))).alias("_vf_payable"),

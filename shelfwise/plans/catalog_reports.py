@@ -54,8 +54,10 @@ def product_daily_performance(t: Tables):
                   F.count(F.when(is_("purchase"), 1)).alias("units"),
                   F.count(F.when(is_("view"), 1)).alias("views"),
                   F.count(F.when(is_("click"), 1)).alias("borrows"),
-                  F.max(F.when(is_("signup"), F.lit("SIGNUP"))).alias("deal"))
-             .filter(F.col("units") > 0))
+                  # integer flag keeps every buffer fixed-width (hash aggregate, not sort-based)
+                  F.max(F.when(is_("signup"), F.lit(1))).alias("_deal"))
+             .filter(F.col("units") > 0)
+             .withColumn("deal", F.when(F.col("_deal") == 1, F.lit("SIGNUP"))))
     cust = t.customer.select("c_custkey", "c_name", "c_mktsegment")
     return (daily.join(cust, daily.user_id == cust.c_custkey, "inner")
             .select(product_code("user_id").alias("product"), F.col("c_name").alias("title"),
