@@ -69,7 +69,7 @@ def price_recent(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_prices"), F.min("first_at").cast("date").alias("os_date"))
     return per_part.select(
         "l_partkey", F.col("cur.price").alias("price"), "pu", "qb", "gv", "prior_gms", "prior_units", "recent_gms",
-        "highest_price", F.datediff(F.col("cur.last_at"), F.col("cur.first_at")).alias("days"),
+        "highest_price", F.datediff(F.col("cur.last_at"), F.col("cur.first_at")).cast("bigint").alias("days"),
         "low_price", "n_prices", "os_date")
 
 
