@@ -93,12 +93,15 @@ def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
       one of the short keys' lengths (a small set, collected).
     """
     doc_tok = (docs.select(F.col(doc_key).alias("_d"), F.explode(F.array_distinct(_tokens(F.col(doc_text)))).alias("_tok")))
-    df_tok = doc_tok.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
 
     toks = _tokens(F.col(item_text))
     items_k = items.select(F.col(item_key).alias("_i"), toks.alias("_toks"))
     long_tok = (items_k.filter(F.size("_toks") >= 3)
                 .select("_i", F.explode(F.slice("_toks", 2, F.greatest(F.size("_toks") - 2, F.lit(0)))).alias("_tok")))
+    # Document frequencies are only needed for the items' interior tokens: the semi join
+    # keeps the aggregate to that vocabulary instead of every word of every document.
+    df_tok = (doc_tok.join(long_tok.select("_tok").distinct(), "_tok", "left_semi")
+              .groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")))
     # Interior tokens absent from every document cannot match: the inner join drops them.
     long_key = (long_tok.join(df_tok, "_tok")
                 .groupBy("_i").agg(F.min(F.struct("_df", "_tok")).alias("_m"))
