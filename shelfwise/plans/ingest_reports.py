@@ -40,7 +40,9 @@ def _date_text(d: Column, k: Column) -> Column:
 
 def drop_file_lines(t: Tables) -> DataFrame:
     """(file_name, line_no, value) of the analogue drop file; line 1 is the header."""
-    o = t.orders
+    from shelfwise.session import spread
+    o = spread(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority",
+                               "o_orderstatus"))
     k = F.col("o_orderkey")
     d = F.col("o_orderdate").cast("date")
     cust = F.col("o_custkey").cast("string")

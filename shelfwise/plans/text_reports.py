@@ -12,6 +12,7 @@ from shelfwise.functions.text import (
 from shelfwise.operators.joins import containment_join
 from shelfwise.plans.registry import report
 from shelfwise.sources.html import html_to_text, HTML_TEXT_SQL, LINK_ITEM_RE
+from shelfwise.session import spread
 from shelfwise.sources.tables import Tables
 
 # ---------------------------------------------------------------- F12
@@ -25,7 +26,7 @@ GROUP BY doc_id, code
 @report("extract_codes", covers=("F12", "R1", "P14"), oracle=EXTRACT_CODES_SQL, tag="CODES")
 def extract_codes(t: Tables):
     """Product codes mentioned in each document, with their number of mentions."""
-    return (t.documents.select("doc_id", F.explode(product_codes("text")).alias("code"))
+    return (spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(product_codes("text")).alias("code"))
             .groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -39,7 +40,7 @@ SELECT doc_id, address, regexp_extract(address, '{USER_RE}', 1) AS usr FROM (
 @report("extract_emails", covers=("F14",), oracle=EXTRACT_EMAILS_SQL, tag="SENDERS")
 def extract_emails(t: Tables):
     """Sender-style addresses in documents and the user name the reference derives."""
-    return (t.documents.select("doc_id", F.explode(email_addresses("text")).alias("address"))
+    return (spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(email_addresses("text")).alias("address"))
             .select("doc_id", "address", sender_user("address").alias("usr")))
 
 
@@ -72,7 +73,7 @@ HTML_TEXT_REPORT_SQL = f"SELECT page_id, {HTML_TEXT_SQL.format(c='html')} AS tex
 @report("html_text", covers=("S16", "F19"), oracle=HTML_TEXT_REPORT_SQL, tag="HTMLTEXT")
 def html_text(t: Tables):
     """Plain text of every page (scripts, styles, comments and tags removed, entities decoded)."""
-    return t.pages.select("page_id", html_to_text("html").alias("text"))
+    return spread(t.pages.select("page_id", "html")).select("page_id", html_to_text("html").alias("text"))
 
 
 # ---------------------------------------------------------------- S13 (link rows)
@@ -91,7 +92,7 @@ def html_rows(t: Tables):
     """Rows of the pages' list markup: (position, link target, link text) per list item."""
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(LINK_ITEM_RE), 1).alias("href"),
                          F.regexp_extract_all("html", F.lit(LINK_ITEM_RE), 2).alias("label"))
-    return (t.pages.select("page_id", F.posexplode(pairs).alias("pos0", "item"))
+    return (spread(t.pages.select("page_id", "html")).select("page_id", F.posexplode(pairs).alias("pos0", "item"))
             .select("page_id", (F.col("pos0") + 1).cast("bigint").alias("pos"),
                     F.col("item.href").alias("href"), F.col("item.label").alias("label")))
 
@@ -106,7 +107,7 @@ FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 @report("keyword_hit_list", covers=("R24", "J12"), oracle=KEYWORD_HIT_SQL, tag="TAMPATTERN")
 def keyword_hit_list(t: Tables):
     """Documents containing a hot passage, whole texts compared (token pre-join + exact check)."""
-    docs = t.documents.select("doc_id", "lang", "source", "text")
+    docs = spread(t.documents.select("doc_id", "lang", "source", "text"))
     items = t.benchmark.select("item_id", F.col("text").alias("item_text"))
     pairs = containment_join(docs, "doc_id", "text", items, "item_id", "item_text")
     return pairs.select("doc_id", "lang", "source", "item_id").distinct()

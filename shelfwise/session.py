@@ -114,3 +114,18 @@ def fs_rename(spark: SparkSession, src: str, dst: str) -> bool:
     d = jvm.org.apache.hadoop.fs.Path(dst)
     fs.mkdirs(d.getParent())
     return bool(fs.rename(p, d))
+
+
+def fs_size(spark: SparkSession, path: str) -> int:
+    """Total bytes under ``path`` (file or folder) on any Hadoop file system."""
+    fs, p = _fs(spark, path)
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Before CPU-heavy per-row work (tokenizing, regexes, text building): when the input
+    has fewer partitions than the cluster has cores -- e.g. a table stored as one row
+    group -- deal its rows round-robin over all cores. Inputs that are already split
+    (any large table) are returned unchanged, so this adds no shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
