@@ -81,3 +81,12 @@ def checklist_capture(current: DataFrame, sheet_rows: DataFrame, msgid: int) ->
     staged = validate_checklist(sheet_rows).withColumn("msgid", F.lit(msgid).cast("bigint"))
     staged = staged.select(*current.columns)
     return diff_merge(current, staged, "asin", [*CHECKLIST_ISSUES, "fix_status"])
+
+
+def bind_exact(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns found by exact (trimmed, case-insensitive) header name, in ``names`` order."""
+    lower = {c.strip().lower(): c for c in df.columns}
+    missing = [n for n in names if n not in lower]
+    if missing:
+        raise ValueError(f"sheet lacks columns {missing}")
+    return df.select(*[F.col(f"`{lower[n]}`").alias(n) for n in names])

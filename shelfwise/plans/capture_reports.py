@@ -86,3 +86,103 @@ def comment_capture(t: Tables):
 def merge_comments(log: DataFrame, captured: DataFrame) -> DataFrame:
     """M6: idempotent per-message replace -- rows of the same (product, msgid) are replaced."""
     return replace_by_key(log, captured, ["product", "msgid"])
+
+
+# ------------------------------------------------------------------ R32
+def keyword_messages(t: Tables) -> DataFrame:
+    """(msgid, html): one search-keyword report per day, as a positional ``dataTable``
+    (keyword, -, rank, groups with thousands separators) ending in a 'Total:' row."""
+    from shelfwise.functions.numeric import money_sum, thousands
+
+    ev = t.events.select(F.col("ts").cast("date").alias("day"), "event_type", "value")
+    per = (ev.groupBy("day", "event_type")
+           .agg(F.count(F.lit(1)).alias("n"), money_sum("value").alias("v")))
+    tr = F.concat(F.lit("<tr><td>"), F.col("event_type"), F.lit("</td><td>-</td><td>"), F.col("n").cast("string"),
+                  F.lit("</td><td>"), thousands("v"), F.lit("</td></tr>"))
+    # At most one row per event type and day: a bounded list per message.
+    return (per.groupBy("day")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", tr.alias("tr")))),
+                                          lambda x: x["tr"]), "").alias("rows"),
+                 F.sum("n").alias("total"))
+            .select(F.date_format("day", "yyyyMMdd").cast("bigint").alias("msgid"),
+                    F.concat(F.lit('<table id="dataTable"><tbody>'), F.col("rows"),
+                             F.lit("<tr><td>Total: "), F.col("total").cast("string"),
+                             F.lit("</td><td></td><td></td><td></td></tr></tbody></table>")).alias("html")))
+
+
+KEYWORD_CAPTURE_SQL = """
+SELECT CAST(strftime(CAST(ts AS DATE), '%Y%m%d') AS BIGINT) AS msgid, event_type AS keyword,
+       CAST(COUNT(*) AS VARCHAR) AS rank,
+       CAST(CAST(ROUND(SUM(CAST(value AS DECIMAL(18,2))), 0) AS BIGINT) AS VARCHAR) AS query_groups
+FROM events GROUP BY 1, event_type
+"""
+
+
+@report("keyword_capture", covers=("R32", "S15", "F19", "M6"), oracle=KEYWORD_CAPTURE_SQL, tag="A9")
+def keyword_capture(t: Tables):
+    """Daily keyword tables read back positionally: 'Total:' rows dropped, separators stripped."""
+    from shelfwise.sources.html import keyword_table_rows
+    return keyword_table_rows(keyword_messages(t), "msgid", "html")
+
+
+# ------------------------------------------------------------------ R33
+CHECKLIST_MSGID = 7
+
+
+def _checklist_rows(li: DataFrame, status_default: str | None) -> DataFrame:
+    """Checklist-shaped rows from return lines (display-case headers, as a sheet has)."""
+    status = F.when(F.col("l_quantity") < 10, F.lit("N")).otherwise(F.lit(status_default or ""))
+    return li.select(
+        F.concat(F.lit("B"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("ASIN"),
+        F.when(F.col("l_discount") == 0, F.lit("XYZ")).when(F.col("l_linestatus") == "F", F.lit("PTS"))
+        .otherwise(F.lit("ABC")).alias("Src"),
+        F.date_format("l_shipdate", "yyyy-M-d").alias("SS_Day"),
+        F.when(F.col("l_discount") >= 0.05, F.lit("title")).otherwise(F.lit("")).alias("Issue_Title_Name"),
+        F.when(F.col("l_tax") >= 0.05, F.lit("pd")).otherwise(F.lit("")).alias("Issue_PD"),
+        F.lit("").alias("Issue_Cover"),
+        F.when(F.col("l_quantity") > 40, F.lit("author")).otherwise(F.lit("")).alias("Issue_Author"),
+        status.alias("Fix_Status"))
+
+
+def _since(d: str):
+    return F.col("l_shipdate") >= F.lit(d).cast("timestamp")
+
+
+@report("checklist_capture", covers=("R33", "S9", "T11", "M7"), tag="METADATA_SHEET", oracle=f"""
+WITH rows AS (
+  SELECT 'B' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS asin,
+         CASE WHEN l_discount = 0 THEN 'XYZ' WHEN l_linestatus = 'F' THEN 'PTS' ELSE 'ABC' END AS src,
+         strftime(l_shipdate, '%Y-%-m-%-d') AS ss_day,
+         CASE WHEN l_discount >= 0.05 THEN 'title' ELSE '' END AS issue_title_name,
+         CASE WHEN l_tax >= 0.05 THEN 'pd' ELSE '' END AS issue_pd, '' AS issue_cover,
+         CASE WHEN l_quantity > 40 THEN 'author' ELSE '' END AS issue_author,
+         CASE WHEN l_quantity < 10 THEN 'N' ELSE '' END AS fix_status, l_shipdate
+  FROM lineitem WHERE l_returnflag = 'R'),
+cur AS (SELECT asin, src, ss_day, issue_title_name, issue_pd, issue_cover, issue_author,
+               CASE WHEN fix_status = '' THEN 'Y' ELSE fix_status END AS fix_status, CAST(1 AS BIGINT) AS msgid
+        FROM rows WHERE l_shipdate >= DATE '2000-07-01' AND l_shipdate < DATE '2001-07-01'),
+stg AS (SELECT asin, src, ss_day, issue_title_name, issue_pd, issue_cover, issue_author,
+               CASE WHEN fix_status = '' THEN 'Y' ELSE fix_status END AS fix_status, CAST({CHECKLIST_MSGID} AS BIGINT) AS msgid
+        FROM rows
+        WHERE l_shipdate >= DATE '2001-01-01' AND asin <> ''
+          AND (fix_status <> '' OR issue_title_name <> '' OR issue_pd <> '' OR issue_cover <> '' OR issue_author <> '')
+          AND regexp_matches(asin, 'B\\w{{9}}') AND src IN ('PTS', 'ABC', 'DOTD')
+          AND regexp_matches(ss_day, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}')),
+changed AS (SELECT s.* FROM stg s WHERE NOT EXISTS (
+   SELECT 1 FROM cur c WHERE c.asin = s.asin AND c.issue_title_name = s.issue_title_name
+     AND c.issue_pd = s.issue_pd AND c.issue_cover = s.issue_cover AND c.issue_author = s.issue_author
+     AND c.fix_status = s.fix_status))
+SELECT * FROM cur WHERE asin NOT IN (SELECT asin FROM changed)
+UNION ALL SELECT * FROM changed
+""")
+def checklist_capture_report(t: Tables):
+    """A checklist sheet (exact headers, display case) validated and diff-merged into the
+    current checklist: identical rows dropped, changed products replaced, new ones added."""
+    from shelfwise.operators.sheets import CHECKLIST_ISSUES, bind_exact, checklist_capture
+
+    li = t.lineitem.filter(F.col("l_returnflag") == "R")
+    cols = ["asin", "src", "ss_day", *CHECKLIST_ISSUES, "fix_status"]
+    current = (bind_exact(_checklist_rows(li.filter(_since("2000-07-01") & ~_since("2001-07-01")), "Y"), cols)
+               .withColumn("msgid", F.lit(1).cast("bigint")))
+    sheet = bind_exact(_checklist_rows(li.filter(_since("2001-01-01")), None), cols)
+    return checklist_capture(current, sheet, CHECKLIST_MSGID)
