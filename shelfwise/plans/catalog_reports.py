@@ -11,9 +11,7 @@ from shelfwise.operators.joins import not_in_anti_join
 from shelfwise.operators.sequence import group_sequence
 from shelfwise.operators.topn import latest_per_key
 from shelfwise.plans.registry import report
-from shelfwise.plans.views import (
-    PRODUCT_CODE_SQL, PRODUCT_SALES_SQL, PRODUCTS_SQL, product_code, product_sales, products, with_sql,
-)
+from shelfwise.plans.views import PRODUCT_CODE_SQL, PRODUCTS_SQL, product_code, products, with_sql
 from shelfwise.sources.tables import Tables
 
 # Fixed report parameters of the analogue data (dates inside the test data range).

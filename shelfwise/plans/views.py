@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numeric import money_sum, money
+from shelfwise.functions.numeric import money_sum
 from shelfwise.sources.tables import Tables
 
 
