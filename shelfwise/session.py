@@ -29,8 +29,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Dynamic partition overwrite lets daily history writes replace one day only.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 

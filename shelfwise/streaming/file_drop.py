@@ -27,10 +27,17 @@ from shelfwise.sources.dropfile import number_lines, parse_file_name
 TableSpec = dict  # {"target": [(col, type), ...], "keys": [...]}
 
 
-def _line_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+def _line_stream(spark: SparkSession, folder: str, max_files: int | None = None,
+                 archive_dir: str | None = None) -> DataFrame:
+    """Lines of new files. Producers should write a file elsewhere and rename it into
+    the folder when complete (the reference's 60 s quiet period guards against
+    half-written files; an atomic rename makes the wait unnecessary). With
+    ``archive_dir`` processed files are moved there (the reference's ``done/``)."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if archive_dir:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     return (reader.load(folder)
             .select("value", F.col("_metadata.file_path").alias("file_path"),
                     F.col("_metadata.file_name").alias("file_name"),
@@ -92,12 +99,13 @@ def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], t
 
 def run_drop_folder(spark: SparkSession, folder: str, table_root: str, checkpoint: str,
                     tables: dict[str, TableSpec], available_now: bool = True,
-                    processing_time: str = "180 seconds", max_files: int | None = None):
+                    processing_time: str = "180 seconds", max_files: int | None = None,
+                    archive_dir: str | None = None):
     """Start the ingestion stream. ``availableNow`` drains what is there and stops;
     otherwise the folder is polled every ``processing_time`` (the reference polls
     every 180 s)."""
     handler: Callable[[DataFrame, int], None] = lambda b, i: merge_batch(b, i, tables, table_root)
-    q = (_line_stream(spark, folder, max_files).writeStream
+    q = (_line_stream(spark, folder, max_files, archive_dir).writeStream
          .foreachBatch(handler)
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime=processing_time)

@@ -123,3 +123,27 @@ def test_datetime_passthrough(spark):
     df = spark.createDataFrame([("2017-01-05 10:00:00",), ("",), ("junk",)], "v string")
     got = [r[0] for r in df.select(clean_cast("v", "datetime")).collect()]
     assert got == [dt.datetime(2017, 1, 5, 10, 0), None, None]
+
+
+def test_parameters_from_request(spark):
+    from shelfwise.functions.text import PRODUCT_CODE_RE, product_codes
+    from shelfwise.operators.params import mine_parameters, parameter_filter, per_request
+
+    rules = [("product", PRODUCT_CODE_RE.replace(r"[\p{L}\p{N}_]", r"\w")), ("publisher", r"(\w{3}CN)")]
+    params = mine_parameters("please B000000001, B000000002 and B000000001 for ABCCN", rules)
+    assert params == {"product": ["B000000001", "B000000002"], "publisher": ["ABCCN"]}
+    df = spark.createDataFrame([("B000000001", "X"), ("B000000003", "ABCCN"), ("B000000004", "Y")],
+                               "product string, publisher string")
+    assert sorted(r.product for r in parameter_filter(df, params).collect()) == ["B000000001", "B000000003"]
+    assert parameter_filter(df, mine_parameters("nothing here", rules)) is None
+    reqs = spark.createDataFrame([(1, "see B000000001"), (2, "B000000004 B000000001")], "msgid long, body string") \
+        .select("msgid", F.explode(product_codes("body")).alias("code"))
+    got = sorted((r.msgid, r.product) for r in per_request(df, "product", reqs, "msgid", "code").collect())
+    assert got == [(1, "B000000001"), (2, "B000000001"), (2, "B000000004")]
+
+
+def test_cli_lists_and_runs(tmp_dir, spark):
+    from shelfwise.__main__ import main
+    assert main(["list"]) == 0
+    assert main(["run", "creation_by_month", "--data", "/root/testdata/sf0.001", "--out", tmp_dir]) == 0
+    assert glob.glob(os.path.join(tmp_dir, "run_ts=*", "report=creation_by_month", "sheet=main", "*.csv.gz"))

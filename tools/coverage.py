@@ -43,6 +43,7 @@ IMPL = {
     "A10": "operators/grouping.py mode_per_key", "W1": "operators/topn.py row_numbered", "W2": "operators/topn.py running_share_cut",
     "W3": "operators/topn.py latest_per_key", "W4": "operators/topn.py best_per_group", "W5": "operators/topn.py priority_first",
     "W6": "operators/sequence.py group_sequence", "W7": "operators/snapshots.py new_vs_carried",
+    "P14": "operators/params.py mine_parameters / parameter_filter / per_request",
     "P11": "operators/snapshots.py latest_snapshot", "P12": "operators/snapshots.py previous_snapshot",
     "L4": "asc_nulls_last in plans/scan_reports.py", "L5": "operators/topn.py top_k_per_group", "L6": "operators/topn.py latest_per_key",
     "L7": "operators/topn.py cap_rows", "F3": "functions/numeric.py percent_text", "F4": "functions/numeric.py round_half_up",
@@ -74,7 +75,8 @@ TESTS = {
     "F19": "test_sinks_sheets", "F20": "test_functions", "F21": "test_functions", "F23": "test_functions",
     "F25": "test_sinks_sheets", "F26": "test_functions", "F28": "test_sinks_sheets", "F29": "test_sinks_sheets",
     "R27a": "test_billing", "R27b": "test_billing", "R27c": "test_billing", "R32": "test_html", "R33": "test_sinks_sheets",
-    "X1": "test_stream", "X3": "test_stream",
+    "X1": "test_stream", "X2": "test_stream", "X3": "test_stream", "P14": "test_sinks_sheets",
+    "W1": "test_entry (menu)", "A7": "test_topn", "L4": "oracle", 
 }
 
 
