@@ -128,5 +128,9 @@ def spread(df: DataFrame) -> DataFrame:
     has fewer partitions than the cluster has cores -- e.g. a table stored as one row
     group -- deal its rows round-robin over all cores. Inputs that are already split
     (any large table) are returned unchanged, so this adds no shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the plan as it is
+        return df
+    return df.repartition(cores) if parts < cores else df
