@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import sys
 from html import unescape
 from html.parser import HTMLParser
 from typing import Iterator
@@ -19,6 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The batch parsers below run in Python workers. Shipping this module's code with
+# the task (pickled by value) means executors need no installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: the package must be installed on executors
+    pass
+
 # Fixed values of the text chain (order matters: &amp; is decoded last).
 _DROP_BLOCKS = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
 _TAGS = r"<[^>]+>"

@@ -26,3 +26,10 @@ def test_keyword_rows(spark):
     df = spark.createDataFrame(PAGES, "page_id long, html string")
     rows = keyword_table_rows(df, "page_id", "html").collect()
     assert [(r.keyword, r.rank, r.query_groups) for r in rows] == [("kw one", "3", "1234")]
+
+
+def test_parser_module_ships_with_tasks():
+    # Executors need no installed copy of the package: the parser module is pickled by value.
+    import shelfwise.sources.html as html_mod
+    from pyspark import cloudpickle
+    assert html_mod.__name__ in cloudpickle.cloudpickle._PICKLE_BY_VALUE_MODULES
