@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numeric import cents, from_cents, as_double, money, percent_text, ratio, rounded_double
-from shelfwise.operators.snapshots import latest_snapshot
 from shelfwise.plans.registry import report
 from shelfwise.plans.views import PRODUCTS_SQL, products, with_sql
 from shelfwise.sources.tables import Tables
@@ -103,6 +102,22 @@ def price_match(t: Tables) -> DataFrame:
             .distinct())
 
 
+def latest_price_match(t: Tables) -> DataFrame:
+    """The latest snapshot of ``price_match`` without building the other snapshots.
+
+    The latest entry month is ``trunc(max(ship day))`` (trunc is monotonic, so this
+    equals the max over the snapshot table) -- one column aggregate over the base
+    table; only that month's rows are then de-duplicated.
+    """
+    li = t.lineitem
+    last_month = li.agg(F.trunc(F.max("l_shipdate"), "month")).scalar()
+    return (li.filter(F.col("l_shipdate") >= last_month.cast("timestamp"))
+            .select(F.col("l_partkey").alias("pm_partkey"),
+                    F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("competitor"),
+                    F.trunc("l_shipdate", "month").alias("entry_day"))
+            .distinct())
+
+
 PRICE_MATCH_SQL = """pm_all AS (SELECT DISTINCT l_partkey AS pm_partkey, 'S' || CAST(l_suppkey AS VARCHAR) AS competitor,
                   CAST(date_trunc('month', l_shipdate) AS DATE) AS entry_day FROM lineitem),
 pm AS (SELECT * FROM pm_all WHERE entry_day = (SELECT MAX(entry_day) FROM pm_all))"""
@@ -115,7 +130,7 @@ def _advice_base(t: Tables) -> DataFrame:
     # The dimension's own predicates go on the dimension before the join.
     b = ab.filter(~F.col("title").like("%ring%") & (F.col("category") == "STANDARD") & (F.col("publisher") != "Brand#1"))
     vl = t.part.filter(F.col("p_size") <= 2).select(F.col("p_partkey").alias("vl_key"), F.lit("Y").alias("set_flag"))
-    pm = latest_snapshot(price_match(t), "entry_day").select("pm_partkey", "competitor")
+    pm = latest_price_match(t).select("pm_partkey", "competitor")
     pu_qb = F.col("pu") + F.coalesce(F.col("qb"), F.lit(0))
     return (pdr.join(b, pdr.l_partkey == b.p_partkey, "inner")
             .join(pm, F.col("l_partkey") == F.col("pm_partkey"), "left")
@@ -258,7 +273,7 @@ def advice_history(t: Tables):
 # ---------------------------------------------------------------- R6 / R7
 def _deadlock_base(t: Tables) -> DataFrame:
     pdr = price_recent(t)
-    pm_latest = latest_snapshot(price_match(t), "entry_day")
+    pm_latest = latest_price_match(t)
     ab = products(t).filter(F.col("publisher") != "Brand#1")
     # J14 (current price is the historic low) and A4 (more than two price points) come
     # from the same per-product aggregate as the current price.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numeric import money_sum, as_double, money, percent_text, ratio, round_half_up, rounded_double
-from shelfwise.operators.snapshots import latest_snapshot, new_vs_carried, previous_snapshot
+from shelfwise.operators.snapshots import new_vs_carried
 from shelfwise.plans.registry import report
 from shelfwise.sources.tables import Tables
 
@@ -22,15 +22,35 @@ def customer_code(col: str):
     return F.concat(F.lit("C"), F.lpad(F.col(col).cast("string"), 9, "0"))
 
 
-def order_snapshots(t: Tables) -> DataFrame:
-    """Pattern snapshot: per (month, customer) orders, total, first and last order day."""
-    o = t.orders.filter(F.col("o_orderdate") < F.lit(COMPLETE_BEFORE).cast("timestamp"))
+def _snapshot_agg(o: DataFrame) -> DataFrame:
     return (o.groupBy(F.trunc("o_orderdate", "month").alias("snapshot"), "o_custkey")
             .agg(F.count(F.lit(1)).alias("n_orders"), money_sum("o_totalprice").alias("total"),
                  F.min("o_orderdate").cast("date").alias("start_day"),
                  F.max("o_orderdate").cast("date").alias("end_day")))
 
 
+def order_snapshots(t: Tables) -> DataFrame:
+    """Pattern snapshot: per (month, customer) orders, total, first and last order day."""
+    o = t.orders.filter(F.col("o_orderdate") < F.lit(COMPLETE_BEFORE).cast("timestamp"))
+    return _snapshot_agg(o)
+
+
+def two_latest_snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Latest and previous snapshot rows, aggregating only those two months.
+
+    The two snapshot months are read off the base column (``trunc`` is monotonic,
+    so max over orders = max over the snapshot table): two scalar subqueries,
+    then the orders are filtered to the two months before the aggregation -- the
+    rest of the history is never aggregated.
+    """
+    o = t.orders.filter(F.col("o_orderdate") < F.lit(COMPLETE_BEFORE).cast("timestamp"))
+    month = F.trunc("o_orderdate", "month")
+    latest = o.agg(F.max(month)).scalar()
+    previous = o.filter(month < latest).agg(F.max(month)).scalar()
+    snap = _snapshot_agg(o.filter((month == latest) | (month == previous)))
+    return snap.filter(F.col("snapshot") == latest), snap.filter(F.col("snapshot") == previous)
+
+
 SNAP_SQL = f"""WITH snap AS (
   SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot, o_custkey, COUNT(*) AS n_orders,
          SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total, CAST(MIN(o_orderdate) AS DATE) AS start_day,
@@ -50,8 +70,7 @@ _PCT = ("CAST(ROUND(CAST(CAST({n} AS DOUBLE) / NULLIF(CAST({d} AS DOUBLE), 0) *
 
 
 def _flagged(t: Tables) -> tuple[DataFrame, DataFrame]:
-    snap = order_snapshots(t)
-    latest, prev = latest_snapshot(snap, "snapshot"), previous_snapshot(snap, "snapshot")
+    latest, prev = two_latest_snapshots(t)
     return new_vs_carried(latest, prev, "o_custkey"), prev
 
 
@@ -144,12 +163,18 @@ def upstream_uplift(t: Tables):
     """Units bought per customer in the latest complete month vs the month before."""
     o = t.orders.filter(F.col("o_orderdate") < F.lit(COMPLETE_BEFORE).cast("timestamp")).select(
         "o_orderkey", "o_custkey", "o_orderdate")
-    u = (t.lineitem.select("l_orderkey", "l_quantity")
-         .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-         .groupBy(F.trunc("o_orderdate", "month").alias("snapshot"), "o_custkey")
-         .agg(money_sum("l_quantity").alias("units")))
-    latest = latest_snapshot(u, "snapshot")
-    prev = previous_snapshot(u, "snapshot").select(F.col("o_custkey").alias("p_cust"), F.col("units").alias("p_units"))
+    joined = (t.lineitem.select("l_orderkey", "l_quantity")
+              .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+              .withColumn("snapshot", F.trunc("o_orderdate", "month")))
+    # The two months come from the joined rows (exchange reuse shares the join with the
+    # subqueries); only those two months are aggregated.
+    last = joined.agg(F.max("snapshot")).scalar()
+    before = joined.filter(F.col("snapshot") < last).agg(F.max("snapshot")).scalar()
+    u = (joined.filter((F.col("snapshot") == last) | (F.col("snapshot") == before))
+         .groupBy("snapshot", "o_custkey").agg(money_sum("l_quantity").alias("units")))
+    latest = u.filter(F.col("snapshot") == last)
+    prev = u.filter(F.col("snapshot") == before).select(F.col("o_custkey").alias("p_cust"),
+                                                        F.col("units").alias("p_units"))
     return (latest.join(prev, F.col("o_custkey") == F.col("p_cust"), "left")
             .select("snapshot", customer_code("o_custkey").alias("customer"),
                     F.when(F.col("p_cust").isNull(), "Y").otherwise("N").alias("new_flag"),
@@ -189,7 +214,12 @@ def price_ladder(t: Tables):
     """Latest month: discount levels where the cumulative unit share (from no discount up)
     reaches 80 % while the cumulative sales share (from the deepest discount down) is
     still within 80 %."""
-    lv = (t.lineitem.groupBy(F.trunc("l_shipdate", "month").alias("snapshot_day"), money("l_discount").alias("price"))
+    # Only the latest month is reported: its start is trunc(max(ship day)), and only that
+    # month's lines are aggregated (instead of a ladder for every month).
+    li = t.lineitem
+    last_month = li.agg(F.trunc(F.max("l_shipdate"), "month")).scalar()
+    lv = (li.filter(F.col("l_shipdate") >= last_month.cast("timestamp"))
+          .groupBy(F.trunc("l_shipdate", "month").alias("snapshot_day"), money("l_discount").alias("price"))
           .agg(money_sum("l_quantity").alias("units"), money_sum("l_extendedprice").alias("sales")))
     w_all = Window.partitionBy("snapshot_day")
 
@@ -200,7 +230,7 @@ def price_ladder(t: Tables):
     ladder = (lv.select("snapshot_day", F.lit("pu").alias("type"), "price", share("units", True).alias("ratio"))
               .unionByName(lv.select("snapshot_day", F.lit("gms").alias("type"), "price",
                                      share("sales", False).alias("ratio"))))
-    cur = latest_snapshot(ladder, "snapshot_day")
+    cur = ladder
     pl = cur.filter((F.col("type") == "pu") & (F.col("ratio") >= 0.8)).select("snapshot_day", "price",
                                                                              F.col("ratio").alias("pu_ratio"))
     g = cur.filter((F.col("type") == "gms") & (F.col("ratio") <= 0.8)).select(F.col("price").alias("g_price"),
