@@ -77,7 +77,7 @@ SELECT * FROM rows WHERE comments <> ''
 """
 
 
-@report("comment_capture", covers=("R31", "S13", "S14", "J25", "J27", "M6", "F16"), oracle=COMMENT_CAPTURE_SQL, tag="HIVENDOR")
+@report("comment_capture", covers=("R31", "S13", "S14", "J25", "J27", "M6", "F16"), oracle=COMMENT_CAPTURE_SQL, tag="COMMENTS")
 def comment_capture(t: Tables):
     """Comments captured from the returned top-list tables (key and non-empty last cell)."""
     return comment_capture_rows(t)
@@ -118,7 +118,7 @@ FROM events GROUP BY 1, event_type
 """
 
 
-@report("keyword_capture", covers=("R32", "S15", "F19", "M6"), oracle=KEYWORD_CAPTURE_SQL, tag="A9")
+@report("keyword_capture", covers=("R32", "S15", "F19", "M6"), oracle=KEYWORD_CAPTURE_SQL, tag="KEYWORDS")
 def keyword_capture(t: Tables):
     """Daily keyword tables read back positionally: 'Total:' rows dropped, separators stripped."""
     from shelfwise.sources.html import keyword_table_rows
@@ -148,7 +148,7 @@ def _since(d: str):
     return F.col("l_shipdate") >= F.lit(d).cast("timestamp")
 
 
-@report("checklist_capture", covers=("R33", "S9", "T11", "M7"), tag="METADATA_SHEET", oracle=f"""
+@report("checklist_capture", covers=("R33", "S9", "T11", "M7"), tag="CHECKLIST", oracle=f"""
 WITH rows AS (
   SELECT 'B' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS asin,
          CASE WHEN l_discount = 0 THEN 'XYZ' WHEN l_linestatus = 'F' THEN 'PTS' ELSE 'ABC' END AS src,

@@ -40,7 +40,7 @@ WHERE d.units > 0
 """
 
 
-@report("product_daily_performance", covers=("R1", "A1", "A2", "A11", "J1", "J4", "F3"), oracle=R1_SQL, tag="HIASIN")
+@report("product_daily_performance", covers=("R1", "A1", "A2", "A11", "J1", "J4", "F3"), oracle=R1_SQL, tag="DAILY")
 def product_daily_performance(t: Tables):
     """Per product-day with sales: average price, sales, units, views, conversion,
     borrows and deal flag. One pass over the daily facts (conditional aggregates
@@ -77,7 +77,7 @@ ORDER BY b.onsite_date DESC
 """)
 
 
-@report("mid_band_products", covers=("R2", "J3", "P6", "P13", "L1", "A13"), oracle=R2_SQL, tag="FPB")
+@report("mid_band_products", covers=("R2", "J3", "P6", "P13", "L1", "A13"), oracle=R2_SQL, tag="MIDBAND")
 def mid_band_products(t: Tables):
     """Products with sales between 1.2M and 1.3M first sold on or after 1995-02-01."""
     band = (t.lineitem.groupBy("l_partkey")
@@ -169,7 +169,7 @@ WHERE p.p_partkey IN (SELECT k FROM cand)
 """)
 
 
-@report("new_launch_candidates", covers=("R11", "U2", "J8", "J16", "W3"), oracle=R11_SQL, tag="TPNEW")
+@report("new_launch_candidates", covers=("R11", "U2", "J8", "J16", "W3"), oracle=R11_SQL, tag="NEWLAUNCH")
 def new_launch_candidates(t: Tables):
     """Products from three candidate sources (union all, used as a set) with their latest deal."""
     li = t.lineitem
@@ -202,7 +202,7 @@ ORDER BY rank
 """)
 
 
-@report("not_launched_rank", covers=("R13", "A6", "A9", "J2", "J8", "J9", "P11", "F1", "P16"), oracle=R13_SQL, tag="PRANK")
+@report("not_launched_rank", covers=("R13", "A6", "A9", "J2", "J8", "J9", "P11", "F1", "P16"), oracle=R13_SQL, tag="NOTLAUNCHEDRANK")
 def not_launched_rank(t: Tables):
     """Products flagged in the latest pattern snapshot that are not launched, with the
     sorted list of sources that flagged them."""
@@ -298,7 +298,7 @@ ORDER BY p.p_size DESC
 """)
 
 
-@report("not_launched_status", covers=("R20", "J9", "J21", "W3", "P9", "F20", "F1", "L6"), oracle=R20_SQL, tag="NOSLIST")
+@report("not_launched_status", covers=("R20", "J9", "J21", "W3", "P9", "F20", "F1", "L6"), oracle=R20_SQL, tag="NOTLAUNCHED")
 def not_launched_status(t: Tables):
     """Not-launched products with their latest status and latest ETA comment
     (one latest-per-key aggregate per comment type, then left joins; no per-row lookups)."""

@@ -173,7 +173,7 @@ SELECT b.product, b.publisher AS band, b.title, CAST(pdr.price AS DOUBLE) AS pri
 
 
 @report("price_down_candidates", covers=("R16", "J1", "J5", "J6", "P4", "P8", "P9", "P10", "F3", "F7", "L3", "F11", "F10"),
-        oracle=PRICE_DOWN_SQL, tag="TAURUS")
+        oracle=PRICE_DOWN_SQL, tag="PRICEDOWN")
 def price_down_candidates(t: Tables):
     """Products with traffic but low conversion at a high current price, sales not rising."""
     base = _advice_base(t).filter((F.col("pu_qb") < F.lit(0.06).cast("decimal(3,2)") * F.col("gv"))
@@ -263,7 +263,7 @@ def advice_history_rows(t: Tables) -> DataFrame:
     return down.select(*_history_cols("D")).unionByName(_raise_rows(t).select(*_history_cols("R")))
 
 
-@report("advice_history", covers=("R18", "M8", "U2", "P17"), oracle=ADVICE_HISTORY_SQL, tag="TAURUSHIST")
+@report("advice_history", covers=("R18", "M8", "U2", "P17"), oracle=ADVICE_HISTORY_SQL, tag="PRICEHIST")
 def advice_history(t: Tables):
     """The day's history rows, both directions (written with ``write_day_partition``:
     re-running the day replaces only that day)."""
@@ -328,7 +328,7 @@ def price_deadlock(t: Tables):
             .select(*_deadlock_cols(), "competitor").orderBy("vm", "code"))
 
 
-@report("price_deadlock_sheet", covers=("R7", "J14", "J8", "A4"), oracle=PRICE_DEADLOCK_SHEET_SQL, tag="TPOS4")
+@report("price_deadlock_sheet", covers=("R7", "J14", "J8", "A4"), oracle=PRICE_DEADLOCK_SHEET_SQL, tag="DEADLOCKSHEET")
 def price_deadlock_sheet(t: Tables):
     """Same list without the competitor column (one row per product)."""
     base, _ = _deadlock_base(t)

@@ -91,7 +91,7 @@ ORDER BY f.new_flag DESC, total DESC
 
 
 @report("deal_strong_new_flag", covers=("R8", "W7", "P11", "P12", "J2", "J4", "J7", "J10", "J11", "U1", "F8"),
-        oracle=R8_SQL, tag="TPOS")
+        oracle=R8_SQL, tag="NEWFLAG")
 def deal_strong_new_flag(t: Tables):
     """Customers of the latest complete month, new ('Y') or carried over ('N') from the
     month before, with the deal (largest order) of their first order day."""
@@ -124,7 +124,7 @@ WHERE f.n_orders >= 2
 """
 
 
-@report("dual_high_sheet", covers=("R9", "W7", "J4", "P10", "P3"), oracle=R9_SQL, tag="TPOS2")
+@report("dual_high_sheet", covers=("R9", "W7", "J4", "P10", "P3"), oracle=R9_SQL, tag="DUALHIGH")
 def dual_high_sheet(t: Tables):
     """Latest-month customers with two or more orders: tier, average order, growth."""
     flagged, prev = _flagged(t)
@@ -158,7 +158,7 @@ FROM latest l LEFT JOIN prev p ON p.o_custkey = l.o_custkey
 """
 
 
-@report("upstream_uplift", covers=("R10", "W7", "J4", "P10", "P3", "P12"), oracle=R10_SQL, tag="TPOS3")
+@report("upstream_uplift", covers=("R10", "W7", "J4", "P10", "P3", "P12"), oracle=R10_SQL, tag="UPLIFT")
 def upstream_uplift(t: Tables):
     """Units bought per customer in the latest complete month vs the month before."""
     o = t.orders.filter(F.col("o_orderdate") < F.lit(COMPLETE_BEFORE).cast("timestamp")).select(

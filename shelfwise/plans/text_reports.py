@@ -104,7 +104,7 @@ FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """
 
 
-@report("keyword_hit_list", covers=("R24", "J12"), oracle=KEYWORD_HIT_SQL, tag="TAMPATTERN")
+@report("keyword_hit_list", covers=("R24", "J12"), oracle=KEYWORD_HIT_SQL, tag="KEYWORDHIT")
 def keyword_hit_list(t: Tables):
     """Documents containing a hot passage, whole texts compared (token pre-join + exact check)."""
     docs = spread(t.documents.select("doc_id", "lang", "source", "text"))

@@ -101,7 +101,7 @@ WHERE t.rn <= 10
 
 
 @report("top_categories_best_product", covers=("R22", "A12", "J15", "W4", "L5", "F5"),
-        oracle=_TOP_GROUPS_SQL.format(col="category", label="t.category", out="category"), tag="CATELIST")
+        oracle=_TOP_GROUPS_SQL.format(col="category", label="t.category", out="category"), tag="CATEGORIES")
 def top_categories_best_product(t: Tables):
     """Per publisher: top 10 sub-categories by sales, share in %, best product(s)."""
     return _top_groups_with_best(t, "category", F.col("category"))

@@ -100,6 +100,7 @@ def main() -> None:
         if not m:
             continue
         i, what = m.group(1), m.group(2).strip()
+        what = re.sub(r"\btam_", "", what)
         what = (what[:70] + "...") if len(what) > 73 else what
         reports = ", ".join(f"`{n}`" for n in sorted(cov.get(i, []))) or "-"
         out.append(f"| {i} | {what} | {reports} | {IMPL.get(i, 'DataFrame API in the reports listed')} | "
