@@ -18,7 +18,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.operators.ingest import clean_lines
+from shelfwise.operators.ingest import clean_lines, ddl_text, infer_schema
 from shelfwise.operators.merge import apply_mode, latest_version, write_version
 from shelfwise.operators.topn import latest_per_key
 from shelfwise.session import fs_exists, fs_write_text
@@ -66,6 +66,20 @@ def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], t
              .select("file_path", "file_name", F.col("value").alias("header"), "meta")
              .orderBy(F.col("meta.seq").asc_nulls_last(), "file_name").collect())
     written = []
+    # Unknown table: the load is skipped and a proposed table definition is written
+    # next to the tables (inferred from the whole file in one aggregate).
+    for h in heads:
+        meta = h["meta"]
+        if meta["table"] in tables:
+            continue
+        ddl_path = f"{table_root.rstrip('/')}/_unknown/{h['file_name']}.sql"
+        if fs_exists(spark, ddl_path):
+            continue
+        body = (lines.filter(F.col("file_path") == h["file_path"]).join(firsts, "file_path")
+                .filter(F.col("line_no") > F.col("_h")).select("value"))
+        schema_rows = [r.asDict() for r in infer_schema(body, h["header"].split("\t")).collect()]
+        name = f"{meta['db']}.{meta['table']}" if meta["db"] else (meta["table"] or h["file_name"])
+        fs_write_text(spark, ddl_path, ddl_text(schema_rows, name) + "\n")
     known = [h for h in heads if h["meta"]["table"] in tables]
     for n, load in enumerate(_loads(known)):
         first = load[0]
@@ -83,6 +97,8 @@ def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], t
         snap = first["meta"]["snapshot_day"]
         res = clean_lines(data.select("file_name", "line_no", "value"), first["header"].split("\t"),
                           spec["target"], snapshot_day=snap.strftime("%Y%m%d") if snap else None)
+        # Rows with a wrong field count go to the table's reject folder (with line numbers).
+        res.rejects.write.mode("overwrite").parquet(f"{table_dir}/_rejects/batch={batch_id}-load={n}")
         ordered = res.rows.withColumn("_order", F.struct(F.col("file_name"), F.col("line_no")))
         stage = latest_per_key(ordered, spec["keys"], ["_order"]).drop("_order", "file_name", "line_no")
         current = latest_version(spark, table_dir)

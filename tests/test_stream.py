@@ -65,3 +65,17 @@ def test_message_stream_once_per_message(spark, tmp_dir):
                 (3, "help", "")]
     assert run() == expected
     assert run() == expected
+
+
+def test_unknown_table_gets_ddl_and_rejects_are_kept(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "in")
+    _write(folder, "1.shop.items.20170101.txt", [("B1", "1", "a"), ("B2", "2")])            # one short row
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, "2.shop.newtab.20170101.txt"), "w") as fh:
+        fh.write("Kasin\tQty\tPrice\nB000000001\t3\t1.5\nB000000002\t4\t2\n")
+    assert _run(spark, folder, tmp_dir) == [("B1", 1, "a")]
+    ddl = open(os.path.join(tmp_dir, "tables", "_unknown", "2.shop.newtab.20170101.txt.sql")).read()
+    assert "create table shop.newtab" in ddl and "kasin char(13)" in ddl and "qty int" in ddl
+    assert "price float" in ddl and "primary key (kasin)" in ddl
+    rej = spark.read.parquet(os.path.join(tmp_dir, "tables", "items", "_rejects", "*")).collect()
+    assert [(r.line_no, r.n_fields) for r in rej] == [(3, 2)]
