@@ -6,8 +6,11 @@ only thing collected), and walks the files in name order (the optional
 sequence prefix first). Consecutive files of the same table, mode and header
 form one load: their cleansed rows are merged into the table's next version in
 one job (replace / update / truncate by the mode; duplicate keys: the last line
-wins). A marker per (batch, load) makes a replayed batch skip loads it already
-wrote (X3), so a restart after executor or driver loss does not load twice.
+wins). Rows with a wrong field count are kept in the table's ``_rejects`` folder;
+a file for an unknown table is not loaded, a proposed ``create table`` inferred
+from it is written to ``_unknown/`` instead. A marker per (batch, load) makes a
+replayed batch skip loads it already wrote (X3), so a restart after executor or
+driver loss does not load twice.
 """
 
 from __future__ import annotations
