@@ -62,6 +62,9 @@ def test_report_sink_and_day_partitions(spark, tmp_dir):
     assert glob.glob(os.path.join(path, "*.csv.gz"))
     back = spark.read.option("header", True).csv(path).first()
     assert (back.a, back.b, back.d) == ("1", None, "2017-01-05")   # NULL written blank
+    per_key = write_report(df.withColumn("promo", F.lit(3)), tmp_dir, "r2", "detail", "x", fmt="parquet",
+                           partition_by=["promo"])
+    assert os.path.isdir(os.path.join(per_key, "promo=3"))          # one folder per key from one job
     hist = os.path.join(tmp_dir, "hist")
     day1 = spark.createDataFrame([(dt.date(2017, 1, 1), "D", 1)], "ss_day date, dir string, v int")
     day2 = spark.createDataFrame([(dt.date(2017, 1, 2), "D", 2)], "ss_day date, dir string, v int")
