@@ -18,18 +18,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Tables:
-    """Lazy handle on the tables of one data folder.
+    """Lazy handle on the tables of one data folder (or one catalog database).
 
-    Each attribute is a plain ``spark.read.parquet`` DataFrame, so column
-    pruning and filter pushdown reach the scan.
+    Each attribute is a plain scan DataFrame, so column pruning and filter
+    pushdown reach it. With ``database`` the tables are read from the session
+    catalog instead (``spark.table``): on a cluster that avoids listing large
+    folders on every access and lets table statistics and partition pruning
+    inform the plans.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, database: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.database = database
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
+            if self.database:
+                return self.spark.table(f"{self.database}.{name}")
             return read_table(self.spark, self.sf_dir, name)
         raise AttributeError(name)
 

@@ -19,6 +19,7 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.checkpoint.dir", ckpt)
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="shelfwise-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
