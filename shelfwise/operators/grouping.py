@@ -32,15 +32,17 @@ def with_total_row(df: DataFrame, keys: Sequence[str], measures: dict[str, Colum
     """Per-key aggregates plus one grand-total row in a single aggregation
     (``GROUPING SETS ((keys), ())``) instead of ``q UNION SELECT sum(..) FROM (q)``.
 
-    Key columns of the total row are blank and ``label_col`` holds ``label``.
+    Key columns of the total row are blank; ``label_col`` is ``label`` there and
+    NULL on the per-key rows. (Use it where the total is the sum of the inputs;
+    where the reference totals already-rounded group values, sum the groups.)
     """
     aggs = [m.alias(n) for n, m in measures.items()]
-    grouped = df.rollup(*keys).agg(*aggs, F.grouping_id().alias("_gid"))
     full = (1 << len(keys)) - 1
-    kept = grouped.filter((F.col("_gid") == 0) | (F.col("_gid") == full))
-    out = kept
-    for k in keys:
-        out = out.withColumn(k, F.when(F.col("_gid") == full, F.lit("")).otherwise(F.col(k).cast("string")))
-    return out.withColumn(label_col, F.when(F.col("_gid") == full, F.lit(label)).otherwise(F.col(label_col))
-                          if label_col in out.columns else
-                          F.when(F.col("_gid") == full, F.lit(label))).drop("_gid")
+    grouped = (df.rollup(*keys).agg(*aggs, F.grouping_id().alias("_gid"))
+               .filter((F.col("_gid") == 0) | (F.col("_gid") == full)))
+    is_total = F.col("_gid") == full
+    out = grouped.select(
+        *[F.when(is_total, F.lit("")).otherwise(F.col(k).cast("string")).alias(k) for k in keys],
+        *measures.keys(),
+        F.when(is_total, F.lit(label)).alias(label_col))
+    return out
