@@ -91,6 +91,7 @@ def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
     * Shorter items: their longest token lies inside one token of the document,
       so the key is every substring of a distinct document token whose length is
       one of the short keys' lengths (a small set, collected).
+    * Items without any non-blank character are not keywords and match nothing.
     """
     doc_tok = (docs.select(F.col(doc_key).alias("_d"), F.explode(F.array_distinct(_tokens(F.col(doc_text)))).alias("_tok")))
 
