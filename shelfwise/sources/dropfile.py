@@ -47,10 +47,18 @@ def number_lines(raw: DataFrame) -> DataFrame:
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     lines = (raw.join(offsets, ["file_path", "block"])
              .withColumn("line_no", F.col("_off") + F.col("_id") - F.col("_first") + 1)
-             .withColumn("value", F.regexp_replace(F.regexp_replace("value", r"\r$", ""), "^\ufeff", "")))
+             .withColumn("value", clean_text(F.col("value"))))
     return lines.filter(F.col("value") != "").drop("_off", "_first", "_id", "block")
 
 
+def clean_text(value: Column) -> Column:
+    """Bytes that are not valid UTF-8 are dropped (the reference decodes with
+    errors ignored), then the CR of a CRLF ending and a leading byte-order mark go."""
+    valid = F.when(F.is_valid_utf8(value), value).otherwise(
+        F.regexp_replace(F.make_valid_utf8(value), "\ufffd", ""))
+    return F.regexp_replace(F.regexp_replace(valid, r"\r$", ""), "^\ufeff", "")
+
+
 def with_file_columns(df: DataFrame) -> DataFrame:
     return (df.select(F.col("value"),
                       F.col("_metadata.file_path").alias("file_path"),

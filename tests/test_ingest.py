@@ -65,3 +65,11 @@ def test_infer_schema(spark):
     assert got["mixed"] == ("varchar", 10, False) and got["empty"] == ("varchar", 0, False)
     ddl = ddl_text([r.asDict() for r in infer_schema(lines, header).collect()], "shop.items")
     assert "primary key (asin)" in ddl
+
+
+def test_invalid_utf8_bytes_are_dropped(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "shop.items.20170101.txt")
+    with open(path, "wb") as fh:
+        fh.write("Asin\tNote\r\n".encode() + b"B000000001\tca\xfft\xe9\r\n" + "B000000002\tcafé\r\n".encode())
+    lines = sorted(scan_lines(spark, tmp_dir).collect(), key=lambda r: r.line_no)
+    assert [r.value for r in lines] == ["Asin\tNote", "B000000001\tcat", "B000000002\tcafé"]

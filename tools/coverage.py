@@ -11,7 +11,7 @@ sys.path.insert(0, ROOT)
 
 # Where each operator lives (IDs whose main home is a library function).
 IMPL = {
-    "S1": "sources/dropfile.py scan_lines", "S2": "sources/dropfile.py number_lines (BOM strip; files read as UTF-8)",
+    "S1": "sources/dropfile.py scan_lines", "S2": "sources/dropfile.py clean_text (invalid UTF-8 bytes dropped, BOM and CR stripped)",
     "S3": "sources/dropfile.py parse_file_name", "S4": "sources/dropfile.py scan_lines(quiet_before)",
     "S5": "streaming/file_drop.py run_drop_folder", "S6": "sources/dropfile.py retention_expired; streaming markers",
     "S7": "sources/tables.py Tables", "S8": "sources/tables.py Tables.available / register_views",
