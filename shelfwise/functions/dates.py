@@ -68,3 +68,12 @@ def infer_year_month_day(text: str | Column, as_of: str) -> Column:
     year = F.when(F.abs(m.cast("int") - F.month(as_of_d)) > 6, F.year(as_of_d) + 1).otherwise(F.year(as_of_d))
     short = F.when(m != "", F.try_to_date(F.concat_ws("-", year.cast("string"), m, d), "yyyy-M-d"))
     return F.coalesce(full, short)
+
+
+def date_lit(text: str) -> Column:
+    """A DATE literal from either spelling the reports use, ``2017-01-01`` or
+    ``20170101`` (comparing a DATE column with ``'20170101'`` raises under ANSI)."""
+    t = text.strip()
+    if len(t) == 8 and t.isdigit():
+        t = f"{t[:4]}-{t[4:6]}-{t[6:]}"
+    return F.lit(_dt.date.fromisoformat(t))

@@ -57,3 +57,10 @@ def test_between_parentheses_and_split(spark):
     rows = df.select(between_parentheses("s").alias("p"), split_list("l1", "l2").alias("m")).collect()
     assert rows[0].p == "NovelShort" and rows[1].p is None
     assert rows[0].m == ["a@x.com", "b@x.com", "c@x.com"] and rows[1].m == []
+
+
+def test_date_literals_both_spellings(spark):
+    from shelfwise.functions.dates import date_lit
+    df = spark.createDataFrame([(dt.date(2017, 1, 1),), (dt.date(2016, 12, 31),)], "d date")
+    assert df.filter(F.col("d") >= date_lit("20170101")).count() == 1
+    assert df.filter(F.col("d") >= date_lit("2017-01-01")).count() == 1
