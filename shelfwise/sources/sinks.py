@@ -23,13 +23,28 @@ def sheet_ready(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
+COMPRESS_ABOVE_BYTES = 5 * 1024 * 1024   # S20: the reference compresses outputs over 5 MB
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a result (no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return COMPRESS_ABOVE_BYTES + 1
+
+
 def write_report(df: DataFrame, base: str, report: str, sheet: str, run: str, fmt: str = "csv",
-                 compress: bool = True, partition_by: Sequence[str] = ()) -> str:
-    """``<base>/run_ts=<run>/report=<r>/sheet=<s>/`` (gzip when asked).
+                 compress: bool | str = "auto", partition_by: Sequence[str] = (),
+                 compress_above: int = COMPRESS_ABOVE_BYTES) -> str:
+    """``<base>/run_ts=<run>/report=<r>/sheet=<s>/``.
 
-    ``partition_by`` gives one output folder per key (e.g. promotion and vendor,
-    S22) from a single job instead of one query per key.
+    ``compress="auto"`` gzips CSV output when the plan's size estimate is over
+    ``compress_above``; ``partition_by`` gives one output folder per key (e.g.
+    promotion and vendor, S22) from a single job instead of one query per key.
     """
+    if compress == "auto":
+        compress = estimated_bytes(df) > compress_above
     path = f"{base.rstrip('/')}/run_ts={run}/report={report}/sheet={sheet}"
     out = sheet_ready(df) if fmt == "csv" else df
     w = out.write.mode("overwrite")
