@@ -27,7 +27,7 @@ COMPRESS_ABOVE_BYTES = 5 * 1024 * 1024   # S20: the reference compresses outputs
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a result (no job is run)."""
+    """Catalyst's size estimate of a result (no job is run); unknown sizes count as large."""
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:

@@ -57,7 +57,8 @@ def test_validate_and_capture_checklist(spark):
 
 def test_report_sink_and_day_partitions(spark, tmp_dir):
     df = spark.createDataFrame([(1, None, dt.date(2017, 1, 5))], "a int, b string, d date")
-    plain = write_report(df, tmp_dir, "r0", "s0", "x")                         # small: left uncompressed
+    small = spark.range(3).select(F.col("id").alias("a"))                        # known small size estimate
+    plain = write_report(small, tmp_dir, "r0", "s0", "x")                       # small: left uncompressed
     assert glob.glob(os.path.join(plain, "*.csv")) and not glob.glob(os.path.join(plain, "*.gz"))
     path = write_report(df, tmp_dir, "r1", "s1", run_stamp(dt.datetime(2017, 1, 5, 9, 30)), compress_above=0)
     assert path.endswith("run_ts=2017-01-05-0930/report=r1/sheet=s1")
