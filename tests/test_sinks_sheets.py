@@ -152,4 +152,4 @@ def test_cli_lists_and_runs(tmp_dir, spark):
     from shelfwise.__main__ import main
     assert main(["list"]) == 0
     assert main(["run", "creation_by_month", "--data", "/root/testdata/sf0.001", "--out", tmp_dir]) == 0
-    assert glob.glob(os.path.join(tmp_dir, "run_ts=*", "report=creation_by_month", "sheet=main", "*.csv.gz"))
+    assert glob.glob(os.path.join(tmp_dir, "run_ts=*", "report=creation_by_month", "sheet=main", "*.csv*"))
