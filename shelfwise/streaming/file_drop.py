@@ -8,7 +8,9 @@ form one load: their cleansed rows are merged into the table's next version in
 one job (replace / update / truncate by the mode; duplicate keys: the last line
 wins). Rows with a wrong field count are kept in the table's ``_rejects`` folder;
 a file for an unknown table is not loaded, a proposed ``create table`` inferred
-from it is written to ``_unknown/`` instead. A marker per (batch, load) makes a
+from it is written to ``_unknown/`` instead; a load that fails (e.g. a header
+sharing no column with its table) is recorded in ``_failed/`` with its error and
+the other loads go on. A marker per (batch, load) makes a
 replayed batch skip loads it already wrote (X3), so a restart after executor or
 driver loss does not load twice.
 """
@@ -92,26 +94,30 @@ def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], t
         marker = f"{table_dir}/_loads/batch={batch_id}-load={n}.json"
         if fs_exists(spark, marker):
             continue
-        paths = [h["file_path"] for h in load]
-        data = (lines.filter(F.col("file_path").isin(paths))
-                .join(firsts, "file_path").filter(F.col("line_no") > F.col("_h"))
-                .select("file_name", "line_no", "value",
-                        F.col("meta.seq").alias("_seq"), F.col("meta.snapshot_day").alias("_snap")))
-        snap = first["meta"]["snapshot_day"]
-        res = clean_lines(data.select("file_name", "line_no", "value"), first["header"].split("\t"),
-                          spec["target"], snapshot_day=snap.strftime("%Y%m%d") if snap else None)
-        # Rows with a wrong field count go to the table's reject folder (with line numbers).
-        res.rejects.write.mode("overwrite").parquet(f"{table_dir}/_rejects/batch={batch_id}-load={n}")
-        ordered = res.rows.withColumn("_order", F.struct(F.col("file_name"), F.col("line_no")))
-        stage = latest_per_key(ordered, spec["keys"], ["_order"]).drop("_order", "file_name", "line_no")
-        current = latest_version(spark, table_dir)
-        if current is None:
-            merged, version = stage, 1
-        else:
-            merged = apply_mode(spark.read.parquet(current), stage, spec["keys"], mode)
-            version = int(current.rsplit("v=", 1)[1]) + 1
-        written.append(write_version(merged, table_dir, version))
-        fs_write_text(spark, marker, json.dumps({"version": version, "files": [h["file_name"] for h in load]}))
+        try:
+            paths = [h["file_path"] for h in load]
+            data = (lines.filter(F.col("file_path").isin(paths))
+                    .join(firsts, "file_path").filter(F.col("line_no") > F.col("_h"))
+                    .select("file_name", "line_no", "value",
+                            F.col("meta.seq").alias("_seq"), F.col("meta.snapshot_day").alias("_snap")))
+            snap = first["meta"]["snapshot_day"]
+            res = clean_lines(data.select("file_name", "line_no", "value"), first["header"].split("\t"),
+                              spec["target"], snapshot_day=snap.strftime("%Y%m%d") if snap else None)
+            # Rows with a wrong field count go to the table's reject folder (with line numbers).
+            res.rejects.write.mode("overwrite").parquet(f"{table_dir}/_rejects/batch={batch_id}-load={n}")
+            ordered = res.rows.withColumn("_order", F.struct(F.col("file_name"), F.col("line_no")))
+            stage = latest_per_key(ordered, spec["keys"], ["_order"]).drop("_order", "file_name", "line_no")
+            current = latest_version(spark, table_dir)
+            if current is None:   # a new table: merge into an empty one (an 'upd' load inserts nothing)
+                target, version = spark.createDataFrame([], stage.schema), 1
+            else:
+                target, version = spark.read.parquet(current), int(current.rsplit("v=", 1)[1]) + 1
+            merged = apply_mode(target, stage, spec["keys"], mode)
+            written.append(write_version(merged, table_dir, version))
+            fs_write_text(spark, marker, json.dumps({"version": version, "files": [h["file_name"] for h in load]}))
+        except Exception as exc:  # S6: a bad file does not stop the folder; it is set aside with its error
+            fs_write_text(spark, f"{table_root.rstrip('/')}/_failed/batch={batch_id}-load={n}.json",
+                          json.dumps({"files": [h["file_name"] for h in load], "error": str(exc)[:2000]}))
     lines.unpersist()
     return written
 

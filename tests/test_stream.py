@@ -1,3 +1,4 @@
+import glob
 import os
 
 from shelfwise.operators.merge import latest_version
@@ -79,3 +80,17 @@ def test_unknown_table_gets_ddl_and_rejects_are_kept(spark, tmp_dir):
     assert "price float" in ddl and "primary key (kasin)" in ddl
     rej = spark.read.parquet(os.path.join(tmp_dir, "tables", "items", "_rejects", "*")).collect()
     assert [(r.line_no, r.n_fields) for r in rej] == [(3, 2)]
+
+
+def test_failed_load_is_recorded_and_others_go_on(spark, tmp_dir):
+    import json
+    folder = os.path.join(tmp_dir, "in")
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, "1.shop.items.20170101.txt"), "w") as fh:
+        fh.write("Foo\tBar\nx\ty\n")                                             # shares no column with items
+    _write(folder, "2.shop.items.20170102.upd", [("B1", "1", "a")])             # different header/mode: own load
+    _write(folder, "3.shop.items.20170103.txt", [("B7", "7", "g")])
+    assert _run(spark, folder, tmp_dir) == [("B7", 7, "g")]
+    failed = [json.load(open(p)) for p in glob.glob(os.path.join(tmp_dir, "tables", "_failed", "*.json"))]
+    assert [f["files"] for f in failed] == [["1.shop.items.20170101.txt"]]
+    assert "no column" in failed[0]["error"]

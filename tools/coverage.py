@@ -13,14 +13,14 @@ sys.path.insert(0, ROOT)
 IMPL = {
     "S1": "sources/dropfile.py scan_lines", "S2": "sources/dropfile.py clean_text (invalid UTF-8 bytes dropped, BOM and CR stripped)",
     "S3": "sources/dropfile.py parse_file_name", "S4": "sources/dropfile.py scan_lines(quiet_before)",
-    "S5": "streaming/file_drop.py run_drop_folder", "S6": "sources/dropfile.py retention_expired; streaming markers",
+    "S5": "streaming/file_drop.py run_drop_folder", "S6": "streaming/file_drop.py (archive option, _failed records); dropfile.retention_expired",
     "S7": "sources/tables.py Tables", "S8": "sources/tables.py Tables.available / register_views",
     "S9": "operators/sheets.py bind_sheet", "S10": "operators/sheets.py resolve_columns / resolve_positions",
     "S11": "plans/billing.py promotion_config", "S12": "sources/dropfile.py newest_file_of_newest_dir",
     "S13": "sources/html.py html_table_rows (mapInPandas)", "S14": "sources/html.py html_table_rows(status_header)",
     "S15": "sources/html.py keyword_table_rows", "S16": "sources/html.py html_to_text",
     "S17": "plans/access_reports.py _messages", "S18": "sources/sinks.py sheet_ready / write_report",
-    "S19": "operators/topn.py row_numbered", "S20": "sources/sinks.py write_report(compress)",
+    "S19": "operators/topn.py row_numbered", "S20": "sources/sinks.py write_report(compress=auto, plan size estimate)",
     "S21": "sources/sinks.py run_stamp", "S22": "sources/sinks.py write_report(partition_by)",
     "S23": "sources/sinks.py append_audit", "S24": "sources/sinks.py export_tables / expired_exports",
     "T1": "operators/ingest.py normalize_header", "T2": "operators/ingest.py bind_columns",
@@ -61,7 +61,7 @@ IMPL = {
 }
 TESTS = {
     "S1": "test_ingest", "S2": "test_ingest", "S3": "test_ingest", "S4": "test_sinks_sheets", "S5": "test_stream",
-    "S6": "test_sinks_sheets", "S9": "test_sinks_sheets", "S10": "test_sinks_sheets", "S12": "test_sinks_sheets",
+    "S6": "test_stream, test_sinks_sheets", "S9": "test_sinks_sheets", "S10": "test_sinks_sheets", "S12": "test_sinks_sheets",
     "S13": "test_html", "S14": "test_html", "S15": "test_html", "S18": "test_sinks_sheets", "S20": "test_sinks_sheets",
     "S21": "test_sinks_sheets", "S24": "test_sinks_sheets", "T1": "test_ingest", "T3": "test_ingest", "T4": "test_ingest",
     "T5": "test_ingest", "T6": "test_ingest", "T7a": "test_cleansing", "T7b": "test_cleansing", "T7c": "test_cleansing",
