@@ -105,7 +105,9 @@ def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], t
                               spec["target"], snapshot_day=snap.strftime("%Y%m%d") if snap else None)
             # Rows with a wrong field count go to the table's reject folder (with line numbers).
             res.rejects.write.mode("overwrite").parquet(f"{table_dir}/_rejects/batch={batch_id}-load={n}")
-            ordered = res.rows.withColumn("_order", F.struct(F.col("file_name"), F.col("line_no")))
+            # Last line wins across the load's files in sequence order (10 after 2), then by line.
+            seq = F.coalesce(parse_file_name(F.col("file_name")).getField("seq"), F.lit(0).cast("bigint"))
+            ordered = res.rows.withColumn("_order", F.struct(seq.alias("s"), F.col("file_name"), F.col("line_no")))
             stage = latest_per_key(ordered, spec["keys"], ["_order"]).drop("_order", "file_name", "line_no")
             current = latest_version(spark, table_dir)
             if current is None:   # a new table: merge into an empty one (an 'upd' load inserts nothing)

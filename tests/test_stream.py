@@ -94,3 +94,10 @@ def test_failed_load_is_recorded_and_others_go_on(spark, tmp_dir):
     failed = [json.load(open(p)) for p in glob.glob(os.path.join(tmp_dir, "tables", "_failed", "*.json"))]
     assert [f["files"] for f in failed] == [["1.shop.items.20170101.txt"]]
     assert "no column" in failed[0]["error"]
+
+
+def test_duplicate_keys_last_file_in_sequence_wins(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "in")
+    _write(folder, "2.shop.items.20170101.txt", [("B1", "2", "from2"), ("B2", "2", "x")])
+    _write(folder, "10.shop.items.20170101.txt", [("B1", "10", "from10")])
+    assert _run(spark, folder, tmp_dir) == [("B1", 10, "from10"), ("B2", 2, "x")]
