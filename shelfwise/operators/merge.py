@@ -31,7 +31,12 @@ def update_by_key(target: DataFrame, stage: DataFrame, keys: Sequence[str]) -> D
     """M3 (``upd``): for matching keys, overwrite the non-key columns present in the stage
     (a NULL in the stage overwrites); unmatched stage rows are not inserted."""
     upd_cols = [c for c in stage.columns if c not in keys and c in target.columns]
-    s = stage.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in upd_cols]).withColumn("_hit", F.lit(True))
+    # One staged row per key (as an UPDATE ... JOIN touches each target row once): a key
+    # staged twice must not duplicate target rows. Callers that know the line order
+    # resolve duplicates first (last line wins); otherwise the pick is the max row.
+    picked = stage.groupBy(*keys).agg(F.max(F.struct(*[F.col(c) for c in upd_cols])).alias("_v")) if upd_cols         else stage.select(*keys).distinct()
+    s = (picked.select(*keys, *[F.col(f"_v.{c}").alias(f"_s_{c}") for c in upd_cols])
+         .withColumn("_hit", F.lit(True)))
     joined = target.join(s, list(keys), "left")
     out = [F.when(F.col("_hit"), F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in upd_cols else F.col(c)
            for c in target.columns]

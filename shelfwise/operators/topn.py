@@ -89,7 +89,9 @@ def priority_first(df: DataFrame, keys: Sequence[str], priority_col: str,
     struct(priority, tie_break...): the smallest priority, then earliest tie-break.
     """
     rest = [c for c in df.columns if c not in keys and c not in (priority_col, *tie_break)]
-    packed = F.min(F.struct(F.col(priority_col), *[F.col(c) for c in tie_break],
+    # A missing priority ranks last (NULL would otherwise sort first in a struct minimum).
+    rank = F.coalesce(F.col(priority_col).cast("bigint"), F.lit(2 ** 62).cast("bigint")).alias("_rank")
+    packed = F.min(F.struct(rank, *[F.col(c) for c in tie_break], F.col(priority_col),
                             *[F.col(c) for c in rest])).alias("_w")
     out = df.groupBy(*keys).agg(packed)
     return out.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in [priority_col, *tie_break, *rest]])

@@ -45,3 +45,10 @@ def test_diff_merge(spark):
     out = diff_merge(cur, stg, "k", ["s", "c"], src_col="src")
     got = sorted((r.k, r.src) for r in out.collect())
     assert got == [(1, "current"), (2, "staged"), (3, "current"), (9, "staged")]
+
+
+def test_update_with_duplicate_staged_keys_keeps_one_row(spark):
+    t, _ = _frames(spark)
+    s = spark.createDataFrame([(2, "a", 1.0), (2, "b", 2.0)], SCHEMA)
+    out = _rows(update_by_key(t, s, ["k"]))
+    assert len(out) == 4 and out[1] == (2, "b", 2.0)

@@ -35,7 +35,8 @@ def test_latest_per_key(spark):
 
 def test_priority_first(spark):
     df = spark.createDataFrame([(1, 3, "2017-01-01", "w"), (1, 1, "2017-02-01", "c"), (1, 1, "2017-01-15", "c0"),
-                                (2, 2, "2017-01-01", "d")], "k int, prio int, day string, src string")
+                                (2, 2, "2017-01-01", "d"), (2, None, "2016-01-01", "n")],
+                               "k int, prio int, day string, src string")
     got = {r.k: r.src for r in priority_first(df, ["k"], "prio", ["day"]).collect()}
     assert got == {1: "c0", 2: "d"}
 
