@@ -73,3 +73,20 @@ def test_invalid_utf8_bytes_are_dropped(spark, tmp_dir):
         fh.write("Asin\tNote\r\n".encode() + b"B000000001\tca\xfft\xe9\r\n" + "B000000002\tcafé\r\n".encode())
     lines = sorted(scan_lines(spark, tmp_dir).collect(), key=lambda r: r.line_no)
     assert [r.value for r in lines] == ["Asin\tNote", "B000000001\tcat", "B000000002\tcafé"]
+
+
+def test_line_numbers_exact_across_file_splits(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "big.txt")
+    with open(path, "w") as fh:
+        fh.write("".join(f"line {i:05d} " + "x" * (i % 17) + "\n" for i in range(1, 3001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        raw = spark.read.text(tmp_dir)
+        assert raw.rdd.getNumPartitions() > 5                       # the file really is split
+        lines = scan_lines(spark, tmp_dir).select("line_no", "value").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {r.line_no: r.value for r in lines}
+    assert len(got) == 3000
+    assert all(got[i].startswith(f"line {i:05d} ") for i in range(1, 3001))
