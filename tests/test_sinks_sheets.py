@@ -153,3 +153,16 @@ def test_cli_lists_and_runs(tmp_dir, spark):
     assert main(["list"]) == 0
     assert main(["run", "creation_by_month", "--data", "/root/testdata/sf0.001", "--out", tmp_dir]) == 0
     assert glob.glob(os.path.join(tmp_dir, "run_ts=*", "report=creation_by_month", "sheet=main", "*.csv*"))
+
+
+def test_routing_first_tag_wins_and_sender_lists(spark):
+    from shelfwise.plans.access_reports import allowed_senders, route
+    routes = (("top", "r_top"), ("price", "r_price"))
+    df = spark.createDataFrame([("Price and TOP list",), ("nothing",), ("new PRICE",)], "s string")
+    assert [r[0] for r in df.select(route(F.col("s"), routes, "help")).collect()] == ["r_top", "help", "r_price"]
+    msgs = spark.createDataFrame([(1, "A@X.com", "P1"), (2, "b@x.com", "P1"), (3, "c@x.com", "P2")],
+                                 "msgid int, sender string, pub string")
+    lists = spark.createDataFrame([("P1", "a@x.com; d@x.com", "e@x.com"), ("P2", "", "c@x.com,")],
+                                  "pub string, to_list string, cc string")
+    got = sorted(r.msgid for r in allowed_senders(msgs, "sender", lists, "pub", ("to_list", "cc"), "pub").collect())
+    assert got == [1, 3]

@@ -76,6 +76,7 @@ TESTS = {
     "F25": "test_sinks_sheets", "F26": "test_functions", "F28": "test_sinks_sheets", "F29": "test_sinks_sheets",
     "R27a": "test_billing", "R27b": "test_billing", "R27c": "test_billing", "R32": "test_html", "R33": "test_sinks_sheets",
     "X1": "test_stream", "X2": "test_stream", "X3": "test_stream", "P14": "test_sinks_sheets",
+    "J24": "test_sinks_sheets", "J25": "test_sinks_sheets",
     "W1": "test_entry (menu)", "A7": "test_topn", "L4": "oracle", 
 }
 
