@@ -11,8 +11,8 @@ from shelfwise.session import checkpoint_dir
 
 #: A word, after A-Z are lower-cased: a run of digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What stands between two words.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in a text as it stands, before A-Z are lower-cased.
+WORD_ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,10 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import checkpointed, lower_ascii, pinned, table, words
-
-#: A word of the text as it stands, before A-Z are lower-cased.
-WORD_ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+from shelfwise.llm.common import WORD_ANY, checkpointed, lower_ascii, pinned, table, words
 
 #: Windows held in the plan at most: about 100 bytes each.
 MAX_BROADCAST = 20_000
