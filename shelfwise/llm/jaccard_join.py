@@ -217,12 +217,12 @@ def similar_texts(docs: DataFrame, n: int = N, threshold: str = THRESHOLD, recal
     counts = verified.filter(F.col("other").isNull()).groupBy("class").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
     found = checkpointed(found.withColumnRenamed("node", "class"))
     first = found.join(classes, "class").groupBy("component").agg(F.min("who").alias("first"))
-    per_class = (
-        classes.join(found, "class", "left").join(first, "component", "left").join(counts, "class", "left")
-        .select("class", F.col("who.doc_id").alias("class_id"),
-                (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                F.coalesce("class_links", F.lit(0)).alias("n_class_links"), F.coalesce("first", "who").alias("first"))
-    )
+    linked = (classes.select("class", "who", "n").join(found, "class").join(first, "component").join(counts, "class")
+              .select("class", "who", (F.col("links") + F.col("n") - 1).alias("n_links"), F.col("class_links").alias("n_class_links"), "first"))
+    # Classes without a link are not joined on a component: its null would be one key.
+    lone = classes.join(found, "class", "left_anti").select(
+        "class", "who", (F.col("n") - 1).alias("n_links"), F.lit(0).cast("long").alias("n_class_links"), F.col("who").alias("first"))
+    per_class = linked.unionByName(lone).withColumn("class_id", F.col("who.doc_id")).drop("who")
     together = features.filter(F.col("class").isNotNull()).select("doc_id", "text_key", "class").join(per_class, "class").select(
         "doc_id", "text_key", "class_id", "n_links", "n_class_links", F.col("first.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"))
