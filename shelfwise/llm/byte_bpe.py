@@ -31,7 +31,7 @@ from shelfwise.llm.common import table
 #: Characters in a chunk, and how far it runs into the next one.
 CHUNK, OVERLAP = 32_768, 1_024
 #: Encoded pieces that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 #: Rows in an outgoing batch.
 BATCH = 256
 
@@ -87,19 +87,12 @@ def _stitched(chunks: list[tuple[int, str, list[int]]], find) -> tuple[str, list
     return "".join(parts), starts
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
-           chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``keep`` columns, n_tokens (long) and ids (binary) of every row of ``docs``."""
-    kept = [F.col(c) for c in keep]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*kept, text.alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) if keep else ""
-    out = f"{schema}{', ' if keep else ''}n_tokens bigint, ids binary"
-    width = len(keep)
-
-    def short(batches):
+def _short(ranks_path: str, pattern: str, keep: tuple[str, ...]):
+    """Whole texts, after the ``keep`` columns, to their ids."""
+
+    def run(batches):
         pattern_, encoded = _encoder(ranks_path, pattern)
-        find, get = pattern_.findall, encoded.__getitem__
+        find, get, width = pattern_.findall, encoded.__getitem__, len(keep)
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)
@@ -108,7 +101,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                     [*part.columns[:width], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=[*keep, "n_tokens", "ids"])
 
-    def starts(batches):
+    return run
+
+
+def _starts(pattern: str):
+    """Chunks to the starts of their own pre-tokens."""
+
+    def run(batches):
         import regex
 
         find = regex.compile(pattern).finditer
@@ -117,9 +116,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int32()))],
                                              names=[*batch.schema.names, "_starts"])
 
+    return run
+
+
+def _stitch(ranks_path: str, pattern: str, keep: tuple[str, ...]):
+    """The chunks of one text to its ids."""
     made = []  # one encoder for all groups of a task
 
-    def stitch(group):
+    def run(group):
         if not made:
             made.append(_encoder(ranks_path, pattern))
         pattern_, encoded = made[0]
@@ -130,6 +134,36 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         return pa.table([*(group.column(c).slice(0, 1) for c in keep), pa.array([len(ids) // 4], pa.int64()),
                          pa.array([ids], pa.binary())], names=[*keep, "n_tokens", "ids"])
 
+    return run
+
+
+def _raw_bytes(ranks_path: str, ids_col: str = "ids"):
+    """Batches with ids to the same with ``decoded``: the raw bytes of each row's ids, joined."""
+
+    def run(batches):
+        import numpy as np
+
+        token = {rank: raw for raw, rank in read_ranks(ranks_path).items()}.__getitem__
+        for batch in batches:
+            raw = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist()))
+                   for x in batch.column(ids_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "decoded"])
+
+    return run
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+           chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """``keep`` columns, n_tokens (long) and ids (binary) of every row of ``docs``; with ``decoded``, the ids are
+    decoded again in the same task."""
+    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+    out = f"{schema}n_tokens bigint, ids binary{', decoded binary' * decoded}"
+    short, stitch = _short(ranks_path, pattern, keep), _stitch(ranks_path, pattern, keep)
+    if decoded:
+        back, ids_of, ids_of_group = _raw_bytes(ranks_path), short, stitch
+        short = lambda batches: back(ids_of(batches))
+        stitch = lambda group: pa.Table.from_batches(back(ids_of_group(group).combine_chunks().to_batches()))
     one = rows.filter(F.length("_text") <= chunk).mapInArrow(short, out)
     cut = (
         rows.withColumn("_row", F.monotonically_increasing_id()).filter(F.length("_text") > chunk)
@@ -138,30 +172,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     )
     cut_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
     # The chunks of one document, which was one row of the input, meet in one group.
-    many = (cut.mapInArrow(starts, f"{cut_schema}, _starts array<int>")
-            .groupBy("_row").applyInArrow(stitch, out))
+    many = cut.mapInArrow(_starts(pattern), f"{cut_schema}, _starts array<int>").groupBy("_row").applyInArrow(stitch, out)
     return one.unionByName(many)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the raw bytes of its ids."""
-    names = encoded.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-
-    def back(batches):
-        import numpy as np
-
-        token = {rank: raw for raw, rank in read_ranks(ranks_path).items()}.__getitem__
-        for batch in batches:
-            ids = batch.column(names.index(ids_col)).to_pylist()
-            raw = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*names, "decoded"])
-
-    return encoded.mapInArrow(back, f"{schema}, decoded binary")
+    return encoded.mapInArrow(_raw_bytes(ranks_path, ids_col), f"{schema}, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, **chunks) -> DataFrame:
-    both = decode(encode(docs, ranks_path, pattern, **chunks), ranks_path)
+    both = encode(docs, ranks_path, pattern, decoded=True, **chunks)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
