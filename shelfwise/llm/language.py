@@ -29,6 +29,7 @@ from shelfwise.llm.common import table
 WINDOW, HIDDEN, TOGETHER = 64, 8, 1_024
 #: The training sample: documents of each language, and characters of each.
 PER_LANGUAGE, STRETCH = 256, 512
+SLICES = 64
 #: Training: steps, windows in a step, learning rate, seed.
 STEPS, PER_STEP, RATE, SEED = 160, 128, 0.02, 11
 
@@ -42,13 +43,15 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, stretch: int = STRETCH) -> list[tuple[str, str]]:
     """(lang, text) of at most ``per_language`` labelled rows of each language, in a fixed order."""
-    order = W.partitionBy("lang").orderBy("h", "doc_id", "piece")
+    by = ["h", "doc_id", "piece"]
     rows = (
         docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"),
                 # A stretch from anywhere in the text.
                 F.expr(f"substring(text, 1 + CAST(pmod(xxhash64(CAST(doc_id AS STRING), 7), greatest(1, length(text) - {stretch})) AS INT), {stretch})").alias("piece"))
-        .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+        # First in slices of a language, so that no task gets what every task holds of a frequent one.
+        .withColumn("n", F.row_number().over(W.partitionBy("lang", F.pmod("h", F.lit(SLICES))).orderBy(*by))).filter(F.col("n") <= per_language)
+        .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(*by))).filter(F.col("n") <= per_language)
     )
     return sorted((r["lang"], r["piece"]) for r in rows.select("lang", "piece").collect())
 
