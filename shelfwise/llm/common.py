@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of finished steps.
+
+    It does so once the driver's garbage collector finds them unreferenced, which an idle driver may put off
+    for half an hour; jobs of many steps would hold them all on the executors' disks till then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a costly column that is computed once per row.
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import checkpointed
+from shelfwise.llm.common import checkpointed, release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,17 +25,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or state["n"] == 0:
             break
         before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        edges = checkpointed(small)
+        edges = checkpointed(_round(edges))
+        release(edges.sparkSession)
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
+def _round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step on edges (u, v) with u > v."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    return (large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+
+
 def block_pairs(members: DataFrame, group: list[str], key: str, blocks: Column) -> DataFrame:
     """``members`` with ``bi``, ``bj`` and ``own``: a group of ``blocks`` > 1 is cut into blocks by a hash of ``key``, and
     every pair of blocks (bi <= bj) is a group of its own, holding both; a row belongs to its block ``own``."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import WORD_ANY, checkpointed, lower_ascii, table, words
+from shelfwise.llm.common import WORD_ANY, checkpointed, lower_ascii, release, table, words
 from shelfwise.llm.graph import Forest, block_pairs, components, in_groups
 
 N, THRESHOLD = 5, "0.8"
@@ -199,6 +199,8 @@ def similar_texts(docs: DataFrame, n: int = N, threshold: str = THRESHOLD, recal
     candidates = in_groups(blocks.select("tree", "node", "bi", "bj", "own", "label", "class", "signature"),
                            ["tree", "node", "bi", "bj"], ["label"], _agreeing(AGREE), "a binary, b binary")
     grouped = checkpointed(components(candidates)).select(F.col("node").alias("class"), F.col("component").alias("grp"))
+    del nodes, shared, entries, blocks, candidates
+    release(docs.sparkSession)
 
     # The texts of the candidates' classes, one text each; all others end at this join.
     sizes = (grouped.join(classes, "class").groupBy("grp")
@@ -213,9 +215,13 @@ def similar_texts(docs: DataFrame, n: int = N, threshold: str = THRESHOLD, recal
     verified = checkpointed(in_groups(sets, ["grp", "bi", "bj"], ["class"], _verified(n, share),
                                       "class binary, links bigint, class_links bigint, other binary"))
 
+    del texts, parts, sets, chosen, sizes
+    release(docs.sparkSession)
+
     found = components(verified.filter(F.col("other").isNotNull()).select(F.col("class").alias("a"), F.col("other").alias("b")))
     counts = verified.filter(F.col("other").isNull()).groupBy("class").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
     found = checkpointed(found.withColumnRenamed("node", "class"))
+    release(docs.sparkSession)
     first = found.join(classes, "class").groupBy("component").agg(F.min("who").alias("first"))
     linked = (classes.select("class", "who", "n").join(found, "class").join(first, "component").join(counts, "class")
               .select("class", "who", (F.col("links") + F.col("n") - 1).alias("n_links"), F.col("class_links").alias("n_class_links"), "first"))
