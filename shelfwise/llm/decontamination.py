@@ -89,9 +89,10 @@ def _joined(scanned: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``docs`` with ``_w`` (lower-cased words), ``_hits`` (verified windows: s, e, win), ``_n_words`` and ``_n_hit``."""
+    """Per row of ``docs``: ``_row`` (all its columns), ``_w`` (lower-cased words), ``_hits`` (verified windows: s, e, win),
+    ``_n_words`` and ``_n_hit``."""
     windows = benchmark_windows(benchmark, n)
-    scanned = pinned(docs, "w", words(lower_ascii(F.col("text"))))
+    scanned = pinned(docs.select(F.struct(*docs.columns).alias("_row")), "w", words(lower_ascii(F.col("_row.text"))))
     small = windows.select("win").distinct().count() <= max_broadcast
     found = _lookup(scanned, windows) if small else _joined(scanned, windows)
     return found.withColumns({
@@ -117,21 +118,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, remove: st
     after it cut out of the texts. Columns stay as they are."""
     marked = mark(docs, benchmark, n, max_broadcast)
     if remove == "documents":
-        return marked.filter(~contaminated()).select(*docs.columns)
+        return marked.filter(~contaminated()).select("_row.*")
     cut = F.expr(f"""concat(element_at(_gaps, 1), array_join(transform(
         filter(sequence(1, size(_w)), i -> NOT exists(_hits, h -> i > h.s AND i <= h.e)),
         i -> concat(_raw[i - 1], _gaps[i])), ''))""")
-    pieces = marked.withColumns({"_gaps": F.split("text", WORD_ANY, -1),
-                                 "_raw": F.regexp_extract_all("text", F.lit(f"({WORD_ANY})"), F.lit(1))})
-    text = F.when(F.col("_n_hit") > 0, cut).otherwise(F.col("text"))
-    return pieces.withColumn("text", text).select(*docs.columns)
+    pieces = marked.withColumns({"_gaps": F.split("_row.text", WORD_ANY, -1),
+                                 "_raw": F.regexp_extract_all("_row.text", F.lit(f"({WORD_ANY})"), F.lit(1))})
+    text = F.when(F.col("_n_hit") > 0, cut).otherwise(F.col("_row.text"))
+    return pieces.withColumn("_text", text).select(*(F.col("_text").alias("text") if c == "text" else f"_row.`{c}`" for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     # Written once: the texts are scanned once, and both sides of the join read narrow rows.
     marked = checkpointed(mark(docs.select("doc_id", "text"), benchmark).select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), contaminated().alias("contaminated"),
+        "_row.doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), contaminated().alias("contaminated"),
         F.array_sort(F.array_distinct(F.col("_hits.win"))).alias("wins"))
         .withColumn("set_key", F.sha2(F.concat_ws("\n", "wins"), 256)))
     # The items follow from the set of windows found: each distinct set is looked up once.

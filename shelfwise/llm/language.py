@@ -208,6 +208,7 @@ def pooled(net: Network, texts: list[bytes], n_out: int):
 
 def predict(docs: DataFrame, languages: list[str], net: Network | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the pooled probability of the predicted language)."""
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

@@ -13,7 +13,7 @@ Beside the rules, the base phrases are counted at all their places.
 
 All work is done on arrays in the document's own row: no shuffle, no Python. Defined
 cases: null and empty texts have no words and no labels; repeated documents are scanned
-row by row; an empty table gives an empty result; other columns are kept by ``detect``.
+row by row; an empty table gives an empty result; other columns are kept by ``detect`` unless it names its own like them.
 """
 
 from __future__ import annotations
@@ -184,13 +184,14 @@ def detect(docs: DataFrame, text_col: str = "text", rule_table: list[dict] | Non
     table_ = rule_table or rules()
     keywords = sorted({g for r in table_ for g in r["gate"]} | {p for b in BASE for p in b.split(" ")} | {"licence"})
     held = f"array_intersect(w, array({','.join(repr(k) for k in keywords)}))"
-    scanned = pinned(docs, "w", words(lower_ascii(F.col(text_col))))
+    scanned = pinned(docs.select(F.struct(*docs.columns).alias("_row")), "w", words(lower_ascii(F.col("_row").getField(text_col))))
     keyed = pinned(scanned, "_keys", F.expr(f"transform(array({held}), k -> IF(array_contains(k, 'licence'), array_union(k, array('license')), k))[0]"))
     gated = pinned(keyed, "norm", F.expr("IF(size(_keys) > 0, array_join(w, ' '), '')"))
     found = pinned(gated, "_all", F.expr(_detections(table_)))
     base = ",".join(f"struct('{label}' AS label, {_base_places(phrase)} AS places)" for phrase, label in BASE.items())
     return pinned(found, "base", F.expr(f"array({base})")).withColumns(
-        {"n_words": F.size("w").cast("long"), "detections": F.expr(_RESOLVED)}).drop("w", "_keys", "norm", "_all")
+        {"n_words": F.size("w").cast("long"), "detections": F.expr(_RESOLVED)}).select(
+        *(f"_row.`{c}`" for c in docs.columns if c not in ("n_words", "base", "detections")), "n_words", "base", "detections")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
