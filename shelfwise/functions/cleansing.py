@@ -37,8 +37,7 @@ def parse_date(col: str | Column) -> Column:
                                             F.regexp_extract(s, r"(\d{2})$", 1)), "d-MMM-yyyy")
         else:
             parsed = F.try_to_date(s, fmt)
-        branch = F.when(s.rlike(pattern), parsed)
-        out = branch if out is None else out.when(s.rlike(pattern), parsed)
+        out = F.when(s.rlike(pattern), parsed) if out is None else out.when(s.rlike(pattern), parsed)
     return out
 
 
@@ -53,7 +52,8 @@ def parse_number(col: str | Column) -> Column:
     pct = F.regexp_extract(s, PERCENT_RE, 1)
     plain = F.when(~s.contains("%"), s.try_cast("double"))
     return (F.when(pct != "", pct.try_cast("double") * F.lit(0.01))
-            .otherwise(F.round(plain.cast("decimal(38,12)"), 10).cast("double")))
+            # Beyond the decimal's range there are no places to round: the double stands as it is.
+            .otherwise(F.coalesce(F.round(plain.try_cast("decimal(38,12)"), 10).cast("double"), plain)))
 
 
 def rate_value(col: str | Column) -> Column:

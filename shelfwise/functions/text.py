@@ -105,3 +105,14 @@ def key_summary(values: Column, limit: int = 250) -> Column:
 def link(key: str | Column, title: str | Column, base: str = "https://catalog.example/item/") -> Column:
     """link text built from key and title."""
     return F.concat(F.lit(base), _c(key), F.lit("#"), _c(title))
+
+
+def zero_padded(col: str | Column, width: int) -> Column:
+    """A number's digits, filled up with zeros to ``width``; longer numbers keep all their digits."""
+    digits = (F.col(col) if isinstance(col, str) else col).cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+
+
+def zero_padded_sql(expr: str, width: int) -> str:
+    """DuckDB twin of ``zero_padded``."""
+    return f"CASE WHEN length(CAST({expr} AS VARCHAR)) >= {width} THEN CAST({expr} AS VARCHAR) ELSE right(repeat('0', {width}) || CAST({expr} AS VARCHAR), {width}) END"

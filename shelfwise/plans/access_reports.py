@@ -113,7 +113,7 @@ def entitled(t: Tables, audiences=AUDIENCES) -> DataFrame:
     """(usr, report) allowed when the audience has 'all', names the user, or names
     one of the user's groups. The grant table is a bounded configuration (broadcast)."""
     u = users(t).select("usr", "grp")
-    grants = F.broadcast(grants_frame(t, audiences))
+    grants = grants_frame(t, audiences)
     everyone = [r for r, ps in audiences if "all" in ps]
     parts = []
     if everyone:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import zero_padded
 from shelfwise.functions.cleansing import rate_value
 from shelfwise.functions.numeric import as_double, cents, from_cents, money
 from shelfwise.plans.registry import report
@@ -43,8 +44,8 @@ def billing_lines(t: Tables) -> DataFrame:
     discount = (-F.round(price * money("l_discount"), 2)).cast("decimal(18,2)")
     return li.select(
         F.col("l_linenumber").cast("bigint").alias("promo_id"),
-        F.concat(F.lit("V"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("vendor"),
-        F.concat(F.lit("B"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("product"),
+        F.concat(F.lit("V"), zero_padded("l_suppkey", 4)).alias("vendor"),
+        F.concat(F.lit("B"), zero_padded("l_partkey", 9)).alias("product"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_shipdate").cast("date").alias("order_day"),
         price.alias("price"),
@@ -63,7 +64,7 @@ def vendor_managers(t: Tables) -> DataFrame:
 
 
 def _charged_lines(t: Tables) -> DataFrame:
-    cfg = F.broadcast(promotion_config(t.spark))   # bounded: one row per configured promotion
+    cfg = promotion_config(t.spark)   # small: Spark broadcasts it by its size
     return (billing_lines(t).filter(F.col("is_charged") == "Y")
             .join(cfg, "promo_id", "inner")
             .join(vendor_managers(t), F.col("l_suppkey") == F.col("m_suppkey"), "left"))
@@ -131,8 +132,8 @@ def _out(m: str):
 
 # ------------------------------------------------------------------ oracle SQL
 _LINES_SQL = """bl AS (
-  SELECT CAST(l_linenumber AS BIGINT) AS promo_id, 'V' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS vendor,
-         'B' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS product, l_orderkey AS order_id,
+  SELECT CAST(l_linenumber AS BIGINT) AS promo_id, 'V' || (CASE WHEN length(CAST(l_suppkey AS VARCHAR)) >= 4 THEN CAST(l_suppkey AS VARCHAR) ELSE right(repeat('0', 4) || CAST(l_suppkey AS VARCHAR), 4) END) AS vendor,
+         'B' || (CASE WHEN length(CAST(l_partkey AS VARCHAR)) >= 9 THEN CAST(l_partkey AS VARCHAR) ELSE right(repeat('0', 9) || CAST(l_partkey AS VARCHAR), 9) END) AS product, l_orderkey AS order_id,
          CAST(l_shipdate AS DATE) AS order_day, CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
          CAST(-ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)), 2) AS DECIMAL(18,2)) AS discount,
          CAST(ROUND(CAST(-ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)), 2) AS DECIMAL(18,2))

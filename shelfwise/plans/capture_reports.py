@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import zero_padded
 from shelfwise.operators.merge import replace_by_key
 from shelfwise.operators.topn import latest_per_key
 from shelfwise.plans.access_reports import allowed_senders
@@ -71,7 +72,7 @@ last AS (SELECT conv_id, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY co
 rows AS (SELECT t.publisher || '/' || t.category AS msgid, t.product, t.publisher AS pub,
                 regexp_replace(COALESCE(l.text, ''), '^\\s+|\\s+$', '', 'g') AS comments,
                 CAST(t.rn + 1 AS INTEGER) AS row_no
-         FROM top t JOIN part p ON 'B' || lpad(CAST(p.p_partkey AS VARCHAR), 9, '0') = t.product
+         FROM top t JOIN part p ON 'B' || (CASE WHEN length(CAST(p.p_partkey AS VARCHAR)) >= 9 THEN CAST(p.p_partkey AS VARCHAR) ELSE right(repeat('0', 9) || CAST(p.p_partkey AS VARCHAR), 9) END) = t.product
          LEFT JOIN last l ON l.conv_id = p.p_partkey)
 SELECT * FROM rows WHERE comments <> ''
 """
@@ -133,7 +134,7 @@ def _checklist_rows(li: DataFrame, status_default: str | None) -> DataFrame:
     """Checklist-shaped rows from return lines (display-case headers, as a sheet has)."""
     status = F.when(F.col("l_quantity") < 10, F.lit("N")).otherwise(F.lit(status_default or ""))
     return li.select(
-        F.concat(F.lit("B"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("ASIN"),
+        F.concat(F.lit("B"), zero_padded("l_partkey", 9)).alias("ASIN"),
         F.when(F.col("l_discount") == 0, F.lit("XYZ")).when(F.col("l_linestatus") == "F", F.lit("PTS"))
         .otherwise(F.lit("ABC")).alias("Src"),
         F.date_format("l_shipdate", "yyyy-M-d").alias("SS_Day"),
@@ -150,7 +151,7 @@ def _since(d: str):
 
 @report("checklist_capture", covers=("R33", "S9", "T11", "M7"), tag="CHECKLIST", oracle=f"""
 WITH rows AS (
-  SELECT 'B' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS asin,
+  SELECT 'B' || (CASE WHEN length(CAST(l_partkey AS VARCHAR)) >= 9 THEN CAST(l_partkey AS VARCHAR) ELSE right(repeat('0', 9) || CAST(l_partkey AS VARCHAR), 9) END) AS asin,
          CASE WHEN l_discount = 0 THEN 'XYZ' WHEN l_linestatus = 'F' THEN 'PTS' ELSE 'ABC' END AS src,
          strftime(l_shipdate, '%Y-%-m-%-d') AS ss_day,
          CASE WHEN l_discount >= 0.05 THEN 'title' ELSE '' END AS issue_title_name,

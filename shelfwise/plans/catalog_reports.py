@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import week_sunday, yyyymmdd
 from shelfwise.functions.numeric import money_sum, as_double, money, percent_text, ratio, rounded_double
-from shelfwise.functions.text import multilines_in_html
+from shelfwise.functions.text import multilines_in_html, zero_padded
 from shelfwise.operators.joins import not_in_anti_join
 from shelfwise.operators.sequence import group_sequence
 from shelfwise.operators.topn import latest_per_key
@@ -197,7 +197,7 @@ FROM products p
 LEFT JOIN gs ON gs.l_partkey = p.p_partkey
 WHERE p.p_partkey IN (SELECT DISTINCT l_partkey FROM latest)
   AND p.title <> '' AND p.publisher <> ''
-  AND p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= DATE '{LAUNCH_CUTOFF}')
+  AND p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= DATE '{LAUNCH_CUTOFF}' AND l_partkey IS NOT NULL)
 ORDER BY rank
 """)
 
@@ -214,7 +214,7 @@ def not_launched_rank(t: Tables):
     # A6 group_concat: distinct first (bounded by the number of sources), then an ordered list.
     gs = (latest.select("l_partkey", "source").distinct()
           .groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources")))
-    launched = t.lineitem.filter(F.col("l_shipdate") >= F.lit(LAUNCH_CUTOFF).cast("timestamp")).select("l_partkey")
+    launched = t.lineitem.filter(F.col("l_shipdate") >= F.lit(LAUNCH_CUTOFF).cast("timestamp")).select("l_partkey").filter("l_partkey IS NOT NULL")
     p = (products(t)
          .join(latest.select(F.col("l_partkey").alias("k")).distinct(), F.col("p_partkey") == F.col("k"), "left_semi")
          .filter((F.col("title") != "") & (F.col("publisher") != "")))
@@ -293,7 +293,7 @@ FROM products p
 LEFT JOIN last_user u ON u.conv_id = p.p_partkey
 LEFT JOIN last_asst a ON a.conv_id = p.p_partkey
 WHERE p.p_size IS NOT NULL
-  AND p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= DATE '{LAUNCH_CUTOFF}')
+  AND p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= DATE '{LAUNCH_CUTOFF}' AND l_partkey IS NOT NULL)
 ORDER BY p.p_size DESC
 """)
 
@@ -307,7 +307,7 @@ def not_launched_status(t: Tables):
                                ["conv_id"], ["turn"]).select(F.col("conv_id").alias("u_id"), F.col("text").alias("u_text"))
     last_asst = latest_per_key(conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text"),
                                ["conv_id"], ["turn"]).select(F.col("conv_id").alias("a_id"), F.col("text").alias("a_text"))
-    launched = t.lineitem.filter(F.col("l_shipdate") >= F.lit(LAUNCH_CUTOFF).cast("timestamp")).select("l_partkey")
+    launched = t.lineitem.filter(F.col("l_shipdate") >= F.lit(LAUNCH_CUTOFF).cast("timestamp")).select("l_partkey").filter("l_partkey IS NOT NULL")
     p = not_in_anti_join(products(t).filter(F.col("p_size").isNotNull()), launched, "p_partkey", "l_partkey")
     return (p.join(last_user, p.p_partkey == last_user.u_id, "left")
             .join(last_asst, p.p_partkey == last_asst.a_id, "left")
@@ -360,7 +360,7 @@ approved AS (SELECT p.*, lt.text AS description FROM products p JOIN last_turn l
              WHERE lt.role = 'assistant')
 SELECT product, publisher, title, author,
        publisher || '_' || product || '_' || strftime(DATE '{AS_OF}', '%Y%m%d') || '_' ||
-         lpad(CAST(ROW_NUMBER() OVER (PARTITION BY publisher ORDER BY product) AS VARCHAR), 4, '0') AS ref_id,
+         (CASE WHEN length(CAST(ROW_NUMBER() OVER (PARTITION BY publisher ORDER BY product) AS VARCHAR)) >= 4 THEN CAST(ROW_NUMBER() OVER (PARTITION BY publisher ORDER BY product) AS VARCHAR) ELSE right(repeat('0', 4) || CAST(ROW_NUMBER() OVER (PARTITION BY publisher ORDER BY product) AS VARCHAR), 4) END) AS ref_id,
        CASE WHEN length(description) >= 2000 THEN 'Y' ELSE 'N' END AS long_description,
        CASE WHEN contains(product, 'E') OR NOT contains(product, '97') THEN 'Y' ELSE 'N' END AS bad_isbn,
        CASE WHEN author IS NULL OR author = '' THEN 'Y' ELSE 'N' END AS missing_author
@@ -380,7 +380,7 @@ def intake_sheet(t: Tables):
     return seq.select(
         "product", "publisher", "title", "author",
         F.concat_ws("_", "publisher", "product", yyyymmdd(F.lit(AS_OF).cast("date")),
-                    F.lpad(F.col("seq").cast("string"), 4, "0")).alias("ref_id"),
+                    zero_padded("seq", 4)).alias("ref_id"),
         F.when(F.length("description") >= 2000, "Y").otherwise("N").alias("long_description"),
         F.when(F.col("product").contains("E") | ~F.col("product").contains("97"), "Y").otherwise("N").alias("bad_isbn"),
         F.when(F.col("author").isNull() | (F.col("author") == ""), "Y").otherwise("N").alias("missing_author"))
@@ -423,13 +423,13 @@ WITH src AS (
   FROM lineitem WHERE l_linestatus = 'O' AND l_shipdate >= DATE '2001-06-01'),
 first AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_partkey
             ORDER BY prio, day, l_suppkey, l_orderkey, l_linenumber) r FROM src) WHERE r = 1),
-w AS (SELECT {PRODUCT_CODE_SQL.format(k='l_partkey')} AS product, 'V' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS vendor,
+w AS (SELECT {PRODUCT_CODE_SQL.format(k='l_partkey')} AS product, 'V' || (CASE WHEN length(CAST(l_suppkey AS VARCHAR)) >= 4 THEN CAST(l_suppkey AS VARCHAR) ELSE right(repeat('0', 4) || CAST(l_suppkey AS VARCHAR), 4) END) AS vendor,
              src, day, datediff('day', day, DATE '{WORKLIST_AS_OF}') AS age_days, l_partkey
       FROM first f
       WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = f.l_partkey AND p.p_size <= 3)),
 io AS (SELECT {PRODUCT_CODE_SQL.format(k='p_partkey')} AS code, 'IN' AS io FROM part WHERE p_size >= 45
        UNION ALL
-       SELECT 'V' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0'), 'OUT' FROM supplier WHERE s_acctbal < 0)
+       SELECT 'V' || (CASE WHEN length(CAST(s_suppkey AS VARCHAR)) >= 4 THEN CAST(s_suppkey AS VARCHAR) ELSE right(repeat('0', 4) || CAST(s_suppkey AS VARCHAR), 4) END), 'OUT' FROM supplier WHERE s_acctbal < 0)
 SELECT w.product, w.vendor, w.src, w.day, w.age_days, io.io
 FROM w LEFT JOIN io ON io.code = w.product OR io.code = w.vendor
 """
@@ -458,11 +458,11 @@ def metadata_worklist(t: Tables):
     cleared = t.part.filter(F.col("p_size") <= 3).select(F.col("p_partkey").alias("ck"))
     w = (first.join(cleared, first.l_partkey == cleared.ck, "left_anti")
          .select(product_code("l_partkey").alias("product"),
-                 F.concat(F.lit("V"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("vendor"),
+                 F.concat(F.lit("V"), zero_padded("l_suppkey", 4)).alias("vendor"),
                  "src", "day", age_days("day", WORKLIST_AS_OF).cast("bigint").alias("age_days")))
     io = (t.part.filter(F.col("p_size") >= 45).select(product_code("p_partkey").alias("code"), F.lit("IN").alias("io"))
           .unionByName(t.supplier.filter(F.col("s_acctbal") < 0)
-                       .select(F.concat(F.lit("V"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("code"),
+                       .select(F.concat(F.lit("V"), zero_padded("s_suppkey", 4)).alias("code"),
                                F.lit("OUT").alias("io"))))
     return (disjunctive_join(w, io, ("product", "code"), ("vendor", "code"), how="left")
             .select("product", "vendor", "src", "day", "age_days", "io"))

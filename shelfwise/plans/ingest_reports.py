@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import zero_padded
 from shelfwise.functions.cleansing import DATE_FORMS, PERCENT_RE
 from shelfwise.operators.ingest import FLOAT_RE, INT_RE, clean_lines, infer_schema, normalize_header
 from shelfwise.operators.merge import diff_merge, replace_by_key, truncate_load, update_by_key
@@ -49,7 +50,7 @@ def drop_file_lines(t: Tables) -> DataFrame:
     price = F.col("o_totalprice").cast("decimal(18,2)")
     fields = [
         k.cast("string"),
-        F.concat(F.lit("B"), F.lpad(cust, 9, "0")),
+        F.concat(F.lit("B"), zero_padded(cust, 9)),
         F.when(k % 11 == 0, F.concat(F.lit(" "), cust, F.lit(" "))).when(k % 13 == 0, F.concat(cust, F.lit(".5")))
         .otherwise(cust),
         _date_text(d, k),
@@ -85,7 +86,7 @@ _DATE_SQL = f"""CASE WHEN {_K} % 17 = 0 THEN 'hello'
   ELSE strftime(o_orderdate, '%Y%m%d') END"""
 _FIELDS_SQL = [
     f"CAST({_K} AS VARCHAR)",
-    "'B' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')",
+    "'B' || (CASE WHEN length(CAST(o_custkey AS VARCHAR)) >= 9 THEN CAST(o_custkey AS VARCHAR) ELSE right(repeat('0', 9) || CAST(o_custkey AS VARCHAR), 9) END)",
     f"CASE WHEN {_K} % 11 = 0 THEN ' ' || CAST(o_custkey AS VARCHAR) || ' ' WHEN {_K} % 13 = 0 THEN CAST(o_custkey AS VARCHAR) || '.5' ELSE CAST(o_custkey AS VARCHAR) END",
     _DATE_SQL,
     "strftime(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY, '%Y-%-m-%-d')",
@@ -356,7 +357,7 @@ def stream_file_drop(t: Tables):
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(latest_version(spark, f"{tables_root}/orders"))
+    return spark.read.parquet(latest_version(spark, f"{tables_root}/shop/orders"))
 
 
 # ------------------------------------------------------------------ X2

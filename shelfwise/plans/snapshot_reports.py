@@ -1,7 +1,7 @@
 """Snapshot reports: R8 (deal-strong, new/carried flag), R9 (dual-high), R10 (upstream
 uplift), R12 (price ladder).
 
-Snapshot = order month; months from 2001-08 on are partial and excluded, so the
+Snapshot = order month; a month that the newest order does not close is partial and excluded, so the
 latest complete snapshot is compared with the one before (P11/P12, W7).
 """
 
@@ -10,16 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import zero_padded
 from shelfwise.functions.numeric import money_sum, as_double, money, percent_text, ratio, round_half_up, rounded_double
 from shelfwise.operators.snapshots import new_vs_carried
 from shelfwise.plans.registry import report
 from shelfwise.sources.tables import Tables
 
-COMPLETE_BEFORE = "2001-08-01"
+
+def complete_months(orders: DataFrame) -> DataFrame:
+    """Orders of months that are over: those before the month of the day after the newest order."""
+    open_month = orders.agg(F.trunc(F.date_add(F.max("o_orderdate").cast("date"), 1), "month")).scalar()
+    return orders.filter(F.col("o_orderdate") < open_month.cast("timestamp"))
 
 
 def customer_code(col: str):
-    return F.concat(F.lit("C"), F.lpad(F.col(col).cast("string"), 9, "0"))
+    return F.concat(F.lit("C"), zero_padded(col, 9))
 
 
 def _snapshot_agg(o: DataFrame) -> DataFrame:
@@ -31,7 +36,7 @@ def _snapshot_agg(o: DataFrame) -> DataFrame:
 
 def order_snapshots(t: Tables) -> DataFrame:
     """Pattern snapshot: per (month, customer) orders, total, first and last order day."""
-    o = t.orders.filter(F.col("o_orderdate") < F.lit(COMPLETE_BEFORE).cast("timestamp"))
+    o = complete_months(t.orders)
     return _snapshot_agg(o)
 
 
@@ -43,7 +48,7 @@ def two_latest_snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
     then the orders are filtered to the two months before the aggregation -- the
     rest of the history is never aggregated.
     """
-    o = t.orders.filter(F.col("o_orderdate") < F.lit(COMPLETE_BEFORE).cast("timestamp"))
+    o = complete_months(t.orders)
     month = F.trunc("o_orderdate", "month")
     latest = o.agg(F.max(month)).scalar()
     previous = o.filter(month < latest).agg(F.max(month)).scalar()
@@ -55,7 +60,7 @@ SNAP_SQL = f"""WITH snap AS (
   SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot, o_custkey, COUNT(*) AS n_orders,
          SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total, CAST(MIN(o_orderdate) AS DATE) AS start_day,
          CAST(MAX(o_orderdate) AS DATE) AS end_day
-  FROM orders WHERE o_orderdate < DATE '{COMPLETE_BEFORE}' GROUP BY 1, 2),
+  FROM orders WHERE o_orderdate < (SELECT date_trunc('month', CAST(MAX(o_orderdate) AS DATE) + 1) FROM orders) GROUP BY 1, 2),
 latest AS (SELECT * FROM snap WHERE snapshot = (SELECT MAX(snapshot) FROM snap)),
 prev AS (SELECT * FROM snap WHERE snapshot = (SELECT MAX(snapshot) FROM snap
                                               WHERE snapshot <> (SELECT MAX(snapshot) FROM snap))),
@@ -78,7 +83,7 @@ def _flagged(t: Tables) -> tuple[DataFrame, DataFrame]:
 R8_SQL = SNAP_SQL + f""",
 deal AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, MAX(CAST(o_totalprice AS DECIMAL(18,2))) AS deal_price
          FROM orders GROUP BY 1, 2)
-SELECT f.snapshot, 'C' || lpad(CAST(f.o_custkey AS VARCHAR), 9, '0') AS customer, c.c_name, c.c_mktsegment AS segment,
+SELECT f.snapshot, 'C' || (CASE WHEN length(CAST(f.o_custkey AS VARCHAR)) >= 9 THEN CAST(f.o_custkey AS VARCHAR) ELSE right(repeat('0', 9) || CAST(f.o_custkey AS VARCHAR), 9) END) AS customer, c.c_name, c.c_mktsegment AS segment,
        f.new_flag, f.n_orders, CAST(f.total AS DOUBLE) AS total, f.start_day, f.end_day,
        datediff('day', f.start_day, f.end_day) + 1 AS days, CAST(d.deal_price AS DOUBLE) AS deal_price,
        {_PCT.format(n='d.deal_price', d='f.total', k=1)} AS deal_share
@@ -113,7 +118,7 @@ def deal_strong_new_flag(t: Tables):
 
 # ---------------------------------------------------------------- R9
 R9_SQL = SNAP_SQL + f"""
-SELECT f.snapshot, 'C' || lpad(CAST(f.o_custkey AS VARCHAR), 9, '0') AS customer, f.new_flag, f.n_orders,
+SELECT f.snapshot, 'C' || (CASE WHEN length(CAST(f.o_custkey AS VARCHAR)) >= 9 THEN CAST(f.o_custkey AS VARCHAR) ELSE right(repeat('0', 9) || CAST(f.o_custkey AS VARCHAR), 9) END) AS customer, f.new_flag, f.n_orders,
        CAST(f.total AS DOUBLE) AS total,
        CAST(ROUND(CAST(CAST(f.total AS DOUBLE) / CAST(f.n_orders AS DOUBLE) AS DECIMAL(38,10)), 2) AS DOUBLE) AS avg_order,
        CASE WHEN f.total >= 600000 THEN 'HIGH' WHEN f.total >= 300000 THEN 'MID' ELSE 'LOW' END AS tier,
@@ -146,10 +151,10 @@ R10_SQL = f"""WITH u AS (
   SELECT CAST(date_trunc('month', o.o_orderdate) AS DATE) AS snapshot, o.o_custkey,
          SUM(CAST(l.l_quantity AS DECIMAL(18,2))) AS units
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
-  WHERE o.o_orderdate < DATE '{COMPLETE_BEFORE}' GROUP BY 1, 2),
+  WHERE o.o_orderdate < (SELECT date_trunc('month', CAST(MAX(o_orderdate) AS DATE) + 1) FROM orders) GROUP BY 1, 2),
 latest AS (SELECT * FROM u WHERE snapshot = (SELECT MAX(snapshot) FROM u)),
 prev AS (SELECT * FROM u WHERE snapshot = (SELECT MAX(snapshot) FROM u WHERE snapshot <> (SELECT MAX(snapshot) FROM u)))
-SELECT l.snapshot, 'C' || lpad(CAST(l.o_custkey AS VARCHAR), 9, '0') AS customer,
+SELECT l.snapshot, 'C' || (CASE WHEN length(CAST(l.o_custkey AS VARCHAR)) >= 9 THEN CAST(l.o_custkey AS VARCHAR) ELSE right(repeat('0', 9) || CAST(l.o_custkey AS VARCHAR), 9) END) AS customer,
        CASE WHEN p.o_custkey IS NULL THEN 'Y' ELSE 'N' END AS new_flag,
        CAST(l.units AS DOUBLE) AS units, CAST(p.units AS DOUBLE) AS prev_units,
        {_PCT.format(n='l.units', d='p.units', k=1)} AS uplift,
@@ -161,7 +166,7 @@ FROM latest l LEFT JOIN prev p ON p.o_custkey = l.o_custkey
 @report("upstream_uplift", covers=("R10", "W7", "J4", "P10", "P3", "P12"), oracle=R10_SQL, tag="UPLIFT")
 def upstream_uplift(t: Tables):
     """Units bought per customer in the latest complete month vs the month before."""
-    o = t.orders.filter(F.col("o_orderdate") < F.lit(COMPLETE_BEFORE).cast("timestamp")).select(
+    o = complete_months(t.orders).select(
         "o_orderkey", "o_custkey", "o_orderdate")
     joined = (t.lineitem.select("l_orderkey", "l_quantity")
               .join(o, F.col("l_orderkey") == F.col("o_orderkey"))

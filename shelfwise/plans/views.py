@@ -14,16 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import zero_padded
 from shelfwise.functions.numeric import money_sum
 from shelfwise.sources.tables import Tables
 
 
 def product_code(key: str | Column) -> Column:
     k = F.col(key) if isinstance(key, str) else key
-    return F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0"))
+    return F.concat(F.lit("B"), zero_padded(k, 9))
 
 
-PRODUCT_CODE_SQL = "'B' || lpad(CAST({k} AS VARCHAR), 9, '0')"
+PRODUCT_CODE_SQL = "'B' || (CASE WHEN length(CAST({k} AS VARCHAR)) >= 9 THEN CAST({k} AS VARCHAR) ELSE right(repeat('0', 9) || CAST({k} AS VARCHAR), 9) END)"
 
 
 def products(t: Tables) -> DataFrame:

@@ -57,36 +57,45 @@ HTML_TEXT_SQL = _html_text_sql()
 
 
 class _TableParser(HTMLParser):
-    """Collects the cell texts of every table: {table_id: [[cell, ...], ...]}."""
+    """Collects the cell texts of every table, in the order in which the tables open.
+
+    Each open table keeps its own row and cell, so a table nested in a cell has rows of its own and its text
+    also belongs to that cell."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tables: list[tuple[str | None, list[list[str]]]] = []
-        self._stack: list[tuple[str | None, list[list[str]]]] = []
-        self._row: list[str] | None = None
-        self._cell: list[str] | None = None
+        self._open: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self._stack.append((dict(attrs).get("id"), []))
-        elif tag == "tr" and self._stack:
-            self._row = []
-        elif tag in ("td", "th") and self._row is not None:
-            self._cell = []
+            rows: list[list[str]] = []
+            self.tables.append((dict(attrs).get("id"), rows))
+            self._open.append({"rows": rows, "row": None, "cell": None})
+        elif not self._open:
+            return
+        elif tag == "tr":
+            self._open[-1]["row"] = []
+        elif tag in ("td", "th") and self._open[-1]["row"] is not None:
+            self._open[-1]["cell"] = []
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self._cell is not None and self._row is not None:
-            self._row.append("".join(self._cell).replace("\xa0", " ").strip())
-            self._cell = None
-        elif tag == "tr" and self._row is not None and self._stack:
-            self._stack[-1][1].append(self._row)
-            self._row = None
-        elif tag == "table" and self._stack:
-            self.tables.append(self._stack.pop())
+        if not self._open:
+            return
+        state = self._open[-1]
+        if tag in ("td", "th") and state["cell"] is not None and state["row"] is not None:
+            state["row"].append("".join(state["cell"]).replace("\xa0", " ").strip())
+            state["cell"] = None
+        elif tag == "tr" and state["row"] is not None:
+            state["rows"].append(state["row"])
+            state["row"] = None
+        elif tag == "table":
+            self._open.pop()
 
     def handle_data(self, data):
-        if self._cell is not None:
-            self._cell.append(data)
+        for state in self._open:
+            if state["cell"] is not None:
+                state["cell"].append(data)
 
 
 def parse_tables(html: str) -> list[tuple[str | None, list[list[str]]]]:
@@ -109,12 +118,12 @@ def _rows_for(html: str, table_id: str | None, key_headers: tuple[str, ...],
         if table_id is not None and tid != table_id:
             continue
         if not rows:
-            continue
+            break
         header = [h.lower() for h in rows[0]]
         key_idx = next((i for i, h in enumerate(header) if h in key_headers), None)
         status_idx = header.index(status_header) if status_header and status_header in header else None
         if key_idx is None:
-            continue
+            break
         for n, row in enumerate(rows[1:], start=2):
             if not row:
                 continue
@@ -124,8 +133,7 @@ def _rows_for(html: str, table_id: str | None, key_headers: tuple[str, ...],
             keep = bool(key) and (bool(last) or bool(status))
             if keep:
                 out.append((key, last, status, n))
-        if table_id is None:
-            break  # first table only, as ``soup.find('table')``
+        break  # the first table, or the first one with the id
     return out
 
 

@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.session import fs_exists
+
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -41,10 +43,11 @@ class Tables:
 
     def register_views(self) -> None:
         """Expose every table as a temp view, for ad-hoc SQL."""
-        for name in TABLE_NAMES:
-            if os.path.exists(os.path.join(self.sf_dir, f"{name}.parquet")):
-                read_table(self.spark, self.sf_dir, name).createOrReplaceTempView(name)
+        for name in self.available:
+            getattr(self, name).createOrReplaceTempView(name)
 
     @cached_property
     def available(self) -> list[str]:
-        return [n for n in TABLE_NAMES if os.path.exists(os.path.join(self.sf_dir, f"{n}.parquet"))]
+        if self.database:
+            return [n for n in TABLE_NAMES if self.spark.catalog.tableExists(f"{self.database}.{n}")]
+        return [n for n in TABLE_NAMES if fs_exists(self.spark, os.path.join(self.sf_dir, f"{n}.parquet"))]

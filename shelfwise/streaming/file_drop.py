@@ -21,10 +21,12 @@ import json
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from shelfwise.operators.ingest import clean_lines, ddl_text, infer_schema
-from shelfwise.operators.merge import apply_mode, latest_version, write_version
+from shelfwise.functions.cleansing import spark_type_for
+from shelfwise.operators.merge import align_insert, apply_mode, latest_version, write_version
 from shelfwise.operators.topn import latest_per_key
 from shelfwise.session import fs_exists, fs_write_text
 from shelfwise.sources.dropfile import number_lines, parse_file_name
@@ -53,14 +55,26 @@ def _loads(heads: list) -> list[list]:
     """Group consecutive files (in sequence order) sharing table, mode and header."""
     groups: list[list] = []
     for h in heads:
-        sig = (h["meta"]["table"], h["meta"]["mode"], h["header"])
-        if groups and groups[-1][0] == sig:
+        meta = h["meta"]
+        sig = (meta["db"], meta["table"], meta["mode"], meta["snapshot_day"], h["header"])
+        # Each truncating file replaces what the one before it loaded.
+        if groups and groups[-1][0] == sig and meta["mode"] != "trunc":
             groups[-1][1].append(h)
         else:
             groups.append((sig, [h]))
     return [g[1] for g in groups]
 
 
+def _spec(tables: dict[str, TableSpec], meta) -> TableSpec | None:
+    """The definition of a file's table: by database and name, else by name for every database."""
+    return tables.get(f"{meta['db']}.{meta['table']}", tables.get(meta["table"]))
+
+
+def table_folder(table_root: str, db: str | None, table: str) -> str:
+    """Each database has tables of its own."""
+    return "/".join(p for p in (table_root.rstrip("/"), db, table) if p)
+
+
 def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], table_root: str) -> list[str]:
     """Load one micro-batch of drop-file lines; returns the versions written."""
     spark = batch.sparkSession
@@ -75,7 +89,7 @@ def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], t
     # next to the tables (inferred from the whole file in one aggregate).
     for h in heads:
         meta = h["meta"]
-        if meta["table"] in tables:
+        if _spec(tables, meta) is not None:
             continue
         ddl_path = f"{table_root.rstrip('/')}/_unknown/{h['file_name']}.sql"
         if fs_exists(spark, ddl_path):
@@ -85,12 +99,11 @@ def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], t
         schema_rows = [r.asDict() for r in infer_schema(body, h["header"].split("\t")).collect()]
         name = f"{meta['db']}.{meta['table']}" if meta["db"] else (meta["table"] or h["file_name"])
         fs_write_text(spark, ddl_path, ddl_text(schema_rows, name) + "\n")
-    known = [h for h in heads if h["meta"]["table"] in tables]
+    known = [h for h in heads if _spec(tables, h["meta"]) is not None]
     for n, load in enumerate(_loads(known)):
         first = load[0]
-        table, mode = first["meta"]["table"], first["meta"]["mode"]
-        spec = tables[table]
-        table_dir = f"{table_root.rstrip('/')}/{table}"
+        mode, spec = first["meta"]["mode"], _spec(tables, first["meta"])
+        table_dir = table_folder(table_root, first["meta"]["db"], first["meta"]["table"])
         marker = f"{table_dir}/_loads/batch={batch_id}-load={n}.json"
         if fs_exists(spark, marker):
             continue
@@ -108,16 +121,31 @@ def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], t
             # Last line wins across the load's files in sequence order (10 after 2), then by line.
             seq = F.coalesce(parse_file_name(F.col("file_name")).getField("seq"), F.lit(0).cast("bigint"))
             ordered = res.rows.withColumn("_order", F.struct(seq.alias("s"), F.col("file_name"), F.col("line_no")))
-            stage = latest_per_key(ordered, spec["keys"], ["_order"]).drop("_order", "file_name", "line_no")
+            keys = spec["keys"]
+            if keys:
+                # A row whose key is missing or does not parse is set aside; it has no place in the table.
+                no_key = " OR ".join(f"`{k}` IS NULL" for k in keys)
+                res.rows.filter(no_key).write.mode("overwrite").parquet(f"{table_dir}/_no_key/batch={batch_id}-load={n}")
+                ordered = latest_per_key(ordered.filter(f"NOT ({no_key})"), keys, ["_order"])
+            stage = ordered.drop("_order", "file_name", "line_no")
             current = latest_version(spark, table_dir)
+            # The table has the columns of its definition, whatever its first file had.
+            columns = ", ".join(f"`{c}` {spark_type_for(t)}" for c, t in spec["target"])
             if current is None:   # a new table: merge into an empty one (an 'upd' load inserts nothing)
-                target, version = spark.createDataFrame([], stage.schema), 1
+                target, version = spark.createDataFrame([], columns), 1
+            else:
+                target, version = spark.read.schema(columns).parquet(current), int(current.rsplit("v=", 1)[1]) + 1
+            if keys or mode == "trunc":
+                merged = apply_mode(target, stage, keys, mode)
+            elif mode == "txt":   # a table without keys is appended to
+                merged = target.unionByName(align_insert(target, stage))
             else:
-                target, version = spark.read.parquet(current), int(current.rsplit("v=", 1)[1]) + 1
-            merged = apply_mode(target, stage, spec["keys"], mode)
+                raise ValueError("an update needs a table with keys")
             written.append(write_version(merged, table_dir, version))
             fs_write_text(spark, marker, json.dumps({"version": version, "files": [h["file_name"] for h in load]}))
-        except Exception as exc:  # S6: a bad file does not stop the folder; it is set aside with its error
+        except (ValueError, AnalysisException) as exc:
+            # A bad file does not stop the folder. Anything else (a lost executor, a full disk) ends the batch,
+            # which is then run again.
             fs_write_text(spark, f"{table_root.rstrip('/')}/_failed/batch={batch_id}-load={n}.json",
                           json.dumps({"files": [h["file_name"] for h in load], "error": str(exc)[:2000]}))
     lines.unpersist()
@@ -126,7 +154,7 @@ def merge_batch(batch: DataFrame, batch_id: int, tables: dict[str, TableSpec], t
 
 def run_drop_folder(spark: SparkSession, folder: str, table_root: str, checkpoint: str,
                     tables: dict[str, TableSpec], available_now: bool = True,
-                    processing_time: str = "180 seconds", max_files: int | None = None,
+                    processing_time: str = "180 seconds", max_files: int | None = 1_000,
                     archive_dir: str | None = None):
     """Start the ingestion stream. ``availableNow`` drains what is there and stops;
     otherwise the folder is polled every ``processing_time`` (the reference polls

@@ -33,3 +33,13 @@ def test_parser_module_ships_with_tasks():
     import shelfwise.sources.html as html_mod
     from pyspark import cloudpickle
     assert html_mod.__name__ in cloudpickle.cloudpickle._PICKLE_BY_VALUE_MODULES
+
+
+def test_nested_table_keeps_the_outer_row():
+    from shelfwise.sources.html import parse_tables
+
+    page = ("<table id='o'><tr><td>asin</td><td>note</td></tr><tr><td>B1</td><td>see <table id='i'><tr><td>x</td></tr></table> end</td></tr>"
+            "</table><table id='o'><tr><td>late</td></tr></table>")
+    tables = parse_tables(page)
+    assert [t for t, _ in tables] == ["o", "i", "o"]
+    assert tables[0][1] == [["asin", "note"], ["B1", "see x end"]] and tables[1][1] == [["x"]]

@@ -17,7 +17,7 @@ def _run(spark, folder, root):
     q = run_drop_folder(spark, folder, root + "/tables", root + "/ckpt", TABLES, available_now=True)
     q.awaitTermination()
     assert q.exception() is None
-    return sorted(map(tuple, spark.read.parquet(latest_version(spark, root + "/tables/items")).collect()))
+    return sorted(map(tuple, spark.read.parquet(latest_version(spark, root + "/tables/shop/items")).collect()))
 
 
 def test_two_steps_equal_one_batch(spark, tmp_dir):
@@ -78,7 +78,7 @@ def test_unknown_table_gets_ddl_and_rejects_are_kept(spark, tmp_dir):
     ddl = open(os.path.join(tmp_dir, "tables", "_unknown", "2.shop.newtab.20170101.txt.sql")).read()
     assert "create table shop.newtab" in ddl and "kasin char(13)" in ddl and "qty int" in ddl
     assert "price float" in ddl and "primary key (kasin)" in ddl
-    rej = spark.read.parquet(os.path.join(tmp_dir, "tables", "items", "_rejects", "*")).collect()
+    rej = spark.read.parquet(os.path.join(tmp_dir, "tables", "shop", "items", "_rejects", "*")).collect()
     assert [(r.line_no, r.n_fields) for r in rej] == [(3, 2)]
 
 
@@ -101,3 +101,71 @@ def test_duplicate_keys_last_file_in_sequence_wins(spark, tmp_dir):
     _write(folder, "2.shop.items.20170101.txt", [("B1", "2", "from2"), ("B2", "2", "x")])
     _write(folder, "10.shop.items.20170101.txt", [("B1", "10", "from10")])
     assert _run(spark, folder, tmp_dir) == [("B1", 10, "from10"), ("B2", 2, "x")]
+
+
+def _drop(folder, name, lines):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+
+
+WIDE = {"p": {"target": [("k", "int"), ("a", "varchar(8)"), ("b", "varchar(8)"), ("snapshot_day", "date")], "keys": ["k"]},
+        "log": {"target": [("x", "varchar(8)")], "keys": []}}
+
+
+def _load(spark, tmp_dir):
+    q = run_drop_folder(spark, tmp_dir + "/in", tmp_dir + "/tables", tmp_dir + "/ckpt", WIDE)
+    q.awaitTermination()
+    assert q.exception() is None
+    return lambda t: sorted(map(tuple, spark.read.parquet(latest_version(spark, f"{tmp_dir}/tables/{t}")).collect()), key=str)
+
+
+def test_loads_keep_days_databases_columns_and_bad_keys_apart(spark, tmp_dir):
+    import datetime as dt
+
+    one, two = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    _drop(tmp_dir + "/in", "1.db1.p.20240101.txt", ["k\ta", "1\tx"])
+    _drop(tmp_dir + "/in", "2.db1.p.20240102.txt", ["k\ta", "2\ty", "oops\tz", "bad\tw"])   # its own day; two keys do not parse
+    _drop(tmp_dir + "/in", "3.db1.p.20240102.txt", ["k\ta\tb", "3\tq\tlater"])              # a column the first file lacks
+    _drop(tmp_dir + "/in", "4.db2.p.20240101.txt", ["k\ta", "1\tother"])
+    _drop(tmp_dir + "/in", "5.db1.log.20240101.txt", ["x", "l1"])
+    _drop(tmp_dir + "/in", "6.db1.log.20240102.txt", ["x", "l2"])
+    rows = _load(spark, tmp_dir)
+    assert rows("db1/p") == [(1, "x", None, one), (2, "y", None, two), (3, "q", "later", two)]
+    assert rows("db2/p") == [(1, "other", None, one)]
+    assert rows("db1/log") == [("l1",), ("l2",)]
+    assert spark.read.parquet(tmp_dir + "/tables/db1/p/_no_key/*").count() == 2
+
+
+def test_second_truncating_file_replaces_the_first(spark, tmp_dir):
+    _drop(tmp_dir + "/in", "1.db1.log.20240101.trunc", ["x", "old"])
+    _drop(tmp_dir + "/in", "2.db1.log.20240101.trunc", ["x", "new"])
+    assert _load(spark, tmp_dir)("db1/log") == [("new",)]
+
+
+def test_running_errors_are_not_taken_for_bad_files(spark, tmp_dir, monkeypatch):
+    import pytest
+    from shelfwise.streaming import file_drop
+
+    def full(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(file_drop, "write_version", full)
+    _drop(tmp_dir + "/in", "1.db1.log.20240101.txt", ["x", "l1"])
+    with pytest.raises(Exception, match="disk full"):
+        _load(spark, tmp_dir)
+
+
+def test_late_message_is_kept(spark, tmp_dir):
+    import datetime as dt
+    from shelfwise.streaming.messages import MESSAGE_SCHEMA, run_message_stream
+
+    def send(name, rows):
+        spark.createDataFrame(rows, MESSAGE_SCHEMA).write.parquet(f"{tmp_dir}/msgs/{name}")
+        q = run_message_stream(spark, tmp_dir + "/msgs/*", tmp_dir + "/audit", tmp_dir + "/ck")
+        q.awaitTermination()
+        assert q.exception() is None
+
+    send("p1", [(1, "a@x.com", dt.datetime(2024, 3, 1), "s", "b")])
+    send("p2", [(2, "a@x.com", dt.datetime(2024, 1, 1), "s", "b"), (1, "a@x.com", dt.datetime(2024, 3, 1), "s", "b")])
+    assert sorted(r.msgid for r in spark.read.parquet(latest_version(spark, tmp_dir + "/audit")).collect()) == [1, 2]
