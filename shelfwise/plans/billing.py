@@ -66,8 +66,7 @@ def vendor_managers(t: Tables) -> DataFrame:
 def _charged_lines(t: Tables) -> DataFrame:
     cfg = promotion_config(t.spark)   # small: Spark broadcasts it by its size
     return (billing_lines(t).filter(F.col("is_charged") == "Y")
-            .join(cfg, "promo_id", "inner")
-            .join(vendor_managers(t), F.col("l_suppkey") == F.col("m_suppkey"), "left"))
+            .join(cfg, "promo_id", "inner"))
 
 
 def summary_all(t: Tables) -> DataFrame:
@@ -80,9 +79,8 @@ def summary_all(t: Tables) -> DataFrame:
     # Money sums run over BIGINT cents (exact, fixed-width buffers); 0/1 weights keep
     # the reference's sum((1 - is_return) * x) semantics (0, not NULL, for all-return groups).
     wc = lambda c: F.sum(valid * cents(c))
-    # vm depends on the vendor only (dimension reduced to one row per vendor first), so it
-    # is a grouping key rather than a max(string) buffer: the aggregate stays hash-based.
-    g = lines.groupBy("promo_id", "vendor", "model", "rate", "vm").agg(
+    # The sums are per promotion and supplier; only those few rows are joined with the managers.
+    sums = lines.groupBy("promo_id", "vendor", "model", "rate", "l_suppkey").agg(
         F.count(F.lit(1)).alias("order_cnt"), F.sum(valid).cast("bigint").alias("valid_cnt"),
         from_cents(wc(F.col("price"))).alias("revenue"), from_cents(wc(coupon)).alias("coupon_amount"),
         from_cents(wc(F.col("cost"))).alias("original_cost"),
@@ -90,6 +88,7 @@ def summary_all(t: Tables) -> DataFrame:
         from_cents(wc(gross)).alias("_gross"),
         # MySQL divides decimals to 4 more places: cost/price is taken to 6 decimals.
         F.sum(F.when(F.col("is_return") == 0, _cost_share() * gross.cast("decimal(20,2)"))).alias("_ordered"))
+    g = sums.join(vendor_managers(t), F.col("l_suppkey") == F.col("m_suppkey"), "left").drop("l_suppkey", "m_suppkey")
     # Operand precisions are pinned so the products stay exact (no scale cut to 6).
     scaled = F.col("rate").cast("decimal(10,6)") * F.col("_gross").cast("decimal(24,2)")
     cost = F.col("original_cost").cast("decimal(24,2)")

@@ -399,11 +399,11 @@ WHERE last_update IS NULL
 @report("due_publishers", covers=("R30", "A9", "P9", "F8", "P11", "A13", "F10"), oracle=R30_SQL, tag="DUE")
 def due_publishers(t: Tables):
     """Publishers not yet updated on the as-of day (= the latest sale day in the data)."""
-    li = t.lineitem.select("l_partkey", "l_shipdate")
+    days = t.lineitem.groupBy("l_partkey").agg(F.max("l_shipdate").alias("day"))   # before the join: one row per product
     rights = (t.part.select("p_partkey", "p_brand")
-              .join(li, F.col("l_partkey") == F.col("p_partkey"), "left")
-              .groupBy(F.col("p_brand").alias("publisher")).agg(F.max("l_shipdate").alias("last_update")))
-    today = yyyymmdd(li.agg(F.max("l_shipdate")).scalar())
+              .join(days, F.col("l_partkey") == F.col("p_partkey"), "left")
+              .groupBy(F.col("p_brand").alias("publisher")).agg(F.max("day").alias("last_update")))
+    today = yyyymmdd(t.lineitem.agg(F.max("l_shipdate")).scalar())
     return (rights.filter(F.col("last_update").isNull() | (yyyymmdd("last_update") != today))
             .select("publisher").distinct())
 

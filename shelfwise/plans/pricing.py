@@ -17,14 +17,17 @@ PRIOR_FROM = "2000-11-01"
 AS_OF = "2001-11-05"
 
 
+def sale_price():
+    return F.round(money("p_retailprice") * (F.lit(1) - money("l_discount")), 2).cast("decimal(18,2)")
+
+
 def price_points(t: Tables) -> DataFrame:
     """Every sale as a price point: price = retail x (1 - discount), exact to the cent."""
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                            "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
     part = t.part.select("p_partkey", "p_retailprice")
     return (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .withColumn("price", F.round(money("p_retailprice") * (F.lit(1) - money("l_discount")), 2)
-                        .cast("decimal(18,2)"))
+            .withColumn("price", sale_price())
             .drop("p_partkey", "p_retailprice"))
 
 
@@ -42,15 +45,16 @@ def price_recent(t: Tables) -> DataFrame:
     units, returns, views, highest and lowest price, number of price points and
     first sale day.
 
-    One scan of the price points and two aggregates: first per (product, price)
-    with plain hash aggregates -- a large map-side reduction -- then per product
+    One scan of the sales and three aggregates: first per (product, discount) with plain
+    hash aggregates -- a large map-side reduction, so the join with the products sees a few
+    rows of each -- then per (product, price), then per product
     over those few rows, where ``max(struct(last day, price, first day))`` picks
     the current price together with its own first and last day (no join back).
     """
-    pts = price_points(t)
     recent = F.col("l_shipdate") >= F.lit(RECENT_FROM).cast("timestamp")
     prior = (F.col("l_shipdate") >= F.lit(PRIOR_FROM).cast("timestamp")) & ~recent
-    per_price = pts.groupBy("l_partkey", "price").agg(
+    # Before the join with the products: a few rows per product, one for each discount.
+    per_discount = t.lineitem.groupBy("l_partkey", "l_discount").agg(
         F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"),
         F.sum(F.when(recent, cents("l_quantity"))).alias("pu"),
         F.count(F.when(recent & (F.col("l_returnflag") == "R"), 1)).alias("qb"),
@@ -58,6 +62,11 @@ def price_recent(t: Tables) -> DataFrame:
         F.sum(F.when(prior, cents("l_extendedprice"))).alias("prior_gms"),
         F.sum(F.when(prior, cents("l_quantity"))).alias("prior_units"),
         F.sum(F.when(recent, cents("l_extendedprice"))).alias("recent_gms"))
+    per_price = (
+        per_discount.join(t.part.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("l_partkey", sale_price().alias("price"))
+        .agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"),
+             *[F.sum(c).alias(c) for c in ("pu", "qb", "gv", "prior_gms", "prior_units", "recent_gms")]))
     per_part = per_price.groupBy("l_partkey").agg(
         F.max(F.struct("last_at", "price", "first_at")).alias("cur"),
         from_cents(F.sum("pu")).alias("pu"), F.sum("qb").alias("qb"), from_cents(F.sum("gv")).alias("gv"),
