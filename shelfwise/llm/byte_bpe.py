@@ -143,11 +143,15 @@ def _raw_bytes(ranks_path: str, ids_col: str = "ids"):
     def run(batches):
         import numpy as np
 
-        token = {rank: raw for raw, rank in read_ranks(ranks_path).items()}.__getitem__
+        ranks = read_ranks(ranks_path)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for raw, rank in ranks.items():
+            tokens[rank] = raw
+        token = tokens.__getitem__
         for batch in batches:
-            raw = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist()))
+            back = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist()))
                    for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return run
 
