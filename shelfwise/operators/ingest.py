@@ -150,3 +150,14 @@ def ddl_text(schema_rows: list, table: str) -> str:
             key = r["column_name"]
     body = ",\n".join(cols + ([f"  primary key ({key})"] if key else []))
     return f"create table {table} (\n{body}\n)"
+
+
+def ddl_frame(schema: DataFrame, table: str) -> DataFrame:
+    """T6 as a frame: the create-table text of ``infer_schema`` rows (one per column of a file, so a short list)."""
+    typed = F.col("inferred_type").isin("varchar", "char")
+    line = F.concat(F.lit("  "), "column_name", F.lit(" "), "inferred_type",
+                    F.when(typed, F.concat(F.lit("("), F.col("length").cast("string"), F.lit(")"))).otherwise(""))
+    one = schema.agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("c"),
+                     F.max(F.when(F.col("is_key"), F.col("column_name"))).alias("k"))
+    key = F.coalesce(F.concat(F.lit(",\n  primary key ("), "k", F.lit(")")), F.lit(""))
+    return one.select(F.concat(F.lit(f"create table {table} (\n"), F.array_join("c.line", ",\n"), key, F.lit("\n)")).alias("ddl"))

@@ -76,8 +76,13 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+def _salted(df: DataFrame, salts: int) -> DataFrame:
+    """Every row once per salt: the side with few rows per key, so that a frequent key of the other spreads."""
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
 def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
-                     items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+                     items: DataFrame, item_key: str, item_text: str, salts: int = 16) -> DataFrame:
     """Pairs (doc, item) with ``contains(doc_text, item_text)``, exact.
 
     Candidates come from equi-joins on tokens; only (key, token) pairs are
@@ -90,10 +95,15 @@ def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
       explode, partially aggregated), so a common word never drives the join.
     * Shorter items: their longest token lies inside one token of the document,
       so the key is every substring of a distinct document token whose length is
-      one of the short keys' lengths (a small set, collected).
+      one of the short keys' lengths (a scalar subquery; nothing is collected).
     * Items without any non-blank character are not keywords and match nothing.
+
+    A token in every document, or an item in every document, is spread over
+    ``salts`` tasks by the document's hash: the item side is repeated per salt.
     """
-    doc_tok = (docs.select(F.col(doc_key).alias("_d"), F.explode(F.array_distinct(_tokens(F.col(doc_text)))).alias("_tok")))
+    salt = F.pmod(F.xxhash64("_d"), F.lit(salts)).cast("int").alias("_salt")
+    doc_tok = docs.select(F.col(doc_key).alias("_d"), F.explode(F.array_distinct(_tokens(F.col(doc_text)))).alias("_tok"))
+    salted_tok = doc_tok.select("_d", "_tok", salt)
 
     toks = _tokens(F.col(item_text))
     items_k = items.select(F.col(item_key).alias("_i"), toks.alias("_toks"))
@@ -101,35 +111,33 @@ def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
                 .select("_i", F.explode(F.slice("_toks", 2, F.greatest(F.size("_toks") - 2, F.lit(0)))).alias("_tok")))
     # Document frequencies are only needed for the items' interior tokens: the semi join
     # keeps the aggregate to that vocabulary instead of every word of every document.
-    df_tok = (doc_tok.join(long_tok.select("_tok").distinct(), "_tok", "left_semi")
-              .groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")))
+    df_tok = (doc_tok.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
+              .join(long_tok.select("_tok").distinct(), "_tok", "left_semi"))
     # Interior tokens absent from every document cannot match: the inner join drops them.
     long_key = (long_tok.join(df_tok, "_tok")
                 .groupBy("_i").agg(F.min(F.struct("_df", "_tok")).alias("_m"))
                 .select("_i", F.col("_m._tok").alias("_tok")))
-    cand = doc_tok.join(long_key, "_tok").select("_d", "_i")
 
     short_key = (items_k.filter((F.size("_toks") >= 1) & (F.size("_toks") < 3))
                  .select("_i", F.try_element_at(F.array_sort(F.transform(
                      "_toks", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t")))), F.lit(1))
                      .getField("t").alias("_key")))
-    lengths = [r[0] for r in short_key.select(F.length("_key")).distinct().collect()]
-    if lengths:
-        vocab = doc_tok.select("_tok").distinct()
-        subs = (vocab.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])))
-                .filter(F.length("_tok") >= F.col("_len"))
-                .withColumn("_pos", F.explode(F.sequence(F.lit(1), F.length("_tok") - F.col("_len") + 1)))
-                .select("_tok", F.substring(F.col("_tok"), F.col("_pos"), F.col("_len")).alias("_key"))
-                .distinct())
-        short_tok = subs.join(short_key, "_key").select("_tok", "_i").distinct()
-        cand = cand.unionByName(doc_tok.join(short_tok, "_tok").select("_d", "_i"))
-    cand = cand.distinct()
-    # Column names of docs and items must not clash (rename before calling).
-    it = items.withColumnRenamed(item_key, "_ik")
-    pairs = (cand.join(docs, F.col("_d") == F.col(doc_key))
-             .join(it, F.col("_i") == F.col("_ik"))
-             .filter(F.col(doc_text).contains(F.col(item_text))))
-    return pairs.withColumnRenamed("_ik", item_key).drop("_d", "_i")
+    # As many lengths as short keys differ in, whatever the number of items.
+    lengths = short_key.agg(F.collect_set(F.length("_key"))).scalar()
+    subs = (doc_tok.select("_tok").distinct().withColumn("_len", F.explode(lengths))
+            .filter(F.length("_tok") >= F.col("_len"))
+            .withColumn("_pos", F.explode(F.sequence(F.lit(1), F.length("_tok") - F.col("_len") + 1)))
+            .select("_tok", F.substring(F.col("_tok"), F.col("_pos"), F.col("_len")).alias("_key"))
+            .distinct())
+    short_tok = subs.join(short_key, "_key").select("_i", "_tok").distinct()
+    keyed = _salted(long_key.unionByName(short_tok), salts)
+    cand = salted_tok.join(keyed, ["_tok", "_salt"]).select("_d", "_i").distinct()
+    # Column names of docs and items must not clash (rename before calling). The items' texts join the
+    # narrow candidates; the documents' texts are shuffled once, by document.
+    it = _salted(items.withColumnRenamed(item_key, "_ik"), salts)
+    wanted = cand.select("_d", F.col("_i").alias("_ik"), salt).join(it, ["_ik", "_salt"])
+    pairs = wanted.join(docs, (F.col("_d") == F.col(doc_key)) & F.col(doc_text).contains(F.col(item_text)))
+    return pairs.withColumnRenamed("_ik", item_key).drop("_d", "_salt")
 
 
 def exploded_membership(df: DataFrame, cols: Sequence[str], out: str = "member") -> DataFrame:

@@ -112,3 +112,11 @@ def cap_rows(df: DataFrame, cap: int = 1000) -> tuple[DataFrame, bool]:
     """
     fits = df.limit(cap + 1).count() <= cap
     return df, fits
+
+
+def inline_or_notice(df: DataFrame, cap: int = 1000) -> DataFrame:
+    """L7 as a frame: ``df`` with a null ``notice``; over ``cap`` rows a single row that only holds the notice."""
+    probe = df.limit(cap + 1).agg(F.count(F.lit(1)).alias("_n"))
+    shown = df.withColumn("notice", F.lit(None).cast("string")).filter(probe.scalar() <= cap)
+    over = probe.filter(F.col("_n") > cap).select(F.lit(f"more than {cap} rows").alias("notice"))
+    return shown.unionByName(over, allowMissingColumns=True)

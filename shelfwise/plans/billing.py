@@ -237,7 +237,7 @@ FROM cl
 """
 
 
-@report("billing_detail", covers=("R27d", "P3", "S22"), oracle=BILLING_DETAIL_SQL, tag="BILLDETAIL")
+@report("billing_detail", covers=("R27d", "P3"), oracle=BILLING_DETAIL_SQL, tag="BILLDETAIL")
 def billing_detail(t: Tables):
     """Detail rows of every charged line under its promotion's model (returns flagged)."""
     lines = _charged_lines(t)

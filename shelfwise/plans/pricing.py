@@ -272,7 +272,7 @@ def advice_history_rows(t: Tables) -> DataFrame:
     return down.select(*_history_cols("D")).unionByName(_raise_rows(t).select(*_history_cols("R")))
 
 
-@report("advice_history", covers=("R18", "M8", "U2", "P17"), oracle=ADVICE_HISTORY_SQL, tag="PRICEHIST")
+@report("advice_history", covers=("R18", "U2", "P17"), oracle=ADVICE_HISTORY_SQL, tag="PRICEHIST")
 def advice_history(t: Tables):
     """The day's history rows, both directions (written with ``write_day_partition``:
     re-running the day replaces only that day)."""

@@ -44,9 +44,7 @@ def report(name: str, covers: tuple[str, ...] = (), oracle: str | None = None,
 def load_all() -> dict[str, Report]:
     # Importing the plan modules registers their reports.
     from shelfwise.plans import (  # noqa: F401
-        access_reports, billing, capture_reports, catalog_reports, ingest_reports, pricing, scan_reports,
-        section_reports,
-        snapshot_reports,
-        text_reports, top_reports,
+        access_reports, billing, capture_reports, catalog_reports, field_reports, ingest_reports, pricing, scan_reports,
+        section_reports, snapshot_reports, text_reports, top_reports, written_reports,
     )
     return REPORTS

@@ -23,7 +23,7 @@ GROUP BY doc_id, code
 """
 
 
-@report("extract_codes", covers=("F12", "R1", "P14"), oracle=EXTRACT_CODES_SQL, tag="CODES")
+@report("extract_codes", covers=("F12",), oracle=EXTRACT_CODES_SQL, tag="CODES")
 def extract_codes(t: Tables):
     """Product codes mentioned in each document, with their number of mentions."""
     return (spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(product_codes("text")).alias("code"))

@@ -35,6 +35,21 @@ def test_containment_equals_nested_loop(spark):
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
 
 
+def test_containment_hot_tokens_and_one_letter_items(spark):
+    # "the" is in every document and is the only interior token of an item; "e" is in nearly every token.
+    docs = spark.createDataFrame([(i, f"see the tree{i % 7} here") for i in range(400)] + [(900, "of the"), (901, ""), (902, None)],
+                                 "doc_id int, text string").repartition(5)
+    items = spark.createDataFrame([(1, "see the tree3"), (2, "e"), (3, "q"), (4, " "), (5, ""), (6, "ee3 h"), (7, None), (8, "of the")],
+                                  "item_id int, item_text string")
+    ours = containment_join(docs, "doc_id", "text", items, "item_id", "item_text").select("doc_id", "item_id")
+    ref = (docs.crossJoin(items).filter(F.col("text").contains(F.col("item_text")) & (F.trim("item_text") != ""))
+           .select("doc_id", "item_id"))
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
+    none_short = items.filter(F.col("item_id") == 1)
+    assert containment_join(docs, "doc_id", "text", none_short, "item_id", "item_text").count() == 57
+    assert containment_join(docs, "doc_id", "text", items.limit(0), "item_id", "item_text").count() == 0
+
+
 def test_lookup_with_fallback(spark):
     rows = spark.createDataFrame([(1, 100, "n1"), (2, 200, "n1"), (3, 300, "n9")], "o int, c int, nation string")
     exact = spark.createDataFrame([(100, "BUILDING")], "c int, seg string")
