@@ -20,7 +20,7 @@ from shelfwise.operators.topn import latest_per_key
 from shelfwise.plans.access_reports import allowed_senders
 from shelfwise.plans.registry import report
 from shelfwise.plans.top_reports import TOP_PRODUCTS_SQL, top_products_to_80pct
-from shelfwise.plans.views import products
+from shelfwise.plans.views import PRODUCT_CODE_SQL, products
 from shelfwise.sources.html import escape_html, html_table_rows
 from shelfwise.sources.tables import Tables
 
@@ -78,7 +78,7 @@ SELECT * FROM rows WHERE comments <> ''
 """
 
 
-@report("comment_capture", covers=("R31", "S13", "S14", "J25", "J27", "M6", "F16"), oracle=COMMENT_CAPTURE_SQL, tag="COMMENTS")
+@report("comment_capture", covers=("R31", "S13", "J27", "F16"), oracle=COMMENT_CAPTURE_SQL, tag="COMMENTS")
 def comment_capture(t: Tables):
     """Comments captured from the returned top-list tables (key and non-empty last cell)."""
     return comment_capture_rows(t)
@@ -89,6 +89,57 @@ def merge_comments(log: DataFrame, captured: DataFrame) -> DataFrame:
     return replace_by_key(log, captured, ["product", "msgid"])
 
 
+# ------------------------------------------------------------------ R31: status and ETA tables
+STATUS_HEADER = "<tr><td>ASIN</td><td>Status</td><td>Title</td><td>ETA</td></tr>"
+
+
+def _status_messages(t: Tables) -> DataFrame:
+    """(msgid, publisher, sender, html): one status table per product and day it was returned. Lines of status F
+    come from an address that is not on the publisher's list; some cells are empty."""
+    lines = (t.lineitem.filter(F.col("l_returnflag") == "R")
+             .groupBy("l_partkey", F.to_date("l_shipdate").alias("day"), "l_linestatus")
+             .agg(F.max("l_linenumber").alias("line"), F.max("l_tax").alias("tax")))
+    status = F.when(F.col("line") > 2, F.concat(F.lit("line "), F.col("line").cast("string"))).otherwise("")
+    eta = F.when(F.col("tax") > 0.02, F.date_format("day", "yyyy-MM-dd")).otherwise("")
+    row = F.concat(F.lit("<tr><td>"), F.col("product"), F.lit("</td><td>"), status, F.lit("</td><td>"),
+                   escape_html(F.col("title")), F.lit("</td><td>"), eta, F.lit("</td></tr>"))
+    sender = F.when(F.col("l_linestatus") == "F", F.lit("someone@elsewhere.example")).otherwise(F.upper(_sender(F.col("publisher"))))
+    return (lines.join(products(t), F.col("l_partkey") == F.col("p_partkey"))
+            .select(F.concat_ws("/", "product", F.date_format("day", "yyyyMMdd"), "l_linestatus").alias("msgid"), "publisher",
+                    sender.alias("sender"),
+                    F.concat(F.lit('<p>Status:</p><table id="status">'), F.lit(STATUS_HEADER), row, F.lit("</table>")).alias("html")))
+
+
+@report("status_capture", covers=("R31", "S14", "J25", "M6"), tag="STATUS", oracle=f"""
+WITH l AS (SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, l_linestatus, max(l_linenumber) AS line, max(l_tax) AS tax
+           FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2, 3),
+c AS (SELECT {PRODUCT_CODE_SQL.format(k='p_partkey')} AS product, day, l_linestatus,
+             CASE WHEN line > 2 THEN 'line ' || line ELSE '' END AS status,
+             CASE WHEN tax > 0.02 THEN CAST(day AS VARCHAR) ELSE '' END AS eta
+      FROM l JOIN part ON p_partkey = l_partkey WHERE l_linestatus <> 'F'),
+got AS (SELECT product, product || '/' || strftime(day, '%Y%m%d') || '/' || l_linestatus AS msgid, status, eta
+        FROM c WHERE status <> '' OR eta <> ''),
+log AS (SELECT DISTINCT {PRODUCT_CODE_SQL.format(k='l_partkey')} AS product,
+               {PRODUCT_CODE_SQL.format(k='l_partkey')} || '/' || strftime(l_shipdate, '%Y%m%d') || '/O' AS msgid
+        FROM lineitem WHERE l_returnflag <> 'N')
+SELECT product, msgid, status, eta FROM got
+UNION ALL SELECT product, msgid, 'open', '' FROM log WHERE (product, msgid) NOT IN (SELECT product, msgid FROM got)""")
+def status_capture(t: Tables):
+    """Status and ETA cells of the tables that allowed senders returned, merged into the log by (product, message):
+    captured rows replace what the log held for them, other log rows stay, other senders' tables are not read."""
+    msgs = _status_messages(t)
+    lists = (t.part.select(F.col("p_brand").alias("publisher")).distinct()
+             .select("publisher", _sender(F.col("publisher")).alias("to_list"), F.lit("ops@example.com; ").alias("cc")))
+    allowed = allowed_senders(msgs, "sender", lists, "publisher", ("to_list", "cc"), "publisher")
+    rows = html_table_rows(allowed.select("msgid", "html"), "msgid", "html", table_id="status", status_header="status")
+    captured = rows.select(F.col("key").alias("product"), "msgid", "status", F.col("comment").alias("eta"))
+    code = F.concat(F.lit("B"), zero_padded("l_partkey", 9))
+    log = (t.lineitem.filter(F.col("l_returnflag") != "N")
+           .select(code.alias("product"), F.concat_ws("/", code, F.date_format("l_shipdate", "yyyyMMdd"), F.lit("O")).alias("msgid"))
+           .distinct().select("product", "msgid", F.lit("open").alias("status"), F.lit("").alias("eta")))
+    return merge_comments(log, captured)
+
+
 # ------------------------------------------------------------------ R32
 def keyword_messages(t: Tables) -> DataFrame:
     """(msgid, html): one search-keyword report per day, as a positional ``dataTable``
@@ -119,7 +170,7 @@ FROM events GROUP BY 1, event_type
 """
 
 
-@report("keyword_capture", covers=("R32", "S15", "F19", "M6"), oracle=KEYWORD_CAPTURE_SQL, tag="KEYWORDS")
+@report("keyword_capture", covers=("R32", "S15", "F19"), oracle=KEYWORD_CAPTURE_SQL, tag="KEYWORDS")
 def keyword_capture(t: Tables):
     """Daily keyword tables read back positionally: 'Total:' rows dropped, separators stripped."""
     from shelfwise.sources.html import keyword_table_rows

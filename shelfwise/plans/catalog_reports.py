@@ -215,11 +215,10 @@ def not_launched_rank(t: Tables):
     gs = (latest.select("l_partkey", "source").distinct()
           .groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources")))
     launched = t.lineitem.filter(F.col("l_shipdate") >= F.lit(LAUNCH_CUTOFF).cast("timestamp")).select("l_partkey").filter("l_partkey IS NOT NULL")
-    p = (products(t)
-         .join(latest.select(F.col("l_partkey").alias("k")).distinct(), F.col("p_partkey") == F.col("k"), "left_semi")
-         .filter((F.col("title") != "") & (F.col("publisher") != "")))
+    p = products(t).filter((F.col("title") != "") & (F.col("publisher") != ""))
     p = not_in_anti_join(p, launched, "p_partkey", "l_partkey")
-    return (p.join(gs, p.p_partkey == gs.l_partkey, "left")
+    # One row per product flagged in the latest snapshot: the join is the membership test as well.
+    return (p.join(gs, p.p_partkey == gs.l_partkey)
             .select("product", F.left("title", F.lit(15)).alias("title"), F.left("author", F.lit(15)).alias("author"),
                     "publisher", F.col("p_size").cast("bigint").alias("rank"), "sources")
             .orderBy("rank"))

@@ -185,9 +185,7 @@ SELECT b.product, b.publisher AS band, b.title, CAST(pdr.price AS DOUBLE) AS pri
         oracle=PRICE_DOWN_SQL, tag="PRICEDOWN")
 def price_down_candidates(t: Tables):
     """Products with traffic but low conversion at a high current price, sales not rising."""
-    base = _advice_base(t).filter((F.col("pu_qb") < F.lit(0.06).cast("decimal(3,2)") * F.col("gv"))
-                                  & (F.col("price") > 850)
-                                  & (F.col("recent_gms") < F.col("prior_gms") * F.lit(1.6).cast("decimal(2,1)")))
+    base = _advice_base(t).filter(_is_down())
     return (base.orderBy(ratio("pu_qb", "gv"))
             .select("product", F.col("publisher").alias("band"), "title", as_double("price").alias("price"), "days",
                     as_double("pu_qb").alias("pu_qb"), as_double("gv").alias("gv"),
@@ -209,12 +207,16 @@ SELECT b.product, b.publisher AS band, b.title, CAST(pdr.price AS DOUBLE) AS rec
 """
 
 
-def _raise_rows(t: Tables) -> DataFrame:
-    return _advice_base(t).filter(
-        (F.col("pu_qb") >= F.lit(0.06).cast("decimal(3,2)") * F.col("gv"))
-        & (F.col("prior_units") > 0)
-        & (F.col("price") * F.col("prior_units") <= F.col("prior_gms") * F.lit(0.8).cast("decimal(2,1)"))
-        & (F.col("recent_gms") < F.col("prior_gms")))
+def _is_down():
+    return ((F.col("pu_qb") < F.lit(0.06).cast("decimal(3,2)") * F.col("gv")) & (F.col("price") > 850)
+            & (F.col("recent_gms") < F.col("prior_gms") * F.lit(1.6).cast("decimal(2,1)")))
+
+
+def _is_raise():
+    return ((F.col("pu_qb") >= F.lit(0.06).cast("decimal(3,2)") * F.col("gv"))
+            & (F.col("prior_units") > 0)
+            & (F.col("price") * F.col("prior_units") <= F.col("prior_gms") * F.lit(0.8).cast("decimal(2,1)"))
+            & (F.col("recent_gms") < F.col("prior_gms")))
 
 
 def _prior_price():
@@ -226,7 +228,7 @@ def _prior_price():
 def price_raise_candidates(t: Tables):
     """Products converting well whose current price is <= 80 % of the prior average price
     while sales fell."""
-    return (_raise_rows(t).orderBy(ratio("recent_gms", "prior_gms"))
+    return (_advice_base(t).filter(_is_raise()).orderBy(ratio("recent_gms", "prior_gms"))
             .select("product", F.col("publisher").alias("band"), "title", as_double("price").alias("recent_price"),
                     _prior_price().alias("prior_price"), "days",
                     as_double("pu_qb").alias("pu_qb"), as_double("gv").alias("gv"),
@@ -236,8 +238,8 @@ def price_raise_candidates(t: Tables):
                     percent_text("price", "p_retailprice", 1).alias("ep_op_ratio"), "competitor"))
 
 
-def _history_cols(direction: str):
-    return [F.lit(AS_OF).cast("date").alias("ss_day"), F.lit(direction).alias("dir"), "product",
+def _history_cols():
+    return [F.lit(AS_OF).cast("date").alias("ss_day"), "dir", "product",
             F.col("publisher").alias("band"), "title", as_double("price").alias("price"),
             _prior_price().alias("prior_price"), "days", as_double("pu_qb").alias("pu_qb"), as_double("gv").alias("gv"),
             F.when(F.col("gv") == 0, F.lit(None)).otherwise(rounded_double(ratio("pu_qb", "gv"), 4)).alias("cr"),
@@ -266,10 +268,9 @@ ADVICE_HISTORY_SQL = (with_sql(PRODUCTS_SQL, PRICE_RECENT_SQL, PRICE_MATCH_SQL)
 
 
 def advice_history_rows(t: Tables) -> DataFrame:
-    down = _advice_base(t).filter((F.col("pu_qb") < F.lit(0.06).cast("decimal(3,2)") * F.col("gv"))
-                                  & (F.col("price") > 850)
-                                  & (F.col("recent_gms") < F.col("prior_gms") * F.lit(1.6).cast("decimal(2,1)")))
-    return down.select(*_history_cols("D")).unionByName(_raise_rows(t).select(*_history_cols("R")))
+    # The two conditions exclude each other, so one pass over the base tags its rows.
+    tagged = _advice_base(t).withColumn("dir", F.when(_is_down(), "D").when(_is_raise(), "R"))
+    return tagged.filter(F.col("dir").isNotNull()).select(*_history_cols())
 
 
 @report("advice_history", covers=("R18", "U2", "P17"), oracle=ADVICE_HISTORY_SQL, tag="PRICEHIST")

@@ -1,14 +1,13 @@
 """Which report sections each publisher receives.
 
-A section is produced only for publishers holding the enabled right for it
-(a semi join on the rights table), and only when it has rows; its heading shows
-the row count. The rights table is derived from the catalog: every publisher
-holds the top list; the category list needs at least 80 products, the author
-list at least 70 (fixed thresholds).
+A section is produced only for publishers holding the right for it, and only when it has rows; its heading
+shows the row count. Rights are configuration: they are applied to the catalog before anything is summed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,30 +15,24 @@ from shelfwise.plans.registry import report
 from shelfwise.plans.top_reports import (
     TOP_PRODUCTS_SQL, _TOP_GROUPS_SQL, top_authors_best_product, top_categories_best_product, top_products_to_80pct,
 )
-from shelfwise.plans.views import products
 from shelfwise.sources.tables import Tables
 
-# Right -> minimum number of products of the publisher.
-RIGHT_THRESHOLDS = (("toplist", 0), ("catelist", 80), ("topauthor", 70))
-
-
-def publisher_rights(t: Tables) -> DataFrame:
-    """(publisher, rights, enable) derived from each publisher's catalog size."""
-    n = products(t).groupBy("publisher").agg(F.count(F.lit(1)).alias("n"))
-    rows = [F.struct(F.lit(r).alias("rights"), F.when(F.col("n") >= k, "y").otherwise("n").alias("enable"))
-            for r, k in RIGHT_THRESHOLDS]
-    return n.select("publisher", F.explode(F.array(*rows)).alias("r")).select("publisher", "r.rights", "r.enable")
+# Section -> publishers holding its right ('all' = everybody).
+RIGHTS = (
+    ("toplist", ("all",)),
+    ("catelist", ("Brand#1", "Brand#2", "Brand#3", "Brand#5", "Brand#8", "Brand#13", "Brand#21")),
+    ("topauthor", ("Brand#2", "Brand#4", "Brand#8", "Brand#16", "Brand#25")),
+)
+SECTIONS = {"toplist": top_products_to_80pct, "catelist": top_categories_best_product, "topauthor": top_authors_best_product}
+_GRANTS_SQL = ", ".join(f"('{section}', '{who}')" for section, members in RIGHTS for who in members)
 
 
 def _counts(df: DataFrame, section: str) -> DataFrame:
     return df.groupBy("publisher").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("section", F.lit(section))
 
 
-@report("publisher_sections", covers=("J26", "A15", "J8"), tag="SECTIONS", oracle=f"""
-WITH p AS (SELECT p_brand AS publisher, COUNT(*) AS n FROM part GROUP BY p_brand),
-rights AS (SELECT publisher, 'toplist' AS rights, CASE WHEN n >= 0 THEN 'y' ELSE 'n' END AS enable FROM p
-           UNION ALL SELECT publisher, 'catelist', CASE WHEN n >= 80 THEN 'y' ELSE 'n' END FROM p
-           UNION ALL SELECT publisher, 'topauthor', CASE WHEN n >= 70 THEN 'y' ELSE 'n' END FROM p),
+@report("publisher_sections", covers=("J26", "A15"), tag="SECTIONS", oracle=f"""
+WITH grants(section, who) AS (VALUES {_GRANTS_SQL}),
 tp AS ({TOP_PRODUCTS_SQL}),
 tc AS ({_TOP_GROUPS_SQL.format(col="category", label="t.category", out="category")}),
 ta AS ({_TOP_GROUPS_SQL.format(col="author", label="left(trim(t.author), 12)", out="author")}),
@@ -48,15 +41,13 @@ c AS (SELECT publisher, 'toplist' AS section, COUNT(*) AS n_rows FROM tp GROUP B
       UNION ALL SELECT publisher, 'topauthor', COUNT(*) FROM ta GROUP BY publisher)
 SELECT c.publisher, c.section, c.n_rows FROM c
 WHERE c.n_rows > 0
-  AND (c.publisher, c.section) IN (SELECT publisher, rights FROM rights WHERE enable = 'y')
+  AND EXISTS (SELECT 1 FROM grants g WHERE g.section = c.section AND g.who IN (c.publisher, 'all'))
 """)
 def publisher_sections(t: Tables):
     """Sections each publisher receives, with the row count shown in the heading."""
-    counts = (_counts(top_products_to_80pct(t), "toplist")
-              .unionByName(_counts(top_categories_best_product(t), "catelist"))
-              .unionByName(_counts(top_authors_best_product(t), "topauthor")))
-    enabled = publisher_rights(t).filter(F.col("enable") == "y").select(
-        F.col("publisher").alias("r_pub"), F.col("rights").alias("r_sec"))
-    return (counts.filter(F.col("n_rows") > 0)
-            .join(enabled, (F.col("publisher") == F.col("r_pub")) & (F.col("section") == F.col("r_sec")), "left_semi")
-            .select("publisher", "section", "n_rows"))
+    counts = []
+    for section, members in RIGHTS:
+        # The publisher groups every section, so the filter reaches the catalog scan.
+        rows = SECTIONS[section](t)
+        counts.append(_counts(rows if "all" in members else rows.filter(F.col("publisher").isin(*members)), section))
+    return reduce(DataFrame.unionByName, counts).select("publisher", "section", "n_rows")

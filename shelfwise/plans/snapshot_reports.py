@@ -168,15 +168,14 @@ def upstream_uplift(t: Tables):
     """Units bought per customer in the latest complete month vs the month before."""
     o = complete_months(t.orders).select(
         "o_orderkey", "o_custkey", "o_orderdate")
-    joined = (t.lineitem.select("l_orderkey", "l_quantity")
-              .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-              .withColumn("snapshot", F.trunc("o_orderdate", "month")))
-    # The two months come from the joined rows (exchange reuse shares the join with the
-    # subqueries); only those two months are aggregated.
-    last = joined.agg(F.max("snapshot")).scalar()
-    before = joined.filter(F.col("snapshot") < last).agg(F.max("snapshot")).scalar()
-    u = (joined.filter((F.col("snapshot") == last) | (F.col("snapshot") == before))
-         .groupBy("snapshot", "o_custkey").agg(money_sum("l_quantity").alias("units")))
+    month = F.trunc("o_orderdate", "month")
+    # The two latest months with sold lines: a set of months, from orders that have any.
+    months = (o.join(t.lineitem.select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+              .agg(F.sort_array(F.collect_set(month), asc=False)).scalar())
+    last, before = F.get(months, F.lit(0)), F.get(months, F.lit(1))
+    u = (o.filter((month == last) | (month == before))
+         .join(t.lineitem.select("l_orderkey", "l_quantity"), F.col("l_orderkey") == F.col("o_orderkey"))
+         .groupBy(month.alias("snapshot"), "o_custkey").agg(money_sum("l_quantity").alias("units")))
     latest = u.filter(F.col("snapshot") == last)
     prev = u.filter(F.col("snapshot") == before).select(F.col("o_custkey").alias("p_cust"),
                                                         F.col("units").alias("p_units"))

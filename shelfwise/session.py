@@ -57,10 +57,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; it is only set here when
-    missing (local tests), to a fresh scratch folder.
+    missing in local mode (tests), to a fresh scratch folder. On a cluster a folder
+    of one machine is of no use to the others, so there a missing setting is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)
