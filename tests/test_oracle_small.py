@@ -8,7 +8,7 @@ from tools.oracle_check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["top_products_to_80pct", "top_categories_best_product", "price_ladder", "billing_cofund_ordered",
-          "metadata_worklist", "keyword_hit_list", "ingest_clean_cast", "deal_strong_new_flag", "not_launched_rank"]
+          "metadata_worklist", "status_capture", "written_supplier_sheets", "proposed_table", "keyword_hit_list", "ingest_clean_cast", "deal_strong_new_flag", "not_launched_rank"]
 
 
 @pytest.fixture(scope="module")

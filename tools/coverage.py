@@ -25,7 +25,7 @@ IMPL = {
     "S23": "sources/sinks.py append_audit", "S24": "sources/sinks.py export_tables / expired_exports",
     "T1": "operators/ingest.py normalize_header", "T2": "operators/ingest.py bind_columns",
     "T3": "operators/ingest.py infer_schema", "T4": "operators/ingest.py infer_schema", "T5": "operators/ingest.py infer_schema",
-    "T6": "operators/ingest.py ddl_text", "T7": "functions/cleansing.py clean_cast", "T7a": "functions/cleansing.py clean_cast",
+    "T6": "operators/ingest.py ddl_text / ddl_frame", "T7": "functions/cleansing.py clean_cast", "T7a": "functions/cleansing.py clean_cast",
     "T7b": "functions/cleansing.py clean_cast", "T7c": "functions/cleansing.py parse_date",
     "T7d": "functions/cleansing.py parse_int", "T7e": "functions/cleansing.py parse_number",
     "T7f": "functions/cleansing.py clean_cast", "T8": "operators/ingest.py clean_lines (rejects)",
@@ -46,7 +46,7 @@ IMPL = {
     "P14": "operators/params.py mine_parameters / parameter_filter / per_request",
     "P11": "operators/snapshots.py latest_snapshot", "P12": "operators/snapshots.py previous_snapshot",
     "L4": "asc_nulls_last in plans/scan_reports.py", "L5": "operators/topn.py top_k_per_group", "L6": "operators/topn.py latest_per_key",
-    "L7": "operators/topn.py cap_rows", "F3": "functions/numeric.py percent_text", "F4": "functions/numeric.py round_half_up",
+    "L7": "operators/topn.py cap_rows / inline_or_notice", "F3": "functions/numeric.py percent_text", "F4": "functions/numeric.py round_half_up",
     "F5": "functions/numeric.py thousands", "F8": "functions/dates.py yyyymmdd", "F9": "functions/dates.py week_sunday",
     "F10": "explicit AS_OF parameters", "F12": "functions/text.py product_codes", "F13": "functions/text.py first_publisher_code",
     "F14": "functions/text.py email_addresses / sender_user / display_name", "F15": "functions/dates.py parse_message_date",
@@ -70,7 +70,7 @@ TESTS = {
     "M7": "test_merge", "M8": "test_sinks_sheets", "M9": "test_sinks_sheets", "M10": "test_sinks_sheets",
     "J9": "test_joins", "J12": "test_joins", "J13": "test_joins", "J15": "test_topn", "J20": "test_joins",
     "A10": "test_topn", "W2": "test_topn", "W3": "test_topn", "W5": "test_topn", "W6": "test_topn", "W7": "test_snapshots",
-    "L7": "test_sinks_sheets", "F9": "test_functions", "F12": "test_functions", "F13": "test_functions",
+    "L7": "test_sinks_sheets, test_inline", "F9": "test_functions", "F12": "test_functions", "F13": "test_functions",
     "F15": "test_functions", "F16": "test_functions", "F17": "test_cleansing", "F18": "test_sinks_sheets",
     "F19": "test_sinks_sheets", "F20": "test_functions", "F21": "test_functions", "F23": "test_functions",
     "F25": "test_sinks_sheets", "F26": "test_functions", "F28": "test_sinks_sheets", "F29": "test_sinks_sheets",
