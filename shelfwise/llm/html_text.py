@@ -7,13 +7,15 @@ branch) and each presentation (its run of child styles) occurs on the host's dis
 pages. From the counts follow two entropies, normalised to 0..1; a node whose weighted
 importance is low shows much the same on page after page, and its branch is taken out of
 each page. The importances are pre-aggregated sums, so a host with most of the pages is
-spread like any other; only nodes of low importance come back to the pages.
+spread like any other; only nodes of low importance come back to the pages. All blocks
+of a page are in the tree: navigation, footer, adverts, wrappers and the article alike.
 
-What HTML itself names as outside the text (navigation, header, footer, aside, form,
-script, hidden parts, roles, and classes or ids that speak of adverts, comments, notices and
-the like) goes whatever the host shows. A page with an article is its article; else its
-main part; else its body. Headings and paragraphs, and hosts of fewer than ``MIN_PAGES``
-distinct pages, are never judged by importance.
+What the tree leaves is then checked against what HTML itself names as outside the text
+(navigation, header, footer, aside, form, script, hidden parts, roles, and classes or ids
+that speak of adverts, comments, notices and the like). A page with an article is its
+article; else its main part; else its body. The frame of a page (html, body, article, main),
+headings, and paragraphs of an article or main part have an importance like any node, but
+never go by it themselves; nor does anything on hosts of fewer than ``MIN_PAGES`` distinct pages.
 
 Defined cases: null and empty html give an empty text; a null url or one without a host
 belongs to host ''; cut-off and badly nested pages are read as far as they go; equal pages
@@ -59,7 +61,9 @@ _OUT_WORDS = set("ad ads adv advert adverts advertisement advertising adsense sp
                  "share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager notice notices".split())
 _WRAP_WORDS = set("sidebar menu nav navbar navigation header footer masthead banner widget widgets toolbar topbar aside".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_KEPT_TAGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html".split())
+#: Never taken out by their own importance: anywhere, and inside an article or main part.
+_KEPT_TAGS = set("h1 h2 h3 h4 h5 h6 article main body html".split())
+_KEPT_INSIDE = set("p blockquote pre".split())
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
 
@@ -73,7 +77,7 @@ class Page:
         """``whole`` keeps all visible text (only scripts and the like are left out)."""
         self.blocks: list[tuple[str, tuple[int, ...], bool, bool, bool]] = []
         self.children: dict[int, list[int]] = {}
-        #: Style nodes that importance may take out: all but headings, paragraphs and the frame of the page.
+        #: Style nodes that importance may take out: all but headings, the article's paragraphs and the frame of the page.
         self.judged: set[int] = set()
         self.title, self.links = "", []
         self._parse(source, whole)
@@ -155,7 +159,7 @@ class Page:
                 continue
             child = hash_style(node, name) if len(chain) < DEPTH else node
             if child != node:
-                if tag not in _KEPT_TAGS:
+                if tag not in _KEPT_TAGS and not (tag in _KEPT_INSIDE and (article or main)):
                     self.judged.add(child)
                 run = self.children.setdefault(node, [])
                 if not run or run[-1] != child:
@@ -182,9 +186,10 @@ class Page:
                or bool(re.search(r"display\s*:\s*none", got.get("style", ""))) or bool(words & _OUT_WORDS))
         return f"{tag}.{_DIGITS.sub('0', named)}" if named else tag, out, bool(words & _WRAP_WORDS)
 
-    def main(self) -> list[tuple[str, tuple[int, ...]]]:
-        """The blocks of the article, else of the main part, else of the body, without what is outside the text."""
-        kept = [b for b in self.blocks if not b[2]]
+    def main(self, noise: frozenset[int] | set[int] = frozenset()) -> list[tuple[str, tuple[int, ...]]]:
+        """What the tree leaves (no block below a node of ``noise``), and of that the blocks of the article, else of the
+        main part, else of the body, without what is outside the text."""
+        kept = [b for b in self.blocks if noise.isdisjoint(b[1]) and not b[2]]
         part = [b for b in kept if b[3]] or [b for b in kept if b[4]] or kept
         return [(b[0], b[1]) for b in part]
 
@@ -204,27 +209,30 @@ def _hash(parts) -> int:
 
 
 def _nodes(batches):
-    """Pages to their judged style nodes: (host, page, node, kind, shown): kind 0 content, 1 presentation."""
+    """Pages to all their style nodes: (host, page, node, judged, kind, shown): kind 0 content, 1 presentation."""
     for batch in batches:
         for k in range(0, batch.num_rows, 128):
             part = batch.slice(k, 128)
             rows = []
             for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 page = Page(source or "")
-                blocks = page.main()
-                below: dict[int, list[str]] = {}
-                for text, chain in blocks:
-                    for node in page.judged.intersection(chain):
-                        below.setdefault(node, []).append(text)
+                # A text is hashed once, however deep it lies.
+                below: dict[int, list[int]] = {}
+                shown = []
+                for text, chain, *_ in page.blocks:
+                    shown.append(_hash((text,)))
+                    for node in chain:
+                        below.setdefault(node, []).append(shown[-1])
                 if below:
-                    whole = _hash(text for text, _ in blocks)
+                    whole = _hash(shown)
                     for node, texts in below.items():
-                        rows.append((host, whole, node, 0, _hash(texts)))
-                        rows.append((host, whole, node, 1, _hash(page.children.get(node, ()))))
+                        judged = node in page.judged
+                        rows.append((host, whole, node, judged, 0, _hash(texts)))
+                        rows.append((host, whole, node, judged, 1, _hash(page.children.get(node, ()))))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
-                    names=["host", "page", "node", "kind", "shown"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()))],
+                    names=["host", "page", "node", "judged", "kind", "shown"])
 
 
 def _texts(names: list[str]):
@@ -234,8 +242,7 @@ def _texts(names: list[str]):
                 part = batch.slice(k, 128)
                 texts = []
                 for source, noise in zip(part.column("html").to_pylist(), part.column("_noise").to_pylist()):
-                    low = set(noise or ())
-                    texts.append("\n".join(text for text, chain in Page(source or "").main() if low.isdisjoint(chain)))
+                    texts.append("\n".join(text for text, _ in Page(source or "").main(set(noise or ()))))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string()),
                                                   pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
@@ -247,12 +254,12 @@ def hosted(pages: DataFrame) -> DataFrame:
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the judged style nodes of every host."""
-    shown = hosted(pages).select("host", "html").mapInArrow(_nodes, "host string, page bigint, node bigint, kind int, shown bigint").distinct()
-    counts = shown.groupBy("host", "node", "kind", "shown").agg(F.count(F.lit(1)).alias("c"))
-    by_kind = (counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    """(host, node, judged, pages, importance) of all style nodes of every host; ``judged`` ones may go by it."""
+    shown = hosted(pages).select("host", "html").mapInArrow(_nodes, "host string, page bigint, node bigint, judged boolean, kind int, shown bigint").distinct()
+    counts = shown.groupBy("host", "node", "judged", "kind", "shown").agg(F.count(F.lit(1)).alias("c"))
+    by_kind = (counts.groupBy("host", "node", "judged", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
                .withColumn("entropy", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)))
-    return by_kind.groupBy("host", "node").agg(
+    return by_kind.groupBy("host", "node", "judged").agg(
         F.max("m").alias("pages"),
         F.sum(F.when(F.col("kind") == 0, CONTENT_WEIGHT).otherwise(1 - CONTENT_WEIGHT) * F.col("entropy")).alias("importance"))
 
@@ -260,7 +267,7 @@ def node_importance(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``pages`` (page_id, url, html, ...) with text and n_chars in place of html."""
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    noise = checkpointed(node_importance(pages).filter((F.col("pages") >= min_pages) & (F.col("importance") < least))
+    noise = checkpointed(node_importance(pages).filter(F.col("judged") & (F.col("pages") >= min_pages) & (F.col("importance") < least))
                          # A host's style nodes: as many as its templates have.
                          .groupBy("host").agg(F.collect_set("node").alias("_noise")).withColumnRenamed("host", "_host"))
     if noise.count() <= max_broadcast:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -266,6 +267,39 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_tree_of_whole_pages(spark):
+    """The tree holds the blocks around an article too, and its importances take branches out before any HTML rule."""
+    made = [(k, "http://h.example/x", page(f"<nav><ul><li><a href='/a'>The menu</a></ul></nav><div class='x'>Same advert</div><article><h1>Title {k}</h1><h2>Intro</h2>"
+                                           f"<p>Story {k}</p><p>The end</p><div class='box'>Read us daily</div></article><footer>Foot</footer>")) for k in range(9)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    tree = {r["node"]: r for r in html_text.node_importance(pages).collect()}
+    gone = {n for n, r in tree.items() if r["judged"] and r["importance"] < html_text.LEAST}
+    read = html_text.Page(made[0][2])
+    lost = [text for text, chain, *_ in read.blocks if not gone.isdisjoint(chain)]
+    assert lost == ["The menu", "Same advert", "Read us daily", "Foot"]
+    assert all(n in tree for _, chain, *_ in read.blocks for n in chain) and all(r["pages"] == 9 for r in tree.values())
+    assert {r["text"] for r in html_text.main_text(pages).collect()} == {f"Title {k}\nIntro\nStory {k}\nThe end" for k in range(9)}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/pages.parquet"), reason="no given pages")
+def test_html_tree_on_given_pages(spark):
+    """Every block of the given pages is in the tree, and what surrounds the articles is less important than they are.
+    No menu, advert or footer there is on more than a few pages of its host, so a bound has to be high to take them out."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    tree = {(r["host"], r["node"]): r for r in html_text.node_importance(pages).collect()}
+    assert tree
+    bound, surrounding, articles, removed = 0.95, [], [], 0
+    for r in html_text.hosted(pages).collect():
+        read = html_text.Page(r["html"] or "")
+        for text, chain, _, article, _ in read.blocks:
+            rows = [tree[r["host"], n] for n in chain]
+            (articles if article else surrounding).append(rows[2]["importance"])
+            gone = any(x["judged"] and x["importance"] < bound for x in rows)
+            assert not (gone and article)
+            removed += gone
+    assert removed > 1_000 and np.mean(surrounding) < np.mean(articles)
+
+
 def test_warc(spark, tmp_dir):
     pages = spark.createDataFrame([(1, "http://a.example/", "<title>T</title><p>x <a href='/l?a&amp;b'>y</a><p>WARC/1.0\r\nz"), (2, None, None), (2, None, None)],
                                   "page_id long, url string, html string")
