@@ -11,8 +11,9 @@ spread like any other; only nodes of low importance come back to the pages. All
 of a page are in the tree: navigation, footer, adverts, wrappers and the article alike.
 
 What the tree leaves is then checked against what HTML itself names as outside the text
-(navigation, header, footer, aside, form, script, hidden parts, roles, and classes or ids
-that speak of adverts, comments, notices and the like). A page with an article is its
+(navigation, header, footer, aside, form, script, hidden parts, roles, and whole names of
+a class, or an id, that stand for adverts, comments, notices and the like; never the name of
+the page's frame, of a heading or paragraph, nor of what an article or main part lies in). A page with an article is its
 article; else its main part; else its body. The frame of a page (html, body, article, main),
 headings, and paragraphs of an article or main part have an importance like any node, but
 never go by it themselves; nor does anything on hosts of fewer than ``MIN_PAGES`` distinct pages.
@@ -55,7 +56,7 @@ _SPACE = set("br td th img".split())
 _OUT = set("script style noscript template nav footer aside form head title dialog menu button select option textarea input label "
            "fieldset iframe object embed svg canvas audio video map search xmp noembed noframes".split())
 _OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar status".split())
-#: Words in a class or id: those of a part that is never the text, and those that a wrapper of the text may also bear.
+#: Whole names of a class, or an id: those of a part that is never the text, and those that count outside articles and main parts.
 _OUT_WORDS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments "
                  "commentlist disqus reply replies respond cookie cookies consent gdpr newsletter subscribe subscription popup modal overlay "
                  "share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager notice notices".split())
@@ -64,14 +65,16 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 #: Never taken out by their own importance: anywhere, and inside an article or main part.
 _KEPT_TAGS = set("h1 h2 h3 h4 h5 h6 article main body html".split())
 _KEPT_INSIDE = set("p blockquote pre".split())
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Names of these say nothing about the text below them.
+_NAMED_FREELY = set("html body main article p h1 h2 h3 h4 h5 h6".split())
+_NUMBER = re.compile(r"[-_]*\d+$")
 _DIGITS = re.compile(r"\d+")
 
 
 class Page:
     """Blocks of a page: (text, chain of style nodes, outside the text, inside article, inside main)."""
 
-    __slots__ = ("blocks", "children", "judged", "title", "links")
+    __slots__ = ("blocks", "children", "judged", "title", "links", "_begun")
 
     def __init__(self, source: str, whole: bool = False):
         """``whole`` keeps all visible text (only scripts and the like are left out)."""
@@ -80,6 +83,8 @@ class Page:
         #: Style nodes that importance may take out: all but headings, the article's paragraphs and the frame of the page.
         self.judged: set[int] = set()
         self.title, self.links = "", []
+        #: Whether an article has begun.
+        self._begun = False
         self._parse(source, whole)
 
     def _parse(self, source: str, whole: bool) -> None:
@@ -152,7 +157,9 @@ class Page:
                 continue
             name, own_out, own_wrap = tag, tag in _OUT, False
             if attrs:
-                name, own_out, own_wrap = self._attributes(tag, attrs, own_out, whole)
+                name, own_out, own_wrap = self._attributes(tag, attrs, own_out, article or main)
+            if tag == "form" and not self._begun:
+                own_out, own_wrap = False, True  # some sites put the whole page into a form
             if not block and not own_out and not own_wrap and not attrs:
                 # Plain inline markup is no node of its own.
                 stack.append((tag, node, chain, out, wrapped, article, main))
@@ -167,24 +174,35 @@ class Page:
             if own_out or own_wrap:
                 flush()
             if tag in ("article", "main") and not own_out:
-                wrapped = False  # only a word of some wrapper spoke against it
+                wrapped = False  # only the name of some wrapper spoke against it
+                self._begun |= tag == "article"
             if tag == "header" and not (article or main):
                 own_wrap = True
             stack.append((tag, child, chain + (child,) if child != node else chain, out or own_out, wrapped or own_wrap,
                           article or tag == "article", main or tag == "main"))
         flush()
 
-    def _attributes(self, tag: str, attrs: str, out: bool, whole: bool) -> tuple[str, bool, bool]:
+    def _attributes(self, tag: str, attrs: str, out: bool, inside: bool) -> tuple[str, bool, bool]:
+        """Name of the style node, whether the element is out with all below it, whether it is up to an article in it.
+        ``inside``: it lies in an article or main part."""
         got = {}
         for k, a, b, c in _ATTR.findall(attrs):
             got.setdefault(k.lower(), a or b or c)
         if tag == "a" and got.get("href"):
             self.links.append(_html.unescape(got["href"]))
         named = f"{got.get('class', '')} {got.get('id', '')}".strip()
-        words = {w.lower() for w in _WORDS.findall(named)}
         out = (out or "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in _OUT_ROLES
-               or bool(re.search(r"display\s*:\s*none", got.get("style", ""))) or bool(words & _OUT_WORDS))
-        return f"{tag}.{_DIGITS.sub('0', named)}" if named else tag, out, bool(words & _WRAP_WORDS)
+               or bool(re.search(r"display\s*:\s*none", got.get("style", ""))))
+        wrap = False
+        if named and tag not in _NAMED_FREELY:
+            # The id of a section is where links to it go.
+            of = got.get("class", "") if tag == "section" else named
+            names = {_NUMBER.sub("", w) for w in of.lower().split()}
+            # Before any article the element may hold the article.
+            wrap = not names.isdisjoint(_OUT_WORDS) or (not inside and not names.isdisjoint(_WRAP_WORDS))
+            if wrap and self._begun:
+                out = True
+        return f"{tag}.{_DIGITS.sub('0', named)}" if named else tag, out, wrap
 
     def main(self, noise: frozenset[int] | set[int] = frozenset()) -> list[tuple[str, tuple[int, ...]]]:
         """What the tree leaves (no block below a node of ``noise``), and of that the blocks of the article, else of the

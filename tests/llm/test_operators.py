@@ -300,6 +300,25 @@ def test_html_tree_on_given_pages(spark):
     assert removed > 1_000 and np.mean(surrounding) < np.mean(articles)
 
 
+@pytest.mark.parametrize("body, want", [
+    ("<body class='single-post comments-open'><p>Story</p>", "Story"),
+    ("<body class='cookie comments'><article><p>Story</p></article>", "Story"),
+    ("<article class='post has-comments comments'><p>Story</p></article>", "Story"),
+    ("<div class='share'><article><p>Story</p></article></div>", "Story"),
+    ("<div class='widget social'><main><p>Story</p></main></div>", "Story"),
+    ("<form id='aspnetForm'><article><p>Story</p><form>f</form></article></form>", "Story"),
+    ("<article><div class='entry-content share-enabled'><p>Story</p></div></article>", "Story"),
+    ("<article><h2 id='related-work'>Related work</h2><h2 class='header'>H</h2><p class='notice'>Story</p></article>", "Related work\nH\nStory"),
+    ("<article><div class='header'><h1>H</h1></div><section id='social-history'><p>Story</p></section><section id='notices'><p>N</p></section></article>", "H\nStory\nN"),
+    ("<article><p>Story</p><div class='ad-2'>a</div><div class='x Comments'>c</div><div id='comments'>d</div></article>", "Story"),
+    ("<article><p>Story</p></article><div id='comments'><article>A comment</article></div><div class='widget'><article>w</article></div>", "Story"),
+    ("<main><div class='comments'>c</div><p>Story</p></main>", "Story"),
+    ("<div class='sidebar'>s</div><div class='promo'>a</div><p>Story</p>", "Story"),
+])
+def test_html_names(body, want):
+    assert "\n".join(text for text, _ in html_text.Page(page("") + body).main()) == want
+
+
 def test_warc(spark, tmp_dir):
     pages = spark.createDataFrame([(1, "http://a.example/", "<title>T</title><p>x <a href='/l?a&amp;b'>y</a><p>WARC/1.0\r\nz"), (2, None, None), (2, None, None)],
                                   "page_id long, url string, html string")
