@@ -3,8 +3,8 @@
 A text becomes its words joined by single spaces. Rules are regular expressions over
 that form, several hundred of them, written from a table of licences and the forms in
 which a licence is named (identifier tag, notice, grant, reference, bare name), plus
-general notices. Each rule has a gate of keywords: it only runs where the document holds
-them all, so most documents run none. What the rules find are word intervals with a
+general notices. Each rule has a gate of alternative sets of keywords, one for every form
+of its pattern: it only runs where the document holds all of a set, so most documents run none. What the rules find are word intervals with a
 priority. A sweep in order of start (longer first, then the better priority) resolves
 overlaps: an interval inside or across the kept one is suppressed, unless its priority is
 strictly better, in which case it takes the kept one's place.
@@ -28,23 +28,24 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 _L = "licen[cs]e"
 _V = "(?: version| v)?"
-#: label, keywords that must all occur (license also stands for licence), identifier, name: over words joined by spaces.
+#: label, whole words that must all occur (| between alternatives; license also stands for licence), identifier, name: over words
+#: joined by spaces.
 LICENSES = [
     ("apache-1.1", "apache", "apache 1 1", f"apache (?:software )?{_L}{_V} 1 1"),
     ("apache-2.0", "apache", "apache 2 0", f"apache (?:software )?{_L}{_V} 2(?: 0)?"),
-    ("mit", "mit license", "mit", f"(?:mit|expat) {_L}"),
+    ("mit", "mit license|expat license", "mit", f"(?:mit|expat) {_L}"),
     ("mit-0", "mit license", "mit 0", f"mit no attribution {_L}"),
     ("x11", "x11 license", "x11", f"x11 {_L}"),
     ("isc", "isc license", "isc", f"isc {_L}"),
-    ("bsd", "bsd license", "bsd", f"(?:berkeley software distribution|bsd) {_L}"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause", f"(?:simplified bsd {_L}|freebsd {_L}|bsd 2 clause(?: {_L})?|2 clause bsd(?: {_L})?)"),
+    ("bsd", "bsd license|berkeley license", "bsd", f"(?:berkeley software distribution|bsd) {_L}"),
+    ("bsd-2-clause", "bsd|freebsd", "bsd 2 clause", f"(?:simplified bsd {_L}|freebsd {_L}|bsd 2 clause(?: {_L})?|2 clause bsd(?: {_L})?)"),
     ("bsd-3-clause", "bsd", "bsd 3 clause", f"(?:(?:new|modified|revised) bsd {_L}|bsd 3 clause(?: {_L})?|3 clause bsd(?: {_L})?)"),
     ("bsd-4-clause", "bsd", "bsd 4 clause", f"(?:original bsd {_L}|bsd 4 clause(?: {_L})?|4 clause bsd(?: {_L})?)"),
-    ("0bsd", "0bsd", "0bsd", f"(?:zero clause bsd|0bsd)(?: {_L})?"),
+    ("0bsd", "0bsd|zero bsd", "0bsd", f"(?:zero clause bsd|0bsd)(?: {_L})?"),
     ("gpl-1.0", "gnu license", "gpl 1 0(?: only| or later)?", f"gnu general public {_L}{_V} 1(?: 0)?"),
     ("gpl-2.0", "gnu license", "gpl 2 0(?: only| or later)?", f"gnu general public {_L}{_V} 2(?: 0)?"),
     ("gpl-3.0", "gnu license", "gpl 3 0(?: only| or later)?", f"gnu general public {_L}{_V} 3(?: 0)?"),
-    ("gpl-short", "gpl", "gpl", f"(?:gnu )?gpl(?: ?v?[123](?: 0)?)?"),
+    ("gpl-short", "gpl|gpl1|gpl2|gpl3|gplv1|gplv2|gplv3", "gpl", f"(?:gnu )?gpl(?: ?v?[123](?: 0)?)?"),
     ("gpl-any", "gnu license", "gpl any", f"gnu general public {_L}"),
     ("lgpl-2.0", "gnu license", "lgpl 2 0(?: only| or later)?", f"gnu library general public {_L}{_V} 2(?: 0)?"),
     ("lgpl-2.1", "gnu license", "lgpl 2 1(?: only| or later)?", f"gnu lesser general public {_L}{_V} 2 1"),
@@ -110,12 +111,16 @@ GENERAL = [
     ("bsd-text", "redistribution", "redistribution and use in source and binary forms"),
     ("warranty", "warranty", "without warranty of any kind"),
     ("warranty", "warranties", "without warranties or conditions of any kind"),
-    ("non-commercial", "commercial", "for non ?commercial (?:use|purposes)(?: only)?"),
+    ("non-commercial", "commercial|noncommercial", "for non ?commercial (?:use|purposes)(?: only)?"),
     ("license-file", "license", f"see the {_L} file"),
     ("end-user-license", "license", f"end user {_L} agreement"),
 ]
 
 
+def _gate(keys: str) -> list[list[str]]:
+    return [way.split(" ") for way in keys.split("|")]
+
+
 def rules() -> list[dict]:
     """All rules in order: name, label, priority, score, keywords, pattern."""
     out = []
@@ -125,10 +130,10 @@ def rules() -> list[dict]:
                     "spdx" if form == "tag" else keys)
             body = shape.format(id=tag, name=f"(?:{name})")
             out.append({"rule": f"{label}/{form}", "label": label, "priority": priority, "score": score,
-                        "gate": gate.split(" "), "pattern": f"(?<![^ ]){body}(?![^ ])"})
+                        "gate": _gate(gate), "pattern": f"(?<![^ ]){body}(?![^ ])"})
     for k, (label, keys, body) in enumerate(GENERAL):
         out.append({"rule": f"{label}/general{k}", "label": label, "priority": 6, "score": 0.4,
-                    "gate": keys.split(" "), "pattern": f"(?<![^ ])(?:{body})(?![^ ])"})
+                    "gate": _gate(keys), "pattern": f"(?<![^ ])(?:{body})(?![^ ])"})
     return out
 
 
@@ -147,12 +152,12 @@ def _detections(table_: list[dict]) -> str:
     """SQL: the word intervals of all rules whose keywords the document holds, from ``norm`` and ``_keys``."""
     listed = ",".join(
         f"named_struct('rule', {n}, 'label', '{r['label']}', 'priority', {r['priority']}, 'score', {r['score']}D, "
-        f"'gate', array({','.join(repr(g) for g in r['gate'])}), 'pattern', {_quoted(r['pattern'])})"
+        f"'gate', array({','.join('array(' + ','.join(map(repr, way)) + ')' for way in r['gate'])}), 'pattern', {_quoted(r['pattern'])})"
         for n, r in enumerate(table_))
     places = f"""flatten(transform(filter(array(struct(regexp_extract_all(norm, r.pattern, 0) AS m, split(norm, r.pattern, -1) AS p)),
         x -> size(x.m) > 0), x -> {_MATCHES.replace('size(m)', 'size(x.m)').replace('slice(p', 'slice(x.p').replace('slice(m', 'slice(x.m').replace('m[k]', 'x.m[k]')}))"""
     return f"""CASE WHEN size(_keys) > 0 THEN flatten(transform(
-        filter(array({listed}), r -> forall(r.gate, g -> array_contains(_keys, g))),
+        filter(array({listed}), r -> exists(r.gate, way -> forall(way, g -> array_contains(_keys, g)))),
         r -> transform({places}, x -> named_struct(
             's', size(split(left(norm, x.at), ' ')) - 1,
             'e', size(split(left(norm, x.at), ' ')) - 1 + size(split(x.got, ' ')),
@@ -182,7 +187,7 @@ def detect(docs: DataFrame, text_col: str = "text", rule_table: list[dict] | Non
     """``docs`` with ``n_words``, ``base`` (array of label, places) and ``detections`` (what the rules keep: s, e
     as a half-open range of words, priority, rule number, label, score)."""
     table_ = rule_table or rules()
-    keywords = sorted({g for r in table_ for g in r["gate"]} | {p for b in BASE for p in b.split(" ")} | {"licence"})
+    keywords = sorted({g for r in table_ for way in r["gate"] for g in way} | {p for b in BASE for p in b.split(" ")} | {"licence"})
     held = f"array_intersect(w, array({','.join(repr(k) for k in keywords)}))"
     scanned = pinned(docs.select(F.struct(*docs.columns).alias("_row")), "w", words(lower_ascii(F.col("_row").getField(text_col))))
     keyed = pinned(scanned, "_keys", F.expr(f"transform(array({held}), k -> IF(array_contains(k, 'licence'), array_union(k, array('license')), k))[0]"))

@@ -125,6 +125,47 @@ def test_licenses(spark, docs, empty):
     assert set(docs.columns) - {"w"} <= set(licenses.detect(docs).columns)
 
 
+def forms(tree, rnd):
+    """Every part of a parsed pattern in each of its alternatives, other parts at random: the texts a pattern matches."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            ways = [chr(arg)]
+        elif op == "IN":
+            ways = [chr(k) for kind, x in arg for k in ([x] if str(kind) == "LITERAL" else [x[0]] if str(kind) == "RANGE" else [ord("4")])]
+        elif op == "BRANCH":
+            ways = [w for way in arg[1] for w in forms(way, rnd)]
+        elif op == "SUBPATTERN":
+            ways = forms(arg[-1], rnd)
+        elif op == "MAX_REPEAT":
+            ways = ([""] if arg[0] == 0 else []) + forms(arg[2], rnd)
+        else:
+            assert op == "ASSERT_NOT", op
+            ways = [""]
+        longest = max(len(out), len(ways))
+        rnd.shuffle(out)
+        out = [a + b for a in out for b in ways] if len(out) * len(ways) <= 40 else [out[k % len(out)] + ways[k % len(ways)] for k in range(longest)]
+    return out
+
+
+def test_license_gates(spark):
+    """Each gate opens for every form of its rule's pattern; what comes out equals the rules without gates."""
+    from re import _parser
+
+    rnd, texts = random.Random(0), ["Released under the GPLv3", "GPLv2 or later", "gpl3", "Zero-Clause BSD", "Expat License", "Berkeley Software Distribution License",
+                                    "FreeBSD Licence", "for noncommercial use", "for non-commercial use only"]
+    for r in licenses.rules():
+        made = sorted(set(forms(_parser.parse(r["pattern"]), rnd)))
+        assert made and all(re.search(r["pattern"], text) for text in made)
+        for text in made:
+            keys = set(text.replace("licence", "license").split(" "))
+            assert any(keys.issuperset(way) for way in r["gate"]), (r["rule"], text)
+        texts += rnd.sample(made, 1)
+    for r in licenses.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert [(d["s"], d["e"], d["label"]) for d in r["detections"]] == brute_licenses(r["text"])[2] != [], r["text"]
+
+
 def test_byte_bpe(docs, empty):
     import tiktoken
 
