@@ -252,6 +252,34 @@ def test_vectors(spark, block):
     assert vector_dedup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_with_a_shared_mean(spark):
+    """Pairs at 0.981 in one label whose unrelated vectors have a cosine of 0.9, by passes, against brute force."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(0.9) * unit(rng.normal(size=48)) + np.sqrt(0.1) * unit(rng.normal(size=(9_000, 48))))
+    side = rng.normal(size=(1_000, 48))
+    side = unit(side - (side * x[:1_000]).sum(1, keepdims=True) * x[:1_000])
+    x = np.concatenate([x, 0.981 * x[:1_000] + np.sqrt(1 - 0.981 ** 2) * side])
+    want = [int((x[k:k + 1] @ x.T >= 0.98).sum()) - 1 for k in range(len(x))]
+    assert sum(want) >= 2_000 and vector_dedup.schedule(len(x), 0.1)[0] == 0 and vector_dedup.schedule(400_000, 0.1)[0] > 16
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.link_vectors(df).collect()}
+    assert [got[k] for k in range(len(x))] == want
+
+
+def test_vectors_by_passes(spark, monkeypatch):
+    """The passes themselves: windows over partition edges, and a run of one number in blocks."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 24)) + 2
+    x = np.concatenate([x, x[:200] + rng.normal(size=(200, 24)) * 0.02, x[:1] + rng.normal(size=(90, 24)) * 0.01])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.98).sum(1) - 1).tolist()
+    monkeypatch.setattr(vector_dedup, "schedule", lambda *a: (40, 32, 40))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.link_vectors(df.repartition(3), exact=10, window=32, block=40).collect()}
+    assert [got[k] for k in range(len(x))] == want
+
+
 def test_language(spark, empty):
     rnd = random.Random(1)
     parts = {"xx": ["ka", "ko", "ri"], "yy": ["sch", "ung", "eit"]}
