@@ -18,6 +18,7 @@ MODULES = {
     "op8_lsh_forest_join": "jaccard_join",
     "op9_benchmark_windows": "decontamination",
     "op10_chunked_bpe": "byte_bpe",
+    "op11_byte_cnn_quality": "quality",
 }
 
 
