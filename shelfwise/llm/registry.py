@@ -19,6 +19,7 @@ MODULES = {
     "op9_benchmark_windows": "decontamination",
     "op10_chunked_bpe": "byte_bpe",
     "op11_byte_cnn_quality": "quality",
+    "op12_reduced_alphabet_variants": "spelling",
 }
 
 
