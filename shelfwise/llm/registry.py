@@ -20,6 +20,7 @@ MODULES = {
     "op10_chunked_bpe": "byte_bpe",
     "op11_byte_cnn_quality": "quality",
     "op12_reduced_alphabet_variants": "spelling",
+    "op13_bitmap_rank_manifest": "merkle",
 }
 
 
