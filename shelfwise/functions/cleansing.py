@@ -7,6 +7,8 @@ function, so a bad cell becomes NULL instead of failing the job (ANSI mode).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,15 @@ def parse_number(col: str | Column) -> Column:
             .otherwise(F.coalesce(F.round(plain.try_cast("decimal(38,12)"), 10).cast("double"), plain)))
 
 
+def parse_decimal(col: str | Column, type_name: str) -> Column:
+    """T7e for fixed-scale targets: the exact value, rounded half up to the scale, without a detour by a double;
+    'x%' -> x / 100; out of range -> NULL."""
+    s = F.trim(_c(col))
+    pct = F.regexp_extract(s, PERCENT_RE, 1)
+    share = (pct.try_cast("decimal(26,10)") * F.lit("0.01").cast("decimal(2,2)"))
+    return F.when(pct != "", share.try_cast(type_name)).otherwise(F.when(~s.contains("%"), s.try_cast(type_name)))
+
+
 def rate_value(col: str | Column) -> Column:
     """'50%' -> 0.5, '0.35' -> 0.35, anything else -> NULL (exact decimal)."""
     s = F.trim(_c(col))
@@ -69,11 +80,11 @@ def clean_cast(col: str | Column, type_name: str) -> Column:
 
     * char/varchar/text: value kept as is, '' stays '' (T7a);
     * any other type: '' -> NULL (T7b), then date (T7c), datetime/timestamp (T7f),
-      integer family (T7d) or number (T7e).
+      integer family (T7d), exact decimal with a declared scale, or number (T7e).
     """
     t = type_name.lower()
     c = _c(col)
-    if "char" in t or "text" in t:
+    if _is_text(t):
         return c
     v = F.nullif(c, F.lit(""))
     if "datetime" in t or "timestamp" in t:
@@ -82,12 +93,23 @@ def clean_cast(col: str | Column, type_name: str) -> Column:
         return parse_date(v)
     if "int" in t:
         return parse_int(v)
-    return parse_number(v)
+    exact = decimal_type(t)
+    return parse_decimal(v, exact) if exact else parse_number(v)
+
+
+def _is_text(t: str) -> bool:
+    return "char" in t or "text" in t or t == "string"
+
+
+def decimal_type(type_name: str) -> str | None:
+    """``decimal(p,s)`` / ``numeric(p,s)`` as Spark's type; None for other types."""
+    found = re.match(r"(?:decimal|numeric)\s*\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)", type_name.lower())
+    return f"decimal({found[1]},{found[2] or 0})" if found else None
 
 
 def spark_type_for(type_name: str) -> str:
     t = type_name.lower()
-    if "char" in t or "text" in t:
+    if _is_text(t):
         return "string"
     if "datetime" in t or "timestamp" in t:
         return "timestamp"
@@ -95,4 +117,4 @@ def spark_type_for(type_name: str) -> str:
         return "date"
     if "int" in t:
         return "bigint"
-    return "double"
+    return decimal_type(t) or "double"

@@ -2,11 +2,12 @@
 
 Parquet has no MERGE: every merge computes the new table version as a
 DataFrame (join + union) and the caller writes it as a new version
-(``write_version``), then swaps the pointer. Keys are joined, never collected.
+(``write_version``), which readers find as the newest. Keys are joined, never collected.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -100,22 +101,44 @@ def apply_mode(target: DataFrame, stage: DataFrame, keys: Sequence[str], mode: s
     raise ValueError(f"unknown load mode {mode}")
 
 
-def write_version(df: DataFrame, table_dir: str, version: int, partition_by: Sequence[str] = ()) -> str:
-    """Write a merge result as ``<table_dir>/v=<version>`` (atomic per file load: the
-    new version is only read once written; readers keep the old one until then)."""
-    path = f"{table_dir.rstrip('/')}/v={version:08d}"
+def write_version(df: DataFrame, table_dir: str, version: int, partition_by: Sequence[str] = (), load: str | None = None) -> str:
+    """Write a merge result as ``<table_dir>/v=<version>[.load=<load>]``.
+
+    Rows are written aside and the finished folder is renamed, so a version and the mark of the load that made it (a part of
+    its name) appear in one step: after a crash either both are there or neither is."""
+    from shelfwise.session import fs_exists, fs_rename
+
+    spark = df.sparkSession
+    base = table_dir.rstrip("/")
+    path = f"{base}/v={version:08d}" + (f".load={load}" if load else "")
+    aside = f"{base}/_writing/{uuid.uuid4().hex}"
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    w.parquet(aside)
+    if fs_exists(spark, path) or not fs_rename(spark, aside, path):
+        raise OSError(f"{path} cannot be written: another version has its place")
     return path
 
 
-def latest_version(spark, table_dir: str) -> str | None:
-    """Path of the newest completely written version under ``table_dir`` (lists the folder
-    only; a version counts once its ``_SUCCESS`` marker exists)."""
+def _versions(spark, table_dir: str) -> list[str]:
+    """Names of the completely written versions, oldest first (the folder is listed, nothing is read)."""
     from shelfwise.session import fs_exists, fs_list
 
-    versions = [p for p in fs_list(spark, table_dir) if p.rsplit("/", 1)[-1].startswith("v=")
-                and fs_exists(spark, p + "/_SUCCESS")]
-    return f"{table_dir.rstrip('/')}/{versions[-1].rsplit('/', 1)[-1]}" if versions else None
+    return [name for p in fs_list(spark, table_dir) if (name := p.rsplit("/", 1)[-1]).startswith("v=") and fs_exists(spark, p + "/_SUCCESS")]
+
+
+def latest_version(spark, table_dir: str) -> str | None:
+    """Path of the newest completely written version under ``table_dir``."""
+    names = _versions(spark, table_dir)
+    return f"{table_dir.rstrip('/')}/{names[-1]}" if names else None
+
+
+def version_number(path: str) -> int:
+    return int(path.rsplit("v=", 1)[1].split(".", 1)[0])
+
+
+def version_of_load(spark, table_dir: str, load: str) -> str | None:
+    """Path of the version that a load made, or None when it has not been committed."""
+    found = [n for n in _versions(spark, table_dir) if n.endswith(f".load={load}")]
+    return f"{table_dir.rstrip('/')}/{found[0]}" if found else None

@@ -107,6 +107,40 @@ def fs_write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def fs_read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file as text; None where there is none."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    source = fs.open(p)
+    try:
+        return bytes(source.readAllBytes()).decode("utf-8")
+    finally:
+        source.close()
+
+
+def fs_replace(spark: SparkSession, src: str, dst: str) -> bool:
+    """Renames a file over whatever has the new name; False where the file is gone."""
+    fs, p = _fs(spark, src)
+    if not fs.exists(p):
+        return False
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dst)
+    if fs.exists(target):
+        fs.delete(target, False)
+    return fs_rename(spark, src, dst)
+
+
+def fs_delete_older(spark: SparkSession, path: str, before_ms: int) -> list[str]:
+    """Deletes the files of a folder last changed before a time; returns their names."""
+    fs, p = _fs(spark, path)
+    gone = []
+    if fs.exists(p):
+        for status in fs.listStatus(p):
+            if status.isFile() and status.getModificationTime() < before_ms and fs.delete(status.getPath(), False):
+                gone.append(status.getPath().getName())
+    return sorted(gone)
+
+
 def fs_list(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path)
     if not fs.exists(p):

@@ -11,11 +11,16 @@ the per-split counts are a small aggregate.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed value (S3): file name grammar.
 FILE_NAME_RE = r"^(\d+\.)?(\w+)\.(\w+)\.(\d{8})\.(txt|trunc|upd)$"
+PLAIN_NAME_RE = r"^([^.]+)\.txt$"
+FALLBACK_CHARSET = "GBK"    # S2: charset of files whose head is not valid UTF-8
+HEAD_LINES = 3              # S2: lines that a file's charset is judged by
 QUIET_SECONDS = 60          # S4: a file must be unchanged this long before it is loaded
 DONE_RETENTION_DAYS = 14    # S6: archived files are kept this long
 
@@ -26,7 +31,7 @@ def parse_file_name(name: str | Column) -> Column:
     n = F.col(name) if isinstance(name, str) else name
     ok = n.rlike(FILE_NAME_RE)
     g = lambda i: F.regexp_extract(n, FILE_NAME_RE, i)
-    stem = F.regexp_extract(n, r"^([^.]+)\.txt$", 1)
+    stem = F.regexp_extract(n, PLAIN_NAME_RE, 1)
     return F.struct(
         F.when(ok & (g(1) != ""), F.regexp_replace(g(1), r"\.", "").cast("bigint")).alias("seq"),
         F.when(ok, g(2)).alias("db"),
@@ -36,26 +41,46 @@ def parse_file_name(name: str | Column) -> Column:
     )
 
 
-def number_lines(raw: DataFrame) -> DataFrame:
+def number_lines(raw: DataFrame, charset: str = "UTF-8") -> DataFrame:
     """Exact 1-based line numbers for rows (value, file_path, block, _id) of text files.
 
-    Also strips the CR of CRLF endings and a leading byte-order mark, and drops
+    Also decodes the lines, strips the CR of CRLF endings and a leading byte-order mark, and drops
     empty lines (after numbering, so numbers match the file).
     """
+    with java_charsets(raw.sparkSession):
+        return _numbered(raw).withColumn("value", clean_text(F.col("value"), charset)).filter(F.col("value") != "")
+
+
+def _numbered(raw: DataFrame) -> DataFrame:
     splits = raw.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     w = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    lines = (raw.join(offsets, ["file_path", "block"])
-             .withColumn("line_no", F.col("_off") + F.col("_id") - F.col("_first") + 1)
-             .withColumn("value", clean_text(F.col("value"))))
-    return lines.filter(F.col("value") != "").drop("_off", "_first", "_id", "block")
-
-
-def clean_text(value: Column) -> Column:
-    """Bytes that are not valid UTF-8 are dropped (the reference decodes with
+    return (raw.join(offsets, ["file_path", "block"])
+            .withColumn("line_no", F.col("_off") + F.col("_id") - F.col("_first") + 1)
+            .drop("_off", "_first", "_id", "block"))
+
+
+@contextmanager
+def java_charsets(spark: SparkSession):
+    """While columns are built: ``decode`` takes any charset of the JVM, and gives U+FFFD for bytes that it cannot decode."""
+    names = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "true")
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+def clean_text(value: Column, charset: str = "UTF-8") -> Column:
+    """The text of a line's bytes; bytes that the charset does not have are dropped (the reference decodes with
     errors ignored), then the CR of a CRLF ending and a leading byte-order mark go."""
-    valid = F.when(F.is_valid_utf8(value), value).otherwise(
-        F.regexp_replace(F.make_valid_utf8(value), "\ufffd", ""))
+    if charset.upper() == "UTF-8":
+        valid = F.when(F.is_valid_utf8(value), value).otherwise(F.regexp_replace(F.make_valid_utf8(value), "\ufffd", ""))
+    else:
+        valid = F.regexp_replace(F.decode(value.cast("binary"), charset), "\ufffd", "")
     return F.regexp_replace(F.regexp_replace(valid, r"\r$", ""), "^\ufeff", "")
 
 
@@ -67,16 +92,23 @@ def with_file_columns(df: DataFrame) -> DataFrame:
                       F.col("_metadata.file_block_start").alias("block")))
 
 
-def scan_lines(spark: SparkSession, path: str, quiet_before=None) -> DataFrame:
+def scan_lines(spark: SparkSession, path: str, quiet_before=None, fallback: str = FALLBACK_CHARSET) -> DataFrame:
     """Non-empty lines of every ready file under ``path`` with exact line numbers.
 
-    ``quiet_before`` (timestamp) keeps only files last modified before it (S4).
+    Lines are cut as bytes; a file whose first ``HEAD_LINES`` lines are valid UTF-8 (plain ASCII included) is decoded as that,
+    any other by ``fallback``. ``quiet_before`` (timestamp) keeps only files last modified before it (S4).
     Output: value, file_path, file_name, mtime, line_no.
     """
     raw = with_file_columns(spark.read.text(path))
     if quiet_before is not None:
         raw = raw.filter(F.col("mtime") < F.lit(quiet_before).cast("timestamp"))
-    return number_lines(raw.withColumn("_id", F.monotonically_increasing_id()))
+    lines = _numbered(raw.withColumn("_id", F.monotonically_increasing_id()))
+    # One row per file; only the first lines of a file count.
+    utf8 = (lines.filter(F.col("line_no") <= HEAD_LINES).groupBy("file_path")
+            .agg(F.min(F.is_valid_utf8("value")).alias("_utf8")))
+    with java_charsets(spark):
+        text = F.when(F.col("_utf8"), clean_text(F.col("value"))).otherwise(clean_text(F.col("value"), fallback))
+        return lines.join(utf8, "file_path").withColumn("value", text).filter(F.col("value") != "").drop("_utf8")
 
 
 def headers(lines: DataFrame) -> DataFrame:

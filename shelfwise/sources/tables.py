@@ -51,3 +51,35 @@ class Tables:
         if self.database:
             return [n for n in TABLE_NAMES if self.spark.catalog.tableExists(f"{self.database}.{n}")]
         return [n for n in TABLE_NAMES if fs_exists(self.spark, os.path.join(self.sf_dir, f"{n}.parquet"))]
+
+
+#: Table properties that name the columns of a key: the primary key, or any other one.
+PRIMARY_KEY, OTHER_KEYS = "key.primary", "key."
+
+
+def table_spec(spark: SparkSession, database: str, table: str) -> dict | None:
+    """What a load needs to know of a catalog table: ``target`` [(column, declared type)] in order, ``keys``,
+    and ``types``, what Spark stores each column as.
+
+    Columns and types come from the session catalog. Keys are table properties: ``key.primary = 'a,b'``, else the
+    last-named of the other ``key.<name>`` properties, else none. None for a table that does not exist.
+    """
+    name = f"`{database}`.`{table}`" if database else f"`{table}`"
+    if not spark.catalog.tableExists(name):
+        return None
+    target = []
+    for row in spark.sql(f"DESCRIBE TABLE {name}").collect():
+        if not row["col_name"] or row["col_name"].startswith("#"):
+            break
+        target.append((row["col_name"].lower(), row["data_type"]))
+    properties = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    others = sorted(k for k in properties if k.startswith(OTHER_KEYS))
+    key = PRIMARY_KEY if PRIMARY_KEY in properties else (others[-1] if others else None)
+    return {"target": target, "keys": [c.strip().lower() for c in properties[key].split(",")] if key else [],
+            "types": {f.name.lower(): f.dataType.simpleString() for f in spark.table(name).schema.fields}}
+
+
+def catalog_tables(spark: SparkSession, system: tuple[str, ...] = ("information_schema", "sys", "system")) -> list[tuple[str, str]]:
+    """(database, table) of the user databases, in order."""
+    return sorted((d.name, t.name) for d in spark.catalog.listDatabases() if d.name not in system
+                  for t in spark.catalog.listTables(d.name) if not t.isTemporary)

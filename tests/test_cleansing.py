@@ -42,3 +42,18 @@ def test_text_kept_and_empty_null_for_other_types(spark):
 def test_rate_value(spark):
     out = _one(spark, ["50%", "0.35", "", "x%"], rate_value)
     assert [None if v is None else float(v) for v in out] == [0.5, 0.35, None, None]
+
+
+def test_decimal_targets_stay_exact(spark):
+    from decimal import Decimal
+
+    cells = ["0.1", "1234567890123456.78", " 2.005 ", "-2.005", "1e3", "12.5%", "0.05%", "abc", "", "99999999999999999", "5%%"]
+    out = _one(spark, cells, lambda c: clean_cast(c, "decimal(18,2)"))
+    want = ["0.10", "1234567890123456.78", "2.01", "-2.01", "1000.00", "0.13", "0.00", None, None, None, None]
+    assert out == [None if w is None else Decimal(w) for w in want]
+    assert _one(spark, ["7.5"], lambda c: clean_cast(c, "numeric(5)")) == [Decimal(8)]
+
+
+def test_timestamps(spark):
+    out = _one(spark, ["2024-01-02 03:04:05", "x", ""], lambda c: clean_cast(c, "datetime"))
+    assert out == [dt.datetime(2024, 1, 2, 3, 4, 5), None, None]
