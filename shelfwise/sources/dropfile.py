@@ -48,10 +48,11 @@ def number_lines(raw: DataFrame, charset: str = "UTF-8") -> DataFrame:
     empty lines (after numbering, so numbers match the file).
     """
     with java_charsets(raw.sparkSession):
-        return _numbered(raw).withColumn("value", clean_text(F.col("value"), charset)).filter(F.col("value") != "")
+        return numbered_rows(raw).withColumn("value", clean_text(F.col("value"), charset)).filter(F.col("value") != "")
 
 
-def _numbered(raw: DataFrame) -> DataFrame:
+def numbered_rows(raw: DataFrame) -> DataFrame:
+    """``raw`` (file_path, block, _id, others) with ``line_no``, the 1-based place of a row in its file."""
     splits = raw.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     w = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
@@ -102,7 +103,7 @@ def scan_lines(spark: SparkSession, path: str, quiet_before=None, fallback: str
     raw = with_file_columns(spark.read.text(path))
     if quiet_before is not None:
         raw = raw.filter(F.col("mtime") < F.lit(quiet_before).cast("timestamp"))
-    lines = _numbered(raw.withColumn("_id", F.monotonically_increasing_id()))
+    lines = numbered_rows(raw.withColumn("_id", F.monotonically_increasing_id()))
     # One row per file; only the first lines of a file count.
     utf8 = (lines.filter(F.col("line_no") <= HEAD_LINES).groupBy("file_path")
             .agg(F.min(F.is_valid_utf8("value")).alias("_utf8")))
