@@ -6,8 +6,8 @@ log-odds ratio, and the chunks of a document, weighted by their bytes, combine i
 the classes' shares among all learnable labels (the training sample holds as many rows of either class). A text shorter than a
 chunk counts as that part of a chunk, so a few bytes move the shares little.
 
-The network is trained here, in numpy, by backpropagation with Adam on a bounded sample: ``PER_CLASS`` rows of each class, taken
-by a hash of the id, one stretch of ``STRETCH`` characters from anywhere in the text. A filter's weights for each byte are a row of
+The network is trained here, in numpy, by backpropagation with Adam on a bounded sample: ``SLICES * PER_SLICE`` rows of each class at most,
+the first ``PER_SLICE`` by a hash of the id in each of ``SLICES`` parts of the ids, one stretch of ``STRETCH`` characters from anywhere in the text. A filter's weights for each byte are a row of
 a table, so a convolution is ``WIDTH`` look-ups a position; the tables travel with the task.
 
 Defined cases: a null or empty text has no chunk and gets the share of label 1; without a learnable label
@@ -29,8 +29,8 @@ from shelfwise.llm.common import table
 #: Bytes of a chunk, and from one chunk's start to the next; chunks computed at once.
 CHUNK, STRIDE, TOGETHER = 256, 224, 32
 WIDTH, FILTERS, HIDDEN = 6, 48, 16
-#: The training sample: rows of each class, characters of each; slices that the picking is spread over.
-PER_CLASS, STRETCH, SLICES = 1_000, 2_048, 64
+#: The training sample: parts that a class is cut into by a hash of the id, rows taken from each, characters of a row.
+SLICES, PER_SLICE, STRETCH = 64, 16, 2_048
 #: Training: steps, documents in a step, learning rate, weight decay, seed.
 STEPS, PER_STEP, RATE, DECAY, SEED = 400, 48, 0.01, 1e-4, 5
 THRESHOLD = 0.3
@@ -49,19 +49,16 @@ def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .distinct().join(ids, "doc_id", "left_semi"))
 
 
-def training_sample(docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS, stretch: int = STRETCH) -> list[tuple[int, str]]:
-    """(quality, text) of at most ``per_class`` rows of each class, in a fixed order."""
-    order = ["h", "doc_id"]
+def training_sample(docs: DataFrame, labelled: DataFrame, per_slice: int = PER_SLICE, stretch: int = STRETCH) -> list[tuple[int, str]]:
+    """(quality, text) of at most ``per_slice`` rows of each slice of each class, in a fixed order."""
+    by_hash = W.partitionBy("quality", F.pmod("h", F.lit(SLICES))).orderBy("h", "doc_id")
     picked = (
         labelled.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-        # First in slices of a class, so that no task gets a whole class.
-        .withColumn("nth", F.row_number().over(W.partitionBy("quality", F.pmod("h", F.lit(SLICES))).orderBy(*order))).filter(F.col("nth") <= per_class)
-        .withColumn("nth", F.row_number().over(W.partitionBy("quality").orderBy(*order))).filter(F.col("nth") <= per_class)
-        .select("doc_id", "quality")
+        .withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= per_slice).select("doc_id", "quality")
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     piece = F.expr(f"substring(text, 1 + CAST(pmod(xxhash64(CAST(doc_id AS STRING), 3), greatest(1, length(text) - {stretch})) AS INT), {stretch})")
-    # At most two classes of ``per_class`` ids are broadcast.
+    # At most two classes of SLICES * per_slice ids are broadcast.
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min(piece).alias("piece"))
     return sorted((r["quality"], r["piece"]) for r in rows.select("quality", "piece").collect())
 
