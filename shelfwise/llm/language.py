@@ -189,26 +189,34 @@ def train(sample: list[tuple[str, str]], steps: int = STEPS, per_step: int = PER
 
 
 def pooled(net: Network, texts: list[bytes], n_out: int):
-    """Probabilities (text, language): log-probabilities of all positions of all windows, added up and normalised."""
+    """Probabilities (text, language): log-probabilities of all positions of all windows, added up and normalised; and the share of
+    positions that are labelled with the most probable language."""
     import numpy as np
 
     flat, start, filled, owner = _windows(texts)
-    total = np.zeros((len(texts), n_out))
+    total, labelled = np.zeros((len(texts), n_out)), np.zeros((len(texts), n_out))
     for k in range(0, len(start), TOGETHER):
         codes = flat[start[k:k + TOGETHER][None, :] + np.arange(WINDOW)[:, None]]
         logp, _ = net.log_probabilities(codes)
-        logp *= (np.arange(WINDOW)[:, None] < filled[None, k:k + TOGETHER])[:, :, None]
+        top = logp[:, :, 0].copy()
+        for c in range(1, n_out):
+            np.maximum(top, logp[:, :, c], out=top)
+        on = np.arange(WINDOW)[:, None] < filled[None, k:k + TOGETHER]
+        logp *= on[:, :, None]
+        top[~on] = 1
         sums, own = logp.sum(0), owner[k:k + TOGETHER]
         for c in range(n_out):
             total[:, c] += np.bincount(own, weights=sums[:, c], minlength=len(texts))
-    total -= total.max(1, keepdims=True)
-    odds = np.exp(total)
-    return odds / odds.sum(1, keepdims=True)
+            labelled[:, c] += np.bincount(own, weights=(logp[:, :, c] == top).sum(0), minlength=len(texts))
+    odds = np.exp(total - total.max(1, keepdims=True))
+    share = labelled[np.arange(len(texts)), total.argmax(1)] / np.maximum(1, np.fromiter(map(len, texts), np.int64, len(texts)))
+    return odds / odds.sum(1, keepdims=True), share
 
 
 def predict(docs: DataFrame, languages: list[str], net: Network | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (the pooled probability of the predicted language)."""
-    docs = docs.drop("lang_pred", "score")
+    """``docs`` with ``lang_pred``, ``score`` (the pooled probability of the predicted language) and ``agreement`` (the
+    share of positions that are labelled with it; null where nothing is predicted)."""
+    docs = docs.drop("lang_pred", "score", "agreement")
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -222,15 +230,35 @@ def predict(docs: DataFrame, languages: list[str], net: Network | None, text_col
                 part = batch.slice(k, 512)
                 texts = [t if t and letter(t) else "" for t in part.column(names.index(text_col)).to_pylist()]
                 if net is None:
-                    pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                    pred, score, agreement = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
                 else:
-                    odds = pooled(net, [t.encode() for t in texts], len(languages))
+                    odds, agreement = pooled(net, [t.encode() for t in texts], len(languages))
                     pred = [languages[b] if t else UNKNOWN for b, t in zip(odds.argmax(1), texts)]
                     score = np.where([bool(t) for t in texts], odds.max(1), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                                 names=[*names, "lang_pred", "score"])
+                    agreement = [float(a) if t else None for a, t in zip(agreement, texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                                                  pa.array(agreement, pa.float64())], names=[*names, "lang_pred", "score", "agreement"])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, agreement double")
+
+
+def lettered(text: Column) -> Column:
+    """Texts that hold a letter."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def in_learned_language(docs: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """``docs`` without those that the network rejects; a null ``lang`` becomes the predicted one.
+
+    A document stays when its predicted language is one of ``wanted`` (default: all learned ones) and as many of its
+    positions are labelled with it as a guess among the learned languages would give, or more. Texts without a letter go. When no row can be learned from nothing
+    is predicted, and every text with a letter stays."""
+    languages, net = fitted(docs)
+    if net is None:
+        return docs.filter(lettered(F.col("text")))
+    kept = predict(docs, languages, net).filter(
+        (F.col("lang_pred") != UNKNOWN) & F.col("lang_pred").isin(wanted or languages) & (F.col("agreement") * len(languages) >= 1))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def fitted(docs: DataFrame) -> tuple[list[str], Network | None]:

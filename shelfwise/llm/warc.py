@@ -7,11 +7,14 @@ response's record id, its target URI and date, and digests: their own block dige
 response's payload digest, checked against the payload. Record ids follow from the
 response's id and the kind, so a repeated run gives the same records.
 
-Records are read from and written to WARC files with Spark's text source, split at the
-version line; a payload that holds such a line is glued together again by Content-Length.
+Records are read from and written to WARC files (any version 1.x) with Spark's text source, which cuts them wherever
+a version string stands, in a header or in a payload. Narrow rows (place, length, declared length of each piece) say
+what the pieces are, whichever splits they came from: a header is sound when the block that it declares ends where another
+header or the file ends; pieces inside a sound record are its payload and are put together again; a record that is not
+sound, as one cut short, ends at the next header, which it does not swallow.
 
 Defined cases: a response without a record id, with a null or unreadable record, or cut
-short gives no derivative and is listed by ``unreadable``; other record types are passed over; null
+short gives no derivative and is listed by ``unreadable``; bytes before a file's first header are such a row too; other record types are passed over; null
 html is an empty page, a null url an empty target; repeated responses give repeated records;
 empty tables give empty results; other columns are carried by ``derive`` unless their names clash.
 """
@@ -26,12 +29,17 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import table
 from shelfwise.llm.html_text import Page
+from shelfwise.session import scratch_path
+from shelfwise.sources.dropfile import numbered_rows
 
 VERSION = b"WARC/1.0\r\n"
+#: What all versions that are read begin with; the rest of the version follows up to a line end.
+BEGIN = b"WARC/1."
 #: Date of responses that are made from a table without dates.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -47,7 +55,8 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def parse(raw: bytes) -> tuple[list[tuple[str, str]], bytes, bool]:
     """Headers in order, block, and whether the block is as long as it says."""
-    raw = raw.removeprefix(VERSION)
+    if raw.startswith(BEGIN):
+        raw = raw.partition(b"\r\n")[2]
     head, found, rest = raw.partition(b"\r\n\r\n")
     headers = headers_of(head)
     length = dict((k.lower(), v) for k, v in headers).get("content-length", "")
@@ -168,24 +177,45 @@ def write_warc(records: DataFrame, path: str, record_col: str = "record") -> Non
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record): the records of WARC files, plain (split among tasks) or gzip."""
-    pieces = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("piece"))
-
-    def run(batches):
-        held = b""
-        for batch in batches:
-            out = []
-            for piece in batch.column(0).to_pylist():
-                if held and parse(held)[2]:
-                    out.append(held)
-                    held = b""
-                if piece or held:
-                    held = held + VERSION + piece if held else VERSION + piece
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([held], pa.binary())], names=["record"])
-
-    return pieces.mapInArrow(run, "record binary")
+    """(record): the records of WARC files, plain (split among tasks) or gzip, whole or as far as they go."""
+    begin = BEGIN.decode()
+    raw = (spark.read.option("lineSep", begin).text(path)
+           .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+                   F.monotonically_increasing_id().alias("_id")))
+    # Spark's regexes and string functions see the head as text; lengths are bytes. A piece that follows a version string
+    # begins with the rest of the version, then the header's fields.
+    head = F.substring_index("value", "\r\n\r\n", 1)
+    narrow = numbered_rows(raw.select(
+        "file_path", "block", "_id", F.octet_length("value").alias("n"), F.octet_length(head).alias("head"),
+        (head.rlike(r"^[0-9]+\r\n") & head.rlike(r"(?i)\nWARC-Type[ \t]*:")).alias("typed"),
+        F.regexp_extract(head, r"(?i)\nContent-Length[ \t]*:[ \t]*(\d{1,18})[ \t]*(\r|$)", 1).try_cast("bigint").alias("declared")
+    ).withColumn("keep_id", F.col("_id"))).withColumnRenamed("keep_id", "id")
+    # The first piece of a file stands before the first version string.
+    by_place = W.partitionBy("file_path").orderBy("line_no")
+    placed = narrow.withColumns({
+        "at": F.sum(F.col("n") + len(begin)).over(by_place) - F.col("n") - 2 * len(begin),
+        "size": F.sum("n").over(W.partitionBy("file_path")) + len(begin) * (F.count(F.lit(1)).over(W.partitionBy("file_path")) - 1),
+    }).withColumn("header", (F.col("line_no") > 1) & F.col("typed") & (F.col("head") < F.col("n")))
+    placed = placed.withColumn("ends", F.when(F.col("header"), F.col("at") + len(begin) + F.col("head") + 4 + F.col("declared") + 4))
+    # Sound: the declared block ends at another header, or with the file (the last line ends may be missing).
+    places = placed.filter("header").select(F.col("file_path").alias("f"), F.col("at").alias("next"))
+    placed = placed.join(places, (F.col("file_path") == F.col("f")) & (F.col("ends") == F.col("next")), "left")
+    placed = placed.withColumn("sound", F.coalesce(F.col("next").isNotNull() | F.col("ends").between(F.col("size"), F.col("size") + 4), F.lit(False)))
+    covered = F.max(F.when(F.col("sound"), F.col("ends"))).over(by_place.rowsBetween(W.unboundedPreceding, -1))
+    placed = placed.withColumn("starts", (F.col("line_no") == 1) | (F.col("header") & (F.coalesce(covered, F.lit(0)) <= F.col("at"))))
+    placed = placed.withColumn("of", F.max(F.when(F.col("starts"), F.col("line_no"))).over(by_place))
+    pieces = F.count(F.lit(1)).over(W.partitionBy("file_path", "of"))
+    # Pieces that are not a record by themselves: few, and narrow.
+    marks = scratch_path(spark, f"warc-{uuid.uuid4().hex}")
+    placed.withColumn("pieces", pieces).filter((F.col("pieces") > 1) | (F.col("line_no") == 1)).select("id", "file_path", "of", "line_no").write.parquet(marks)
+    parts = spark.read.parquet(marks).select(F.col("id").alias("_id"), F.col("file_path").alias("of_file"), "of", "line_no")
+    data = raw.select("_id", F.col("value").cast("binary").alias("piece"))
+    version = F.lit(bytearray(BEGIN))
+    alone = data.join(parts.select("_id"), "_id", "left_anti").select(F.concat(version, "piece").alias("record"))
+    joined = (data.join(parts, "_id").groupBy("of_file", "of").agg(F.sort_array(F.collect_list(F.struct("line_no", "piece"))).alias("p"))
+              .withColumn("record", F.aggregate(F.slice("p", 2, F.size("p")), F.element_at("p", 1)["piece"], lambda acc, x: F.concat(acc, version, x["piece"])))
+              .select(F.when(F.col("of") > 1, F.concat(version, "record")).otherwise(F.col("record")).alias("record")))
+    return alone.unionByName(joined).filter(F.length("record") > 0)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -411,6 +411,88 @@ def test_warc(spark, tmp_dir):
     assert warc.derive(bad).count() == 0 and warc.unreadable(bad).count() == 3
 
 
+def _plain_records(data):
+    """A sequential parser: records of a WARC file, each as far as it goes."""
+    starts = [m.start() for m in re.finditer(rb"WARC/1\.\d+\r\n", data)]
+    heads = []
+    for s in starts:
+        head, found, _ = data[s:].partition(b"\r\n\r\n")
+        length = re.search(rb"(?i)\ncontent-length[ \t]*:[ \t]*(\d+)", head)
+        # A header's fields stand before any other version string.
+        if found and length and re.search(rb"(?i)\nwarc-type[ \t]*:", head) and b"WARC/1." not in head[1:]:
+            heads.append((s, s + len(head) + 4 + int(length[1]) + 4))
+    out, at = [], 0
+    places = {s for s, _ in heads}
+    for k, (s, end) in enumerate(heads):
+        if s < at:
+            continue
+        sound = end in places or len(data) <= end <= len(data) + 4
+        after = end if sound else next((t for t, _ in heads[k + 1:]), len(data))
+        out.append(data[s:after])
+        at = after
+    return out
+
+
+@pytest.mark.parametrize("split", ["1g", "997", "4k"])
+def test_warc_files_at_any_split(spark, tmp_dir, split):
+    """Version strings in payloads, WARC/1.1, short records, records within records: the same records at 1 and at many splits."""
+    rnd = random.Random(5)
+    good = []
+    for k in range(120):
+        body = b"<p>text %d</p>" % k + b"x" * rnd.randrange(600)
+        if k % 2:
+            body += b"\r\nWARC/1.0\r\n" + b"y" * rnd.randrange(90) + b"\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nfalse"
+        if k % 10 == 4:
+            body += b"\r\n" + warc.response("inner", "http://inner/", b"inner page") + b"tail"
+        one = warc.response(f"r{k}", f"http://h/{k}", body)
+        good.append(one.replace(b"WARC/1.0\r\n", b"WARC/1.1\r\n", 1) if k % 3 == 0 else one)
+    short = good[7][:-60]
+    parts = [*good[:40], short, *good[40:90], short, *good[90:], short]
+    os.makedirs(f"{tmp_dir}/plain")
+    with open(f"{tmp_dir}/plain/a.warc", "wb") as out:
+        out.write(b"".join(parts))
+    with open(f"{tmp_dir}/plain/b.warc", "wb") as out:
+        out.write(b"junk before\r\n" + b"".join(good[:9]))
+    want = _plain_records(b"".join(parts)) + _plain_records(b"".join(good[:9])) + [b"junk before\r\n"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        records = warc.read_warc(spark, f"{tmp_dir}/plain").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = sorted(bytes(r["record"]) for r in records)
+    assert got == sorted(want)
+    assert sorted(got) == sorted([*good, short, short, short, *good[:9], b"junk before\r\n"])
+    frame = spark.createDataFrame([(r,) for r in got], "record binary")
+    assert warc.derive(frame).count() == 2 * (len(good) + 9) and warc.unreadable(frame).count() == 4
+
+
+def test_warc_written_is_read_back_in_derivatives(spark, tmp_dir):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"<p>page {k} WARC/1.0\r\n WARC/1.</p>") for k in range(30)], "page_id long, url string, html string")
+    made = warc.derive(warc.responses(pages))
+    warc.write_warc(made, f"{tmp_dir}/d")
+    back = warc.read_warc(spark, f"{tmp_dir}/d")
+    assert sorted(bytes(r["record"]) for r in back.collect()) == sorted(bytes(r["record"]) for r in made.collect())
+    assert warc.read_warc(spark, f"{tmp_dir}/d").filter("length(record) = 0").count() == 0
+
+
+def test_language_stage_keeps_what_it_cannot_judge(spark):
+    """Without labels all lettered rows stay; with them a wanted language decides, and a null language is filled in."""
+    english = [(k, f"the house and the river of number {k} is under the green tree", None, "s", 1) for k in range(20)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [*english, (50, None, "en", "s", 0), (51, "123 -- 4", "en", "s", 1), (52, "", None, "s", 0), (None, "letters", None, None, None)]
+    unlabelled = spark.createDataFrame([(i, t, None, s, n) for i, t, _, s, n in rows], schema)
+    kept = corpus_pipeline.identify_language(spark, unlabelled, "")
+    assert kept.columns == unlabelled.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([*map(str, range(20)), "None"])
+    assert corpus_pipeline.identify_language(spark, unlabelled.limit(0), "").count() == 0
+    german = [(100 + k, f"das haus und der fluss nummer {k} ist unter dem grünen baum", "de", "s", 1) for k in range(40)]
+    named = [(200 + k, f"the house and the river of number {k} is under the green tree", "en", "s", 1) for k in range(40)]
+    both = spark.createDataFrame([*rows, *german, *named], schema)
+    got = {r["doc_id"]: r["lang"] for r in language.in_learned_language(both).collect() if r["doc_id"] is not None}
+    assert set(got) == {*range(20), *range(100, 140), *range(200, 240)} and all(got[k] == "en" for k in range(20))
+    assert {r["doc_id"] for r in language.in_learned_language(both, ["de"]).collect()} - {None} == set(range(100, 140))
+
+
 def test_pipeline(spark, tmp_dir):
     rows = [r[:5] for r in some_docs()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_dir}/documents.parquet")
