@@ -18,9 +18,9 @@ from shelfwise.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network can name; those without a letter go."""
-    predicted = language.predict(docs.select("doc_id", "text", "lang", "source", "n_chars"), *language.fitted(docs))
-    return predicted.filter(F.col("lang_pred") != language.UNKNOWN).select("doc_id", "text", "lang", "source", "n_chars")
+    """Documents whose bytes the network gives to a learned language better than by chance, a null lang filled in; without a
+    row to learn from, all that hold a letter."""
+    return language.in_learned_language(docs.select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
