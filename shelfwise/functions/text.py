@@ -22,7 +22,7 @@ USER_RE = r"([\p{L}\p{N}_]+?)@"
 # F16: list separators.
 LIST_SPLIT_RE = r"[,;:]"
 # statement from the first 'select' up to the first ';' or full-width '；'.
-SQL_STATEMENT_RE = r"(?is)(select[^;\x{FF1B}]*)"
+SQL_STATEMENT_RE = r"(?is)(select[^;；]*)"
 
 
 def _c(col: str | Column) -> Column:
@@ -85,6 +85,12 @@ def multilines_in_html(col: str | Column) -> Column:
     return F.when(F.size(lines) <= 1, c).otherwise(joined)
 
 
+#: DuckDB twin of ``multilines_in_html``.
+MULTILINE_SQL = ("CASE WHEN len(string_split_regex({c}, '\\r\\n|\\n')) <= 1 THEN {c} ELSE "
+                 "array_to_string(list_filter(list_transform(string_split_regex({c}, '\\r\\n|\\n'), "
+                 "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), '<br>') END")
+
+
 def between_parentheses(col: str | Column) -> Column:
     """second chunk of ``[^()]+`` with '/' removed (``Fiction (Novel/Short)`` ->
     ``NovelShort``); NULL when there is no second chunk."""

@@ -4,12 +4,14 @@
   broadcast anti join (which needs the whole right side in memory).
 * ``disjunctive_join`` rewrites ``a.x = b.k OR a.y = b.p`` (a nested loop in
   Catalyst) into two equi-joins.
-* ``containment_join`` rewrites ``a LIKE concat('%', b, '%')`` (a nested loop)
-  into a token equi-join plus an exact ``contains`` check.
+* ``phrase_hits`` finds ``a LIKE concat('%', b, '%')`` (a nested loop in Catalyst) by an
+  Aho-Corasick automaton of the phrases while their measured size allows one, in one pass over the texts.
+* ``containment_join`` finds the same beyond that size by a token equi-join plus an exact ``contains`` check.
 """
 
 from __future__ import annotations
 
+import importlib.util
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -81,6 +83,65 @@ def _salted(df: DataFrame, salts: int) -> DataFrame:
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
+#: Phrases of up to this many bytes of UTF-8 in all travel to the tasks as an automaton (some 50 bytes of memory a byte).
+AUTOMATON_BYTES = 2 * 1024 * 1024
+#: Letters of the q-grams that short items are looked up by.
+GRAM = 3
+
+
+def _grams(text: str, length: str) -> Column:
+    """Distinct substrings of a length; none of a shorter text."""
+    return F.expr(f"IF(length({text}) >= {length}, array_distinct(transform(sequence(1, length({text}) - {length} + 1), "
+                  f"i -> substring({text}, i, {length}))), array())")
+
+
+def phrase_hits(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str,
+                most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The columns of ``docs`` but its text, and ``item_key`` of each item whose text the document contains, once for
+    each row of ``docs`` and distinct key.
+
+    The phrases are measured first (one aggregate). Up to ``most_bytes`` each task builds one automaton of them and
+    reads its texts once, whatever the number of phrases; beyond that, or where ``ahocorasick`` is not installed, the pairs come from
+    ``containment_join``, for which ``doc_key`` has to be unique. Items without a non-blank character match nothing; equal texts
+    of several keys all match; a null text contains nothing.
+    """
+    phrases = items.filter(F.col(item_text).rlike(r"\S")).select(F.col(item_key).alias("_i"), F.col(item_text).alias("_p")).distinct()
+    size = phrases.agg(F.coalesce(F.sum(F.octet_length("_p") + 16), F.lit(0))).first()[0]
+    keep = [c for c in docs.columns if c != doc_text]
+    if size > most_bytes or importlib.util.find_spec("ahocorasick") is None:
+        named = phrases.withColumnRenamed("_i", item_key)
+        return containment_join(docs, doc_key, doc_text, named, item_key, "_p").select(*keep, item_key).distinct()
+    listed = phrases.toArrow()
+    keys, places = listed.column("_i").combine_chunks(), {}
+    for place, text in enumerate(listed.column("_p").to_pylist()):
+        places.setdefault(text, []).append(place)
+    types = docs.schema
+    schema = ", ".join(f"`{c}` {types[c].dataType.simpleString()}" for c in keep) + f", `{item_key}` {items.schema[item_key].dataType.simpleString()}"
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        machine = ahocorasick.Automaton()
+        for text, its in places.items():
+            machine.add_word(text, its)
+        if places:
+            machine.make_automaton()
+        names = keys.to_pylist()
+        for batch in batches:
+            at, found = [], []
+            for row, text in enumerate(batch.column(doc_text).to_pylist() if places else []):
+                # One place for each distinct key.
+                hits = {names[place]: place for _, its in machine.iter(text or "") for place in its}
+                at += [row] * len(hits)
+                found += hits.values()
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), keys.take(pa.array(found, pa.int64()))],
+                                             names=[*keep, item_key])
+
+    return docs.mapInArrow(run, schema)
+
+
 def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
                      items: DataFrame, item_key: str, item_text: str, salts: int = 16) -> DataFrame:
     """Pairs (doc, item) with ``contains(doc_text, item_text)``, exact.
@@ -93,9 +154,9 @@ def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
       token of any text containing the item. The interior token with the lowest
       document frequency is the join key (frequencies from the same token
       explode, partially aggregated), so a common word never drives the join.
-    * Shorter items: their longest token lies inside one token of the document,
-      so the key is every substring of a distinct document token whose length is
-      one of the short keys' lengths (a scalar subquery; nothing is collected).
+    * Shorter items: their longest token lies inside one token of the document. The key is the rarest of that
+      token's q-grams (``GRAM`` letters, fewer for a shorter one) among the q-grams of the distinct document tokens, of
+      which a token has as many as letters; tokens found by it are compared whole.
     * Items without any non-blank character are not keywords and match nothing.
 
     A token in every document, or an item in every document, is spread over
@@ -122,14 +183,17 @@ def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
                  .select("_i", F.try_element_at(F.array_sort(F.transform(
                      "_toks", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("t")))), F.lit(1))
                      .getField("t").alias("_key")))
-    # As many lengths as short keys differ in, whatever the number of items.
-    lengths = short_key.agg(F.collect_set(F.length("_key"))).scalar()
-    subs = (doc_tok.select("_tok").distinct().withColumn("_len", F.explode(lengths))
-            .filter(F.length("_tok") >= F.col("_len"))
-            .withColumn("_pos", F.explode(F.sequence(F.lit(1), F.length("_tok") - F.col("_len") + 1)))
-            .select("_tok", F.substring(F.col("_tok"), F.col("_pos"), F.col("_len")).alias("_key"))
-            .distinct())
-    short_tok = subs.join(short_key, "_key").select("_i", "_tok").distinct()
+    # At most GRAM lengths, whatever the number of items.
+    lengths = short_key.agg(F.collect_set(F.least(F.length("_key"), F.lit(GRAM)))).scalar()
+    grams = (doc_tok.select("_tok").distinct().withColumn("_len", F.explode(lengths))
+             .select("_tok", F.explode(_grams("_tok", "_len")).alias("_gram")))
+    key_grams = short_key.select("_i", "_key", F.explode(_grams("_key", f"least({GRAM}, length(_key))")).alias("_gram"))
+    frequency = (grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+                 .join(key_grams.select("_gram").distinct(), "_gram", "left_semi"))
+    rarest = (key_grams.join(frequency, "_gram").groupBy("_i", "_key").agg(F.min(F.struct("_n", "_gram")).alias("_m"))
+              .select("_i", "_key", F.col("_m._gram").alias("_gram")))
+    short_tok = (grams.join(rarest, "_gram").filter(F.col("_tok").contains(F.col("_key")))
+                 .select("_i", "_tok").distinct())
     keyed = _salted(long_key.unionByName(short_tok), salts)
     cand = salted_tok.join(keyed, ["_tok", "_salt"]).select("_d", "_i").distinct()
     # Column names of docs and items must not clash (rename before calling). The items' texts join the

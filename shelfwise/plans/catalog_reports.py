@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import week_sunday, yyyymmdd
 from shelfwise.functions.numeric import money_sum, as_double, money, percent_text, ratio, rounded_double
-from shelfwise.functions.text import multilines_in_html, zero_padded
+from shelfwise.functions.text import MULTILINE_SQL, multilines_in_html, zero_padded
 from shelfwise.operators.joins import not_in_anti_join
 from shelfwise.operators.sequence import group_sequence
 from shelfwise.operators.topn import latest_per_key
@@ -276,18 +276,14 @@ def creation_by_week(t: Tables):
 
 
 # ---------------------------------------------------------------- R20
-_MULTILINE_SQL = ("CASE WHEN len(string_split_regex({c}, '\\r\\n|\\n')) <= 1 THEN {c} ELSE "
-                  "array_to_string(list_filter(list_transform(string_split_regex({c}, '\\r\\n|\\n'), "
-                  "lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), '<br>') END")
-
 R20_SQL = with_sql(PRODUCTS_SQL, f"""
 last_user AS (SELECT conv_id, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) r
               FROM conversations WHERE role = 'user') WHERE r = 1),
 last_asst AS (SELECT conv_id, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) r
               FROM conversations WHERE role = 'assistant') WHERE r = 1)
 SELECT p.product, left(p.title, 12) AS title, left(p.author, 8) AS author, p.p_size,
-       {_MULTILINE_SQL.format(c='u.text')} AS last_status,
-       {_MULTILINE_SQL.format(c='a.text')} AS last_eta
+       {MULTILINE_SQL.format(c='u.text')} AS last_status,
+       {MULTILINE_SQL.format(c='a.text')} AS last_eta
 FROM products p
 LEFT JOIN last_user u ON u.conv_id = p.p_partkey
 LEFT JOIN last_asst a ON a.conv_id = p.p_partkey

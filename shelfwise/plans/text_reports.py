@@ -1,16 +1,18 @@
 """Text extraction reports: F12-F15 over documents/events, S16 (HTML -> text),
-S13-style link rows, R24 (keyword hit list, J12), R29 (ad-hoc SQL from a request)."""
+S13-style link rows, J12 (keyword hit list), R24 (deal-intent list), R29 (ad-hoc SQL from a request)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.functions.dates import parse_message_date
+from shelfwise.functions.dates import FIXED_SHIFT_HOURS, RFC_DATE_PATTERN, parse_message_date
 from shelfwise.functions.text import (
-    EMAIL_RE, PRODUCT_CODE_RE, USER_RE, email_addresses, product_codes, sender_user, sql_statement,
+    EMAIL_RE, MULTILINE_SQL, PRODUCT_CODE_RE, USER_RE, email_addresses, multilines_in_html, product_codes, sender_user, sql_statement,
 )
-from shelfwise.operators.joins import containment_join
+from shelfwise.operators.joins import not_in_anti_join, phrase_hits
+from shelfwise.operators.topn import latest_per_key
 from shelfwise.plans.registry import report
+from shelfwise.plans.views import PRODUCTS_SQL, products, with_sql
 from shelfwise.sources.html import html_to_text, HTML_TEXT_SQL, LINK_ITEM_RE
 from shelfwise.session import spread
 from shelfwise.sources.tables import Tables
@@ -45,14 +47,10 @@ def extract_emails(t: Tables):
 
 
 # ---------------------------------------------------------------- F15
-MESSAGE_DATES_SQL = r"""
+_DATE_PARTS_SQL = " || ' ' || ".join(f"regexp_extract(header, '{RFC_DATE_PATTERN}', {i})" for i in (1, 2, 3, 4))
+MESSAGE_DATES_SQL = f"""
 WITH h AS (SELECT event_id, strftime(ts, '%a, %-d %b %Y %H:%M:%S') || ' +0000' AS header FROM events)
-SELECT event_id, header,
-       strptime(regexp_extract(header, '\w+, (\d{1,2}) (\w+) (\d{4}) (\d{2}:\d{2}:\d{2})', 1) || ' ' ||
-                regexp_extract(header, '\w+, (\d{1,2}) (\w+) (\d{4}) (\d{2}:\d{2}:\d{2})', 2) || ' ' ||
-                regexp_extract(header, '\w+, (\d{1,2}) (\w+) (\d{4}) (\d{2}:\d{2}:\d{2})', 3) || ' ' ||
-                regexp_extract(header, '\w+, (\d{1,2}) (\w+) (\d{4}) (\d{2}:\d{2}:\d{2})', 4),
-                '%d %b %Y %H:%M:%S') + INTERVAL 8 HOUR AS received
+SELECT event_id, header, strptime({_DATE_PARTS_SQL}, '%d %b %Y %H:%M:%S') + INTERVAL {FIXED_SHIFT_HOURS} HOUR AS received
 FROM h
 """
 
@@ -104,13 +102,66 @@ FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """
 
 
-@report("keyword_hit_list", covers=("R24", "J12"), oracle=KEYWORD_HIT_SQL, tag="KEYWORDHIT")
+@report("keyword_hit_list", covers=("J12",), oracle=KEYWORD_HIT_SQL, tag="KEYWORDHIT")
 def keyword_hit_list(t: Tables):
-    """Documents containing a hot passage, whole texts compared (token pre-join + exact check)."""
+    """Documents containing a hot passage: whole texts, read once by an automaton of the passages."""
     docs = spread(t.documents.select("doc_id", "lang", "source", "text"))
     items = t.benchmark.select("item_id", F.col("text").alias("item_text"))
-    pairs = containment_join(docs, "doc_id", "text", items, "item_id", "item_text")
-    return pairs.select("doc_id", "lang", "source", "item_id").distinct()
+    return phrase_hits(docs, "doc_id", "text", items, "item_id", "item_text")
+
+
+# Analogue: a mail brings 20 search keywords (benchmark texts), the newest one counts; a product's keyword text is the document
+# of its number; the pattern list is the newest quarter of sales; banned are products returned in bulk; a product
+# of a size up to 40 has a rank; comments are the user turns of its conversation.
+KEYWORDS_A_MAIL, RANKED_UP_TO, BULK_RETURN = 20, 40, 49
+
+DEAL_INTENT_SQL = with_sql(PRODUCTS_SQL, f"""
+pub AS (SELECT l_partkey, CAST(MIN(l_shipdate) AS DATE) AS pub_day FROM lineitem GROUP BY l_partkey),
+pattern AS (SELECT DISTINCT l_partkey FROM lineitem WHERE date_trunc('quarter', l_shipdate) = (SELECT MAX(date_trunc('quarter', l_shipdate)) FROM lineitem)),
+banned AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= {BULK_RETURN}),
+hot AS (SELECT DISTINCT text AS k FROM benchmark WHERE item_id // {KEYWORDS_A_MAIL} = (SELECT MAX(item_id // {KEYWORDS_A_MAIL}) FROM benchmark)),
+hit AS (SELECT DISTINCT d.doc_id, hot.k FROM documents d JOIN hot ON contains(d.text, hot.k)),
+comment AS (SELECT conv_id, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) r
+            FROM conversations WHERE role = 'user') WHERE r = 1)
+SELECT p.product AS isbn, p.p_partkey AS pasin, left(p.title, 20) AS title_name, left(p.author, 8) AS author_name, pub.pub_day,
+       CASE WHEN p.p_size <= {RANKED_UP_TO} THEN p.p_size END AS rank, CASE WHEN h.k IS NULL THEN ' ' ELSE left(h.k, 8) END AS keyword,
+       {MULTILINE_SQL.format(c='c.text')} AS last_comment
+FROM products p LEFT JOIN pub ON pub.l_partkey = p.p_partkey
+LEFT JOIN hit h ON h.doc_id = p.p_partkey
+LEFT JOIN comment c ON c.conv_id = p.p_partkey
+WHERE p.p_partkey IN (SELECT l_partkey FROM pattern) AND p.product <> '' AND p.publisher <> ''
+  AND p.p_partkey NOT IN (SELECT l_partkey FROM banned WHERE l_partkey IS NOT NULL)
+ORDER BY pasin, pub_day DESC
+""")
+
+
+@report("deal_intent_list", covers=("R24", "J12", "J2", "J8", "J9", "J21", "P11", "L6"), oracle=DEAL_INTENT_SQL, tag="DEALINTENT")
+def deal_intent_list(t: Tables):
+    """Deal-intent list: products of the newest pattern list that are not banned, with rank, the hot search keywords that
+    their keyword text contains (one row each, a blank without any) and the last comment."""
+    li = t.lineitem
+    pub = li.groupBy("l_partkey").agg(F.min("l_shipdate").cast("date").alias("pub_day"))
+    newest = li.agg(F.date_trunc("quarter", F.max("l_shipdate"))).scalar()
+    # The newest quarter is all that is at or after its start: the filter reaches the scan.
+    pattern = li.filter(F.col("l_shipdate") >= newest).select("l_partkey").distinct()
+    banned = (li.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= BULK_RETURN) & F.col("l_partkey").isNotNull())
+              .select("l_partkey"))
+    mail = F.expr(f"item_id DIV {KEYWORDS_A_MAIL}")
+    hot = (t.benchmark.filter(mail == t.benchmark.agg(F.max(mail)).scalar())
+           .select(F.col("text").alias("k"), F.col("text").alias("phrase")).distinct())
+    hit = phrase_hits(spread(t.documents.select("doc_id", "text")), "doc_id", "text", hot, "k", "phrase")
+    comment = latest_per_key(t.conversations.filter(F.col("role") == "user").select("conv_id", "turn", "text"), ["conv_id"], ["turn"])
+    listed = products(t).filter((F.col("product") != "") & (F.col("publisher") != "")).join(
+        pattern.withColumnRenamed("l_partkey", "listed"), F.col("p_partkey") == F.col("listed"), "left_semi")
+    p = not_in_anti_join(listed, banned, "p_partkey", "l_partkey")
+    return (p.join(pub, F.col("p_partkey") == F.col("l_partkey"), "left")
+            .join(hit, F.col("p_partkey") == F.col("doc_id"), "left")
+            .join(comment.select("conv_id", F.col("text").alias("comment")), F.col("p_partkey") == F.col("conv_id"), "left")
+            .select(F.col("product").alias("isbn"), F.col("p_partkey").alias("pasin"), F.left("title", F.lit(20)).alias("title_name"),
+                    F.left("author", F.lit(8)).alias("author_name"), "pub_day",
+                    F.when(F.col("p_size") <= RANKED_UP_TO, F.col("p_size")).alias("rank"),
+                    F.coalesce(F.left("k", F.lit(8)), F.lit(" ")).alias("keyword"), multilines_in_html("comment").alias("last_comment"))
+            .orderBy("pasin", F.col("pub_day").desc()))
 
 
 # ---------------------------------------------------------------- R29
@@ -133,7 +184,7 @@ def run_request_sql(t: Tables, request_text: str):
     import re
     from shelfwise.functions.text import SQL_STATEMENT_RE
 
-    m = re.search(SQL_STATEMENT_RE.replace(r"\x{FF1B}", "；"), request_text)
+    m = re.search(SQL_STATEMENT_RE, request_text)
     if not m:
         raise ValueError("no select statement in request")
     stmt = m.group(1).strip()

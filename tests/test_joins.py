@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from shelfwise.operators.joins import containment_join, disjunctive_join, lookup_with_fallback, not_in_anti_join
+from shelfwise.operators.joins import containment_join, disjunctive_join, lookup_with_fallback, not_in_anti_join, phrase_hits
 
 
 def test_not_in_semantics(spark):
@@ -57,3 +57,47 @@ def test_lookup_with_fallback(spark):
     out = {r.o: (r.segment, r.matched_by) for r in
            lookup_with_fallback(rows, exact, ("c", "c"), fb, ("nation", "nation"), "seg", "segment").collect()}
     assert out == {1: ("BUILDING", "exact"), 2: ("MACHINERY", "nation"), 3: (None, None)}
+
+
+def _phrase_cases(spark):
+    docs = spark.createDataFrame([(i, "x", f"see the tree{i % 7} here", "k") for i in range(60)]
+                                 + [(100, None, "the quick brown fox; foxes", "k"), (101, "y", "", "k"), (102, "y", None, "k"),
+                                    (103, "z", "书名在这里 ab\u0301 AbAbAb", "k"), (104, "z", "word " * 30_000 + "needle in it", "k")],
+                                 "doc_id int, kind string, text string, item_text string").repartition(5)
+    # Phrases within phrases, overlapping, repeated under several keys, of one letter, of other scripts, blank and null.
+    items = spark.createDataFrame([(1, "tree3"), (2, "e"), (3, "see the tree3 here"), (4, " "), (5, ""), (6, None), (7, "quick brown fox"),
+                                   (8, "brown"), (9, "own f"), (10, "brown"), (11, "书名"), (12, "bA"), (13, "AbAb"), (14, "needle in it"),
+                                   (15, "absent phrase of words"), (1, "tree3"), (1, "fox;"), (16, "zq")], "item_id int, phrase string")
+    return docs, items
+
+
+def test_phrase_hits_equal_nested_loop_by_either_way(spark):
+    docs, items = _phrase_cases(spark)
+    want = (docs.crossJoin(items.select("item_id", "phrase")).filter(F.col("text").contains(F.col("phrase")) & (F.trim("phrase") != ""))
+            .select("doc_id", "kind", "item_text", "item_id").distinct())
+    want = sorted(map(tuple, want.collect()), key=str)
+    by_automaton = phrase_hits(docs, "doc_id", "text", items, "item_id", "phrase")
+    assert by_automaton.columns == ["doc_id", "kind", "item_text", "item_id"]
+    assert "MapInArrow" in by_automaton._jdf.queryExecution().toString()
+    by_join = phrase_hits(docs.drop("item_text"), "doc_id", "text", items, "item_id", "phrase", most_bytes=10)
+    assert "MapInArrow" not in by_join._jdf.queryExecution().toString()
+    assert sorted(map(tuple, by_automaton.collect()), key=str) == want
+    assert sorted(map(tuple, by_join.collect()), key=str) == sorted([(d, k, i) for d, k, _, i in want], key=str)
+
+
+def test_phrase_hits_of_repeated_documents_and_no_phrases(spark):
+    docs, items = _phrase_cases(spark)
+    assert phrase_hits(docs, "doc_id", "text", items.limit(0), "item_id", "phrase").collect() == []
+    assert phrase_hits(docs.limit(0), "doc_id", "text", items, "item_id", "phrase").collect() == []
+    one = phrase_hits(docs, "doc_id", "text", items, "item_id", "phrase").count()
+    assert phrase_hits(docs.unionByName(docs), "doc_id", "text", items, "item_id", "phrase").count() == 2 * one
+
+
+def test_short_items_are_looked_up_by_grams_not_substrings(spark):
+    """The short-key lookup makes as many rows as a token has letters, however many lengths the keys have."""
+    docs = spark.createDataFrame([(1, "a" * 2_000 + "bcd" + "e" * 2_000), (2, "abc")], "doc_id int, text string")
+    items = spark.createDataFrame([(k, "a" * k + "b") for k in range(0, 300, 7)] + [(1000, "cde"), (1001, "zz"), (1002, "a" * 2_001)],
+                                  "item_id int, item_text string")
+    got = containment_join(docs, "doc_id", "text", items, "item_id", "item_text").select("doc_id", "item_id")
+    want = [(1, k) for k in range(0, 300, 7)] + [(1, 1000), (2, 0)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
