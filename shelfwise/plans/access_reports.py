@@ -2,7 +2,7 @@
 menu per user), R34 (recipients of scheduled reports), J25 (sender allow-list).
 
 Users are customers (``u<key>``), groups are market segments, messages are the
-first user turn of each conversation (its first line is the subject).
+user turns of the conversations (the first line of a turn is its subject).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.topn import latest_per_key, row_numbered
+from shelfwise.operators.topn import row_numbered
 from shelfwise.plans.registry import report
 from shelfwise.sources.tables import Tables
 
@@ -72,10 +72,8 @@ def route(subject: Column, routes=ROUTES, default: str = DEFAULT_ROUTE) -> Colum
 
 
 def _messages(t: Tables) -> DataFrame:
-    first = latest_per_key(t.conversations.filter(F.col("role") == "user")
-                           .select("conv_id", (-F.col("turn")).alias("neg_turn"), "text"),
-                           ["conv_id"], ["neg_turn"])
-    return first.select("conv_id", _subject(F.col("text")).alias("subject"))
+    """Every user turn is a message of its own."""
+    return t.conversations.filter(F.col("role") == "user").select("conv_id", "turn", _subject(F.col("text")).alias("subject"))
 
 
 def _route_sql() -> str:
@@ -84,18 +82,15 @@ def _route_sql() -> str:
 
 
 ROUTE_SQL = f"""
-WITH firsts AS (SELECT conv_id, text FROM (
-   SELECT conv_id, text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) r
-   FROM conversations WHERE role = 'user') WHERE r = 1),
-m AS (SELECT conv_id, string_split_regex(text, '\\r\\n|\\n')[1] AS subject FROM firsts)
-SELECT conv_id, {_route_sql()} AS report FROM m
+WITH m AS (SELECT conv_id, turn, string_split_regex(text, '\\r\\n|\\n')[1] AS subject FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, {_route_sql()} AS report FROM m
 """
 
 
-@report("route_messages", covers=("J24", "E1", "S17"), oracle=ROUTE_SQL, tag=None)
+@report("route_messages", covers=("J24", "S17"), oracle=ROUTE_SQL, tag=None)
 def route_messages(t: Tables):
-    """Report each request message is routed to."""
-    return _messages(t).select("conv_id", route(F.col("subject")).alias("report"))
+    """Report each request message is routed to: all of a conversation's requests, not only its first."""
+    return _messages(t).select("conv_id", "turn", route(F.col("subject")).alias("report"))
 
 
 # ---------------------------------------------------------------- J23 / R35

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import week_sunday, yyyymmdd
 from shelfwise.functions.numeric import money_sum, as_double, money, percent_text, ratio, rounded_double
-from shelfwise.functions.text import MULTILINE_SQL, multilines_in_html, zero_padded
+from shelfwise.functions.text import MULTILINE_SQL, PRODUCT_CODE_RE, multilines_in_html, zero_padded
 from shelfwise.operators.joins import not_in_anti_join
+from shelfwise.operators.params import Parameter
 from shelfwise.operators.sequence import group_sequence
 from shelfwise.operators.topn import latest_per_key
 from shelfwise.plans.registry import report
@@ -40,7 +41,13 @@ WHERE d.units > 0
 """
 
 
-@report("product_daily_performance", covers=("R1", "A1", "A2", "A11", "J1", "J4", "F3"), oracle=R1_SQL, tag="DAILY")
+def product_key(code: str) -> int | None:
+    """The number of a product code; none for a code that no product has."""
+    return int(code[1:]) if code[1:].isdecimal() and code[1:].isascii() else None
+
+
+@report("product_daily_performance", covers=("R1", "A1", "A2", "A11", "J1", "J4", "F3"), oracle=R1_SQL, tag="DAILY",
+        params=(Parameter("events.user_id", PRODUCT_CODE_RE, product_key),))
 def product_daily_performance(t: Tables):
     """Per product-day with sales: average price, sales, units, views, conversion,
     borrows and deal flag. One pass over the daily facts (conditional aggregates
@@ -409,13 +416,13 @@ WORKLIST_AS_OF = "2001-12-01"
 R25_SQL = f"""
 WITH src AS (
   SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day, 1 AS prio, 'CHK' AS src
-  FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= DATE '2001-01-01'
+  FROM lineitem WHERE l_returnflag = 'R'
   UNION ALL
   SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE), 2, 'DEAL'
-  FROM lineitem WHERE l_discount >= 0.09 AND l_shipdate >= DATE '2001-01-01'
+  FROM lineitem WHERE l_discount >= 0.09
   UNION ALL
   SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE), 3, 'WEEK'
-  FROM lineitem WHERE l_linestatus = 'O' AND l_shipdate >= DATE '2001-06-01'),
+  FROM lineitem WHERE l_linestatus = 'O'),
 first AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_partkey
             ORDER BY prio, day, l_suppkey, l_orderkey, l_linenumber) r FROM src) WHERE r = 1),
 w AS (SELECT {PRODUCT_CODE_SQL.format(k='l_partkey')} AS product, 'V' || (CASE WHEN length(CAST(l_suppkey AS VARCHAR)) >= 4 THEN CAST(l_suppkey AS VARCHAR) ELSE right(repeat('0', 4) || CAST(l_suppkey AS VARCHAR), 4) END) AS vendor,
@@ -435,20 +442,24 @@ def metadata_worklist(t: Tables):
     """Products to check: first source wins (checklist > deal schedule > weekly list),
     cleared products skipped, age in days, and the weekly in/out change found either by
     product or by vendor code (disjunctive lookup as two equi-joins)."""
-    from shelfwise.functions.dates import age_days
+    return worklist(t)
+
+
+def worklist(t: Tables, since: str | None = None):
+    """The worklist of whole sources, as the reference has it (its interval is never compared with a day), or of what was
+    sold ``since`` a day."""
+    from shelfwise.functions.dates import age_days, date_lit
     from shelfwise.operators.joins import disjunctive_join
     from shelfwise.operators.topn import priority_first
 
     li = t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag",
                            "l_discount", "l_linestatus")
+    if since:
+        li = li.filter(F.col("l_shipdate") >= date_lit(since).cast("timestamp"))
     base = ["l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day")]
-    since = lambda d: F.col("l_shipdate") >= F.lit(d).cast("timestamp")
-    src = (li.filter((F.col("l_returnflag") == "R") & since("2001-01-01"))
-           .select(*base, F.lit(1).alias("prio"), F.lit("CHK").alias("src"))
-           .unionByName(li.filter((F.col("l_discount") >= 0.09) & since("2001-01-01"))
-                        .select(*base, F.lit(2).alias("prio"), F.lit("DEAL").alias("src")))
-           .unionByName(li.filter((F.col("l_linestatus") == "O") & since("2001-06-01"))
-                        .select(*base, F.lit(3).alias("prio"), F.lit("WEEK").alias("src"))))
+    src = (li.filter(F.col("l_returnflag") == "R").select(*base, F.lit(1).alias("prio"), F.lit("CHK").alias("src"))
+           .unionByName(li.filter(F.col("l_discount") >= 0.09).select(*base, F.lit(2).alias("prio"), F.lit("DEAL").alias("src")))
+           .unionByName(li.filter(F.col("l_linestatus") == "O").select(*base, F.lit(3).alias("prio"), F.lit("WEEK").alias("src"))))
     first = priority_first(src, ["l_partkey"], "prio", ["day", "l_suppkey", "l_orderkey", "l_linenumber"])
     cleared = t.part.filter(F.col("p_size") <= 3).select(F.col("p_partkey").alias("ck"))
     w = (first.join(cleared, first.l_partkey == cleared.ck, "left_anti")

@@ -153,7 +153,7 @@ SELECT n.request, p.product, p.publisher, CAST(s.sales AS DOUBLE) AS sales, CAST
 FROM named n JOIN products p ON p.product = n.code LEFT JOIN product_sales s ON s.l_partkey = p.p_partkey"""
 
 
-@report("requested_products", covers=("P14", "R1"), tag="DAILYREQ", oracle=REQUESTED_SQL)
+@report("requested_products", covers=("P14",), tag="DAILYREQ", oracle=REQUESTED_SQL)
 def requested_products(t: Tables):
     """The daily product report restricted to the codes that each request names (an equi-join of mined
     parameters with the report; a request that names no product gets no rows)."""

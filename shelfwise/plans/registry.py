@@ -12,6 +12,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame
 
+from shelfwise.operators.params import Parameter
 from shelfwise.sources.tables import Tables
 
 
@@ -25,6 +26,7 @@ class Report:
     kind: str = "sheet"              # E2 output kind: sheet | table
     audience: tuple[str, ...] = ("all",)
     doc: str = ""
+    params: tuple[Parameter, ...] = ()   # E1: what a request's text may restrict the report to
 
 
 REPORTS: dict[str, Report] = {}
@@ -32,11 +34,11 @@ REPORTS: dict[str, Report] = {}
 
 def report(name: str, covers: tuple[str, ...] = (), oracle: str | None = None,
            tag: str | None = None, kind: str = "sheet",
-           audience: tuple[str, ...] = ("all",)):
+           audience: tuple[str, ...] = ("all",), params: tuple[Parameter, ...] = ()):
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in REPORTS:
             raise ValueError(f"duplicate report {name}")
-        REPORTS[name] = Report(name, fn, covers, oracle, tag, kind, audience, (fn.__doc__ or "").strip())
+        REPORTS[name] = Report(name, fn, covers, oracle, tag, kind, audience, (fn.__doc__ or "").strip(), params)
         return fn
     return wrap
 
@@ -45,6 +47,6 @@ def load_all() -> dict[str, Report]:
     # Importing the plan modules registers their reports.
     from shelfwise.plans import (  # noqa: F401
         access_reports, billing, capture_reports, catalog_reports, field_reports, ingest_reports, pricing, scan_reports,
-        section_reports, snapshot_reports, text_reports, top_reports, written_reports,
+        requests, section_reports, snapshot_reports, text_reports, top_reports, written_reports,
     )
     return REPORTS

@@ -17,7 +17,7 @@ from shelfwise.operators.topn import row_numbered, top_k_per_group
 from shelfwise.plans.registry import report
 from shelfwise.session import scratch_path
 from shelfwise.sources.sinks import (
-    append_audit, expired_exports, export_tables, run_stamp, write_day_partition, write_report,
+    COMPRESS_ABOVE_BYTES, append_audit, expired_exports, export_tables, run_stamp, write_day_partition, write_report,
 )
 from shelfwise.sources.tables import Tables
 
@@ -64,6 +64,60 @@ def written_supplier_sheets(t: Tables):
     return back.select(F.col("run_ts").alias("run"), "nation", *cells)
 
 
+# ---------------------------------------------------------------- S18, S20, S22
+PROMOTION_SHEETS_SQL = """
+WITH lines AS (SELECT l_returnflag AS promotion, s_nationkey AS vendor, l_partkey, l_linestatus, l_quantity, l_extendedprice, l_shipdate
+               FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
+SELECT 'products' AS sheet, promotion, CAST(vendor AS VARCHAR) AS vendor, CAST(l_partkey AS VARCHAR) AS name,
+       CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS VARCHAR) AS units, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS VARCHAR) AS sales,
+       coalesce(CAST(max(CASE WHEN l_linestatus = 'O' THEN CAST(l_shipdate AS DATE) END) AS VARCHAR), '') AS open_day
+FROM lines GROUP BY promotion, vendor, l_partkey
+UNION ALL
+SELECT 'totals', promotion, CAST(vendor AS VARCHAR), 'Total', CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS VARCHAR),
+       CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS VARCHAR),
+       coalesce(CAST(max(CASE WHEN l_linestatus = 'O' THEN CAST(l_shipdate AS DATE) END) AS VARCHAR), '')
+FROM lines GROUP BY promotion, vendor
+"""
+
+
+def promotion_sheets(t: Tables) -> dict[str, DataFrame]:
+    """The two sheets of every promotion and vendor: its products, and their total (the products' own sums, added up)."""
+    vendors = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("vendor"))
+    # Sums by product and supplier first; the vendor joins the sums.
+    per = (t.lineitem.groupBy(F.col("l_returnflag").alias("promotion"), "l_suppkey", "l_partkey")
+           .agg(money_sum("l_quantity").alias("units"), money_sum("l_extendedprice").alias("sales"),
+                F.max(F.when(F.col("l_linestatus") == "O", F.col("l_shipdate").cast("date"))).alias("open_day"))
+           .join(vendors, F.col("l_suppkey") == F.col("s_suppkey")))
+    sums = [F.sum("units").alias("units"), F.sum("sales").alias("sales"), F.max("open_day").alias("open_day")]
+    products = per.groupBy("promotion", "vendor", "l_partkey").agg(*sums)
+    money_cells = [F.col(c).cast("decimal(28,2)").alias(c) for c in ("units", "sales")]
+    return {"products": products.select("promotion", "vendor", F.col("l_partkey").alias("name"), *money_cells, "open_day"),
+            "totals": per.groupBy("promotion", "vendor").agg(*sums).select("promotion", "vendor", F.lit("Total").alias("name"), *money_cells, "open_day")}
+
+
+def write_promotion_sheets(t: Tables, base: str, compress_above: int = COMPRESS_ABOVE_BYTES) -> dict[str, str]:
+    """One folder for each sheet, promotion and vendor; one job per sheet."""
+    # The rows of a folder come from as many tasks as they need: salted by product, files of one key stay few.
+    return {name: write_report(df.repartition("promotion", "vendor", F.pmod(F.xxhash64("name"), F.lit(2))), base, "promotions", name, run_stamp(RUN),
+                               partition_by=("promotion", "vendor"), compress_above=compress_above)
+            for name, df in promotion_sheets(t).items()}
+
+
+@report("written_promotion_sheets", covers=("S18", "S20", "S22"), tag="PROMOSHEETS", oracle=PROMOTION_SHEETS_SQL)
+def written_promotion_sheets(t: Tables):
+    """Two sheets for every promotion and vendor, each output compressed when more than 5 MB were written, as a reader finds them."""
+    base = _folder(t, "promotions")
+    write_promotion_sheets(t, base)
+    return read_promotion_sheets(t, base)
+
+
+def read_promotion_sheets(t: Tables, base: str) -> DataFrame:
+    cells = ["name", "units", "sales", "open_day"]
+    return (t.spark.read.option("header", True).option("basePath", base).option("nullValue", "\u0000")
+            .schema(", ".join(f"{c} string" for c in cells) + ", run_ts string, report string, sheet string, promotion string, vendor string")
+            .csv(f"{base}/run_ts=*/report=promotions/sheet=*").select("sheet", "promotion", "vendor", *cells))
+
+
 # ---------------------------------------------------------------- M8, S23
 @report("written_daily_history", covers=("M8",), tag="DAYHISTORY", oracle="""
 WITH d AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ss_day, o_orderstatus, o_totalprice FROM orders),

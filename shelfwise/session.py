@@ -130,6 +130,12 @@ def fs_replace(spark: SparkSession, src: str, dst: str) -> bool:
     return fs_rename(spark, src, dst)
 
 
+def fs_delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or a folder with all that it holds."""
+    fs, p = _fs(spark, path)
+    return bool(fs.delete(p, True))
+
+
 def fs_delete_older(spark: SparkSession, path: str, before_ms: int) -> list[str]:
     """Deletes the files of a folder last changed before a time; returns their names."""
     fs, p = _fs(spark, path)

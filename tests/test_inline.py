@@ -55,3 +55,32 @@ def test_shared_folder_is_demanded_on_a_cluster(spark):
 def test_shared_frames_are_built_once(spark, name, scans):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= scans, plan
+
+
+def test_request_parameters_reach_the_scan(spark, tmp_dir):
+    from shelfwise.operators.params import Parameter, restricted
+    from shelfwise.plans import requests
+
+    t = Tables(spark, SF)
+    entry.queries()
+    whole = requests.REPORTS["product_daily_performance"].build(t)
+    requested = requests.requested(t, "product_daily_performance", "data of B000000007 and B000000008, B000000007; BABCDEFGHI")
+    names = {"B000000007", "B000000008"}
+    assert requested.columns == whole.columns
+    assert sorted(map(str, requested.collect())) == sorted(str(r) for r in whole.collect() if r["product"] in names)
+    scan = requested._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(user_id, [7,8])" in scan or "In(user_id, [7,8])" in scan
+    # Nothing named: not run. Only codes that no product can have: no rows.
+    assert requests.requested(t, "product_daily_performance", "please send the data") is None
+    assert requests.requested(t, "product_daily_performance", "BABCDEFGHI").count() == 0
+    assert requests.requested(t, "due_publishers", "no parameters declared").count() >= 0
+    # Several fields are OR-ed, and belong to one table.
+    two = (Parameter("part.p_partkey", r"#(\d+)", int), Parameter("part.p_brand", r"(Brand#\d+)"))
+    both = restricted(t, "#3 and Brand#7", two).part
+    assert both.count() == t.part.filter("p_partkey = 3 OR p_brand = 'Brand#7' OR p_partkey = 7").count()
+    with pytest.raises(ValueError, match="one table"):
+        restricted(t, "x", (Parameter("part.p_brand", "(x)"), Parameter("events.user_id", "(x)")))
+    answer = requests.answer(t, "product_daily_performance", "B000000007", tmp_dir, "r1")
+    assert spark.read.option("header", True).csv(answer.path).count() == requests.requested(t, "product_daily_performance", "B000000007").count()
+    assert requests.answer(t, "product_daily_performance", "hello", tmp_dir, "r2").notice == requests.NO_PARAMETERS
+    assert requests.routed("Price of the day") == "price_down_candidates" and requests.routed("xyz") == "help"

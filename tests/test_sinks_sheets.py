@@ -166,3 +166,50 @@ def test_routing_first_tag_wins_and_sender_lists(spark):
                                   "pub string, to_list string, cc string")
     got = sorted(r.msgid for r in allowed_senders(msgs, "sender", lists, "pub", ("to_list", "cc"), "pub").collect())
     assert got == [1, 3]
+
+
+def test_outputs_are_compressed_by_their_written_size(spark, tmp_dir):
+    """Each key's folder on its own side of the bound; rows, odd cells and folders are the same on both."""
+    odd = ['plain', '', ' lead', 'a,b', 'say "hi"', 'two\nlines', 'back\\slash', None, '书名']
+    rows = [(f"p{k % 3}", None if k % 7 == 0 else k % 2, k, odd[k % len(odd)]) for k in range(900) if k % 3 or k < 30]
+    df = spark.createDataFrame(rows, "promo string, vendor int, n int, cell string").repartition(2, "promo", "vendor")
+
+    def read(path):
+        back = (spark.read.option("header", True).option("multiLine", True).option("nullValue", "\u0000").option("basePath", path)
+                .schema("n string, cell string, promo string, vendor string").csv(path))
+        return sorted((r.promo, r.vendor or "", int(r.n), r.cell) for r in back.collect())
+
+    def kinds(path):
+        leaves = glob.glob(f"{path}/promo=*/vendor=*")
+        found = {}
+        for leaf in leaves:
+            names = [f for f in os.listdir(leaf) if not f.startswith((".", "_"))]
+            found[leaf[len(path):]] = {f.endswith(".gz") for f in names}
+        assert all(len(v) == 1 for v in found.values())
+        return {k: v.pop() for k, v in found.items()}
+
+    plain = write_report(df, tmp_dir, "r", "plain", "x", partition_by=["promo", "vendor"], compress_above=10**9)
+    some = write_report(df, tmp_dir, "r", "some", "x", partition_by=["promo", "vendor"], compress_above=600)
+    every = write_report(df, tmp_dir, "r", "every", "x", partition_by=["promo", "vendor"], compress_above=0)
+    assert set(kinds(plain).values()) == {False} and set(kinds(every).values()) == {True}
+    sizes = {leaf: sum(os.path.getsize(f) for f in glob.glob(f"{plain}{leaf}/*.csv")) for leaf in kinds(plain)}
+    # (Sizes include the checksum files on neither side of the bound here.)
+    assert kinds(some) == {leaf: size > 600 for leaf, size in sizes.items()} and len(set(kinds(some).values())) == 2
+    assert read(plain) == read(some) == read(every) and len(read(plain)) == len(rows)
+    assert not glob.glob(f"{tmp_dir}/run_ts=x/report=r/*-*")
+    one = write_report(df.select("n", "cell"), tmp_dir, "r", "one", "x", compress_above=0)
+    assert glob.glob(one + "/*.csv.gz") and not glob.glob(one + "/*.csv")
+
+
+def test_promotion_sheets_on_both_sides_of_the_bound(spark, tmp_dir):
+    from shelfwise.plans.written_reports import read_promotion_sheets, write_promotion_sheets
+    from shelfwise.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    plain, packed = tmp_dir + "/plain", tmp_dir + "/packed"
+    write_promotion_sheets(t, plain)
+    write_promotion_sheets(t, packed, compress_above=100)
+    assert not glob.glob(plain + "/**/*.gz", recursive=True) and glob.glob(packed + "/**/*.gz", recursive=True)
+    rows = key(read_promotion_sheets(t, plain))
+    assert rows == key(read_promotion_sheets(t, packed)) and {r[0] for r in rows} == {"products", "totals"}
