@@ -19,9 +19,11 @@ from shelfwise.operators.merge import replace_by_key
 from shelfwise.operators.topn import latest_per_key
 from shelfwise.plans.access_reports import allowed_senders
 from shelfwise.plans.registry import report
-from shelfwise.plans.top_reports import TOP_PRODUCTS_SQL, top_products_to_80pct
+from shelfwise.plans.top_reports import (
+    TOP_AUTHORS_SQL, TOP_CATEGORIES_SQL, TOP_PRODUCTS_SQL, top_authors_best_product, top_categories_best_product, top_products_to_80pct,
+)
 from shelfwise.plans.views import PRODUCT_CODE_SQL, products
-from shelfwise.sources.html import escape_html, html_table_rows
+from shelfwise.sources.html import captured_tables, escape_html, html_table_rows
 from shelfwise.sources.tables import Tables
 
 HEADER_ROW = "<tr><td>RN</td><td>ASIN</td><td>Title</td><td>Comment</td></tr>"
@@ -140,6 +142,92 @@ def status_capture(t: Tables):
     return merge_comments(log, captured)
 
 
+# ------------------------------------------------------------------ R31: all comment tables of a message
+#: Table id of a returned message -> kind in the log, header of the key column, header of the status column.
+COMMENT_TABLES = {
+    "toplist": ("toplist", ("asin",), None),
+    "noslist": ("noslist", ("kasin", "asin"), "status"),
+    "catelist": ("catelist", ("kasin",), None),
+    "topauthor": ("topauthor", ("kasin",), None),
+}
+
+
+def _filled(table_id: str, header: str, rows) -> F.Column:
+    return F.concat(F.lit(f'<table id="{table_id}"><tr>' + "".join(f"<th>{h}</th>" for h in header.split("|")) + "</tr>"), rows, F.lit("</table>"))
+
+
+def _cells(*cells) -> F.Column:
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+
+
+def vendor_messages(t: Tables) -> DataFrame:
+    """(msgid, publisher, sender, html): one message per publisher with its category table and its author table filled in, and a
+    status table of their products; a publisher with an odd number writes from an address that is not on its list."""
+    comment = latest_per_key(t.conversations.filter(F.col("role") == "user").select("conv_id", "turn", "text"), ["conv_id"], ["turn"])
+    said = products(t).select("product", "p_partkey").join(comment, F.col("p_partkey") == F.col("conv_id"), "left").select(
+        "product", F.coalesce(F.trim(F.translate(F.col("text"), "\r\n\t", "   ")), F.lit("")).alias("said"))
+    parts = []
+    for kind, frame, group in (("catelist", top_categories_best_product(t), "category"), ("topauthor", top_authors_best_product(t), "author")):
+        # A publisher's table is as short as its list (ten rows at most).
+        row = _cells(escape_html(F.col(group)), F.col("product"), escape_html(F.col("said")))
+        parts.append(frame.select("publisher", group, "product").join(said, "product").select(
+            "publisher", F.lit(kind).alias("kind"), F.col(group).alias("name"), "product", row.alias("tr"),
+            _cells(F.col("product"), F.when(F.length("said") > 40, F.lit("long")).otherwise(""), F.lit("x"),
+                   F.when(F.length("said") % 2 == 1, F.lit("2024-01-01")).otherwise("")).alias("status_tr")))
+    rows = parts[0].unionByName(parts[1])
+
+    def listed(kind: str, column: str) -> F.Column:
+        items = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "product", F.col(column).alias("tr")))))
+        return F.array_join(F.transform(items, lambda x: x["tr"]), "")
+
+    html = F.concat(F.lit("<html><body>"), _filled("catelist", "Category|KASIN|Comment", listed("catelist", "tr")),
+                    _filled("noslist", "KASIN|Status|Title|ETA", listed("catelist", "status_tr")),
+                    _filled("topauthor", "Author|KASIN|Comment", listed("topauthor", "tr")), F.lit("</body></html>"))
+    foreign = F.regexp_extract("publisher", r"([0-9]+)$", 1).try_cast("int") % 2 == 1
+    return (rows.groupBy("publisher").agg(html.alias("html"))
+            .select(F.col("publisher").alias("msgid"), "publisher",
+                    F.when(foreign, F.lit("someone@elsewhere.example")).otherwise(_sender(F.col("publisher"))).alias("sender"), "html"))
+
+
+VENDOR_TABLES_SQL = f"""
+WITH cate AS ({TOP_CATEGORIES_SQL}), author AS ({TOP_AUTHORS_SQL}),
+last AS (SELECT conv_id, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) r
+         FROM conversations WHERE role = 'user') WHERE r = 1),
+said AS (SELECT {PRODUCT_CODE_SQL.format(k='p_partkey')} AS product,
+                coalesce(trim(translate(text, chr(13) || chr(10) || chr(9), '   ')), '') AS said
+         FROM part LEFT JOIN last ON conv_id = p_partkey),
+allowed AS (SELECT DISTINCT p_brand AS publisher FROM part WHERE TRY_CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) % 2 IS DISTINCT FROM 1),
+rows AS (
+  SELECT c.publisher AS msgid, 'catelist' AS kind, c.product, s.said AS comments FROM cate c JOIN said s USING (product) WHERE s.said <> ''
+  UNION ALL SELECT a.publisher, 'topauthor', a.product, s.said FROM author a JOIN said s USING (product) WHERE s.said <> ''
+  UNION ALL SELECT c.publisher, 'noslist', c.product, CASE WHEN length(s.said) > 40 THEN 'long' ELSE '' END
+  FROM cate c JOIN said s USING (product) WHERE length(s.said) > 40 OR length(s.said) % 2 = 1
+  UNION ALL SELECT c.publisher, 'noslist_eta', c.product, '2024-01-01' FROM cate c JOIN said s USING (product) WHERE length(s.said) % 2 = 1),
+captured AS (SELECT DISTINCT r.* FROM rows r JOIN allowed a ON a.publisher = r.msgid),
+log AS (SELECT publisher AS msgid, 'catelist' AS kind, product, 'earlier' AS comments FROM cate
+        UNION ALL SELECT 'other', 'catelist', product, 'earlier' FROM cate)
+SELECT * FROM captured
+UNION ALL SELECT DISTINCT l.* FROM log l WHERE NOT EXISTS (
+  SELECT 1 FROM captured c WHERE c.msgid = l.msgid AND c.kind = l.kind AND c.product = l.product)
+"""
+
+
+@report("vendor_tables_capture", covers=("R31", "S13", "S14", "J25", "M6"), tag="VENDORTABLES", oracle=VENDOR_TABLES_SQL)
+def vendor_tables_capture(t: Tables):
+    """Category, author and status tables that allowed senders returned, each message parsed once, merged into the comment log by
+    (product, message, kind): what the log held for them is replaced, other rows stay."""
+    msgs = vendor_messages(t)
+    lists = (t.part.select(F.col("p_brand").alias("publisher")).distinct()
+             .select("publisher", _sender(F.col("publisher")).alias("to_list"), F.lit("ops@example.com; ").alias("cc")))
+    allowed = allowed_senders(msgs, "sender", lists, "publisher", ("to_list", "cc"), "publisher")
+    captured = (captured_tables(allowed.select("msgid", "html"), "msgid", "html", COMMENT_TABLES)
+                .select("msgid", "kind", F.col("key").alias("product"), F.col("comment").alias("comments")).distinct())
+    listed = top_categories_best_product(t).select("publisher", "product")
+    log = (listed.select(F.col("publisher").alias("msgid"), "product").unionByName(listed.select(F.lit("other").alias("msgid"), "product"))
+           .select("msgid", F.lit("catelist").alias("kind"), "product", F.lit("earlier").alias("comments")).distinct())
+    return replace_by_key(log, captured, ["product", "msgid", "kind"])
+
+
 # ------------------------------------------------------------------ R32
 def keyword_messages(t: Tables) -> DataFrame:
     """(msgid, html): one search-keyword report per day, as a positional ``dataTable``
@@ -170,6 +258,26 @@ FROM events GROUP BY 1, event_type
 """
 
 
+KEYWORD_LOG_SQL = f"""
+WITH captured AS ({KEYWORD_CAPTURE_SQL}),
+log AS (SELECT CAST(strftime(CAST(ts AS DATE) + CAST(event_id % 2 AS INTEGER) * INTERVAL 4000 DAY, '%Y%m%d') AS BIGINT) AS msgid,
+               'earlier ' || event_type AS keyword, '1' AS rank, '2' AS query_groups FROM events GROUP BY 1, 2)
+SELECT * FROM captured UNION ALL SELECT * FROM log WHERE msgid NOT IN (SELECT msgid FROM captured)
+"""
+
+
+@report("keyword_log", covers=("R32", "M6", "S15"), oracle=KEYWORD_LOG_SQL, tag="KEYWORDLOG")
+def keyword_log(t: Tables):
+    """Keyword tables merged by message: all that the log held of a message goes when it is delivered again, other messages' rows stay."""
+    from shelfwise.sources.html import keyword_table_rows
+
+    captured = keyword_table_rows(keyword_messages(t), "msgid", "html")
+    day = F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 2).cast("int") * 4000)
+    log = (t.events.select(F.date_format(day, "yyyyMMdd").cast("bigint").alias("msgid"), F.concat(F.lit("earlier "), "event_type").alias("keyword"))
+           .distinct().select("msgid", "keyword", F.lit("1").alias("rank"), F.lit("2").alias("query_groups")))
+    return replace_by_key(log, captured, ["msgid"])
+
+
 @report("keyword_capture", covers=("R32", "S15", "F19"), oracle=KEYWORD_CAPTURE_SQL, tag="KEYWORDS")
 def keyword_capture(t: Tables):
     """Daily keyword tables read back positionally: 'Total:' rows dropped, separators stripped."""

@@ -100,16 +100,19 @@ WHERE t.rn <= 10
 """)
 
 
+TOP_CATEGORIES_SQL = _TOP_GROUPS_SQL.format(col="category", label="t.category", out="category")
+TOP_AUTHORS_SQL = _TOP_GROUPS_SQL.format(col="author", label="left(trim(t.author), 12)", out="author")
+
+
 @report("top_categories_best_product", covers=("R22", "A12", "J15", "W4", "L5", "F5"),
-        oracle=_TOP_GROUPS_SQL.format(col="category", label="t.category", out="category"), tag="CATEGORIES")
+        oracle=TOP_CATEGORIES_SQL, tag="CATEGORIES")
 def top_categories_best_product(t: Tables):
     """Per publisher: top 10 sub-categories by sales, share in %, best product(s)."""
     return _top_groups_with_best(t, "category", F.col("category"))
 
 
 @report("top_authors_best_product", covers=("R23", "A12", "J15", "F1", "F6"),
-        oracle=_TOP_GROUPS_SQL.format(col="author", label="left(trim(t.author), 12)", out="author"),
-        tag="TOPAUTHOR")
+        oracle=TOP_AUTHORS_SQL, tag="TOPAUTHOR")
 def top_authors_best_product(t: Tables):
     """Per publisher: top 10 authors by sales, share in %, best product(s); name cut to 12."""
     return _top_groups_with_best(t, "author", F.left(F.trim(F.col("author")), F.lit(12)).alias("author"))

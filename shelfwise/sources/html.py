@@ -1,7 +1,7 @@
 """HTML sources.
 
-* ``html_to_text`` (S16) is a pure regex chain: scripts, styles and comments
-  dropped, tags removed, the common entities decoded, trimmed. It runs in the
+* ``html_to_text`` (S16) is a regex chain: scripts, styles and comments
+  dropped, tags removed, all character references decoded in one pass, trimmed. It runs in the
   JVM and a SQL engine can state it identically.
 * ``html_table_rows`` (S13/S14/S15) needs a real parser (nested markup, header
   cells choosing the key column). It is a ``mapInPandas`` over the HTML column
@@ -11,8 +11,9 @@
 
 from __future__ import annotations
 
+import json
 import sys
-from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 from typing import Iterator
 
@@ -28,29 +29,85 @@ try:
 except Exception:  # pragma: no cover - older cloudpickle: the package must be installed on executors
     pass
 
-# Fixed values of the text chain (order matters: &amp; is decoded last).
+# Fixed values of the text chain.
 _DROP_BLOCKS = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
 _TAGS = r"<[^>]+>"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 # List items holding one link: <li><a href="target">text</a></li>
 LINK_ITEM_RE = r'<li><a href="([^"]*)">([^<]*)</a></li>'
 
+# Character references. The names are the standard library's table; those without a semicolon are also
+# read at the front of a longer run of letters. Text without an ampersand is one piece.
+_PIECES = r"(?s)(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]{0,31};?|[^&]+|&)"
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_BARE_RE = "^&(" + "|".join(_BARE) + ")"
+#: Numbers that stand for other characters than their own: those of a Windows code page, and 0.
+_REPLACED = {0: "\ufffd", 0x0D: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+#: Numbers that stand for nothing (first and last of each range); the last two of every plane as well.
+_NOTHING = ((0x1, 0x8), (0xB, 0xB), (0xE, 0x1F), (0x7F, 0x7F), (0xFDD0, 0xFDEF))
+_MOST = 0x10FFFF
+
+
+def decode_references(col: str | Column) -> Column:
+    """Text with its character references decoded, as ``html.unescape`` does, in one pass."""
+    c = F.col(col) if isinstance(col, str) else col
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    replaced = F.from_json(F.lit(json.dumps({str(n): t for n, t in _REPLACED.items()})), "map<string,string>")
+
+    def character(piece: Column) -> Column:
+        hexadecimal = F.lower(F.substring(piece, 3, 1)) == "x"
+        digits = F.when(hexadecimal, F.regexp_extract(piece, "^&#[xX]0*([0-9a-fA-F]*)", 1)).otherwise(F.regexp_extract(piece, "^&#0*([0-9]*)", 1))
+        # Seven digits hold every code point in either base; more are out of range.
+        short = F.when(F.length(digits) <= 7, F.when(digits == "", F.lit("0")).otherwise(digits))
+        number = F.when(hexadecimal, F.conv(short, 16, 10)).otherwise(short).cast("int")
+        nothing = (number % 0x10000).isin(0xFFFE, 0xFFFF)
+        for first, last in _NOTHING:
+            nothing = nothing | number.between(first, last)
+        own = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return (F.when(number.isNull() | (number > _MOST) | number.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+                .otherwise(F.coalesce(F.try_element_at(replaced, number.cast("string")), F.when(nothing, F.lit("")).otherwise(own))))
+
+    def decoded(piece: Column) -> Column:
+        bare = F.regexp_extract(piece, _BARE_RE, 1)
+        named = F.coalesce(F.try_element_at(names, F.substr(piece, F.lit(2))),
+                           F.when(bare != "", F.concat(F.try_element_at(names, bare), F.substr(piece, F.length(bare) + 2))), piece)
+        return F.when(~piece.startswith("&"), piece).when(piece.startswith("&#"), F.when(F.length(piece) > 2, character(piece)).otherwise(piece)).otherwise(named)
+
+    pieces = F.regexp_extract_all(c, F.lit(_PIECES), 1)
+    return F.when(c.contains("&"), F.array_join(F.transform(pieces, decoded), "")).otherwise(c)
+
 
 def html_to_text(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     out = F.regexp_replace(F.regexp_replace(c, _DROP_BLOCKS, ""), _TAGS, "")
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    out = F.replace(out, F.lit("\u00a0"), F.lit(" "))
+    out = F.replace(decode_references(out), F.lit("\u00a0"), F.lit(" "))
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _references_sql(expr: str) -> str:
+    """DuckDB twin of ``decode_references``."""
+    names = f"MAP([{', '.join(map(_quoted, html5))}], [{', '.join(map(_quoted, html5.values()))}])"
+    replaced = "MAP([{}], [{}])".format(", ".join(map(str, _REPLACED)), ", ".join(f"chr({ord(t)})" for t in _REPLACED.values()))
+    number = ("TRY_CAST(CASE WHEN lower(substr(p, 3, 1)) = 'x' THEN '0x' || right('0' || regexp_extract(p, '^&#[xX]0*([0-9a-fA-F]*)', 1), 8) "
+              "ELSE '0' || regexp_extract(p, '^&#0*([0-9]*)', 1) END AS BIGINT)")
+    nothing = " OR ".join([*(f"n BETWEEN {a} AND {b}" for a, b in _NOTHING), "n % 65536 IN (65534, 65535)"])
+    character = (f"(SELECT CASE WHEN n IS NULL OR n > {_MOST} OR n BETWEEN 55296 AND 57343 THEN chr(65533) WHEN map_contains(numbers, n) THEN numbers[n] "
+                 f"WHEN {nothing} THEN '' ELSE chr(n::INT) END FROM (SELECT {number} AS n))")
+    bare = f"regexp_extract(p, '{_BARE_RE}', 1)"
+    decoded = (f"CASE WHEN p[1] <> '&' THEN p WHEN p[2] = '#' THEN CASE WHEN length(p) > 2 THEN {character} ELSE p END "
+               f"WHEN map_contains(names, p[2:]) THEN names[p[2:]] WHEN {bare} <> '' THEN names[{bare}] || substr(p, length({bare}) + 2) ELSE p END")
+    return (f"(SELECT coalesce(string_agg({decoded}, '' ORDER BY pos), '') FROM (SELECT unnest(pieces) AS p, generate_subscripts(pieces, 1) AS pos, {names} AS names, {replaced} AS numbers "
+            f"FROM (SELECT regexp_extract_all({expr}, '{_PIECES}', 1) AS pieces)))")
+
+
 def _html_text_sql() -> str:
     expr = "regexp_replace(regexp_replace({c}, '" + _DROP_BLOCKS + "', '', 'g'), '" + _TAGS + "', '', 'g')"
-    for ent, ch in ENTITIES:
-        expr = f"replace({expr}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    expr = f"replace({expr}, chr(160), ' ')"
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    # The only braces that str.format is to see are those of the column, which stands for a mark that no name holds.
+    expr = _references_sql("\x00").replace("{", "{{").replace("}", "}}").replace("\x00", expr)
+    return f"regexp_replace(replace({expr}, chr(160), ' '), '^\\s+|\\s+$', '', 'g')"
 
 
 HTML_TEXT_SQL = _html_text_sql()
@@ -113,8 +170,13 @@ def _rows_for(html: str, table_id: str | None, key_headers: tuple[str, ...],
     the last cell is the comment / ETA. Rows are kept when the key is non-empty
     and the comment (or the status) is non-empty. State is reset per row.
     """
+    return _rows_of(parse_tables(html), table_id, key_headers, status_header)
+
+
+def _rows_of(tables: list[tuple[str | None, list[list[str]]]], table_id: str | None, key_headers: tuple[str, ...],
+             status_header: str | None) -> list[tuple[str, str, str | None, int]]:
     out = []
-    for tid, rows in parse_tables(html):
+    for tid, rows in tables:
         if table_id is not None and tid != table_id:
             continue
         if not rows:
@@ -154,6 +216,33 @@ def html_table_rows(df: DataFrame, id_col: str, html_col: str, table_id: str | N
     return df.select(id_col, html_col).mapInPandas(parse, schema)
 
 
+def captured_tables(df: DataFrame, id_col: str, html_col: str, kinds: dict[str, tuple[str, tuple[str, ...], str | None]]) -> DataFrame:
+    """The filled-in rows of all comment tables of a message, which is parsed once: (id, kind, key, comment, row_no).
+
+    ``kinds``: table id -> (kind, header names of the key column, header name of a status column or None). A table with a
+    status column gives two kinds of rows: its own with the status, and ``<kind>_eta`` with the last cell where that is filled in.
+    """
+    id_type = df.schema[id_col].dataType.simpleString()
+    columns = [id_col, "kind", "key", "comment", "row_no"]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            recs = []
+            for rid, html in zip(pdf[id_col], pdf[html_col]):
+                tables = parse_tables(html)
+                for table_id, (kind, key_headers, status_header) in kinds.items():
+                    for key, last, status, n in _rows_of(tables, table_id, key_headers, status_header):
+                        if status_header is None:
+                            recs.append((rid, kind, key, last, n))
+                            continue
+                        recs.append((rid, kind, key, status or "", n))
+                        if last:
+                            recs.append((rid, kind + "_eta", key, last, n))
+            yield pd.DataFrame(recs, columns=columns)
+
+    return df.select(id_col, html_col).mapInPandas(parse, f"{id_col} {id_type}, kind string, key string, comment string, row_no int")
+
+
 def keyword_table_rows(df: DataFrame, id_col: str, html_col: str, table_id: str = "dataTable") -> DataFrame:
     """Positional cells 1, 3, 4 of the table -> keyword, rank, groups;
     'Total:' rows dropped, thousands separators and line breaks stripped."""
@@ -178,11 +267,6 @@ def keyword_table_rows(df: DataFrame, id_col: str, html_col: str, table_id: str
     return df.select(id_col, html_col).mapInPandas(parse, schema)
 
 
-def text_of(html: str) -> str:
-    """Driver-free helper used by tests: full entity decoding via the standard library."""
-    return unescape(html)
-
-
 def escape_html(col: Column) -> Column:
     """Text -> HTML cell text (&, <, > and quotes escaped)."""
     out = F.replace(col, F.lit("&"), F.lit("&amp;"))

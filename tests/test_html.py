@@ -43,3 +43,24 @@ def test_nested_table_keeps_the_outer_row():
     tables = parse_tables(page)
     assert [t for t, _ in tables] == ["o", "i", "o"]
     assert tables[0][1] == [["asin", "note"], ["B1", "see x end"]] and tables[1][1] == [["x"]]
+
+
+def test_all_character_references_are_decoded_as_the_standard_library_does(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    from shelfwise.sources.html import decode_references
+
+    rnd = random.Random(6)
+    texts = [f"a&{name}b &{name}; &{name.rstrip(';')}9;" for name in html5]
+    texts += [f"&#{n}; &#x{n:x};&#X{n:X} &#0{n}" for n in [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE,
+                                                            0x10FFFF, 0x110000, 9_999_999, 10**8, 10**30]]
+    texts += ["", "no reference", "&", "&&", "&#", "&#;", "&#x;", "&#xg", "& amp;", "&amp;lt;", "&ampé;", "&notit;", "&notin;", "&" + "a" * 40 + ";",
+              "&CounterClockwiseContourIntegral;", "&ampamp;", "x&", "&é;", "&copy&copy;&COPY", "\n&\t&lt\n", "&#65&#66;&#x43"]
+    alphabet = ["&", "#", "x", ";", "amp", "lt", "not", "in", "1", "9f", "é", " ", "\n", "copy", "&#"]
+    texts += ["".join(rnd.choices(alphabet, k=rnd.randint(1, 12))) for _ in range(3_000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "k int, t string").repartition(4)
+    got = {r.k: r.d for r in df.select("k", decode_references("t").alias("d")).collect()}
+    assert got.pop(-1) is None
+    assert [(t, got[k]) for k, t in enumerate(texts) if got[k] != html.unescape(t)] == []
