@@ -2,15 +2,18 @@
 
 A text becomes its words joined by single spaces. Rules are regular expressions over
 that form, several hundred of them, written from a table of licences and the forms in
-which a licence is named (identifier tag, notice, grant, reference, bare name), plus
+which a licence is named (identifier tag, notice, grant, reference, bare name), plus sentences of licence bodies and headers, and
 general notices. Each rule has a gate of alternative sets of keywords, one for every form
 of its pattern: it only runs where the document holds all of a set, so most documents run none. What the rules find are word intervals with a
-priority. A sweep in order of start (longer first, then the better priority) resolves
-overlaps: an interval inside or across the kept one is suppressed, unless its priority is
-strictly better, in which case it takes the kept one's place.
+priority. Containment resolves overlaps: an interval inside another one of the same or a better priority is suppressed (of equal
+intervals the better priority, then the earlier rule stays); of what is left, an interval that holds one of a
+strictly better priority is suppressed by it. Intervals that only cross both stay.
 
 Beside the rules, the base phrases are counted at all their places.
 
+Each step is linear in a text's words and matches: starts of matches are marked in the text, which is cut into words once for
+each rule that matches, and both suppressions are sweeps that hold one number for each priority.
+
 All work is done on arrays in the document's own row: no shuffle, no Python. Defined
 cases: null and empty texts have no words and no labels; repeated documents are scanned
 row by row; an empty table gives an empty result; other columns are kept by ``detect`` unless it names its own like them.
@@ -116,6 +119,41 @@ GENERAL = [
     ("end-user-license", "license", f"end user {_L} agreement"),
 ]
 
+#: label, keywords, pattern: sentences of the licences themselves and of the headers that they ask for (fixed values).
+BODIES = [
+    ("mit", "permission granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsl-1.0", "permission granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "permission granted", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "contributors endorse", "nor the names of (?:its|the) contributors may be used to endorse or promote products"),
+    ("apache-2.0", "compliance license", f"you may not use this file except in compliance with the {_L}"),
+    ("apache-2.0", "distributed license basis", f"software distributed under the {_L} is distributed on an as is basis"),
+    ("apache-2.0", "contributor grants", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("gpl", "gnu foundation", f"gnu general public {_L} as published by the free software foundation"),
+    ("lgpl", "gnu lesser foundation", f"gnu lesser general public {_L} as published by the free software foundation"),
+    ("agpl", "gnu affero foundation", f"gnu affero general public {_L} as published by the free software foundation"),
+    ("gpl", "received gnu", f"you should have received a copy of the gnu general public {_L}"),
+    ("lgpl", "received gnu lesser", f"you should have received a copy of the gnu lesser general public {_L}"),
+    ("agpl", "received gnu affero", f"you should have received a copy of the gnu affero general public {_L}"),
+    ("gpl-2.0-or-later", "version later", f"either version 2 of the {_L} or at your option any later version"),
+    ("gpl-3.0-or-later", "version later", f"either version 3 of the {_L} or at your option any later version"),
+    ("gpl", "verbatim document", f"everyone is permitted to copy and distribute verbatim copies of this {_L} document but changing it is not allowed"),
+    ("gpl", "implied merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("wtfpl", "verbatim modified document", f"everyone is permitted to copy and distribute verbatim or modified copies of this {_L} document"),
+    ("mpl-2.0", "mozilla form", f"this source code form is subject to the terms of the mozilla public {_L}(?: v| version)? 2 0"),
+    ("epl", "eclipse accompanying", f"the accompanying materials are made available under the terms of the eclipse public {_L}"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "altered plainly", "altered source versions must be plainly marked as such"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "waived neighboring", "waived all copyright and related or neighboring rights"),
+    ("cc", "creativecommons view", f"to view a copy of this {_L} visit(?: http| https)?(?: www)? creativecommons org"),
+    ("ofl-1.1", "sil font", f"this font software is licensed under the sil open font {_L}"),
+    ("python-2.0", "python foundation", f"python software foundation {_L}(?: version 2)? (?:is|agreement)"),
+]
+BODY_PRIORITY, BODY_SCORE = 3, 0.9
+
 
 def _gate(keys: str) -> list[list[str]]:
     return [way.split(" ") for way in keys.split("|")]
@@ -131,6 +169,9 @@ def rules() -> list[dict]:
             body = shape.format(id=tag, name=f"(?:{name})")
             out.append({"rule": f"{label}/{form}", "label": label, "priority": priority, "score": score,
                         "gate": _gate(gate), "pattern": f"(?<![^ ]){body}(?![^ ])"})
+    for k, (label, keys, body) in enumerate(BODIES):
+        out.append({"rule": f"{label}/body{k}", "label": label, "priority": BODY_PRIORITY, "score": BODY_SCORE,
+                    "gate": _gate(keys), "pattern": f"(?<![^ ])(?:{body})(?![^ ])"})
     for k, (label, keys, body) in enumerate(GENERAL):
         out.append({"rule": f"{label}/general{k}", "label": label, "priority": 6, "score": 0.4,
                     "gate": _gate(keys), "pattern": f"(?<![^ ])(?:{body})(?![^ ])"})
@@ -142,10 +183,8 @@ def _quoted(text: str) -> str:
 
 
 _FOUND = "struct<s:int,e:int,priority:int,rule:int,label:string,score:double>"
-#: Starts of all matches: what the splits hold before them, and the matches before them.
-_MATCHES = """transform(sequence(0, size(m) - 1), k -> struct(
-    aggregate(slice(p, 1, k + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, k), 0, (a, x) -> a + length(x)) AS at,
-    m[k] AS got))"""
+#: Stands before the first word of a match; no word holds it.
+_MARK = "\\u0001"
 
 
 def _detections(table_: list[dict]) -> str:
@@ -154,25 +193,37 @@ def _detections(table_: list[dict]) -> str:
         f"named_struct('rule', {n}, 'label', '{r['label']}', 'priority', {r['priority']}, 'score', {r['score']}D, "
         f"'gate', array({','.join('array(' + ','.join(map(repr, way)) + ')' for way in r['gate'])}), 'pattern', {_quoted(r['pattern'])})"
         for n, r in enumerate(table_))
-    places = f"""flatten(transform(filter(array(struct(regexp_extract_all(norm, r.pattern, 0) AS m, split(norm, r.pattern, -1) AS p)),
-        x -> size(x.m) > 0), x -> {_MATCHES.replace('size(m)', 'size(x.m)').replace('slice(p', 'slice(x.p').replace('slice(m', 'slice(x.m').replace('m[k]', 'x.m[k]')}))"""
+    # Matches begin and end with words: the k-th marked word is where the k-th match begins.
+    places = f"""flatten(transform(filter(array(regexp_extract_all(norm, r.pattern, 0)), m -> size(m) > 0), m -> zip_with(m,
+        transform(array(split(regexp_replace(norm, r.pattern, '{_MARK}$0'), ' ')), ws -> filter(
+            transform(ws, (x, i) -> IF(startswith(x, '{_MARK}'), i, -1)), i -> i >= 0))[0],
+        (got, at) -> struct(at AS at, size(split(got, ' ')) AS n))))"""
     return f"""CASE WHEN size(_keys) > 0 THEN flatten(transform(
         filter(array({listed}), r -> exists(r.gate, way -> forall(way, g -> array_contains(_keys, g)))),
-        r -> transform({places}, x -> named_struct(
-            's', size(split(left(norm, x.at), ' ')) - 1,
-            'e', size(split(left(norm, x.at), ' ')) - 1 + size(split(x.got, ' ')),
+        r -> transform({places}, x -> named_struct('s', x.at, 'e', x.at + x.n,
             'priority', r.priority, 'rule', r.rule, 'label', r.label, 'score', r.score))))
         ELSE CAST(array() AS array<{_FOUND}>) END"""
 
 
-#: Sorted by start, longer first, then priority and rule; one pass keeps what no other suppresses.
-_RESOLVED = f"""transform(aggregate(
-    array_sort(transform(_all, d -> struct(d.s AS s, -d.e AS ne, d.priority AS priority, d.rule AS rule, d AS d))),
-    CAST(array() AS array<{_FOUND}>),
-    (kept, x) -> CASE
-        WHEN size(kept) = 0 OR x.s >= element_at(kept, -1).e THEN concat(kept, array(x.d))
-        WHEN x.priority < element_at(kept, -1).priority THEN concat(slice(kept, 1, size(kept) - 1), array(x.d))
-        ELSE kept END), d -> d)"""
+def _sweep(found: str, order: str, start: int, step: str, hit: str) -> str:
+    """Those of ``found``, in ``order``, for which ``hit`` does not hold of the sweep's numbers ``a.at``, one for each priority.
+
+    What a sweep carries on is copied at every step; so it carries a text of marks, not the list itself."""
+    numbers = f"transform(sequence(0, coalesce(array_max(_all.priority), 0)), i -> {start})"
+    marks = f"""aggregate(so, struct({numbers} AS at, '' AS marks),
+        (a, x) -> struct(transform(a.at, (t, i) -> IF(i = x.priority, {step}(t, x.e), t)) AS at, concat(a.marks, IF({hit}, '-', '+')) AS marks),
+        a -> a.marks)"""
+    return f"""transform(array(transform(array_sort(transform({found}, d -> struct({order}, d AS d))), y -> y.d)),
+        so -> filter(zip_with(so, split({marks}, ''), (x, mark) -> IF(mark = '+', x, NULL)), x -> x IS NOT NULL))[0]"""
+
+
+#: First what lies inside an interval of the same or a better priority goes: with starts ascending, longer ones first, that is
+#: whatever ends before the furthest end so far. Then what holds one of a better priority: with starts descending, shorter first,
+#: that is whatever ends after the nearest end so far.
+_NOT_INSIDE = _sweep("_all", "d.s AS s, -d.e AS e, d.priority AS priority, d.rule AS rule", -1, "greatest",
+                     "exists(slice(a.at, 1, x.priority + 1), t -> t >= x.e)")
+_RESOLVED = "array_sort(" + _sweep(f"({_NOT_INSIDE})", "-d.s AS s, d.e AS e, d.priority AS priority, d.rule AS rule", 2**31 - 1, "least",
+                                   "exists(slice(a.at, 1, x.priority), t -> t <= x.e)") + ")"
 
 
 def _base_places(phrase: str) -> str:

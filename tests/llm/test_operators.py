@@ -101,13 +101,30 @@ def brute_licenses(text):
         for m in re.finditer(r["pattern"], norm):
             s = norm[:m.start()].count(" ")
             found.append((s, -(s + m[0].count(" ") + 1), r["priority"], n, r["label"], r["score"]))
-    kept = []
-    for d in sorted(found):
-        if not kept or d[0] >= -kept[-1][1]:
-            kept.append(d)
-        elif d[2] < kept[-1][2]:
-            kept[-1] = d
-    return len(w), base, [(d[0], -d[1], d[4]) for d in kept]
+    # (start, -end, priority, rule, label, score): inside one of the same or a better priority; then around one of a better one.
+    inside = lambda d, k: k[0] <= d[0] and k[1] <= d[1] and k is not d and (k[:2] != d[:2] or k[2:4] < d[2:4])
+    left = [d for d in found if not any(inside(d, k) and k[2] <= d[2] for k in found)]
+    kept = [d for d in left if not any(inside(k, d) and k[2] < d[2] for k in left)]
+    return len(w), base, [(d[0], -d[1], d[4]) for d in sorted(kept, key=lambda d: (d[0], -d[1], d[2], d[3]))]
+
+
+def test_licenses_of_very_long_texts(spark):
+    """Time follows the number of matches: 20,000 in one text within seconds; crossing intervals stay, contained ones go."""
+    import time
+
+    few, many = "mit license and ", 20_000
+    df = spark.createDataFrame([(0, few * 2_500), (1, few * many)], "doc_id long, text string")
+    seconds = []
+    for k in (0, 1):
+        t0 = time.time()
+        row = licenses.detect(df.filter(F.col("doc_id") == k)).first()
+        seconds.append(time.time() - t0)
+        assert len(row["detections"]) == (2_500, many)[k] and row["detections"][-1]["s"] == 3 * (len(row["detections"]) - 1)
+    assert seconds[1] < 30
+    table = [{"rule": f"r{k}", "label": label, "priority": p, "score": 1.0, "gate": [["gpl"]], "pattern": f"(?<![^ ]){body}(?![^ ])"}
+             for k, (label, p, body) in enumerate([("outer", 4, "a b c d"), ("inner", 4, "b c"), ("cross", 4, "c d e"), ("better", 2, "g"), ("around", 3, "f g h"), ("same", 4, "a b c d")])]
+    one = spark.createDataFrame([(0, "gpl a b c d e f g h")], "doc_id long, text string")
+    assert [d["label"] for d in licenses.detect(one, rule_table=table).first()["detections"]] == ["outer", "cross", "better"]
 
 
 def test_licenses(spark, docs, empty):
@@ -115,7 +132,10 @@ def test_licenses(spark, docs, empty):
     texts = [t for _, t, *_ in some_docs()] + [
         "SPDX-License-Identifier: Apache-2.0", "This work is licensed under the GNU General Public Licence, version 3. All rights reserved.",
         "mit license " * 40, "cc-by cc by-sa 4.0 CC BY", "This software is released under the terms of the BSD 3-clause license",
-        "Permission is hereby granted, free of charge; copyright (c) 2020 2021", "mit einer Lizenz"]
+        "Permission is hereby granted, free of charge; copyright (c) 2020 2021", "mit einer Lizenz",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+        "you may not use this file except in compliance with the License. Licensed under the Apache License, Version 2.0"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in licenses.detect(df).collect():
         n, base, kept = brute_licenses(r["text"])
