@@ -83,25 +83,25 @@ def clean_lines(lines: DataFrame, header: Sequence[str], target: Sequence[tuple[
     return CleanResult(rows, rejects, bound)
 
 
-def last_line_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Duplicate keys inside one load: the last line wins (by line number)."""
-    from shelfwise.operators.topn import latest_per_key
-    return latest_per_key(rows, keys, ["line_no"])
-
-
 # All six date forms as one pattern: one regex evaluation per cell instead of six.
 ANY_DATE_RE = "^(?:" + "|".join(p.strip("^$") for p, _ in DATE_FORMS) + ")$"
 
+#: What a cell is, as one bit each; a number that is also written like a date is a kind of its own.
+EMPTY, INTEGER, DATED_INTEGER, FLOAT, DATE, TEXT = (1 << k for k in range(6))
+
 
-def _is_date(c: Column) -> Column:
-    return c.rlike(ANY_DATE_RE)
+def cell_kind(c: Column) -> Column:
+    """The kind of a cell; most cells are told by one or two patterns."""
+    return (F.when(c == "", EMPTY)
+            .when(c.rlike(INT_RE), F.when(c.rlike(ANY_DATE_RE), DATED_INTEGER).otherwise(INTEGER))
+            .when(c.rlike(FLOAT_RE), FLOAT).when(c.rlike(ANY_DATE_RE), DATE).otherwise(TEXT))
 
 
 def infer_schema(lines: DataFrame, header: Sequence[str]) -> DataFrame:
     """T3-T5 in one aggregate over all data lines (rows with a wrong field count skipped).
 
-    Per column: int when every non-empty value is an integer; float when every
-    one is a number; date when every one is a date; varchar otherwise or when
+    Each cell is classed once; a column is what its kinds of cells have in common: int when every non-empty value is an
+    integer; float when every one is a number; date when every one is a date; varchar otherwise or when
     all values are empty. (Commutative: the result does not depend on row order.)
     Length: longest value, +2 when over 5; product-code columns are char(11).
     Output: one row per column (position, column, type, length, is_key).
@@ -110,27 +110,25 @@ def infer_schema(lines: DataFrame, header: Sequence[str]) -> DataFrame:
     n = len(norm)
     f = fields(F.col("value"))
     data = lines.filter(F.size(f) == n).select(*[f[i].alias(f"c{i}") for i in range(n)])
-    aggs = []
-    for i in range(n):
+    coded = [i for i, name in enumerate(norm) if name not in CODE_COLUMNS]
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i in coded:
         c = F.col(f"c{i}")
-        nonempty = c != ""
-        # Integers also match FLOAT_RE, so "not a number" needs only the float test.
-        aggs += [F.count(F.when(nonempty, 1)).alias(f"ne{i}"),
-                 F.count(F.when(nonempty & ~c.rlike(INT_RE), 1)).alias(f"ni{i}"),
-                 F.count(F.when(nonempty & ~c.rlike(FLOAT_RE), 1)).alias(f"nf{i}"),
-                 F.count(F.when(nonempty & ~_is_date(c), 1)).alias(f"nd{i}"),
-                 F.max(F.length(c)).alias(f"ml{i}")]
+        # Two fixed-width buffers a column.
+        aggs += [F.bit_or(cell_kind(c)).alias(f"k{i}"), F.max(F.length(c)).alias(f"ml{i}")]
     stats = data.agg(*aggs)
     key = next((k for k in KEY_CANDIDATES if k in norm), None)
     per_col = []
     for i, name in enumerate(norm):
-        ne, ni, nf, nd, ml = (F.col(f"{p}{i}") for p in ("ne", "ni", "nf", "nd", "ml"))
-        if name in CODE_COLUMNS:
+        if i not in coded:
             typ, length = F.lit("char"), F.lit(CODE_LENGTH)
         else:
-            typ = (F.when(ne == 0, "varchar").when(ni == 0, "int").when(nf == 0, "float")
-                   .when(nd == 0, "date").otherwise("varchar"))
-            length = F.coalesce(ml, F.lit(0))
+            # Without rows there are no kinds: all values are empty.
+            kinds = F.coalesce(F.col(f"k{i}"), F.lit(0)).bitwiseAND(~EMPTY)
+            only = lambda allowed: kinds.bitwiseAND(~allowed) == 0
+            typ = (F.when(kinds == 0, "varchar").when(only(INTEGER | DATED_INTEGER), "int").when(only(INTEGER | DATED_INTEGER | FLOAT), "float")
+                   .when(only(DATED_INTEGER | DATE), "date").otherwise("varchar"))
+            length = F.coalesce(F.col(f"ml{i}"), F.lit(0))
         length = F.when(typ.isin("varchar", "char"), F.when(length > 5, length + 2).otherwise(length))
         per_col.append(F.struct(F.lit(i + 1).cast("bigint").alias("position"), F.lit(name).alias("column_name"),
                                 typ.alias("inferred_type"), length.cast("bigint").alias("length"),

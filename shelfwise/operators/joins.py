@@ -12,7 +12,6 @@
 from __future__ import annotations
 
 import importlib.util
-from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,9 +201,3 @@ def containment_join(docs: DataFrame, doc_key: str, doc_text: str,
     wanted = cand.select("_d", F.col("_i").alias("_ik"), salt).join(it, ["_ik", "_salt"])
     pairs = wanted.join(docs, (F.col("_d") == F.col(doc_key)) & F.col(doc_text).contains(F.col(item_text)))
     return pairs.withColumnRenamed("_ik", item_key).drop("_d", "_salt")
-
-
-def exploded_membership(df: DataFrame, cols: Sequence[str], out: str = "member") -> DataFrame:
-    """One row per address of several ``[,;:]``-delimited list columns."""
-    from shelfwise.functions.text import split_list
-    return df.withColumn(out, F.explode(split_list(*cols)))

@@ -49,11 +49,6 @@ def truncate_load(target: DataFrame, stage: DataFrame) -> DataFrame:
     return align_insert(target, stage)
 
 
-def duplicate_keys(stage: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys staged more than once (reported, since the reference loads them all)."""
-    return stage.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-
-
 def _null_as_empty(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 

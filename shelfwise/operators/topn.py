@@ -59,14 +59,6 @@ def best_per_group(df: DataFrame, group: Sequence[str], value_col: str) -> DataF
             .drop("_best"))
 
 
-def row_at_group_min(df: DataFrame, group: Sequence[str], value_col: str) -> DataFrame:
-    """Rows at the per-group minimum of ``value_col`` (ties kept)."""
-    mn = df.groupBy(*group).agg(F.min(value_col).alias("_min"))
-    return (df.join(mn, [*group], "inner")
-            .filter(F.col(value_col) == F.col("_min"))
-            .drop("_min"))
-
-
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The one row per key that is greatest under ``order`` (lexicographic).
 

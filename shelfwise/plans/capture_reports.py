@@ -95,9 +95,17 @@ def merge_comments(log: DataFrame, captured: DataFrame) -> DataFrame:
 STATUS_HEADER = "<tr><td>ASIN</td><td>Status</td><td>Title</td><td>ETA</td></tr>"
 
 
+#: Products of a message at most: those whose numbers have the same hundreds.
+MESSAGE_PRODUCTS = 100
+
+
+def _message_id(publisher, part, day, line_status) -> F.Column:
+    return F.concat_ws("/", publisher, F.expr(f"{part} DIV {MESSAGE_PRODUCTS}").cast("string"), F.date_format(day, "yyyyMM"), line_status)
+
+
 def _status_messages(t: Tables) -> DataFrame:
-    """(msgid, publisher, sender, html): one status table per product and day it was returned. Lines of status F
-    come from an address that is not on the publisher's list; some cells are empty."""
+    """(msgid, publisher, sender, html): one status table per publisher, hundred of product numbers and month, with a row for each product and
+    day of a return. Tables of status F come from an address that is not on the publisher's list; some cells are empty."""
     lines = (t.lineitem.filter(F.col("l_returnflag") == "R")
              .groupBy("l_partkey", F.to_date("l_shipdate").alias("day"), "l_linestatus")
              .agg(F.max("l_linenumber").alias("line"), F.max("l_tax").alias("tax")))
@@ -106,24 +114,28 @@ def _status_messages(t: Tables) -> DataFrame:
     row = F.concat(F.lit("<tr><td>"), F.col("product"), F.lit("</td><td>"), status, F.lit("</td><td>"),
                    escape_html(F.col("title")), F.lit("</td><td>"), eta, F.lit("</td></tr>"))
     sender = F.when(F.col("l_linestatus") == "F", F.lit("someone@elsewhere.example")).otherwise(F.upper(_sender(F.col("publisher"))))
-    return (lines.join(products(t), F.col("l_partkey") == F.col("p_partkey"))
-            .select(F.concat_ws("/", "product", F.date_format("day", "yyyyMMdd"), "l_linestatus").alias("msgid"), "publisher",
-                    sender.alias("sender"),
-                    F.concat(F.lit('<p>Status:</p><table id="status">'), F.lit(STATUS_HEADER), row, F.lit("</table>")).alias("html")))
+    rows = (lines.join(products(t), F.col("l_partkey") == F.col("p_partkey"))
+            .select(_message_id(F.col("publisher"), "p_partkey", F.col("day"), F.col("l_linestatus")).alias("msgid"), "publisher",
+                    sender.alias("sender"), "product", "day", row.alias("tr")))
+    # A message holds a hundred products and a month at most: a bounded list.
+    return (rows.groupBy("msgid", "publisher", "sender")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("product", "day", "tr"))), lambda x: x["tr"]), "").alias("body"))
+            .select("msgid", "publisher", "sender",
+                    F.concat(F.lit('<p>Status:</p><table id="status">'), F.lit(STATUS_HEADER), F.col("body"), F.lit("</table>")).alias("html")))
 
 
 @report("status_capture", covers=("R31", "S14", "J25", "M6"), tag="STATUS", oracle=f"""
 WITH l AS (SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, l_linestatus, max(l_linenumber) AS line, max(l_tax) AS tax
            FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2, 3),
-c AS (SELECT {PRODUCT_CODE_SQL.format(k='p_partkey')} AS product, day, l_linestatus,
+c AS (SELECT {PRODUCT_CODE_SQL.format(k='p_partkey')} AS product,
+             p_brand || '/' || (p_partkey // {MESSAGE_PRODUCTS}) || '/' || strftime(day, '%Y%m') || '/' || l_linestatus AS msgid, l_linestatus,
              CASE WHEN line > 2 THEN 'line ' || line ELSE '' END AS status,
              CASE WHEN tax > 0.02 THEN CAST(day AS VARCHAR) ELSE '' END AS eta
       FROM l JOIN part ON p_partkey = l_partkey WHERE l_linestatus <> 'F'),
-got AS (SELECT product, product || '/' || strftime(day, '%Y%m%d') || '/' || l_linestatus AS msgid, status, eta
-        FROM c WHERE status <> '' OR eta <> ''),
-log AS (SELECT DISTINCT {PRODUCT_CODE_SQL.format(k='l_partkey')} AS product,
-               {PRODUCT_CODE_SQL.format(k='l_partkey')} || '/' || strftime(l_shipdate, '%Y%m%d') || '/O' AS msgid
-        FROM lineitem WHERE l_returnflag <> 'N')
+got AS (SELECT product, msgid, status, eta FROM c WHERE status <> '' OR eta <> ''),
+log AS (SELECT DISTINCT {PRODUCT_CODE_SQL.format(k='p_partkey')} AS product,
+               p_brand || '/' || (p_partkey // {MESSAGE_PRODUCTS}) || '/' || strftime(l_shipdate, '%Y%m') || '/O' AS msgid
+        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N')
 SELECT product, msgid, status, eta FROM got
 UNION ALL SELECT product, msgid, 'open', '' FROM log WHERE (product, msgid) NOT IN (SELECT product, msgid FROM got)""")
 def status_capture(t: Tables):
@@ -135,10 +147,10 @@ def status_capture(t: Tables):
     allowed = allowed_senders(msgs, "sender", lists, "publisher", ("to_list", "cc"), "publisher")
     rows = html_table_rows(allowed.select("msgid", "html"), "msgid", "html", table_id="status", status_header="status")
     captured = rows.select(F.col("key").alias("product"), "msgid", "status", F.col("comment").alias("eta"))
-    code = F.concat(F.lit("B"), zero_padded("l_partkey", 9))
-    log = (t.lineitem.filter(F.col("l_returnflag") != "N")
-           .select(code.alias("product"), F.concat_ws("/", code, F.date_format("l_shipdate", "yyyyMMdd"), F.lit("O")).alias("msgid"))
-           .distinct().select("product", "msgid", F.lit("open").alias("status"), F.lit("").alias("eta")))
+    days = t.lineitem.filter(F.col("l_returnflag") != "N").select("l_partkey", F.trunc("l_shipdate", "month").alias("day")).distinct()
+    log = (days.join(products(t), F.col("l_partkey") == F.col("p_partkey"))
+           .select("product", _message_id(F.col("publisher"), "p_partkey", F.col("day"), F.lit("O")).alias("msgid"),
+                   F.lit("open").alias("status"), F.lit("").alias("eta")))
     return merge_comments(log, captured)
 
 

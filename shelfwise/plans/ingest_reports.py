@@ -294,6 +294,27 @@ def merge_diff(t: Tables):
     return diff_merge(cur, stg, "o_orderkey", ["o_orderstatus", "o_orderpriority"], src_col="src")
 
 
+# ------------------------------------------------------------------ S1, S2
+@report("charset_lines", covers=("S1", "S2"), tag=None, oracle="""
+SELECT p_partkey AS product, '书名 ' || p_name AS title FROM part""")
+def charset_lines(t: Tables):
+    """Titles dropped as two sets of files in one folder, one encoded in GBK and one in UTF-8: each file is read by
+    the charset that its first lines show."""
+    import uuid
+
+    from shelfwise.session import scratch_path
+    from shelfwise.sources.dropfile import java_charsets, scan_lines
+
+    folder = scratch_path(t.spark, f"charset_lines-{uuid.uuid4().hex}")
+    lines = t.part.select("p_partkey", F.concat(F.lit("书名 "), "p_name").alias("title"))
+    for charset, odd in (("GBK", 1), ("UTF-8", 0)):
+        part = lines.filter(F.col("p_partkey") % 2 == odd)
+        with java_charsets(t.spark):
+            part.write.option("sep", "\t").option("encoding", charset).csv(f"{folder}/{charset}")
+    fields = F.split("value", "\t")
+    return scan_lines(t.spark, f"{folder}/*").select(fields[0].cast("bigint").alias("product"), fields[1].alias("title"))
+
+
 # ------------------------------------------------------------------ X1-X3
 STREAM_COLUMNS = "o_orderkey bigint, o_custkey bigint, o_orderstatus varchar(1), o_totalprice decimal(18,2), o_orderpriority varchar(15)"
 

@@ -34,12 +34,6 @@ def _snapshot_agg(o: DataFrame) -> DataFrame:
                  F.max("o_orderdate").cast("date").alias("end_day")))
 
 
-def order_snapshots(t: Tables) -> DataFrame:
-    """Pattern snapshot: per (month, customer) orders, total, first and last order day."""
-    o = complete_months(t.orders)
-    return _snapshot_agg(o)
-
-
 def two_latest_snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Latest and previous snapshot rows, aggregating only those two months.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import FIXED_SHIFT_HOURS, RFC_DATE_PATTERN, parse_message_date
 from shelfwise.functions.text import (
-    EMAIL_RE, MULTILINE_SQL, PRODUCT_CODE_RE, USER_RE, email_addresses, multilines_in_html, product_codes, sender_user, sql_statement,
+    EMAIL_RE, MULTILINE_SQL, PRODUCT_CODE_RE, USER_RE, email_addresses, multilines_in_html, product_codes, sender_user,
 )
 from shelfwise.operators.joins import not_in_anti_join, phrase_hits
 from shelfwise.operators.topn import latest_per_key
@@ -196,8 +196,3 @@ def run_request_sql(t: Tables, request_text: str):
 def adhoc_request_sql(t: Tables):
     """The statement found in a request message, run over the registered tables."""
     return run_request_sql(t, ADHOC_REQUEST)
-
-
-def request_statements(t: Tables):
-    """F26 as a column: the statement inside each conversation turn ('' when none)."""
-    return t.conversations.select("conv_id", "turn", sql_statement("text").alias("statement"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.numeric import as_double, money_sum
 from shelfwise.operators.topn import row_numbered, top_k_per_group
+from shelfwise.plans.pricing import ADVICE_HISTORY_SQL, advice_history_rows
 from shelfwise.plans.registry import report
 from shelfwise.session import scratch_path
 from shelfwise.sources.sinks import (
@@ -143,6 +144,23 @@ def written_daily_history(t: Tables):
     return t.spark.read.schema("run string, n bigint, total double, ss_day date").parquet(path).select("ss_day", "run", "n", "total")
 
 
+@report("written_advice_history", covers=("R18", "M8"), tag="ADVICEDAYS", oracle=f"""
+WITH advice AS ({ADVICE_HISTORY_SQL})
+SELECT * FROM advice
+UNION ALL
+SELECT * REPLACE (CAST(ss_day - INTERVAL 1 DAY AS DATE) AS ss_day) FROM advice WHERE dir = 'D'""")
+def written_advice_history(t: Tables):
+    """The advice of two days in the history by day: the day before (price-down rows alone), then the day itself by a run that ended
+    after its price-raise rows, and again by a whole run, which replaces that day's rows only."""
+    path = _folder(t, "advice")
+    rows = advice_history_rows(t)
+    before = F.date_sub("ss_day", 1)
+    write_day_partition(rows.filter(F.col("dir") == "D").withColumn("ss_day", before), path)
+    write_day_partition(rows.filter(F.col("dir") == "R"), path)
+    write_day_partition(rows, path)
+    return t.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
 @report("written_audit_log", covers=("S23",), tag="AUDIT", oracle="""
 SELECT event_id, event_type AS report, CAST(value AS DOUBLE) AS value, 'run1' AS run FROM events WHERE event_type = 'error'
 UNION ALL SELECT event_id, event_type, CAST(value AS DOUBLE), 'run2' FROM events WHERE event_type IS DISTINCT FROM 'error'""")

@@ -51,7 +51,7 @@ def test_shared_folder_is_demanded_on_a_cluster(spark):
         checkpoint_dir(Session())
 
 
-@pytest.mark.parametrize("name, scans", [("advice_history", 6)])
+@pytest.mark.parametrize("name, scans", [("advice_history", 6), ("upstream_uplift", 12), ("not_launched_rank", 15)])
 def test_shared_frames_are_built_once(spark, name, scans):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= scans, plan

@@ -11,21 +11,21 @@ sys.path.insert(0, ROOT)
 
 # Where each operator lives (IDs whose main home is a library function).
 IMPL = {
-    "S1": "sources/dropfile.py scan_lines", "S2": "sources/dropfile.py clean_text (invalid UTF-8 bytes dropped, BOM and CR stripped)",
-    "S3": "sources/dropfile.py parse_file_name", "S4": "sources/dropfile.py scan_lines(quiet_before)",
-    "S5": "streaming/file_drop.py run_drop_folder", "S6": "streaming/file_drop.py (archive option, _failed records); dropfile.retention_expired",
-    "S7": "sources/tables.py Tables", "S8": "sources/tables.py Tables.available / register_views",
+    "S1": "sources/dropfile.py scan_lines", "S2": "sources/dropfile.py scan_lines / clean_text (charset by a file's first lines, GBK as fallback)",
+    "S3": "sources/dropfile.py parse_file_name", "S4": "sources/drop_stream.py (stream of quiet files); sources/dropfile.py scan_lines(quiet_before)",
+    "S5": "streaming/file_drop.py run_drop_folder", "S6": "streaming/file_drop.py (done/, .err after max_attempts, clean_done)",
+    "S7": "sources/tables.py Tables", "S8": "sources/tables.py table_spec / catalog_tables",
     "S9": "operators/sheets.py bind_sheet", "S10": "operators/sheets.py resolve_columns / resolve_positions",
     "S11": "plans/billing.py promotion_config", "S12": "sources/dropfile.py newest_file_of_newest_dir",
     "S13": "sources/html.py html_table_rows (mapInPandas)", "S14": "sources/html.py html_table_rows(status_header)",
-    "S15": "sources/html.py keyword_table_rows", "S16": "sources/html.py html_to_text",
+    "S15": "sources/html.py keyword_table_rows", "S16": "sources/html.py html_to_text / decode_references",
     "S17": "plans/access_reports.py _messages", "S18": "sources/sinks.py sheet_ready / write_report",
-    "S19": "operators/topn.py row_numbered", "S20": "sources/sinks.py write_report(compress=auto, plan size estimate)",
+    "S19": "operators/topn.py row_numbered", "S20": "sources/sinks.py compress_large (by bytes written)",
     "S21": "sources/sinks.py run_stamp", "S22": "sources/sinks.py write_report(partition_by)",
-    "S23": "sources/sinks.py append_audit", "S24": "sources/sinks.py export_tables / expired_exports",
+    "S23": "sources/sinks.py append_audit; streaming/messages.py first_seen", "S24": "sources/sinks.py export_tables / expired_exports",
     "T1": "operators/ingest.py normalize_header", "T2": "operators/ingest.py bind_columns",
     "T3": "operators/ingest.py infer_schema", "T4": "operators/ingest.py infer_schema", "T5": "operators/ingest.py infer_schema",
-    "T6": "operators/ingest.py ddl_text / ddl_frame", "T7": "functions/cleansing.py clean_cast", "T7a": "functions/cleansing.py clean_cast",
+    "T6": "operators/ingest.py ddl_text / ddl_frame", "T7": "functions/cleansing.py clean_cast / parse_decimal", "T7a": "functions/cleansing.py clean_cast",
     "T7b": "functions/cleansing.py clean_cast", "T7c": "functions/cleansing.py parse_date",
     "T7d": "functions/cleansing.py parse_int", "T7e": "functions/cleansing.py parse_number",
     "T7f": "functions/cleansing.py clean_cast", "T8": "operators/ingest.py clean_lines (rejects)",
@@ -35,15 +35,15 @@ IMPL = {
     "M4": "operators/merge.py truncate_load", "M5": "streaming/file_drop.py (loads grouped, partitioned merge)",
     "M6": "operators/merge.py replace_by_key (composite key)", "M7": "operators/merge.py diff_merge",
     "M8": "sources/sinks.py write_day_partition", "M9": "operators/merge.py update_from_group", "M10": "operators/merge.py stamp",
-    "J9": "operators/joins.py not_in_anti_join", "J12": "operators/joins.py containment_join",
-    "J13": "operators/joins.py disjunctive_join", "J14": "operators/topn.py row_at_group_min; plans/pricing.py",
+    "J9": "operators/joins.py not_in_anti_join", "J12": "operators/joins.py phrase_hits (automaton) / containment_join",
+    "J13": "operators/joins.py disjunctive_join", "J14": "plans/pricing.py",
     "J15": "operators/topn.py best_per_group", "J16": "operators/topn.py latest_per_key", "J20": "operators/joins.py lookup_with_fallback",
     "J23": "plans/access_reports.py entitled", "J24": "plans/access_reports.py route", "J25": "plans/access_reports.py allowed_senders",
     "A6": "operators/grouping.py sorted_distinct_list", "A7": "plans/billing.py _with_promo_totals; operators/grouping.py with_total_row",
     "A10": "operators/grouping.py mode_per_key", "W1": "operators/topn.py row_numbered", "W2": "operators/topn.py running_share_cut",
     "W3": "operators/topn.py latest_per_key", "W4": "operators/topn.py best_per_group", "W5": "operators/topn.py priority_first",
     "W6": "operators/sequence.py group_sequence", "W7": "operators/snapshots.py new_vs_carried",
-    "P14": "operators/params.py mine_parameters / parameter_filter / per_request",
+    "P14": "operators/params.py restricted / per_request",
     "P11": "operators/snapshots.py latest_snapshot", "P12": "operators/snapshots.py previous_snapshot",
     "L4": "asc_nulls_last in plans/scan_reports.py", "L5": "operators/topn.py top_k_per_group", "L6": "operators/topn.py latest_per_key",
     "L7": "operators/topn.py cap_rows / inline_or_notice", "F3": "functions/numeric.py percent_text", "F4": "functions/numeric.py round_half_up",
@@ -55,17 +55,17 @@ IMPL = {
     "F21": "functions/dates.py infer_year_month_day", "F22": "functions/dates.py age_days", "F23": "functions/text.py between_parentheses",
     "F24": "plans/catalog_reports.py intake_sheet", "F25": "functions/text.py link", "F26": "functions/text.py sql_statement",
     "F28": "functions/dates.py week_stamp", "F29": "functions/text.py key_summary",
-    "R32": "sources/html.py keyword_table_rows + operators/merge.py replace_by_key",
-    "R33": "operators/sheets.py checklist_capture", "X1": "streaming/file_drop.py", "X2": "streaming/file_drop.py (checkpointed stream)",
-    "X3": "streaming/file_drop.py merge_batch markers", "E1": "plans/registry.py", "E2": "plans/access_reports.py SCHEDULES",
+    "R31": "sources/html.py captured_tables + operators/merge.py replace_by_key", "R32": "sources/html.py keyword_table_rows + operators/merge.py replace_by_key",
+    "R33": "operators/sheets.py checklist_capture", "X1": "streaming/file_drop.py", "X2": "streaming/messages.py (keyed state)",
+    "X3": "operators/merge.py write_version(load) / version_of_load", "E1": "plans/registry.py Report.params; plans/requests.py", "E2": "plans/access_reports.py SCHEDULES; plans/requests.py answer",
 }
 TESTS = {
-    "S1": "test_ingest", "S2": "test_ingest", "S3": "test_ingest", "S4": "test_sinks_sheets", "S5": "test_stream",
-    "S6": "test_stream, test_sinks_sheets", "S9": "test_sinks_sheets", "S10": "test_sinks_sheets", "S12": "test_sinks_sheets",
+    "S1": "test_ingest", "S2": "test_ingest, test_stream", "S3": "test_ingest", "S4": "test_stream", "S5": "test_stream",
+    "S6": "test_stream, test_sinks_sheets", "S8": "test_stream", "S16": "test_html", "S22": "test_sinks_sheets", "S23": "test_stream", "S9": "test_sinks_sheets", "S10": "test_sinks_sheets", "S12": "test_sinks_sheets",
     "S13": "test_html", "S14": "test_html", "S15": "test_html", "S18": "test_sinks_sheets", "S20": "test_sinks_sheets",
     "S21": "test_sinks_sheets", "S24": "test_sinks_sheets", "T1": "test_ingest", "T3": "test_ingest", "T4": "test_ingest",
     "T5": "test_ingest", "T6": "test_ingest", "T7a": "test_cleansing", "T7b": "test_cleansing", "T7c": "test_cleansing",
-    "T7d": "test_cleansing", "T7e": "test_cleansing", "T7f": "test_sinks_sheets", "T8": "test_ingest", "T9": "test_ingest",
+    "T7d": "test_cleansing", "T7e": "test_cleansing", "T7": "test_cleansing", "T7f": "test_cleansing", "T8": "test_ingest", "T9": "test_ingest",
     "T10": "test_ingest", "T11": "test_sinks_sheets", "M2": "test_merge", "M3": "test_merge", "M4": "test_merge",
     "M7": "test_merge", "M8": "test_sinks_sheets", "M9": "test_sinks_sheets", "M10": "test_sinks_sheets",
     "J9": "test_joins", "J12": "test_joins", "J13": "test_joins", "J15": "test_topn", "J20": "test_joins",
@@ -75,7 +75,7 @@ TESTS = {
     "F19": "test_sinks_sheets", "F20": "test_functions", "F21": "test_functions", "F23": "test_functions",
     "F25": "test_sinks_sheets", "F26": "test_functions", "F28": "test_sinks_sheets", "F29": "test_sinks_sheets",
     "R27a": "test_billing", "R27b": "test_billing", "R27c": "test_billing", "R32": "test_html", "R33": "test_sinks_sheets",
-    "X1": "test_stream", "X2": "test_stream", "X3": "test_stream", "P14": "test_sinks_sheets",
+    "X1": "test_stream", "X2": "test_stream", "X3": "test_stream", "P14": "test_inline", "E1": "test_inline", "E2": "test_inline",
     "J24": "test_sinks_sheets", "J25": "test_sinks_sheets",
     "W1": "test_entry (menu)", "A7": "test_topn", "L4": "oracle", 
 }
