@@ -250,14 +250,16 @@ def lettered(text: Column) -> Column:
 def in_learned_language(docs: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """``docs`` without those that the network rejects; a null ``lang`` becomes the predicted one.
 
-    A document stays when its predicted language is one of ``wanted`` (default: all learned ones) and as many of its
-    positions are labelled with it as a guess among the learned languages would give, or more. Texts without a letter go. When no row can be learned from nothing
+    A document stays when its predicted language is one of ``wanted`` (default: all learned ones) and its positions are
+    labelled with it as often as a guess among the learned languages would give, less what chance takes off (the root of the
+    number of positions, so that a text of a few letters is not rejected for them). Texts without a letter go. When no row can be learned from nothing
     is predicted, and every text with a letter stays."""
     languages, net = fitted(docs)
     if net is None:
         return docs.filter(lettered(F.col("text")))
+    share = F.col("agreement") + 1 / F.sqrt(F.greatest(F.octet_length("text"), F.lit(1)))
     kept = predict(docs, languages, net).filter(
-        (F.col("lang_pred") != UNKNOWN) & F.col("lang_pred").isin(wanted or languages) & (F.col("agreement") * len(languages) >= 1))
+        (F.col("lang_pred") != UNKNOWN) & F.col("lang_pred").isin(wanted or languages) & (share * len(languages) >= 1))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -1,7 +1,6 @@
 """Near copies among embeddings by sorted projection passes (operator 4).
 
-Equal vectors of a label become one class with a count. A label of up to ``exact`` classes
-is compared class by class, in pairs of blocks. In a larger one, each pass gives a class
+Equal vectors of a label become one class with a count. In every label, each pass gives a class
 the signs of its projections on random directions, as one number whose leading bits are the
 first directions; vectors are centred on their label's mean before, since signs of vectors
 that share a direction are much alike. Classes are sorted by (label, number); each is compared, by cosine in
@@ -11,7 +10,7 @@ costs its rows and not its pairs. The rows at both sides of a partition's edge a
 in a group of their own, and runs of one number longer than the window in pairs of blocks.
 
 ``schedule`` sets passes, bits and window of a label by its class count and by how far its
-vectors lie from their mean; where the passes would cost as much as all pairs, all pairs are compared.
+vectors lie from their mean, whatever its size: the cheapest way to find a pair at the threshold with the chance ``RECALL``.
 
 What a bounded window cannot count is counted afterwards: the members of each connected
 component are compared with each other in blocks, which makes ``n_links`` complete inside
@@ -36,31 +35,30 @@ from shelfwise.llm.graph import Forest, block_pairs, components, in_groups
 THRESHOLD = 0.98
 #: Passes, signs in a number, classes compared with each, classes in a block of the exact count, seed.
 PASSES, BITS, WINDOW, BLOCK, SEED = 16, 32, 64, 1_024, 5
-#: Classes of a label that are all compared; chance to find a pair at the threshold, at the mean distance from the centre.
-EXACT, RECALL = 4_096, 0.999
+#: Chance to find a pair at the threshold, at the mean distance from the centre; most passes, which only a label needs whose
+#: vectors lie so close together that almost all of them are linked.
+RECALL, MOST_PASSES = 0.9999, 128
 #: A class sent once costs as much as so many comparisons.
 SENT = 2_000
 
 
 def schedule(n: int, spread: float, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW,
-             block: int = BLOCK, bits: int = BITS) -> tuple[int, int, int]:
+             bits: int = BITS) -> tuple[int, int, int]:
     """Passes, window and bits for a label of ``n`` classes whose unit vectors lie at a mean squared distance of ``spread``
-    from their mean; 0 passes where all pairs are to be compared. The arguments are the least that is used."""
+    from their mean. The arguments are the least that is used."""
     import math
 
     # Chance that a pair at the threshold agrees in a sign, once centred.
     same = 1 - math.acos(max(-1.0, 1 - (1 - threshold) / max(spread, 1e-12))) / math.pi
     ways = []
     for w in (window << k for k in range(5)):
-        hit = min(same ** math.log2(max(2.0, n / w)), 1 - 1e-12)
-        need = math.log(1 - RECALL) / math.log1p(-hit) if hit > 1e-9 else math.inf
-        if need < 1e6:
-            p = max(passes, math.ceil(need))
-            ways.append((p * (w + SENT), p, w))
-    cost, p, w = min(ways, default=(math.inf, 0, window))
-    if cost >= n / 2 + n / block * SENT:
-        return 0, window, bits
-    return p, w, min(62, max(bits, math.ceil(math.log2(n)) + 8))
+        # Signs that have to agree until a number's neighbours are a window's.
+        hit = min(same ** max(0.0, math.log2(n / w)), 1 - 1e-12)
+        need = math.log(1 - RECALL) / math.log1p(-hit) if hit > 1e-9 else MOST_PASSES
+        p = min(MOST_PASSES, max(passes, math.ceil(need)))
+        ways.append((need > MOST_PASSES, p * (w + SENT), p, w))
+    _, _, p, w = min(ways)
+    return p, w, min(62, max(bits, math.ceil(math.log2(max(2, n))) + 8))
 
 
 def _units(column):
@@ -96,13 +94,13 @@ def _sums(batches):
         yield out()
 
 
-def _scheduled(threshold: float, passes: int, window: int, block: int, bits: int):
-    """Large spaces (space, size, mean) with their passes, window and bits."""
+def _scheduled(threshold: float, passes: int, window: int, bits: int):
+    """Spaces (space, size, mean) with their passes, window and bits."""
 
     def run(batches):
         for batch in batches:
             means = batch.column("mean").to_pylist()
-            set_ = [schedule(n, 1 - sum(x * x for x in m), threshold, passes, window, block, bits)
+            set_ = [schedule(n, 1 - sum(x * x for x in m), threshold, passes, window, bits)
                     for n, m in zip(batch.column("size").to_pylist(), means)]
             yield pa.RecordBatch.from_arrays([batch.column("space"), batch.column("mean"), *(pa.array([x[k] for x in set_], pa.int32()) for k in range(3))],
                                              names=["space", "mean", "passes", "window", "bits"])
@@ -111,7 +109,7 @@ def _scheduled(threshold: float, passes: int, window: int, block: int, bits: int
 
 
 def _numbers(seed: int):
-    """Classes of large spaces to one row per pass, with the sorted number of the signs of their centred vectors."""
+    """Classes to one row per pass, with the sorted number of the signs of their centred vectors."""
 
     def run(batches):
         import numpy as np
@@ -225,22 +223,16 @@ def _all_pairs(rows: DataFrame, group: list[str], block: int, threshold: float)
                      _linked_pairs(threshold), "a string, b string")
 
 
-def _found(classes: DataFrame, threshold: float, passes: int, window: int, block: int, bits: int, exact: int) -> DataFrame:
+def _found(classes: DataFrame, threshold: float, passes: int, window: int, block: int, bits: int) -> DataFrame:
     """Links (a, b) of ``classes`` (class, space, embedding): enough of them to connect what is linked."""
     sizes = checkpointed(classes.groupBy("space").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    large = sizes.filter(F.col("size") > exact)
-    if large.isEmpty():
-        return _all_pairs(classes.join(sizes, "space"), ["space"], block, threshold)
-    sums = classes.join(large, "space", "left_semi").select("space", "embedding").mapInArrow(_sums, "space string, part array<double>")
+    sums = classes.join(sizes, "space", "left_semi").select("space", "embedding").mapInArrow(_sums, "space string, part array<double>")
     means = (sums.select("space", F.posexplode("part").alias("pos", "v")).groupBy("space", "pos").agg(F.sum("v").alias("v"))
              # As many entries as the vectors have.
              .groupBy("space").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("sums"))
-             .join(large, "space").select("space", "size", F.expr("transform(sums, x -> x.v / size)").alias("mean")))
-    plan = checkpointed(means.mapInArrow(_scheduled(threshold, passes, window, block, bits),
-                                         "space string, mean array<double>, passes int, window int, bits int").filter("passes > 0"))
-    links = _all_pairs(classes.join(sizes.join(plan, "space", "left_anti"), "space"), ["space"], block, threshold)
-    if plan.isEmpty():
-        return links
+             .join(sizes, "space").select("space", "size", F.expr("transform(sums, x -> x.v / size)").alias("mean")))
+    plan = checkpointed(means.mapInArrow(_scheduled(threshold, passes, window, bits),
+                                         "space string, mean array<double>, passes int, window int, bits int"))
     numbered = checkpointed(classes.join(plan, "space").select("space", "class", "embedding", "mean", "passes", "window", "bits")
                             .mapInArrow(_numbers(SEED), _SORTED))
     order, widest = ["pass", "space", "number", "class"], window << 4
@@ -250,7 +242,7 @@ def _found(classes: DataFrame, threshold: float, passes: int, window: int, block
     crowded = (numbered.groupBy("pass", "space", "number").agg(F.count(F.lit(1)).alias("size"), F.max("window").alias("_w"))
                .filter("size > _w").drop("_w"))
     runs = _all_pairs(numbered.drop("window").join(crowded, ["pass", "space", "number"]), ["pass", "space", "number"], block, threshold)
-    return links.unionByName(near.filter("edge IS NULL").select("a", "b")).unionByName(edges).unionByName(runs)
+    return near.filter("edge IS NULL").select("a", "b").unionByName(edges).unionByName(runs)
 
 
 def _linked_rows(threshold: float):
@@ -275,7 +267,7 @@ def _linked_rows(threshold: float):
 
 
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW,
-                 block: int = BLOCK, bits: int = BITS, exact: int = EXACT) -> DataFrame:
+                 block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     usable = ("label IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND "
               "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x != 0)")
@@ -286,7 +278,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
              .withColumn("class", F.md5(F.concat_ws(",", "space", F.col("embedding").cast("array<string>")))))
     classes = checkpointed(named.groupBy("class").agg(F.first("space").alias("space"), F.first("embedding").alias("embedding"),
                                                       F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
-    links = _found(classes.select("class", "space", "embedding"), threshold, passes, window, block, bits, exact)
+    links = _found(classes.select("class", "space", "embedding"), threshold, passes, window, block, bits)
     found = checkpointed(components(links))  # (node, component)
 
     members = classes.join(found.withColumnRenamed("node", "class"), "class")

@@ -281,10 +281,12 @@ def test_vectors_with_a_shared_mean(spark):
     side = unit(side - (side * x[:1_000]).sum(1, keepdims=True) * x[:1_000])
     x = np.concatenate([x, 0.981 * x[:1_000] + np.sqrt(1 - 0.981 ** 2) * side])
     want = [int((x[k:k + 1] @ x.T >= 0.98).sum()) - 1 for k in range(len(x))]
-    assert sum(want) >= 2_000 and vector_dedup.schedule(len(x), 0.1)[0] == 0 and vector_dedup.schedule(400_000, 0.1)[0] > 16
+    assert sum(want) >= 2_000 and 16 <= vector_dedup.schedule(len(x), 0.1)[0] < vector_dedup.schedule(400_000, 0.1)[0]
+    assert vector_dedup.schedule(2, 0.5) == (16, 64, 32) and vector_dedup.schedule(10**6, 1e-9)[0] == vector_dedup.MOST_PASSES
     df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: r["n_links"] for r in vector_dedup.link_vectors(df).collect()}
-    assert [got[k] for k in range(len(x))] == want
+    # No link too many, and of the planted ones 99 % at least.
+    assert all(got[k] <= want[k] for k in range(len(x))) and sum(got.values()) >= 0.99 * sum(want)
 
 
 def test_vectors_by_passes(spark, monkeypatch):
@@ -296,7 +298,7 @@ def test_vectors_by_passes(spark, monkeypatch):
     want = ((unit @ unit.T >= 0.98).sum(1) - 1).tolist()
     monkeypatch.setattr(vector_dedup, "schedule", lambda *a: (40, 32, 40))
     df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.link_vectors(df.repartition(3), exact=10, window=32, block=40).collect()}
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.link_vectors(df.repartition(3), window=32, block=40).collect()}
     assert [got[k] for k in range(len(x))] == want
 
 
