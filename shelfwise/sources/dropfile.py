@@ -96,20 +96,21 @@ def with_file_columns(df: DataFrame) -> DataFrame:
 def scan_lines(spark: SparkSession, path: str, quiet_before=None, fallback: str = FALLBACK_CHARSET) -> DataFrame:
     """Non-empty lines of every ready file under ``path`` with exact line numbers.
 
-    Lines are cut as bytes; a file whose first ``HEAD_LINES`` lines are valid UTF-8 (plain ASCII included) is decoded as that,
-    any other by ``fallback``. ``quiet_before`` (timestamp) keeps only files last modified before it (S4).
+    Lines are cut as bytes; a file whose first ``HEAD_LINES`` lines are not valid UTF-8 but valid in ``fallback`` is decoded by that,
+    any other as UTF-8 (stray bytes are dropped). ``quiet_before`` (timestamp) keeps only files last modified before it (S4).
     Output: value, file_path, file_name, mtime, line_no.
     """
     raw = with_file_columns(spark.read.text(path))
     if quiet_before is not None:
         raw = raw.filter(F.col("mtime") < F.lit(quiet_before).cast("timestamp"))
     lines = numbered_rows(raw.withColumn("_id", F.monotonically_increasing_id()))
-    # One row per file; only the first lines of a file count.
-    utf8 = (lines.filter(F.col("line_no") <= HEAD_LINES).groupBy("file_path")
-            .agg(F.min(F.is_valid_utf8("value")).alias("_utf8")))
     with java_charsets(spark):
-        text = F.when(F.col("_utf8"), clean_text(F.col("value"))).otherwise(clean_text(F.col("value"), fallback))
-        return lines.join(utf8, "file_path").withColumn("value", text).filter(F.col("value") != "").drop("_utf8")
+        # One row per file; only the first lines of a file count.
+        foreign = ~F.is_valid_utf8("value"), ~F.decode(F.col("value").cast("binary"), fallback).contains("\ufffd")
+        heads = (lines.filter(F.col("line_no") <= HEAD_LINES).groupBy("file_path")
+                 .agg((F.max(foreign[0]) & F.min(foreign[1])).alias("_foreign")))
+        text = F.when(F.col("_foreign"), clean_text(F.col("value"), fallback)).otherwise(clean_text(F.col("value")))
+        return lines.join(heads, "file_path").withColumn("value", text).filter(F.col("value") != "").drop("_foreign")
 
 
 def headers(lines: DataFrame) -> DataFrame:

@@ -68,11 +68,14 @@ def _digest(files: list[dict]) -> str:
 
 def _first_line(head: bytes, fallback: str) -> tuple[str, str, int]:
     """Charset of a file, its first line that is not empty, and that line's number."""
-    charset = "UTF-8"
+    charset, text = "UTF-8", head.decode("utf-8-sig", "ignore")
     try:
-        text = head.decode("utf-8-sig")
+        head.decode("utf-8")
     except UnicodeDecodeError:
-        charset, text = fallback, head.decode(fallback, "ignore")
+        try:
+            charset, text = fallback, head.decode(fallback)
+        except UnicodeDecodeError:
+            pass   # stray bytes in a UTF-8 file
     for n, line in enumerate(text.split("\n"), 1):
         if line.rstrip("\r"):
             return charset, line.rstrip("\r"), n
