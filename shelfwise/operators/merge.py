@@ -8,9 +8,10 @@ DataFrame (join + union) and the caller writes it as a new version
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +29,18 @@ def replace_by_key(target: DataFrame, stage: DataFrame, keys: Sequence[str]) ->
     return kept.unionByName(staged)
 
 
+def replace_by_key_once(target: DataFrame, stage: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """M6: the rows of ``replace_by_key`` for a stage that is costly to compute (tables parsed from messages).
+
+    The anti join there computes the stage twice, for its keys and for its rows. Here target and stage rows meet in one shuffle
+    by the key and a target row goes where its key holds a staged row. As in the join, a key with a NULL matches nothing."""
+    rows = (target.withColumn("_staged", F.lit(False))
+            .unionByName(align_insert(target, stage).withColumn("_staged", F.lit(True))))
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    replaced = F.max(F.col("_staged") & whole).over(Window.partitionBy(*keys))
+    return rows.withColumn("_replaced", replaced).filter(F.col("_staged") | ~F.col("_replaced")).select(*target.columns)
+
+
 def update_by_key(target: DataFrame, stage: DataFrame, keys: Sequence[str]) -> DataFrame:
     """M3 (``upd``): for matching keys, overwrite the non-key columns present in the stage
     (a NULL in the stage overwrites); unmatched stage rows are not inserted."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import zero_padded
-from shelfwise.operators.merge import replace_by_key
+from shelfwise.operators.merge import replace_by_key_once
 from shelfwise.operators.topn import latest_per_key
 from shelfwise.plans.access_reports import allowed_senders
 from shelfwise.plans.registry import report
@@ -88,7 +88,7 @@ def comment_capture(t: Tables):
 
 def merge_comments(log: DataFrame, captured: DataFrame) -> DataFrame:
     """M6: idempotent per-message replace -- rows of the same (product, msgid) are replaced."""
-    return replace_by_key(log, captured, ["product", "msgid"])
+    return replace_by_key_once(log, captured, ["product", "msgid"])
 
 
 # ------------------------------------------------------------------ R31: status and ETA tables
@@ -237,7 +237,7 @@ def vendor_tables_capture(t: Tables):
     listed = top_categories_best_product(t).select("publisher", "product")
     log = (listed.select(F.col("publisher").alias("msgid"), "product").unionByName(listed.select(F.lit("other").alias("msgid"), "product"))
            .select("msgid", F.lit("catelist").alias("kind"), "product", F.lit("earlier").alias("comments")).distinct())
-    return replace_by_key(log, captured, ["product", "msgid", "kind"])
+    return replace_by_key_once(log, captured, ["product", "msgid", "kind"])
 
 
 # ------------------------------------------------------------------ R32
@@ -287,7 +287,7 @@ def keyword_log(t: Tables):
     day = F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 2).cast("int") * 4000)
     log = (t.events.select(F.date_format(day, "yyyyMMdd").cast("bigint").alias("msgid"), F.concat(F.lit("earlier "), "event_type").alias("keyword"))
            .distinct().select("msgid", "keyword", F.lit("1").alias("rank"), F.lit("2").alias("query_groups")))
-    return replace_by_key(log, captured, ["msgid"])
+    return replace_by_key_once(log, captured, ["msgid"])
 
 
 @report("keyword_capture", covers=("R32", "S15", "F19"), oracle=KEYWORD_CAPTURE_SQL, tag="KEYWORDS")

@@ -4,20 +4,24 @@
   dropped, tags removed, all character references decoded in one pass, trimmed. It runs in the
   JVM and a SQL engine can state it identically.
 * ``html_table_rows`` (S13/S14/S15) needs a real parser (nested markup, header
-  cells choosing the key column). It is a ``mapInPandas`` over the HTML column
-  using the standard library's ``html.parser``; Spark partitions the pages, each
+  cells choosing the key column). It is a ``mapInArrow`` over the HTML column
+  using the standard library's ``html.parser``, or a shorter loop with the same result
+  where a page is plain markup; Spark partitions the pages, each
   task parses its own batch, rows come back as a DataFrame.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
+from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +117,17 @@ def _html_text_sql() -> str:
 HTML_TEXT_SQL = _html_text_sql()
 
 
+# Plain markup: tags of these names, attributes in double quotes, nothing else that begins with "<". None of the names
+# changes how the text behind it is read (as script, style, title or textarea do).
+_PLAIN_NAMES = ("table thead tbody tfoot tr td th html body head p div span br hr b i u em strong font center ul ol li "
+                "h1 h2 h3 h4 h5 h6").split()
+#: What stands between "<" and ">" in a tag without attributes -> (end tag?, name of a tag that tables are made of, else None).
+_PLAIN_TAGS = {slash + written: (bool(slash), name if name in ("table", "tr", "td", "th") else None)
+               for name in _PLAIN_NAMES for written in (name, name.upper()) for slash in ("", "/")}
+_PLAIN_ATTRIBUTE = re.compile(r' ([a-z][a-z0-9-]*)="([^"<>]*)"', re.ASCII | re.IGNORECASE)
+_PLAIN_START = re.compile(r'([a-z][a-z0-9]*)((?: [a-z][a-z0-9-]*="[^"<>]*")+)', re.ASCII | re.IGNORECASE)
+
+
 class _TableParser(HTMLParser):
     """Collects the cell texts of every table, in the order in which the tables open.
 
@@ -155,10 +170,40 @@ class _TableParser(HTMLParser):
                 state["cell"].append(data)
 
 
+    def read_plain(self, html: str) -> bool:
+        """Reads a whole page of plain markup: calls the handlers that matter as ``feed`` and ``close`` would, in a fraction of the
+        time. False where the page holds any other markup; this parser is then spent."""
+        pieces = iter(html.split("<"))
+        next(pieces)  # what stands before the first tag is in no table
+        for piece in pieces:
+            written, closed, text = piece.partition(">")
+            if not closed:
+                return False
+            tag, attributes = _PLAIN_TAGS.get(written), ""
+            if tag is None:
+                start = _PLAIN_START.fullmatch(written)
+                tag = start and _PLAIN_TAGS.get(start[1].lower())
+                if not tag:
+                    return False
+                attributes = start[2]
+            ends, name = tag
+            if name is None:
+                pass
+            elif ends:
+                self.handle_endtag(name)
+            else:
+                self.handle_starttag(name, [(k.lower(), unescape(v)) for k, v in _PLAIN_ATTRIBUTE.findall(attributes)] if attributes else [])
+            if text and self._open:
+                self.handle_data(unescape(text))
+        return True
+
+
 def parse_tables(html: str) -> list[tuple[str | None, list[list[str]]]]:
     p = _TableParser()
-    p.feed(html or "")
-    p.close()
+    if not p.read_plain(html or ""):
+        p = _TableParser()
+        p.feed(html or "")
+        p.close()
     return p.tables
 
 
@@ -205,15 +250,22 @@ def html_table_rows(df: DataFrame, id_col: str, html_col: str, table_id: str | N
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, key string, comment string, status string, row_no int"
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            recs = []
-            for rid, html in zip(pdf[id_col], pdf[html_col]):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # The cells are lists by column; a page's id is taken from the batch once for each of its rows.
+            page, keys, comments, statuses, numbers = [], [], [], [], []
+            for at, html in enumerate(batch.column(1).to_pylist()):
                 for key, last, status, n in _rows_for(html, table_id, key_headers, status_header):
-                    recs.append((rid, key, last, status, n))
-            yield pd.DataFrame(recs, columns=[id_col, "key", "comment", "status", "row_no"])
-
-    return df.select(id_col, html_col).mapInPandas(parse, schema)
+                    page.append(at)
+                    keys.append(key)
+                    comments.append(last)
+                    statuses.append(status)
+                    numbers.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(page, pa.int64())), pa.array(keys, pa.string()), pa.array(comments, pa.string()),
+                                              pa.array(statuses, pa.string()), pa.array(numbers, pa.int32())],
+                                             [id_col, "key", "comment", "status", "row_no"])
+
+    return df.select(id_col, html_col).mapInArrow(parse, schema)
 
 
 def captured_tables(df: DataFrame, id_col: str, html_col: str, kinds: dict[str, tuple[str, tuple[str, ...], str | None]]) -> DataFrame:

@@ -64,3 +64,39 @@ def test_all_character_references_are_decoded_as_the_standard_library_does(spark
     got = {r.k: r.d for r in df.select("k", decode_references("t").alias("d")).collect()}
     assert got.pop(-1) is None
     assert [(t, got[k]) for k, t in enumerate(texts) if got[k] != html.unescape(t)] == []
+
+
+def _by_the_standard_parser(page):
+    from shelfwise.sources.html import _TableParser
+
+    p = _TableParser()
+    p.feed(page)
+    p.close()
+    return p.tables
+
+
+def test_plain_markup_is_read_as_the_standard_parser_reads_it(monkeypatch):
+    import random
+
+    from shelfwise.sources import html
+
+    rnd = random.Random(11)
+    plain = ["<table>", '<table id="t&amp;1">', "<TABLE>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</TH>", "<b>", "</b>", "<br>", '<span ID="x" class="">',
+             "text", " &amp; ", "&nbsp", "&", "&#65", "\xa0x\n", "> ", "\"", "'", "&notit;"]
+    other = ["<!-- <td> -->", "<td/>", "<br />", "<script>", "</script>", "<", "<td", "<td id=x>", "<td id='q'>", '<td id="a>b">', "< td>", "<title>", "<tſ>", "<td\n>",
+             '</td x="1">', "<tD>", "<?x>", "<!doctype html>"]
+    pages = ["".join(rnd.choices(plain, k=rnd.randint(0, 30))) for _ in range(3_000)]
+    mixed = ["".join(rnd.choices(plain + other, k=rnd.randint(0, 30))) for _ in range(3_000)]
+    assert [p for p in pages + mixed if html.parse_tables(p) != _by_the_standard_parser(p)] == []
+    assert html.parse_tables(None) == html.parse_tables("") == []
+    # Pages of plain markup take the short way, all of them.
+    want = [html.parse_tables(p) for p in pages]
+    monkeypatch.setattr(html._TableParser, "feed", None)
+    assert [html.parse_tables(p) for p in pages] == want
+
+
+def test_rows_keep_the_ids_of_their_pages(spark):
+    table = '<table id="t"><tr><td>asin</td><td>note</td></tr><tr><td>B1</td><td>x</td></tr><tr><td>B2</td><td>y</td></tr></table>'
+    df = spark.createDataFrame([(2 ** 60 + 1, table), (None, table), (3, None)], "page long, html string").coalesce(1)
+    got = html_table_rows(df, "page", "html", table_id="t").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(p, k, c, None, n) for p in (2 ** 60 + 1, None) for k, c, n in (("B1", "x", 2), ("B2", "y", 3))]))

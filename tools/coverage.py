@@ -33,7 +33,7 @@ IMPL = {
     "T11": "operators/sheets.py validate_checklist",
     "M1": "operators/merge.py align_insert", "M2": "operators/merge.py replace_by_key", "M3": "operators/merge.py update_by_key",
     "M4": "operators/merge.py truncate_load", "M5": "streaming/file_drop.py (loads grouped, partitioned merge)",
-    "M6": "operators/merge.py replace_by_key (composite key)", "M7": "operators/merge.py diff_merge",
+    "M6": "operators/merge.py replace_by_key_once (composite key)", "M7": "operators/merge.py diff_merge",
     "M8": "sources/sinks.py write_day_partition", "M9": "operators/merge.py update_from_group", "M10": "operators/merge.py stamp",
     "J9": "operators/joins.py not_in_anti_join", "J12": "operators/joins.py phrase_hits (automaton) / containment_join",
     "J13": "operators/joins.py disjunctive_join", "J14": "plans/pricing.py",
@@ -55,7 +55,7 @@ IMPL = {
     "F21": "functions/dates.py infer_year_month_day", "F22": "functions/dates.py age_days", "F23": "functions/text.py between_parentheses",
     "F24": "plans/catalog_reports.py intake_sheet", "F25": "functions/text.py link", "F26": "functions/text.py sql_statement",
     "F28": "functions/dates.py week_stamp", "F29": "functions/text.py key_summary",
-    "R31": "sources/html.py captured_tables + operators/merge.py replace_by_key", "R32": "sources/html.py keyword_table_rows + operators/merge.py replace_by_key",
+    "R31": "sources/html.py captured_tables + operators/merge.py replace_by_key_once", "R32": "sources/html.py keyword_table_rows + operators/merge.py replace_by_key_once",
     "R33": "operators/sheets.py checklist_capture", "X1": "streaming/file_drop.py", "X2": "streaming/messages.py (keyed state)",
     "X3": "operators/merge.py write_version(load) / version_of_load", "E1": "plans/registry.py Report.params; plans/requests.py", "E2": "plans/access_reports.py SCHEDULES; plans/requests.py answer",
 }
